@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import license_scan, line_dedup
+from ledgerloom.llm import decontaminate, license_scan, line_dedup, packing
 from ledgerloom.llm.common import table
 
 
@@ -16,6 +16,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))[0].drop("text")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "license_digest", "license_id", F.array_join("line_licenses", ",").alias("line_licenses"))
@@ -23,6 +32,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_packing": op4_packing,
+    "op8_decontaminate": op8_decontaminate,
     "op10_license_scan": op10_license_scan,
 }
 
