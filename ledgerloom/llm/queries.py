@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, license_scan, line_dedup, minhash, packing
+from ledgerloom.llm import decontaminate, license_scan, line_dedup, minhash, packing, quality, toxicity, url_filter, warc
 from ledgerloom.llm.common import table
+from ledgerloom.llm.learning import is_held_out
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +21,40 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return _judged(scored, toxicity.MODULUS, toxicity.HELD_OUT, toxicity.THRESHOLD)
+
+
+def _judged(scored: DataFrame, modulus: int, remainder: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", is_held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return _judged(scored, quality.MODULUS, quality.HELD_OUT, quality.THRESHOLD)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), warc.archive_folder(spark))
+    return warc.digests(warc.read(index, data=False))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))[0].drop("text")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "license_digest", "license_id", F.array_join("line_licenses", ",").alias("line_licenses"))
@@ -37,8 +63,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
+    "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
 }
 
