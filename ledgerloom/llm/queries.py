@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, license_scan, line_dedup, minhash, packing, quality, toxicity, url_filter, warc
+from ledgerloom.llm import caps, decontaminate, license_scan, line_dedup, minhash, packing, quality, toxicity, url_filter, warc
 from ledgerloom.llm.common import table
 from ledgerloom.llm.learning import is_held_out
 
@@ -35,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_caps": op5_caps,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
