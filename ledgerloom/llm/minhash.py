@@ -11,14 +11,16 @@ compared in full.
 Linking, without all pairs of a group:
 1. Equal sets form a class, represented by its smallest document.
 2. Each member of a band bucket is paired with the bucket's smallest member
-   only; pairs that pass the sketch are confirmed on full sets, in two goes:
-   first each document's most frequent partner, then the pairs that still lie
-   in different components.
+   only; pairs that pass the sketch are confirmed on full sets.
 3. A bucket whose members are by now one component has nothing left to show.
-   In the others every pair of members in different components is compared by
-   sketch, in blocks of at most ``BLOCK`` by ``BLOCK``, and only pairs that
-   pass leave the block to be confirmed.
-So no link between different components is lost, whatever a bucket's size.
+   In the others, members of different components are compared by sketch in
+   blocks of at most ``BLOCK`` by ``BLOCK``, each pair only in the first band
+   that it shares.  What leaves a block are not pairs but the members that have
+   a near one in another component; their texts then come to the same block,
+   where all of them in different components are compared on full sets, and
+   only links that join two components leave it.
+So no link between different components is lost, whatever a bucket's size, and
+no more rows are made than there are members of buckets.
 
 Defined cases: null and empty texts, and texts without words, have no shingles
 and are linked with nothing; a text with fewer words than a shingle is one
@@ -47,6 +49,8 @@ SIMILARITY = 80
 BANDS, ROWS = 32, 4
 LANES = 8
 BLOCK = 2048
+#: Ids of texts to be fetched that go out as a broadcast, at most (8 bytes each).
+BROADCAST_IDS = 500_000
 _CHUNK = 1 << 15
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -120,19 +124,19 @@ def sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(flip, axis=1, bitorder="little").view("<u8")
 
 
-def far(similarity: int = SIMILARITY) -> int:
-    """The XOR population count over which a pair of at least this similarity is met less than once in ten million.
+def far(similarity: int = SIMILARITY, deviations: float = 5.0) -> int:
+    """The XOR population count that a pair of at least this similarity exceeds about once in three million times.
 
-    Of K samples K * (1 - s) differ on average and flip two bits each.  With d
-    differing ones the count is at most 2 d; d is binomial, and its bound adds
-    5.5 standard deviations.  The expected count is n / 2 * (1 - (1 - 2 / n) **
-    (2 d)), to which 5.5 of its deviations are added too.
+    Of K samples d, K * (1 - s) on average, differ and flip two bits each; the
+    expected count is n / 2 * (1 - (1 - 2 / n) ** (2 * d)).  Its spread comes
+    from d, which is binomial, and from the bits that fall together.
     """
     k, n = BANDS * ROWS, 64 * LANES
     p = 1 - similarity / 100
-    d = k * p + 5.5 * (k * p * (1 - p)) ** 0.5
-    mean = n / 2 * (1 - (1 - 2 / n) ** (2 * d))
-    return int(min(2 * d, mean + 5.5 * (n / 4 * (1 - (1 - 4 / n) ** (2 * d))) ** 0.5))
+    d = k * p
+    keep = (1 - 2 / n) ** (2 * d)
+    spread = (2 * keep) ** 2 * d * (1 - p) + n / 4 * (1 - keep**2)
+    return int(n / 2 * (1 - keep) + deviations * spread**0.5)
 
 
 def features(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -195,34 +199,88 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _close_pairs(rows: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b) of members of the same bucket in different components whose sketches are near.
+def _sides(part: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(part == p), np.flatnonzero(part == q)
 
-    rows: key, rep, component, s0 ..; a bucket of n is dealt into ceil(n / BLOCK) parts, and each pair of parts is one group.
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (key, rep, n_shingles, ..) dealt into blocks: part of its bucket, and p <= q of the pair of parts.
+
+    A part has about BLOCK members and BLOCK * 256 shingles at most; a bucket of k parts is dealt into each pair of them.
     """
-    sized = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.join(sized, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    sized = members.groupBy("key").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / (BLOCK * 256)).alias("size"))
+    dealt = members.join(sized, "key").withColumn("parts", F.ceil("size").cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", "rep", "component", *[f"s{k}" for k in range(LANES)], "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    return dealt.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("size", "parts", "other")
+
+
+def _active(members: DataFrame, limit: int) -> DataFrame:
+    """(key, p, q, part, rep, component) of the members with a near one of another component in the block.
+
+    members: key, band, hub, rep, component, n_shingles, bands, s0 ..  Pairs with the hub are known already.
+    """
 
     def task(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        rep, comp, part = (group.column(c).to_numpy() for c in ("rep", "component", "part"))
+        rep, comp, part, hub = (group.column(c).to_numpy() for c in ("rep", "component", "part", "hub"))
         sketch = np.stack([group.column(f"s{k}").to_numpy() for k in range(LANES)], axis=1).view(np.uint64)
-        p, q = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        found: list[np.ndarray] = []
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = group.column("band")[0].as_py()
+        left, right = _sides(part, key[1].as_py(), key[2].as_py())
+        active = np.zeros(len(rep), bool)
         for i in left:
-            near = right[comp[right] != comp[i]]
-            if p == q:
-                near = near[rep[near] > rep[i]]
+            near = right[(comp[right] != comp[i]) & (rep[right] != hub[0])]
+            if rep[i] == hub[0]:
+                continue
             near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
             if len(near):
-                found.append(np.stack([np.maximum(rep[near], rep[i]), np.minimum(rep[near], rep[i])]))
-        out = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": out[0], "b": out[1]})
+                near = near[np.argmax(bands[near] == bands[i], axis=1) == band]
+                active[near] = True
+                active[i] |= len(near) > 0
+        rows = np.flatnonzero(active)
+        return group.select(["key", "p", "q", "part", "rep", "component"]).take(pa.array(rows))
+
+    return _blocks(members).groupBy("key", "p", "q").applyInArrow(task, "key long, p int, q int, part int, rep long, component long")
 
-    return dealt.groupBy("key", "p", "q").applyInArrow(task, "a long, b long").distinct()
+
+def _block_links(active: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Links (a, b) between members of different components, enough to join all that are linked within a block."""
+
+    def task(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        rep, comp, part = (group.column(c).to_numpy() for c in ("rep", "component", "part"))
+        sets, at = shingles(group.column("text").combine_chunks(), shingle)
+        if len(sets) == 0:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        dense = np.unique(sets, return_inverse=True)[1]
+        size, mark = np.diff(at), np.zeros(dense.max() + 2, np.int64)
+        total_ = np.zeros(len(dense) + 1, np.int64)
+        label = np.unique(comp, return_inverse=True)[1]
+        left, right = _sides(part, key[1].as_py(), key[2].as_py())
+        a, b = [], []
+        for i in left:
+            if not (label[right] != label[i]).any():
+                continue
+            mine = dense[at[i] : at[i + 1]]
+            mark[mine] = 1
+            np.cumsum(mark[dense], out=total_[1:])
+            mark[mine] = 0
+            both = total_[at[1:]] - total_[at[:-1]]
+            ok = right[100 * both[right] >= similarity * (size[i] + size[right] - both[right])]
+            for j in ok[size[ok] > 0].tolist():
+                if label[j] != label[i]:
+                    a.append(max(rep[i], rep[j]))
+                    b.append(min(rep[i], rep[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = active.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("key", "p", "q", "part", "rep", "component", "text")
+    return rows.groupBy("key", "p", "q").applyInArrow(task, "a long, b long")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text of each of the ids (doc_id): by a broadcast of the ids where their number allows, else by a shuffle."""
+    ids = cut(ids.distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return cut(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -232,32 +290,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     limit = far(similarity)
     live = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = live.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    heads = live.select(F.col("doc_id").alias("rep"), "bands", *[f"s{k}" for k in range(LANES)]).join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    heads = cut(heads)
-    rows = heads.select("rep", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = rows.join(hubs, "key").where(F.col("rep") != F.col("hub")).groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    sketch = heads.drop("bands")
-    near = (
-        edges.join(sketch.withColumnRenamed("rep", "a").alias("x"), "a").join(sketch.withColumnRenamed("rep", "b").alias("y"), "b")
-        .where(_apart("x", "y") <= limit).select(F.col("a"), F.col("b"), "shared")
-    )
-    near = cut(near)
+    sketch = [f"s{k}" for k in range(LANES)]
+    heads = live.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", *sketch).join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    rows = heads.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = cut(rows.join(buckets, "key"))
+    edges = rows.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    lanes = heads.select("rep", *sketch)
+    near = edges.join(lanes.withColumnRenamed("rep", "a").alias("x"), "a").join(lanes.withColumnRenamed("rep", "b").alias("y"), "b").where(_apart("x", "y") <= limit)
+    near = cut(near.select("a", "b"))
+    asked = _texts(texts, near.select(F.col("a").alias("doc_id")).union(near.select("b")))
+    labels = components(_confirmed(near, asked, shingle, similarity))
     # what hubs cannot show: buckets of three or more that hold several components once the hubs' links are known
-    wide = rows.join(hubs.where("n > 2").select("key"), "key", "left_semi")
-    asked = near.select(F.col("a").alias("doc_id")).union(near.select("b")).union(wide.select("rep")).distinct()
-    texts = cut(texts.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    links = cut(_confirmed(best, texts, shingle, similarity))
-    labels = components(links)
-    rest = near.join(best, ["a", "b"], "left_anti")
-    more = cut(_confirmed(_crossing(rest, labels), texts, shingle, similarity))
-    labels = _merged(labels, more)
-    members = _labelled(wide, labels)
+    members = _labelled(rows.where("n > 2"), labels)
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = members.join(mixed, "key", "left_semi").join(sketch, "rep")
-    pairs = _close_pairs(members, limit).join(near.select("a", "b"), ["a", "b"], "left_anti")
-    labels = _merged(labels, cut(_confirmed(pairs, texts, shingle, similarity)))
+    active = cut(_active(members.join(mixed, "key", "left_semi").select("key", "band", "hub", "rep", "component").join(heads, "rep"), limit))
+    links = cut(_block_links(active, _texts(texts, active.select(F.col("rep").alias("doc_id"))), shingle, similarity))
+    labels = _merged(labels, links)
     members = found.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"], "left")
     out = _labelled(members, labels).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -270,13 +319,6 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
-def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not known to be of one component."""
-    x = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; of repeated rows with that id all stay."""
     (key,) = fresh(docs, "key")
