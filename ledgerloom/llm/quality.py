@@ -182,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["fold", "sums"])
 
     g = np.zeros((FOLDS, size, size))
-    # a fixed number of partitions, so that what comes to the driver is bounded; ordered within, for the same sums again
-    dealt = rows.repartition(PARTS, F.xxhash64(*names)).sortWithinPartitions(*names)
+    # so many partitions at most, so that what comes to the driver is bounded; ordered within, for the same sums again
+    dealt = rows.coalesce(PARTS).sortWithinPartitions(*names)
     for r in sorted(dealt.mapInArrow(products, "fold int, sums binary").collect()):
         g[r["fold"]] += np.frombuffer(r["sums"]).reshape(size, size)
     folds = np.stack([_solve(g.sum(axis=0) - g[k]) for k in range(FOLDS)])
