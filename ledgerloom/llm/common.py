@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.checkpoints import cut
+
+__all__ = ["LOWER", "UPPER", "ascii_lower", "column", "cut", "fresh", "quoted", "table", "total"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,14 +39,6 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the cluster's checkpoint folder (reliable, so executors may be lost)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only where the cluster names none, as in tests
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-ck-"))
-    return df.checkpoint()
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
