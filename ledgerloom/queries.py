@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import ids, scalars, scripts
 from ledgerloom.ledger import Ledger
-from ledgerloom.operators import clustering, heuristics, masks, navigation, ordinals, subsets
+from ledgerloom.operators import chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
 from ledgerloom.plans import facts
 from ledgerloom.sources.star import LEDGER_SQL, ledger, loose_ids
 
@@ -422,7 +422,7 @@ def tx_fingerprints(g: Ledger) -> DataFrame:
 _TYPE_SQL = "CASE output_type WHEN 0 THEN 'p2pkh' WHEN 1 THEN 'p2sh' WHEN 2 THEN 'p2wpkh' WHEN 3 THEN 'p2wsh' WHEN 4 THEN 'p2tr' WHEN 5 THEN 'op_return' ELSE 'non_standard' END"
 
 
-@query(f" SELECT out_id, output_type, {_TYPE_SQL} AS type_name FROM txout")
+@query(f" SELECT out_id, output_type::INTEGER AS output_type, {_TYPE_SQL} AS type_name FROM txout")
 def output_types(g: Ledger) -> DataFrame:
     """Scripts made for the view's types and classified again from their bytes."""
     body = F.lpad(F.hex("spk"), 40, "0")
@@ -482,3 +482,129 @@ def block_subsidy(g: Ledger) -> DataFrame:
 def piecewise_linear(g: Ledger) -> DataFrame:
     values = g.txout.select("value").distinct()
     return values.select("value", scalars.piecewise_linear(F.col("value").cast("double"), [(500.0, 0.0), (1000.0, 1.0), (3000.0, 3.0)]).alias("cost"))
+
+
+# metrics of coins, fees and payments; a wallet is a tenth of the view's scripts, an obligation is an order
+
+_UTXO = "utxo AS (SELECT o.*, o.spk % 10 AS wallet_id FROM txout o WHERE out_id NOT IN (SELECT prev_out_id FROM txin WHERE prev_out_id IS NOT NULL))"
+_SIZED = """sized AS (
+  SELECT t.tx_id, t.block_height, i.sum_in IS NULL AS is_coinbase,
+    (CASE WHEN i.sum_in IS NULL THEN 0 WHEN i.sum_in >= coalesce(o.sum_out, 0) THEN i.sum_in - coalesce(o.sum_out, 0) END)::BIGINT AS fee,
+    (40 + CASE WHEN coalesce(i.witness, false) THEN 2 ELSE 0 END + coalesce(i.w, 0) + coalesce(o.w, 0))::BIGINT AS weight
+  FROM tx t LEFT JOIN (SELECT tx_id, sum(prev_value) AS sum_in, bool_or(prev_type <> 0) AS witness, sum(CASE prev_type WHEN 0 THEN 592 WHEN 2 THEN 272 ELSE 230 END) AS w FROM spent GROUP BY tx_id) i USING (tx_id)
+  LEFT JOIN (SELECT tx_id, sum(value) AS sum_out, sum(CASE output_type WHEN 0 THEN 136 WHEN 2 THEN 124 ELSE 172 END) AS w FROM txout GROUP BY tx_id) o USING (tx_id)
+)"""
+_OBLIGATIONS = "obligations AS (SELECT o_orderkey AS obligation_id, o_custkey % 10 AS payer, o_orderkey % 20 AS reveal, o_orderstatus AS status FROM orders)"
+
+
+def _wallets(g: Ledger) -> DataFrame:
+    return metrics.utxo_set(g).withColumn("wallet_id", F.col("spk") % 10)
+
+
+def _obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(F.col("o_orderkey").alias("obligation_id"), (F.col("o_custkey") % 10).alias("payer"), (F.col("o_orderkey") % 20).alias("reveal"), F.col("o_orderstatus").alias("status"))
+
+
+def _some(obligations: DataFrame, status: str) -> DataFrame:
+    return obligations.where(F.col("status") == status).select("obligation_id")
+
+
+@query(f", {_UTXO} SELECT out_id, tx_id, value FROM utxo")
+def utxo_set(g: Ledger) -> DataFrame:
+    return metrics.utxo_set(g).select("out_id", "tx_id", "value")
+
+
+@query(f", {_UTXO} SELECT count(*) FILTER (value <= 546) AS n_dust, count(*) AS n_utxos FROM utxo")
+def sim_dust(g: Ledger) -> DataFrame:
+    return metrics.dust_count(metrics.utxo_set(g))
+
+
+@query(f", {_UTXO} SELECT value, count(*) AS n FROM utxo GROUP BY value")
+def sim_utxo_sizes(g: Ledger) -> DataFrame:
+    return metrics.utxo_sizes(metrics.utxo_set(g))
+
+
+@query(f", {_UTXO} SELECT wallet_id, count(*) AS n_utxos, count(*) FILTER (value <= 546) AS n_dust, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90 FROM utxo GROUP BY wallet_id")
+def sim_wallet_utxo_stats(g: Ledger) -> DataFrame:
+    return metrics.wallet_stats(_wallets(g), "wallet_id")
+
+
+@query(f", {_SIZED} SELECT * FROM sized")
+def tx_fee_weight(g: Ledger) -> DataFrame:
+    return metrics.fees_and_weights(g)
+
+
+@query(f", {_SIZED} SELECT block_height, sum(weight)::BIGINT AS weight FROM sized GROUP BY block_height")
+def sim_block_weight(g: Ledger) -> DataFrame:
+    return metrics.block_weights(metrics.fees_and_weights(g))
+
+
+@query(f", {_SIZED} SELECT (sum(fee) // count(fee))::BIGINT AS average_fee FROM sized WHERE NOT is_coinbase AND fee IS NOT NULL")
+def sim_avg_fee(g: Ledger) -> DataFrame:
+    return metrics.average_fee(metrics.fees_and_weights(g))
+
+
+@query(f"WITH {_OBLIGATIONS} SELECT payer, count(*) AS n_missed FROM obligations WHERE status <> 'F' GROUP BY payer", plain=True)
+def sim_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    due = _obligations(spark, sf_dir)
+    return metrics.missed(due, _some(due, "F"))
+
+
+@query(f"WITH {_OBLIGATIONS} SELECT count(*) AS n_obligations, count(*) FILTER (status <> 'F') AS n_missed, count(*) FILTER (status <> 'F')::DOUBLE / count(*) AS share_missed FROM obligations", plain=True)
+def sim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, left = F.count(F.lit(1)), F.count_if(F.col("status") != "F")
+    return _obligations(spark, sf_dir).agg(n.alias("n_obligations"), left.alias("n_missed"), F.when(n > 0, left / n).otherwise(0.0).alias("share_missed"))
+
+
+@query(f"WITH {_OBLIGATIONS} SELECT obligation_id, payer FROM obligations WHERE reveal <= 10 AND status NOT IN ('F', 'P')", plain=True)
+def unhandled_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    due = _obligations(spark, sf_dir)
+    return metrics.unhandled(due, _some(due, "F"), _some(due, "P"), 10).select("obligation_id", "payer")
+
+
+_BOOK = f"book AS (SELECT out_id, tx_id, vout, value FROM txout WHERE vout = 0 AND tx_id < {CUTOFF} AND out_id NOT IN (SELECT prev_out_id FROM txin WHERE prev_out_id IS NOT NULL))"
+
+
+def _book(g: Ledger) -> DataFrame:
+    """First outputs are registered, transactions under the cutoff are confirmed, every input spends."""
+    registered = g.txout.where("vout = 0").select("out_id", "tx_id", "vout", "value")
+    spending = g.txin.select(F.col("prev_out_id").alias("out_id"))
+    return metrics.order_book(registered, g.txout.where(F.col("tx_id") < CUTOFF), spending)
+
+
+@query(f", {_BOOK} SELECT out_id, tx_id, vout, value FROM book")
+def orderbook(g: Ledger) -> DataFrame:
+    return _book(g)
+
+
+@query(f", {_BOOK}, refs AS (SELECT DISTINCT value AS r FROM txout WHERE spk = 7 AND value % 1000 = 0) SELECT out_id, tx_id, vout, min(abs(value - r)) AS distance FROM book, refs GROUP BY ALL")
+def cospend_ranking(g: Ledger) -> DataFrame:
+    return metrics.cospend_ranking(_book(g), g.txout.where("spk = 7 AND value % 1000 = 0"))
+
+
+@query(f", {_UTXO} SELECT wallet_id, sum(value)::BIGINT AS balance, count(*) AS n_coins FROM utxo WHERE out_id % 11 <> 0 GROUP BY wallet_id")
+def wallet_balance(g: Ledger) -> DataFrame:
+    utxos = _wallets(g)
+    return metrics.wallet_balance(utxos, "wallet_id", utxos.where("out_id % 11 = 0"))
+
+
+@query(" SELECT count(*) AS n_violations FROM (SELECT prev_out_id FROM txin WHERE prev_out_id IS NOT NULL GROUP BY prev_out_id HAVING count(*) > 1)")
+def inv_single_spend(g: Ledger) -> DataFrame:
+    return metrics.double_spends(g).agg(F.count(F.lit(1)).alias("n_violations"))
+
+
+@query(" SELECT block_height AS height, sha256(block_height::VARCHAR) AS block_hash FROM (SELECT DISTINCT block_height FROM tx)")
+def header_chain(g: Ledger) -> DataFrame:
+    """The view's blocks under made-up hashes, with their heights found again from the links alone."""
+    name = lambda c: F.unhex(F.sha2(c.cast("string"), 256))
+    heights = g.tx.select("block_height").distinct()
+    headers = heights.select(name(F.col("block_height")).alias("block_hash"), name(F.col("block_height") - 1).alias("prev_hash"))
+    return chain.heights(headers).select("height", F.lower(F.hex("block_hash")).alias("block_hash"))
+
+
+@query()
+def amount_label(g: Ledger) -> DataFrame:
+    from ledgerloom.functions.labels import labelled
+
+    return labelled(g.txout.select("value").distinct(), "value")
