@@ -240,7 +240,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(t) for t in blocks]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(new, FOUND, strict=True))])
-    place = docs.columns.index(text)
+    place, size = docs.columns.index(text), SHARD_BYTES
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = []
@@ -251,7 +251,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
             known.append((t, prefilter))
         for batch in batches:
             _, offsets = textops.buffers(batch.column(place))
-            for i, j in textops.slices(offsets, SHARD_BYTES):
+            for i, j in textops.slices(offsets, size):
                 part = batch.slice(i, j - i)
                 h, first = _hashes(part.column(place))
                 got = [_shard(h, first, t, p) for t, p in known]

@@ -63,7 +63,7 @@ class Isotonic:
 
     def __call__(self, score: np.ndarray) -> np.ndarray:
         lo, hi = float(self.x[0]), float(self.x[-1])
-        place = 1 / (1 + np.exp(-4 * (score - (lo + hi) / 2) / max(hi - lo, 1e-9)))
+        place = 1 / (1 + np.exp(np.clip(-4 * (score - (lo + hi) / 2) / max(hi - lo, 1e-9), -500, 500)))
         return np.clip(0.999 * np.interp(score, self.x, self.y) + 0.001 * place, 0.0, 1.0)
 
 

@@ -1,6 +1,6 @@
 """WARC archives written and read back as a table of chunks.
 
-Writing: payloads are taken in pieces of ``CHUNK`` bytes from the Arrow buffer
+Writing: payloads are taken in pieces of ``chunk`` bytes from the Arrow buffer
 they came in, through one compressor, to one archive file for each task; no
 record is put together in memory.  Each record is a gzip member of its own, so
 a reader can start at any.  A record whose payload equals that of a later page
@@ -70,9 +70,9 @@ def deduplicated(pages: DataFrame, id: str = "page_id", url: str = "url", payloa
     return rows.select("page_id", "url", "payload", F.when(F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, **options) -> DataFrame:
+def write(pages: DataFrame, folder: str, chunk: int | None = None, **options) -> DataFrame:
     """Writes one record for each page below ``folder`` (any URI of pyarrow's file systems) and returns the index of the records."""
-    records = deduplicated(pages, **options)
+    records, size_ = deduplicated(pages, **options), chunk or CHUNK
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -89,10 +89,10 @@ def write(pages: DataFrame, folder: str, **options) -> DataFrame:
             for k, (page, url, ref) in enumerate(zip(ids, urls, refs, strict=True)):
                 payload = memoryview(raw[offsets[k] : offsets[k + 1]])
                 digest = hashlib.sha1(usedforsecurity=False)
-                for p in range(0, len(payload), CHUNK):
-                    digest.update(payload[p : p + CHUNK])
+                for p in range(0, len(payload), size_):
+                    digest.update(payload[p : p + size_])
                 size = 0
-                for piece in _record(page, url, ref, payload, _b32(digest.digest())):
+                for piece in _record(page, url, ref, payload, _b32(digest.digest()), size_):
                     out.write(piece)
                     size += len(piece)
                 index.append((f"{folder}/{name}", at, size, page))
@@ -105,7 +105,7 @@ def write(pages: DataFrame, folder: str, **options) -> DataFrame:
     return cut(records.mapInArrow(task, INDEX))
 
 
-def _record(page: int | None, url: str, ref: int | None, payload: memoryview, digest: str) -> Iterator[bytes]:
+def _record(page: int | None, url: str, ref: int | None, payload: memoryview, digest: str, chunk: int) -> Iterator[bytes]:
     """The gzip member of one record, piece by piece."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = len(payload) if ref is None else 0
@@ -117,24 +117,24 @@ def _record(page: int | None, url: str, ref: int | None, payload: memoryview, di
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + body}", "", ""]
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     yield packer.compress("\r\n".join(lines).encode() + http)
-    for p in range(0, body, CHUNK):
-        yield packer.compress(payload[p : p + CHUNK])
+    for p in range(0, body, chunk):
+        yield packer.compress(payload[p : p + chunk])
     yield packer.compress(b"\r\n\r\n") + packer.flush()
 
 
-def _inflated(source, start: int, length: int) -> Iterator[bytes]:  # noqa: ANN001
-    """The bytes of one member, in pieces of at most CHUNK."""
+def _inflated(source, start: int, length: int, chunk: int) -> Iterator[bytes]:  # noqa: ANN001
+    """The bytes of one member, in pieces of at most chunk."""
     source.seek(start)
     unpacker = zlib.decompressobj(31)
     while length and not unpacker.eof:
-        data = source.read(min(length, CHUNK))
+        data = source.read(min(length, chunk))
         length -= len(data)
         if not data:
             raise EOFError("archive ends within a record")
         while data and not unpacker.eof:
-            yield unpacker.decompress(data, CHUNK)
+            yield unpacker.decompress(data, chunk)
             data = unpacker.unconsumed_tail
-    while not unpacker.eof and (more := unpacker.decompress(b"", CHUNK)):
+    while not unpacker.eof and (more := unpacker.decompress(b"", chunk)):
         yield more
 
 
@@ -157,9 +157,10 @@ def _parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes | N
         held = next(pieces) if left else b""
 
 
-def read(index: DataFrame, data: bool = True) -> DataFrame:
+def read(index: DataFrame, data: bool = True, chunk: int | None = None) -> DataFrame:
     """The chunks of the indexed records (``CHUNKS``); without data, only each record's last chunk, and no bytes."""
     names = [x.strip().split()[0] for x in CHUNKS.split(",")]
+    size_ = chunk or CHUNK
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def read(index: DataFrame, data: bool = True) -> DataFrame:
                         source.close()
                     system, path = FileSystem.from_uri(file)
                     now, source = file, system.open_input_file(path)
-                parts = _parsed(_inflated(source, start, length))
+                parts = _parsed(_inflated(source, start, length, size_))
                 fields, _ = next(parts)
                 page, ref = (int(x) if (x := fields.get(k)) else None for k in ("X-Page-ID", "X-Refers-To-Page-ID"))
                 base = (page, fields.get("WARC-Target-URI", ""), fields["WARC-Type"], ref)
@@ -196,11 +197,11 @@ def read(index: DataFrame, data: bool = True) -> DataFrame:
                     k += 1
                     if not piece:
                         break
-                    if held >= 16 * CHUNK:
+                    if held >= 16 * size_:
                         yield made()
                         rows.clear()
                         held = 0
-                if len(rows) >= 4096 or held >= 16 * CHUNK:
+                if len(rows) >= 4096 or held >= 16 * size_:
                     yield made()
                     rows.clear()
                     held = 0
