@@ -98,19 +98,23 @@ def known() -> list[tuple[str, str]]:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with license_digest (of the whole text), license_id (of the whole text, or null) and line_licenses (sorted distinct ids of whole lines)."""
-    digests = docs.sparkSession.createDataFrame(known(), "license_id string, digest string")
+    """``docs`` with license_digest (of the whole text), license_id (of the whole text, or null) and line_licenses (sorted distinct ids of whole lines).
+
+    A column that docs has by such a name stays, and the new one gets another name (``fresh``).
+    """
+    digest, name, listed = (n if n not in {c.lower() for c in docs.columns} else fresh(docs, n)[0] for n in ("license_digest", "license_id", "line_licenses"))
+    (key,) = fresh(docs, "key")
+    digests = docs.sparkSession.createDataFrame(known(), f"{name} string, {key} string")
     # the table is fixed and small: as a map literal it needs no join by line, and the whole text is hash-joined
-    by_digest = F.create_map(*[F.lit(x) for name, digest in known() for x in (digest, name)])
+    by_digest = F.create_map(*[F.lit(x) for license_id, known_digest in known() for x in (known_digest, license_id)])
     body = column(text)
     marked = lambda x: F.translate(x, UPPER, LOWER).contains("licen")
     lines = F.filter(F.split(body, "\n", -1), marked)
     found = F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(canonical_column(x), 256)))
-    (ids,) = fresh(docs, "license")
     whole = F.when(marked(body), F.sha2(canonical_column(body), 256))
-    out = docs.withColumn("license_digest", whole).withColumn("line_licenses", F.when(marked(body), F.array_sort(F.array_distinct(F.array_compact(found)))).otherwise(F.array().cast("array<string>")))
-    digests = digests.select(F.col("digest").alias(ids), "license_id")
-    return out.join(F.broadcast(digests), F.col("license_digest") == F.col(ids), "left").drop(ids)
+    ids = F.when(marked(body), F.array_sort(F.array_distinct(F.array_compact(found)))).otherwise(F.array().cast("array<string>"))
+    out = docs.withColumn(digest, whole).withColumn(listed, ids)
+    return out.join(F.broadcast(digests), F.col(digest) == F.col(key), "left").drop(key)
 
 
 def _sql_canonical(text: str) -> str:

@@ -46,3 +46,9 @@ def test_known_forms_hold_a_mark():
 
 def test_empty(spark):
     assert s.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.", "mine", 5)], "doc_id long, text string, license_id string, `__key` int")
+    got = s.scan(df)
+    assert got.columns[:4] == df.columns and got.first()["license_id"] == "mine" and got.first()["__license_id"] == "MIT"
