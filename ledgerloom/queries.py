@@ -11,7 +11,8 @@ from ledgerloom.functions import ids, scalars, scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
 from ledgerloom.plans import facts
-from ledgerloom.sources.star import LEDGER_SQL, ledger, loose_ids
+from ledgerloom.sources import star
+from ledgerloom.sources.star import LEDGER_SQL, loose_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +21,18 @@ ORACLES: dict[str, str] = {}
 CUTOFF = 5000
 
 
+_views: dict[tuple[str, str], Ledger] = {}
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The ledger view, derived once for a session and kept in memory and on disk, as an ingested ledger would be stored."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _views:
+        g = star.ledger(spark, sf_dir)
+        _views[key] = Ledger(g.tx.persist(), g.txin.persist(), g.txout.persist())
+    return _views[key]
+
+
 def query(sql: str | None = None, plain: bool = False) -> Callable[[Callable[[Ledger], DataFrame]], Callable]:
     """Registers a function of the ledger; sql goes on from the ledger's common tables unless plain."""
 
@@ -364,7 +377,8 @@ def cluster_join(g: Ledger) -> DataFrame:
 
 @query(f", {_JOINED} SELECT cluster_id, count(*) AS size FROM labels GROUP BY cluster_id")
 def cluster_sizes(g: Ledger) -> DataFrame:
-    return clustering.sizes(cluster_join(g))
+    edges = clustering.multi_input_edges(g).union(clustering.change_edges(g, heuristics.naive_change(g)))
+    return clustering.sizes(clustering.cluster(edges))  # the join of two clusterings is that of their edges
 
 
 @query(f", {_closure('SELECT tx_id AS a, prev_tx_id AS b FROM spent WHERE prev_tx_id // 100 = tx_id // 100')} SELECT * FROM labels")

@@ -143,3 +143,19 @@ def test_block_index():
 
 def test_amount_labels():
     assert [amount_label(n) for n in (0, 1, 3, 6, 18, 64, 100, 500, 2000, 54321)] == ["0", "2⁰", "3¹", "2×3¹", "2×3²", "2⁶", "10²", "5×10²", "2×10³", "54321"]
+
+
+def test_chain_by_joins(spark, monkeypatch):
+    """Forks, repeats and unknown parents, resolved in one task and by joins."""
+    from ledgerloom.operators import chain
+
+    name = lambda k: bytes([k])
+    links = [(k, k - 1) for k in range(1, 14)] + [(20, 5), (21, 20), (30, 13), (31, 13), (40, 99), (7, 6)]
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in links], "block_hash binary, prev_hash binary")
+    want = [(name(k), k - 1) for k in range(1, 14)] + [(name(30), 13)]
+    for most in (chain.LOCAL, 0):
+        monkeypatch.setattr(chain, "LOCAL", most)
+        got = chain.heights(df).collect()
+        assert sorted((bytes(r["block_hash"]), r["height"]) for r in got) == sorted(want)
+    assert chain.heights(df.limit(0)).count() == 0
+    assert chain.heights(df, 2).count() == 3
