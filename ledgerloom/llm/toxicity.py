@@ -37,6 +37,8 @@ from ledgerloom.llm.learning import FOLDS, Isotonic, Trees, labelled_sample
 
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
+#: Bytes of text whose words are looked at together.
+SLICE = 1 << 19
 LEXICON = 20_000
 SUPPORT = 3
 STEM = 5
@@ -169,7 +171,7 @@ def _lexicon(sample: DataFrame) -> Lexicon:
         for b in batches:
             _, offsets = textops.buffers(b.column(0))
             group = b.column(1).to_numpy().astype(np.int64) * FOLDS + b.column(2).to_numpy()
-            for i, j in textops.slices(offsets):
+            for i, j in textops.slices(offsets, SLICE):
                 w = read(b.column(0).slice(i, j - i))
                 h = np.concatenate([w.bare, w.stem])
                 doc = np.concatenate([w.doc, w.doc])[h != 0]
@@ -232,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         for b in batches:
             _, offsets = textops.buffers(b.column(0))
             fold = b.column(2).to_numpy()
-            for i, j in textops.slices(offsets):
+            for i, j in textops.slices(offsets, SLICE):
                 x = features(read(b.column(0).slice(i, j - i)), shared.value, fold[i:j])
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), *map(pa.array, x.T)], ["label", "fold", *names])
 
@@ -260,7 +262,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, offsets = textops.buffers(b.column(place))
-            for i, j in textops.slices(offsets):
+            for i, j in textops.slices(offsets, SLICE):
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value(part.column(place)))], [*part.schema.names, name])
 
