@@ -6,9 +6,13 @@ transaction's rows unless the result is a list.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import rawtx
 from ledgerloom.functions.scalars import relative_locktime, signals_rbf
 from ledgerloom.functions.scripts import is_spendable
 from ledgerloom.ledger import Ledger
@@ -17,6 +21,7 @@ from ledgerloom.operators.navigation import spending, value_sums
 #: Equal outputs that make a mix, and the amount that round fees are whole multiples of.
 EQUAL_OUTPUTS = 3
 ROUND = 1000
+SCRIPT_FINGERPRINTS = ("low_r", "uncompressed", "taproot_sighash")
 
 
 def is_coinjoin(ledger: Ledger) -> DataFrame:
@@ -169,3 +174,27 @@ def fingerprints(ledger: Ledger) -> DataFrame:
     one = lambda *names: F.array(*[F.col(n).cast("int") for n in names])
     vector = F.concat(one("rbf", "anti_fee_snipe", "optin_without_use", "bip68_with_locktime"), "output_types", one("structure", "sorted"), "input_types", one("mixed", "reuse"), "orders")
     return wide.withColumn("vector", F.when(F.col("open").isNull(), vector)).drop("open")
+
+
+def script_fingerprints(ledger: Ledger) -> DataFrame:
+    """low_r, uncompressed and taproot_sighash of each transaction: whether some input shows it.
+
+    For ledgers whose inputs keep script_sig and witness and whose scripts are
+    bytes.  An unresolved input leaves the two that need its script null.
+    """
+    columns = ["tx_id", "script_sig", "witness", "prev_spk"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[list] = [[], [], []]
+            for script, witness, spk in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                i = rawtx.TxIn(b"", 0, script or b"", 0, witness or [])
+                found[0].append(rawtx.low_r(i))
+                found[1].append(None if spk is None else rawtx.uncompressed_key(i, spk))
+                found[2].append(None if spk is None else rawtx.taproot_sighash(i, spk))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.bool_()) for x in found)], ["tx_id", *SCRIPT_FINGERPRINTS])
+
+    seen = ledger.spent.select(*columns).mapInArrow(task, "tx_id long, " + ", ".join(f"{n} boolean" for n in SCRIPT_FINGERPRINTS))
+    known = lambda c: F.when(F.count_if(F.col(c).isNull()) == 0, F.bool_or(c))
+    by = seen.groupBy("tx_id").agg(*[known(n).alias(n) for n in SCRIPT_FINGERPRINTS])
+    return ledger.tx.select("tx_id").join(by, "tx_id", "left").fillna(False, ["low_r"])
