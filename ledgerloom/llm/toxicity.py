@@ -254,19 +254,23 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return Model(lexicon, Trees.fit(x, y), Isotonic.fit(outside, y))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the toxicity of each whole text, 0 to 1."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the toxicity of each whole text, 0 to 1.
+
+    keep: the columns that are wanted besides; texts that are not do not travel back from the tasks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text)
+    place, fields = docs.columns.index(text), [f for f in docs.schema if keep is None or f.name in keep]
+    kept = [docs.columns.index(f.name) for f in fields]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, offsets = textops.buffers(b.column(place))
             for i, j in textops.slices(offsets, SLICE):
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value(part.column(place)))], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(shared.value(part.column(place)))], [*(f.name for f in fields), name])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(task, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
