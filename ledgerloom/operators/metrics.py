@@ -91,9 +91,9 @@ def cospend_ranking(book: DataFrame, reference: DataFrame) -> DataFrame:
 
     The whole order is (distance, tx_id, vout); it is for the reader to sort by it.
     """
-    amounts = reference.select("value").distinct().agg(F.collect_list("value").alias("refs"))
+    amounts = reference.agg(F.collect_set("value"))
     near = F.array_min(F.transform("refs", lambda r: F.abs(F.col("value") - r)))
-    return book.join(F.broadcast(amounts)).select("out_id", "tx_id", "vout", F.coalesce(near, F.lit(0x7FFFFFFFFFFFFFFF)).alias("distance"))
+    return book.withColumn("refs", amounts.scalar()).select("out_id", "tx_id", "vout", F.coalesce(near, F.lit(0x7FFFFFFFFFFFFFFF)).alias("distance"))
 
 
 def wallet_balance(utxos: DataFrame, wallet: str, pending_spends: DataFrame) -> DataFrame:

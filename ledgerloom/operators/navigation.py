@@ -22,8 +22,8 @@ def loose_txs(tx: DataFrame) -> DataFrame:
 
 def tip_window(tx: DataFrame, depth: int) -> DataFrame:
     """Transactions of the last depth + 1 blocks."""
-    tip = tx.agg(F.max("block_height").alias("tip"))
-    return tx.join(F.broadcast(tip), F.col("block_height") >= F.col("tip") - depth).select("tx_id", "block_height")
+    tip = tx.agg(F.max("block_height"))
+    return tx.where(F.col("block_height") >= tip.scalar() - depth).select("tx_id", "block_height")
 
 
 def outputs_of(txs: DataFrame, ledger: Ledger) -> DataFrame:
