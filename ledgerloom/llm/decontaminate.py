@@ -232,14 +232,19 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[tuple[list, l
     return [*blocks, (ids, texts)] if ids else blocks
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[str]]:
-    """``docs`` with the columns of ``FOUND`` added, under names that docs does not have (given too)."""
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the columns of ``FOUND`` added, under names that docs does not have (given too).
+
+    keep: the columns that are wanted besides; texts that are not do not travel back from the tasks.
+    """
     blocks = [tests(i, t, window) for i, t in _blocks(benchmark, item_id, item_text)] or [tests([], [], window)]
     names = [f.name for f in FOUND]
     new = [n if n.lower() not in {c.lower() for c in docs.columns} else fresh(docs, n)[0] for n in names]
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(t) for t in blocks]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(new, FOUND, strict=True))])
+    fields = [f for f in docs.schema if keep is None or f.name in keep]
+    kept = [docs.columns.index(f.name) for f in fields]
+    schema = T.StructType([*fields, *(T.StructField(n, f.dataType) for n, f in zip(new, FOUND, strict=True))])
     place, size = docs.columns.index(text), SHARD_BYTES
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +260,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
                 part = batch.slice(i, j - i)
                 h, first = _hashes(part.column(place))
                 got = [_shard(h, first, t, p) for t, p in known]
-                yield pa.RecordBatch.from_arrays([*part.columns, *_joined(first, got)], [*part.schema.names, *new])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *_joined(first, got)], [*(f.name for f in fields), *new])
 
     return docs.mapInArrow(task, schema), new
 

@@ -52,7 +52,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))[0].drop("text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])[0]
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
