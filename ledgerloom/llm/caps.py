@@ -1,12 +1,14 @@
 """Embedding near-dedup by spherical-cap filters.
 
-Filters are the directions of ``TABLES`` structured random product codes: a
+Filters are the directions of some structured random product codes (tables): a
 direction is a code word for each half of the (randomly rotated) coordinates,
-``WORDS`` ** 2 of them a table.  A vector is list-decoded to all directions
-whose inner product with it is at least ``ETA / sqrt(dimension)``: only pairs of
+``words`` ** 2 of them a table.  A vector is list-decoded to all directions
+whose inner product with it is at least ``eta / sqrt(dimension)``: only pairs of
 code words that can reach it are looked at.  Vectors that share a filter are
-candidates.  With these numbers two vectors at a cosine of 0.9 share none about
-once in a thousand times, nearer ones less often (the tests measure it).
+candidates.  ``Filters.of`` has more and smaller caps the more vectors there
+are: with four times the vectors two of them meet by chance about a quarter as
+often, and two at a cosine of 0.9 still share none only once in some hundred
+times at most, nearer ones less often (the tests measure it).
 
 Verification without all pairs of a bucket leaving it:
 1. Equal vectors form a class, represented by the smallest id, with its size.
@@ -27,7 +29,9 @@ rows are vectors each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +44,10 @@ from ledgerloom.llm.common import column, cut
 from ledgerloom.operators.components import components
 
 COSINE = 0.9
-TABLES, WORDS, ETA = 8, 1024, 4.0
 LEAST_DIMENSION = 64  # shorter vectors are padded with zeros, which keeps their cosines
 LANES = 4
 BLOCK = 1024
-DECODED = 512
+DECODED = 1 << 19  # inner products in one step of the decoding
 
 FEATURES = T.StructType([
     T.StructField("vec_id", T.LongType()),
@@ -56,34 +59,51 @@ FEATURES = T.StructType([
     *[T.StructField(f"s{k}", T.LongType()) for k in range(LANES)],
     T.StructField("unit", T.BinaryType()),
 ])
-_codes: dict[int, tuple] = {}
+_codes: dict[tuple, tuple] = {}
 
 
-def _code(d: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """For each table the rotation and the two halves' code words; and the sketch's planes."""
-    if d not in _codes:
+@dataclass(frozen=True)
+class Filters:
+    tables: int
+    words: int
+    eta: float
+
+    @classmethod
+    def of(cls, n: int) -> Filters:
+        """The filters for n vectors."""
+        level = min(8, max(0, math.ceil(math.log(max(n, 1) / 4000, 4))))
+        return cls(6 + 2 * level, 512 << level, 3.75 + 0.25 * level)
+
+
+def _code(d: int, f: Filters) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each table the two halves' code words, rotated back; and the sketch's planes."""
+    if (d, f) not in _codes:
         rng = np.random.Generator(np.random.PCG64(1000 + d))
-        tables = []
-        for _ in range(TABLES):
+        planes, tables = rng.standard_normal((d, 64 * LANES)), []
+        for _ in range(f.tables):
             rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-            words = [rng.standard_normal((WORDS, n)) for n in (d // 2, d - d // 2)]
+            words = [rng.standard_normal((f.words, n)) for n in (d // 2, d - d // 2)]
             words = [w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(2) for w in words]
             tables.append((rotation[:, : d // 2] @ words[0].T, rotation[:, d // 2 :] @ words[1].T))
         _codes.clear()
-        _codes[d] = tables, rng.standard_normal((d, 64 * LANES))
-    return _codes[d]
+        _codes[d, f] = tables, planes
+    return _codes[d, f]
+
+
+def _widened(unit: np.ndarray) -> np.ndarray:
+    n, d = unit.shape
+    return unit if d >= LEAST_DIMENSION else np.concatenate([unit, np.zeros((n, LEAST_DIMENSION - d))], axis=1)
 
 
-def decode(unit: np.ndarray) -> list[np.ndarray]:
-    """The numbers of all filters that each unit vector exceeds, sorted."""
+def decode(unit: np.ndarray, f: Filters) -> list[np.ndarray]:
+    """The numbers of all filters that each unit vector exceeds."""
+    unit = _widened(unit)
     n, d = unit.shape
-    if d < LEAST_DIMENSION:
-        unit, d = np.concatenate([unit, np.zeros((n, LEAST_DIMENSION - d))], axis=1), LEAST_DIMENSION
-    tables, _ = _code(d)
+    tables, _ = _code(d, f)
     out: list[list[np.ndarray]] = [[] for _ in range(n)]
-    least = ETA / np.sqrt(d)
-    for at in range(0, n, DECODED):
-        part = unit[at : at + DECODED]
+    least, step = f.eta / np.sqrt(d), max(1, DECODED // f.words)
+    for at in range(0, n, step):
+        part = unit[at : at + step]
         for t, (left, right) in enumerate(tables):
             a, b = part @ left, part @ right
             # code words of either half that can reach the threshold with the best of the other half
@@ -91,22 +111,23 @@ def decode(unit: np.ndarray) -> list[np.ndarray]:
             for i in np.flatnonzero(can_a.any(axis=1) & can_b.any(axis=1)).tolist():
                 p, q = np.flatnonzero(can_a[i]), np.flatnonzero(can_b[i])
                 x, y = np.nonzero(a[i, p][:, None] + b[i, q] >= least)
-                out[at + i].append((t * WORDS + p[x]) * WORDS + q[y])
+                out[at + i].append((t * f.words + p[x]) * f.words + q[y])
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
 def features(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """FEATURES of each vector."""
+    f = Filters.of(vectors.count())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                yield _features(b.slice(at, 2048))
+                yield _features(b.slice(at, 2048), f)
 
     return vectors.select(column(id).cast("long").alias("vec_id"), column(embedding).cast("array<double>").alias("embedding")).mapInArrow(task, FEATURES)
 
 
-def _features(b: pa.RecordBatch) -> pa.RecordBatch:
+def _features(b: pa.RecordBatch, f: Filters) -> pa.RecordBatch:
     n = b.num_rows
     cells = b.column(1)
     flat, size = cells.flatten(), np.zeros(n, np.int64)
@@ -132,17 +153,17 @@ def _features(b: pa.RecordBatch) -> pa.RecordBatch:
         bits = x.view(np.uint64)
         for k in range(2):
             keys[rows, k] = textops.mix(bits + np.arange(1, d + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)).sum(axis=1, dtype=np.uint64).view(np.int64)
-        wide = unit if d >= LEAST_DIMENSION else np.concatenate([unit, np.zeros((len(unit), LEAST_DIMENSION - d))], axis=1)
-        signs = wide @ _code(wide.shape[1])[1] > 0
+        wide = _widened(unit)
+        signs = wide @ _code(wide.shape[1], f)[1] > 0
         sketch[rows] = np.packbits(signs, axis=1, bitorder="little").view("<i8")
-        for r, f, u in zip(rows.tolist(), decode(unit), unit, strict=True):
-            filters[r] = f + (d << 40)
+        for r, numbers, u in zip(rows.tolist(), decode(unit, f), unit, strict=True):
+            filters[r] = numbers + (d << 40)
             units[r] = u.tobytes()
-    count = np.array([len(f) for f in filters])
+    count = np.array([len(x) for x in filters])
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(np.concatenate([*filters, np.zeros(0, np.int64)]).astype(np.int64)))
     return pa.RecordBatch.from_arrays(
         [b.column(0), pa.array(valid), pa.array(size, pa.int32()), *map(pa.array, np.ascontiguousarray(keys.T)), lists, *map(pa.array, np.ascontiguousarray(sketch.T)), pa.array(units, pa.binary())],
-        [f.name for f in FEATURES],
+        [x.name for x in FEATURES],
     )
 
 

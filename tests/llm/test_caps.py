@@ -42,28 +42,34 @@ def test_small_blocks(spark, monkeypatch):
     test_against_brute_force(spark, 64)
 
 
-def test_recall():
-    """Of random pairs at the threshold, nearly all share a filter."""
+@pytest.mark.parametrize("n", [1000, 10_000, 50_000, 200_000])
+def test_recall(n):
+    """Of random pairs at the threshold, nearly all share a filter, and unrelated vectors share fewer the more there are."""
+    f = caps.Filters.of(n)
     rng = np.random.default_rng(11)
-    x = rng.standard_normal((600, 64))
+    x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.standard_normal((600, 64))
+    y = rng.standard_normal((400, 64))
     y -= (y * x).sum(axis=1, keepdims=True) * x
     y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    hits = [len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x), caps.decode(y), strict=True)]
+    mine = caps.decode(x, f)
+    hits = [len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, caps.decode(y, f), strict=True)]
     assert np.mean(hits) >= 0.99
+    _, k = np.unique(np.concatenate(mine), return_counts=True)
+    assert (k * (k - 1)).sum() / (400 * 399) * n < 60
 
 
 def test_decoding_is_complete():
     """Exactly the filters that a vector exceeds."""
+    f = caps.Filters.of(5000)
     x = np.random.default_rng(3).standard_normal((3, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    tables, _ = caps._code(64)
-    for v, got in zip(x, caps.decode(x), strict=True):
+    tables, _ = caps._code(64, f)
+    for v, got in zip(x, caps.decode(x, f), strict=True):
         want = []
         for t, (a, b) in enumerate(tables):
-            p, q = np.nonzero((v @ a)[:, None] + v @ b >= caps.ETA / 8)
-            want += ((t * caps.WORDS + p) * caps.WORDS + q).tolist()
+            p, q = np.nonzero((v @ a)[:, None] + v @ b >= f.eta / 8)
+            want += ((t * f.words + p) * f.words + q).tolist()
         assert set(want) == set(got.tolist())
 
 
