@@ -11,8 +11,9 @@ Only words of the benchmark's vocabulary can be part of a match, so a shard's
 array holds the suffixes within runs of such words that are at least as long as
 the shortest window; this loses nothing.  Documents stay whole in their task:
 nothing of them is shuffled.  The benchmark goes to the tasks as a broadcast of
-at most ``BLOCK_BYTES`` of text; a larger one is split into blocks of that size,
-searched one after the other, and the blocks' findings are joined by document.
+at most ``BLOCK_BYTES`` of text; a larger one is split into blocks of that size.
+The driver and the tasks hold one block at a time: a task reads the next from
+its disk, searches it, and joins what the blocks show in the same text.
 
 Defined cases: null texts and texts without words have no words and are clean;
 an item without words is ignored; items with equal texts count each; repeated
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ WINDOW = 10
 #: Text of the benchmark in one broadcast, at most (one item longer than this stands alone).
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
+#: Shards that are searched for one block before it makes place for the next.
+SHARDS = 4
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -217,19 +221,19 @@ def _locate(out: Found, t: Tests, words: np.ndarray, where: np.ndarray, owner: n
         out.items.setdefault(d, set()).add(t.names[item])
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[tuple[list, list]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[list, list]]:
     """The items in blocks of at most BLOCK_BYTES; they come to the driver block by block."""
-    blocks, ids, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
     rows = benchmark.where(column(text).isNotNull()).select(column(item_id).cast("string").alias("i"), column(text).alias("t"))
     for row in rows.toLocalIterator():
         n = len(row.t.encode())
         if ids and size + n > BLOCK_BYTES:
-            blocks.append((ids, texts))
+            yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(row.i)
         texts.append(row.t)
         size += n
-    return [*blocks, (ids, texts)] if ids else blocks
+    yield ids, texts
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -237,30 +241,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 
     keep: the columns that are wanted besides; texts that are not do not travel back from the tasks.
     """
-    blocks = [tests(i, t, window) for i, t in _blocks(benchmark, item_id, item_text)] or [tests([], [], window)]
     names = [f.name for f in FOUND]
     new = [n if n.lower() not in {c.lower() for c in docs.columns} else fresh(docs, n)[0] for n in names]
     context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(t) for t in blocks]
+    shared = [context.broadcast(tests(i, t, window)) for i, t in _blocks(benchmark, item_id, item_text)]
     fields = [f for f in docs.schema if keep is None or f.name in keep]
     kept = [docs.columns.index(f.name) for f in fields]
     schema = T.StructType([*fields, *(T.StructField(n, f.dataType) for n, f in zip(new, FOUND, strict=True))])
     place, size = docs.columns.index(text), SHARD_BYTES
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = []
-        for b in shared:
-            t = b.value
-            prefilter = np.zeros(1 << 20, bool)
-            prefilter[(t.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-            known.append((t, prefilter))
         for batch in batches:
             _, offsets = textops.buffers(batch.column(place))
-            for i, j in textops.slices(offsets, size):
-                part = batch.slice(i, j - i)
-                h, first = _hashes(part.column(place))
-                got = [_shard(h, first, t, p) for t, p in known]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *_joined(first, got)], [*(f.name for f in fields), *new])
+            for runs in batched(textops.slices(offsets, size), SHARDS):
+                words = [_hashes(batch.column(place).slice(i, j - i)) for i, j in runs]
+                got: list[list[Found]] = [[] for _ in runs]
+                for b in shared:
+                    t = b.value
+                    prefilter = np.zeros(1 << 20, bool)
+                    prefilter[(t.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+                    for found, (h, first) in zip(got, words, strict=True):
+                        found.append(_shard(h, first, t, prefilter))
+                    if len(shared) > 1 and getattr(b, "_path", None):  # the next block takes its place in memory
+                        b.__dict__.pop("_value", None)
+                for (i, j), (_, first), found in zip(runs, words, got, strict=True):
+                    part = batch.slice(i, j - i)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *_joined(first, found)], [*(f.name for f in fields), *new])
 
     return docs.mapInArrow(task, schema), new
 
