@@ -1,4 +1,4 @@
-"""The thin queries over the corpus tables, one for each operator, and their SQL."""
+"""The thin queries over the corpus tables, one for each operator; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import caps, decontaminate, license_scan, line_dedup, minhash, packing, quality, toxicity, url_filter, warc
 from ledgerloom.llm.common import table
 from ledgerloom.llm.learning import is_held_out
+from ledgerloom.llm.oracles import ORACLES as ORACLES
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])[0]
+    found, _ = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
 }
-
-ORACLES: dict[str, str] = {
-    "op1_line_dedup": line_dedup.ORACLE_SQL,
-    "op10_license_scan": license_scan.oracle(),
-}
