@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.checkpoints import cut
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "column", "cut", "fresh", "quoted", "table", "total"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "column", "cut", "free", "fresh", "quoted", "table", "total"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,6 +30,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name itself where df does not have it, else a fresh one."""
+    return name if name.lower() not in {c.lower() for c in df.columns} else fresh(df, name)[0]
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

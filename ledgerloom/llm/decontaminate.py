@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, fresh
+from ledgerloom.llm.common import column, free
 
 WINDOW = 10
 #: Text of the benchmark in one broadcast, at most (one item longer than this stands alone).
@@ -242,7 +242,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     keep: the columns that are wanted besides; texts that are not do not travel back from the tasks.
     """
     names = [f.name for f in FOUND]
-    new = [n if n.lower() not in {c.lower() for c in docs.columns} else fresh(docs, n)[0] for n in names]
+    new = [free(docs, n) for n in names]
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(tests(i, t, window)) for i, t in _blocks(benchmark, item_id, item_text)]
     fields = [f for f in docs.schema if keep is None or f.name in keep]

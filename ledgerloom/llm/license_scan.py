@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, UPPER, ascii_lower, column, fresh
+from ledgerloom.llm.common import LOWER, UPPER, ascii_lower, column, free, fresh
 
 #: The short notices and the permissive licence texts known, copyright lines left out.
 KNOWN: tuple[tuple[str, str], ...] = (
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A column that docs has by such a name stays, and the new one gets another name (``fresh``).
     """
-    digest, name, listed = (n if n not in {c.lower() for c in docs.columns} else fresh(docs, n)[0] for n in ("license_digest", "license_id", "line_licenses"))
+    digest, name, listed = (free(docs, n) for n in ("license_digest", "license_id", "line_licenses"))
     (key,) = fresh(docs, "key")
     digests = docs.sparkSession.createDataFrame(known(), f"{name} string, {key} string")
     # the table is fixed and small: as a map literal it needs no join by line, and the whole text is hash-joined

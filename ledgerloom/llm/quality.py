@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, cut
+from ledgerloom.llm.common import column, cut, free
 from ledgerloom.llm.learning import FOLDS, Isotonic, labelled_sample
 
 MODULUS, HELD_OUT = 5, 0
@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the quality of each whole text, 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` with the quality of each whole text, 0 to 1, under a fresh name where docs has one of that name."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), free(docs, name)
     place = docs.columns.index(text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

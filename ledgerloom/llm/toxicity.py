@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, fresh
+from ledgerloom.llm.common import column, free, fresh
 from ledgerloom.llm.learning import FOLDS, Isotonic, Trees, labelled_sample
 
 MODULUS, HELD_OUT = 4, 2
@@ -255,11 +255,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the toxicity of each whole text, 0 to 1.
+    """``docs`` with the toxicity of each whole text, 0 to 1, under a fresh name where docs has one of that name.
 
     keep: the columns that are wanted besides; texts that are not do not travel back from the tasks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), free(docs, name)
     place, fields = docs.columns.index(text), [f for f in docs.schema if keep is None or f.name in keep]
     kept = [docs.columns.index(f.name) for f in fields]
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import ascii_lower, column, fresh
+from ledgerloom.llm.common import ascii_lower, column, free, fresh
 
 #: The rules, (verdict, host and path).
 RULES: tuple[tuple[str, str], ...] = (
@@ -136,7 +136,7 @@ def scores(urls: pa.Array, ratio: np.ndarray) -> np.ndarray:
 
 def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict and url_score, under names that pages does not have (see ``names``)."""
-    names = [n if n not in {c.lower() for c in pages.columns} else fresh(pages, n)[0] for n in ("host", "path", "rule", "verdict", "url_score")]
+    names = [free(pages, n) for n in ("host", "path", "rule", "verdict", "url_score")]
     (key,) = fresh(pages, "text")
     text = column(url).cast("string")
     host, path = host_and_path(text)

@@ -60,6 +60,7 @@ def test_without_labels(spark, module, label):
         scores = {r["doc_id"]: r["score"] for r in module.score(df, model).collect()}
         assert all(0 <= s <= 1 for s in scores.values())
     assert module.score(df.limit(0), model).count() == 0
+    assert module.score(df.selectExpr("doc_id", "text", "7 AS Score"), model).columns == ["doc_id", "text", "Score", "__score"]
 
 
 def test_drop_toxic_keeps_columns(spark):
