@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 
+def folder(context: SparkContext) -> str:
+    """The cluster's checkpoint folder.
+
+    Where none is set, a temporary one is, but only in local mode: on a cluster
+    the machines would not share it.
+    """
+    if context.getCheckpointDir() is None:
+        own = context.getConf().get("spark.checkpoint.dir")
+        if own is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="ledgerloom-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from the cluster's checkpoint folder (reliable, so executors may be lost)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only where the cluster names none, as in tests
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-ck-"))
+    folder(df.sparkSession.sparkContext)
     return df.checkpoint()
