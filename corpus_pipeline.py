@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.checkpoints import folder
 from ledgerloom.llm import decontaminate, line_dedup, minhash, packing, toxicity
-from ledgerloom.llm.common import column, cut, table
+from ledgerloom.llm.common import column, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,12 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is a Parquet table in the shared checkpoint folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    target = f"{folder(spark.sparkContext)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}.parquet"
+        path = f"{target}/{k}-{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

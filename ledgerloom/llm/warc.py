@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.checkpoints import folder
 from ledgerloom.llm import textops
 from ledgerloom.llm.common import column, cut
 
@@ -70,14 +71,14 @@ def deduplicated(pages: DataFrame, id: str = "page_id", url: str = "url", payloa
     return rows.select("page_id", "url", "payload", F.when(F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, chunk: int | None = None, **options) -> DataFrame:
-    """Writes one record for each page below ``folder`` (any URI of pyarrow's file systems) and returns the index of the records."""
+def write(pages: DataFrame, target: str, chunk: int | None = None, **options) -> DataFrame:
+    """Writes one record for each page below ``target`` (any URI of pyarrow's file systems) and returns the index of the records."""
     records, size_ = deduplicated(pages, **options), chunk or CHUNK
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
-        system, path = FileSystem.from_uri(folder)
+        system, path = FileSystem.from_uri(target)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         out, at, index = None, 0, []
         for batch in batches:
@@ -95,7 +96,7 @@ def write(pages: DataFrame, folder: str, chunk: int | None = None, **options) ->
                 for piece in _record(page, url, ref, payload, _b32(digest.digest()), size_):
                     out.write(piece)
                     size += len(piece)
-                index.append((f"{folder}/{name}", at, size, page))
+                index.append((f"{target}/{name}", at, size, page))
                 at += size
         if out is not None:
             out.close()
@@ -214,10 +215,7 @@ def read(index: DataFrame, data: bool = True, chunk: int | None = None) -> DataF
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for archives in the folder that the cluster shares."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        cut(spark.range(1))
-    return f"{context.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    return f"{folder(spark.sparkContext)}/warc-{uuid.uuid4().hex}"
 
 
 def digests(chunks: DataFrame) -> DataFrame:
