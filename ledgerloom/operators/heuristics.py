@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import rawtx
@@ -104,16 +104,63 @@ def script_match_change(ledger: Ledger) -> DataFrame:
     return outs.select(F.col("out_id").alias("key"), (F.coalesce("hit", F.lit(False)) & is_spendable(F.col("output_type"))).alias("flag"))
 
 
+def inputs_by_tx(ledger: Ledger) -> DataFrame:
+    """What fingerprints need of each transaction's inputs, in one aggregation; columns that are not asked for are pruned.
+
+    n_in, unknown (unresolved inputs), rbf, relative, input_types, mixed, and of
+    the order of inputs: differ, up, down (amounts), by_point (outpoints).
+    """
+    w = Window.partitionBy("tx_id").orderBy("vin")
+    point = F.struct("prev_tx_id", "prev_vout")
+    seen = ledger.spent.select(
+        "tx_id", "sequence", "prev_out_id", "prev_value", "prev_type",
+        (F.lag("prev_value").over(w) <= F.col("prev_value")).alias("up"),
+        (F.lag("prev_value").over(w) >= F.col("prev_value")).alias("down"),
+        (F.lag(point).over(w) <= point).alias("by_point"),
+    )
+    return seen.groupBy("tx_id").agg(
+        F.count(F.lit(1)).alias("n_in"),
+        F.count_if(F.col("prev_value").isNull()).alias("unknown"),
+        F.bool_or(signals_rbf(F.col("sequence"))).alias("rbf"),
+        F.bool_or(relative_locktime(F.col("sequence"))).alias("relative"),
+        F.array_sort(F.collect_set("prev_type")).alias("input_types"),
+        (F.min("prev_type") < F.max("prev_type")).alias("mixed"),
+        (F.min("prev_value") < F.max("prev_value")).alias("differ"),
+        F.bool_and("up").alias("up"),
+        F.bool_and("down").alias("down"),
+        F.bool_and("by_point").alias("by_point"),
+    )
+
+
+def outputs_by_tx(ledger: Ledger) -> DataFrame:
+    """The same of outputs: n_out, output_types, sorted (by value and script)."""
+    w = Window.partitionBy("tx_id").orderBy("vout")
+    pair = F.struct("value", "spk")
+    seen = ledger.txout.select("tx_id", "output_type", (F.lag(pair).over(w) <= pair).alias("ok"))
+    return seen.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n_out"), F.array_sort(F.collect_set("output_type")).alias("output_types"), F.bool_and("ok").alias("sorted"))
+
+
+def _no(c: str | Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _locktime_columns() -> list[Column]:
+    return [
+        (F.col("locktime") != 0).alias("anti_fee_snipe"),
+        ((F.col("locktime") == 0) & _no("rbf")).alias("optin_without_use"),
+        ((F.col("locktime") > 0) & _no("relative")).alias("bip68_with_locktime"),
+    ]
+
+
+def _orders() -> Column:
+    many = F.array_compact(F.array(F.when(_no(F.col("differ") & F.col("up")), 1), F.when(_no(F.col("differ") & F.col("down")), 2), F.when(_no("by_point"), 3)))
+    n = F.coalesce("n_in", F.lit(0))
+    return F.when(n == 0, F.array(F.lit(3))).when(F.col("unknown") > 0, F.lit(None)).when(n == 1, F.array(F.lit(0))).when(F.size(many) == 0, F.array(F.lit(5))).otherwise(many)
+
+
 def locktime_flags(ledger: Ledger) -> DataFrame:
     """anti_fee_snipe, optin_without_use and bip68_with_locktime of each transaction."""
-    any_ = ledger.txin.groupBy("tx_id").agg(F.bool_or(signals_rbf(F.col("sequence"))).alias("rbf"), F.bool_or(relative_locktime(F.col("sequence"))).alias("relative"))
-    rbf, relative = (F.coalesce(c, F.lit(False)) for c in ("rbf", "relative"))
-    return ledger.tx.select("tx_id", "locktime").join(any_, "tx_id", "left").select(
-        "tx_id",
-        (F.col("locktime") != 0).alias("anti_fee_snipe"),
-        ((F.col("locktime") == 0) & rbf).alias("optin_without_use"),
-        ((F.col("locktime") > 0) & relative).alias("bip68_with_locktime"),
-    )
+    return ledger.tx.select("tx_id", "locktime").join(inputs_by_tx(ledger).select("tx_id", "rbf", "relative"), "tx_id", "left").select("tx_id", *_locktime_columns())
 
 
 def input_order(ledger: Ledger) -> DataFrame:
@@ -122,32 +169,13 @@ def input_order(ledger: Ledger) -> DataFrame:
     Ascending and descending are told only where the amounts differ; an input
     that is not resolved makes the list null.
     """
-    w = Window.partitionBy("tx_id").orderBy("vin")
-    spent = ledger.spent.select("tx_id", "vin", "prev_out_id", "prev_value", "prev_tx_id", "prev_vout")
-    point = F.struct("prev_tx_id", "prev_vout")
-    seen = spent.select(
-        "tx_id", "prev_out_id", "prev_value",
-        (F.lag("prev_value").over(w) <= F.col("prev_value")).alias("up"),
-        (F.lag("prev_value").over(w) >= F.col("prev_value")).alias("down"),
-        (F.lag(point).over(w) <= point).alias("sorted"),
-    )
-    by = seen.groupBy("tx_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("prev_value").isNull()).alias("unknown"), (F.min("prev_value") < F.max("prev_value")).alias("differ"),
-        F.bool_and("up").alias("up"), F.bool_and("down").alias("down"), F.bool_and("sorted").alias("sorted"),
-    )
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    many = F.array_compact(F.array(F.when(yes(F.col("differ") & F.col("up")), 1), F.when(yes(F.col("differ") & F.col("down")), 2), F.when(yes(F.col("sorted")), 3)))
-    n = F.coalesce("n", F.lit(0))
-    orders = F.when(n == 0, F.array(F.lit(3))).when(F.col("unknown") > 0, F.lit(None)).when(n == 1, F.array(F.lit(0))).when(F.size(many) == 0, F.array(F.lit(5))).otherwise(many)
-    return ledger.tx.select("tx_id").join(by, "tx_id", "left").select("tx_id", orders.alias("orders"))
+    by = inputs_by_tx(ledger).select("tx_id", "n_in", "unknown", "differ", "up", "down", "by_point")
+    return ledger.tx.select("tx_id").join(by, "tx_id", "left").select("tx_id", _orders().alias("orders"))
 
 
 def outputs_bip69(ledger: Ledger) -> DataFrame:
     """Whether each transaction's outputs are in the order of (value, script); none or one are."""
-    w = Window.partitionBy("tx_id").orderBy("vout")
-    pair = F.struct("value", "spk")
-    by = ledger.txout.select("tx_id", (F.lag(pair).over(w) <= pair).alias("ok")).groupBy("tx_id").agg(F.bool_and("ok").alias("ok"))
-    return ledger.tx.select("tx_id").join(by, "tx_id", "left").select("tx_id", F.coalesce("ok", F.lit(True)).alias("sorted"))
+    return ledger.tx.select("tx_id").join(outputs_by_tx(ledger).select("tx_id", "sorted"), "tx_id", "left").select("tx_id", F.coalesce("sorted", F.lit(True)).alias("sorted"))
 
 
 def type_sets(ledger: Ledger) -> DataFrame:
@@ -162,18 +190,21 @@ def type_sets(ledger: Ledger) -> DataFrame:
 def fingerprints(ledger: Ledger) -> DataFrame:
     """The wallet fingerprints that need no script bytes, a column each, and ``vector``: all of them as one list of numbers.
 
-    A transaction with an unresolved input has a null vector.
+    One aggregation of inputs, one of outputs, and the semi-join of reuse.  A
+    transaction with an unresolved input has a null vector.
     """
-    unresolved = ledger.txin.where("prev_out_id IS NULL").select("tx_id").distinct().withColumn("open", F.lit(True))
-    mask = lambda df, name: df.select(F.col("key").alias("tx_id"), F.col("flag").alias(name))
-    wide = (
-        mask(rbf_mask(ledger), "rbf").join(locktime_flags(ledger), "tx_id").join(type_sets(ledger), "tx_id").join(output_structure(ledger), "tx_id")
-        .join(outputs_bip69(ledger), "tx_id").join(mask(mixed_input_types(ledger), "mixed"), "tx_id").join(mask(address_reuse(ledger), "reuse"), "tx_id")
-        .join(input_order(ledger), "tx_id").join(unresolved, "tx_id", "left")
+    none = F.array().cast("array<int>")
+    reuse = address_reuse(ledger).select(F.col("key").alias("tx_id"), F.col("flag").alias("reuse"))
+    both = ledger.tx.select("tx_id", "locktime").join(inputs_by_tx(ledger), "tx_id", "left").join(outputs_by_tx(ledger), "tx_id", "left").join(reuse, "tx_id")
+    n = F.coalesce("n_out", F.lit(0))
+    wide = both.select(
+        "tx_id", _no("rbf").alias("rbf"), *_locktime_columns(), F.coalesce("output_types", none).alias("output_types"),
+        F.when(n == 1, 0).when(n == 2, 1).otherwise(2).alias("structure"), F.coalesce("sorted", F.lit(True)).alias("sorted"),
+        F.coalesce("input_types", none).alias("input_types"), _no("mixed").alias("mixed"), "reuse", _orders().alias("orders"), (F.coalesce("unknown", F.lit(0)) > 0).alias("open"),
     )
     one = lambda *names: F.array(*[F.col(n).cast("int") for n in names])
     vector = F.concat(one("rbf", "anti_fee_snipe", "optin_without_use", "bip68_with_locktime"), "output_types", one("structure", "sorted"), "input_types", one("mixed", "reuse"), "orders")
-    return wide.withColumn("vector", F.when(F.col("open").isNull(), vector)).drop("open")
+    return wide.withColumn("vector", F.when(~F.col("open"), vector)).drop("open")
 
 
 def script_fingerprints(ledger: Ledger) -> DataFrame:
