@@ -59,6 +59,19 @@ def test_recall(n):
     assert (k * (k - 1)).sum() / (400 * 399) * n < 60
 
 
+@pytest.mark.parametrize("f", dict.fromkeys(caps.Filters.of(4000 * 4**k) for k in range(16)), ids=str)
+def test_recall_of_every_level(f):
+    """Whatever the number of vectors, pairs at the threshold share a filter."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((1000, 64))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    hits = [len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x, f), caps.decode(y, f), strict=True)]
+    assert np.mean(hits) >= 0.99
+
+
 def test_decoding_is_complete():
     """Exactly the filters that a vector exceeds."""
     f = caps.Filters.of(5000)
