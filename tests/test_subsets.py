@@ -1,3 +1,8 @@
+import random
+
+from ledgers import ledger
+
+from ledgerloom.operators import subsets
 from ledgerloom.operators.subsets import ambiguous_subsets, mappings, non_derived, partitions, subset_sums
 
 
@@ -30,3 +35,40 @@ def test_ambiguous():
 
 def test_zero_sums_are_no_blocks():
     assert subset_sums([0, 0]) == set()
+
+
+def test_counts_are_those_of_the_lists():
+    rng = random.Random(5)
+    for _ in range(300):
+        ins, outs = ([rng.choice([0, 1, 2, 3, 5, 7]) for _ in range(rng.randint(1, 4))] for _ in range(2))
+        (outs if sum(ins) > sum(outs) else ins).append(abs(sum(ins) - sum(outs)))
+        assert subsets.count_mappings(ins, outs) == len(mappings(ins, outs))
+        assert subsets.count_mappings(ins, outs, derived=False) == len(non_derived(ins, outs))
+        assert subsets.count_partitions(ins, outs) == sum(1 for _ in partitions(ins, subset_sums(outs)))
+
+
+def test_sums_in_halves(monkeypatch):
+    rng = random.Random(6)
+    coins = [rng.randint(1, 3000) for _ in range(10)]
+    wanted = {*rng.sample(range(20_000), 500), sum(coins), *(sum(rng.sample(coins, 4)) for _ in range(20))}
+    monkeypatch.setattr(subsets, "SUMS", 100)
+    assert subsets.sums_among(wanted, coins) == wanted & subset_sums(coins)
+
+
+def test_many_coins(spark):
+    """Ten inputs with depth 8, and seventeen, forty and two hundred outputs, of powers of two so that the counts are known."""
+    powers = [1 << k for k in range(10)]
+    start = [([*powers], []), ([3, 4], []), ([3 << 38, 5 << 38], []), ([7], [])]
+    spends = [[(1, k) for k in range(10)], [(2, 0), (2, 1)], [(3, 0), (3, 1)], [(4, 0)]]
+    outs = [[*powers, *(1 << k for k in range(20, 27))], [1] * 17, [1 << k for k in range(40)], [9] * 200]
+    g, _ = ledger(spark, [*start, *zip(outs, spends, strict=True)])
+    counts = lambda df: [r[1] for r in sorted(df.collect())]
+    assert counts(subsets.ambiguous(g)) == [2**10 - 1 - 10 - 1, 2, 1, 0]
+    assert counts(subsets.partition_counts(g)) == [115_975, 2, 0, 0]
+    assert counts(subsets.mapping_counts(g, derived=True)) == counts(subsets.mapping_counts(g, derived=False)) == [0] * 4
+
+
+def test_mappings_of_many_coins():
+    powers = [1 << k for k in range(10)]
+    assert subsets.count_mappings(powers, powers) == 115_975  # each set partition, with itself
+    assert subsets.count_mappings(powers, powers, derived=False) == 1
