@@ -3,7 +3,7 @@ import pytest
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import metrics
 from ledgerloom.simulator.config import parse
-from ledgerloom.simulator.world import World
+from ledgerloom.simulator.world import Plan, World
 
 HEAD = "[simulation]\nseed = {seed}\nmax_timestep = {steps}\nnum_payment_obligations = {n}\n"
 TYPE = '[[wallet_types]]\nname = "{name}"\ncount = {count}\nstrategies = ["{strategy}"]\nscript_type = "{script}"\n[wallet_types.scorer]\nprivacy_weight = {privacy}\npayment_obligation_weight = {weight}\n'
@@ -37,6 +37,15 @@ def test_joint_transactions():
         assert sorted(w.txs[s.tx].inputs) == sorted(o for c in s.coins.values() for o in c)
 
 
+def test_plans_of_many_payments(monkeypatch):
+    w = world({"count": 2, "strategy": "BatchSpender"}, n=2)
+    monkeypatch.setattr(w, "due", lambda _: list(range(10)))
+    monkeypatch.setattr(w, "selections", lambda _, some: [Plan("pay", tuple(some))])
+    plans = w.powerset_plans(w.wallets[0])
+    assert len(plans) == len(set(plans)) == 2**10 - 1
+    assert {len(p.obligations) for p in plans} == set(range(1, 11))
+
+
 @pytest.mark.parametrize("change", ['strategies = ["Nobody"]', "count = 0"])
 def test_bad_config(change):
     text = HEAD.format(seed=1, steps=5, n=1) + TYPE.format(name="w", count=1, strategy="BatchSpender", script="p2tr", privacy=0, weight=1)
