@@ -6,7 +6,7 @@ import re
 import tempfile
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(context: SparkContext) -> str:
@@ -27,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from the cluster's checkpoint folder (reliable, so executors may be lost)."""
     folder(df.sparkSession.sparkContext)
     return df.checkpoint()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes away a folder that is not needed any more, in any file system that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

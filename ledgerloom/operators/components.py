@@ -9,7 +9,9 @@ and joined back, never gathered into a list; the joins are salted, since one
 node may lie on a third of all edges.  Before each round a task replaces the
 edges that it holds by a spanning star of each of their components, which ends
 small inputs at once and thins out large ones.  Rounds are cut by reliable
-checkpoints; only a flag comes to the driver.
+checkpoints; only a flag comes to the driver.  What is left of a small input
+after the first thinning, ``FEW`` edges at most, is ended in one such step of
+one task.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.arrow import mapped
 from ledgerloom.checkpoints import cut
 
 MAX_ROUNDS = 60
 SALTS = 16
 #: Edges that a task holds at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Edges that are ended in one step of one task, at most.
+FEW = CHUNK
 
 
 def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -63,7 +68,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         if size:
             yield stars(*map(np.concatenate, zip(*held, strict=True)))
 
-    return edges.mapInArrow(task, "a long, b long")
+    return mapped(edges, task, "a long, b long")
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -95,11 +100,14 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and edges with a null end are left out; repeated edges count once; no edges give an empty table.
     """
     now = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b")
-    now = cut(_contracted(now.distinct()))
-    for _ in range(MAX_ROUNDS):
-        if _are_stars(now):
-            break
-        now = cut(_contracted(_stars(now)))
+    now = cut(_contracted(now))
+    if now.limit(FEW + 1).count() <= FEW:
+        now = cut(_contracted(now.coalesce(1)))
     else:
-        raise RuntimeError(f"not done after {MAX_ROUNDS} rounds")
+        for _ in range(MAX_ROUNDS):
+            if _are_stars(now):
+                break
+            now = cut(_contracted(_stars(now)))
+        else:
+            raise RuntimeError(f"not done after {MAX_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

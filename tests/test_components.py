@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from ledgers import clusters
 
-from ledgerloom.operators import clustering
+from ledgerloom.operators import clustering, components
 from ledgerloom.operators.components import least_labels
 
 
@@ -40,8 +40,9 @@ def test_random(spark, edges):
     assert clusters(clustering.cluster(made(spark, edges))) == brute(edges)
 
 
-def test_many_partitions(spark):
+def test_many_partitions(spark, monkeypatch):
     """Without the contraction seeing all edges at once."""
+    monkeypatch.setattr(components, "FEW", 0)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(0, k) for k in range(400, 500)]
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
