@@ -13,21 +13,33 @@ share no filter less than once in a hundred times at every level, nearer ones
 less often (the tests measure it).  Beyond a million vectors the caps stay as
 they are, and a vector meets others by chance in proportion to their number.
 
-Verification without all pairs of a bucket leaving it:
+Verification, without all pairs of a bucket leaving it:
 1. Equal vectors form a class, represented by the smallest id, with its size.
-2. Within a bucket (in blocks of at most ``BLOCK`` by ``BLOCK``), members whose
-   256-bit sign sketches are near are joined; a block gives each member one
-   edge to the least of its local component at most.  The components of these
-   edges are clusters: all candidate pairs lie within one.
-3. Within a cluster, in blocks again, the cosines of all pairs are taken in
-   double precision.  A block gives each member its number of links there and
-   one edge to the least member that it reaches by links.
-So links are counted exactly once, and rows grow with members, not with pairs.
+2. Within a filter's bucket (in blocks, see below) members are compared by
+   256-bit sign sketches.  A member with a near one leaves the block as one row;
+   where the bucket's smallest member, its hub, is near, the pair of both is a
+   candidate, taken once whatever number of filters they share.
+3. Candidates are verified by their cosine in double precision; the components
+   of those that hold make copies of one vector one group.
+4. A bucket whose rows are by now one component has nothing left to show.  In
+   the others, members that are near by sketch and of different components come
+   to their block with their vectors, where the cosines between components are
+   taken; only links that join two components leave it.
+5. By then components are final.  Within each, in blocks, the cosines of all
+   pairs are taken and each member's links counted.
+So what is compared in full is a candidate of the filters or of one component of
+links; nothing is joined because it is only loosely similar.
+
+Growth.  A bucket or component of n members is dealt into parts of about 4 *
+sqrt(n) members, from ``LEAST`` to ``MOST``, and into each pair of parts: to n * n /
+MOST rows for the largest.  Counting links takes all pairs of a component, which
+is what it has to count.
 
 Defined cases: a vector that is null, empty, zero, or has a null, infinite or
 NaN component links with nothing, and so does one with a null id, whose
 component is null; vectors of different lengths are not compared; repeated
-rows are vectors each; an empty table gives an empty table.
+rows are vectors each; rows of one id with several vectors are known by one of
+them; a pair at the threshold is a link; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,13 +55,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, cut
+from ledgerloom.llm.common import column, cut, mapped
 from ledgerloom.operators.components import components
 
 COSINE = 0.9
 LEAST_DIMENSION = 64  # shorter vectors are padded with zeros, which keeps their cosines
 LANES = 4
-BLOCK = 1024
+#: Members of a part, at least and at most.
+LEAST, MOST = 128, 2048
 ETAS = (3.75, 4.0, 4.25, 4.5, 4.7)  # of the levels, each found by measuring recall at 64 dimensions
 DECODED = 1 << 19  # inner products in one step of the decoding
 
@@ -128,7 +141,7 @@ def features(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding
             for at in range(0, b.num_rows, 2048):
                 yield _features(b.slice(at, 2048), f)
 
-    return vectors.select(column(id).cast("long").alias("vec_id"), column(embedding).cast("array<double>").alias("embedding")).mapInArrow(task, FEATURES)
+    return mapped(vectors.select(column(id).cast("long").alias("vec_id"), column(embedding).cast("array<double>").alias("embedding")), task, FEATURES)
 
 
 def _features(b: pa.RecordBatch, f: Filters) -> pa.RecordBatch:
@@ -177,80 +190,109 @@ def sketch_limit(cosine: float) -> int:
     return int(n * p + 5 * np.sqrt(n * p * (1 - p)))
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, rep, ..) dealt into pairs p <= q of parts of about BLOCK members; keys of a single row are dropped."""
-    sized = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = rows.join(sized, key).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (rep, n, ..), n the members of the row's group, dealt into pairs p <= q of parts."""
+    size = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), 4 * F.sqrt("n")))
+    dealt = rows.withColumn("parts", F.ceil(F.col("n") / size).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("n", "parts", "other")
 
 
-def _least_reached(pairs: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """For each member the least id that it reaches over the pairs of places."""
-    label, (a, b) = ids.copy(), pairs
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        if (label == before).all():
-            break
-    return label
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Runs of whole groups, as columns: the rows come sorted by the first three."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        now = [c.to_numpy() for c in b.columns]
+        if not len(now[0]):
+            continue
+        held.append(now)
+        last = [c[-1] for c in now[:3]]
+        whole = np.flatnonzero((now[0] != last[0]) | (now[1] != last[1]) | (now[2] != last[2]))
+        if len(whole):
+            end = whole[-1] + 1
+            held[-1] = [c[:end] for c in now]
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = [[c[end:] for c in now]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _loose(rows: DataFrame, limit: int) -> DataFrame:
-    """Edges (a, b) that join the members of a bucket whose sketches are near; rows: key, rep, s0 .."""
-    names = ["key", "p", "q", "part", "rep", *[f"s{k}" for k in range(LANES)]]
+def _near(rows: DataFrame, limit: int) -> DataFrame:
+    """(key, rep, hub, by_hub) of the members of a bucket with a near one by sketch in some block; by_hub: the hub is.
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        """Runs of whole groups: the rows come sorted by key, p, q."""
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            now = [c.to_numpy() for c in b.columns]
-            if not len(now[0]):
-                continue
-            held.append(now)
-            last = [c[-1] for c in now[:3]]
-            whole = np.flatnonzero((now[0] != last[0]) | (now[1] != last[1]) | (now[2] != last[2]))
-            if len(whole):
-                end = whole[-1] + 1
-                held[-1] = [c[:end] for c in now]
-                yield [np.concatenate(c) for c in zip(*held, strict=True)]
-                held = [[c[end:] for c in now]]
-        if held:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+    rows: key, hub, n, rep, s0 ..
+    """
+    names = ["key", "p", "q", "part", "rep", "hub", *[f"s{k}" for k in range(LANES)]]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, p, q, part, rep, *lanes in groups(batches):
+        for key, p, q, part, rep, hub, *lanes in _groups(batches):
             sketch = np.stack(lanes, axis=1).view(np.uint64)
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
             start = np.flatnonzero(new)
             size = np.diff(np.append(start, len(key)))
             left = np.repeat(size, size) - (np.arange(len(key)) - np.repeat(start, size))  # rows of the group from this one on
-            a, b = [], []
+            some, by_hub = np.zeros(len(key), bool), np.zeros(len(key), bool)
             for step in range(1, int(size.max(initial=0))):
                 i = np.flatnonzero(left > step)
                 near = np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(axis=1, dtype=np.int64) <= limit
                 near &= (part[i] != part[i + step]) | (p[i] == q[i])
-                a.append(i[near])
-                b.append(i[near] + step)
-            pairs = tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            label = _least_reached(pairs, rep)
-            some = label != rep
-            ends = np.unique(np.stack([rep[some], label[some]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
+                i = i[near]
+                j = i + step
+                some[i] = some[j] = True
+                by_hub[i] |= rep[j] == hub[j]
+                by_hub[j] |= rep[i] == hub[i]
+            rows_ = np.flatnonzero(some)
+            yield pa.RecordBatch.from_arrays([pa.array(x[rows_]) for x in (key, rep, hub, by_hub)], ["key", "rep", "hub", "by_hub"])
+
+    dealt = _dealt(rows).select(*names).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return mapped(dealt, task, "key long, rep long, hub long, by_hub boolean")
+
+
+def _confirmed(pairs: DataFrame, units: DataFrame, cosine: float) -> DataFrame:
+    """The pairs (a, b) whose vectors have at least this cosine."""
+    left = pairs.join(units.select(F.col("rep").alias("a"), F.col("unit").alias("x")), "a")
+    both = left.join(units.select(F.col("rep").alias("b"), F.col("unit").alias("y")), "b").select("a", "b", "x", "y")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.array([float(np.frombuffer(x) @ np.frombuffer(y)) >= cosine if len(x) == len(y) else False for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    return mapped(both, task, "a long, b long")
 
-    dealt = _dealt(rows, "key").select(*names)
-    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(task, "a long, b long").distinct()
+
+def _units(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("unit").to_pylist())).reshape(group.num_rows, -1)
+
+
+def _across(members: DataFrame, cosine: float) -> DataFrame:
+    """Links (a, b) between components, enough to join all that are linked within a block; members: key, n, rep, component, unit."""
+
+    def task(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        rep, part = (group.column(c).to_numpy() for c in ("rep", "part"))
+        label = np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
+        p, q = key[1].as_py(), key[2].as_py()
+        i, j = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        unit = _units(group)
+        near = (unit[i] @ unit[j].T >= cosine) & (label[i][:, None] != label[j])
+        a, b = [], []
+        for x, y in zip(*(at[k].tolist() for at, k in zip((i, j), np.nonzero(near), strict=True)), strict=True):
+            if label[x] != label[y]:
+                a.append(int(max(rep[x], rep[y])))
+                b.append(int(min(rep[x], rep[y])))
+                label[label == label[y]] = label[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _dealt(members).groupBy("key", "p", "q").applyInArrow(task, "a long, b long")
 
 
 def _links(members: DataFrame, cosine: float) -> DataFrame:
-    """(rep, n, root) of each member of a cluster with links in a block; members: cluster, rep, copies, unit."""
+    """(rep, n) of each member of a component with links in a block; members: component, n, rep, copies, unit."""
 
     def task(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rep, copies, part = (group.column(c).to_numpy() for c in ("rep", "copies", "part"))
-        unit = np.frombuffer(b"".join(group.column("unit").to_pylist())).reshape(len(rep), -1)
+        unit = _units(group)
         p, q = key[1].as_py(), key[2].as_py()
         i, j = np.flatnonzero(part == p), np.flatnonzero(part == q)
         near = unit[i] @ unit[j].T >= cosine
@@ -258,31 +300,51 @@ def _links(members: DataFrame, cosine: float) -> DataFrame:
             near &= np.triu(np.ones(near.shape, bool), 1)
         a, b = (x[y] for x, y in zip((i, j), np.nonzero(near), strict=True))
         n = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
-        root = _least_reached((a, b), rep)
         some = np.flatnonzero(n)
-        return pa.table({"rep": rep[some], "n": n[some].astype(np.int64), "root": root[some]})
+        return pa.table({"rep": rep[some], "n": n[some].astype(np.int64)})
+
+    return _dealt(members).select("component", "p", "q", "part", "rep", "copies", "unit").groupBy("component", "p", "q").applyInArrow(task, "rep long, n long")
+
 
-    dealt = _dealt(members, "cluster").select("cluster", "p", "q", "part", "rep", "copies", "unit")
-    return dealt.groupBy("cluster", "p", "q").applyInArrow(task, "rep long, n long, root long")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (.., rep) with the component of each, rep itself where it is on no edge."""
+    named = labels.select(F.col("node").alias("rep"), "component")
+    return members.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector."""
-    found = cut(features(vectors, id, embedding))
+    found, sketch, limit = cut(features(vectors, id, embedding)), [f"s{k}" for k in range(LANES)], sketch_limit(cosine)
     live = found.where(F.col("valid") & F.col("vec_id").isNotNull())
-    classes = live.groupBy("dim", "key_a", "key_b").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sketch = [f"s{k}" for k in range(LANES)]
-    heads = live.select(F.col("vec_id").alias("rep"), "filters", "unit", *sketch).join(classes.select("rep", "copies"), "rep").dropDuplicates(["rep"])
+    head = F.min(F.struct(F.col("vec_id").alias("rep"), "filters", "unit", *sketch)).alias("head")
+    classes = cut(live.groupBy("dim", "key_a", "key_b").agg(head, F.count(F.lit(1)).alias("copies")).select("dim", "key_a", "key_b", "copies", "head.*"))
+    heads = classes.select("rep", "copies", "filters", "unit", *sketch)
+    if not heads.groupBy("rep").count().where("count > 1").isEmpty():  # rows of one id with several vectors
+        heads = heads.dropDuplicates(["rep"])
     rows = heads.select("rep", F.explode("filters").alias("key"), *sketch)
-    clusters = components(_loose(rows, sketch_limit(cosine)))
-    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(heads.select("rep", "copies", "unit"), "rep")
-    links = cut(_links(members, cosine))
-    labels = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
-    out = found.select("vec_id", "valid", "dim", "key_a", "key_b").join(classes, ["dim", "key_a", "key_b"], "left").join(labels, "rep", "left").join(counts, "rep", "left")
+    buckets = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = cut(_near(rows.join(cut(buckets), "key"), limit))
+    units = heads.select("rep", "unit")
+    pairs = near.where("by_hub AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).repartition("a").distinct()
+    labels = components(cut(_confirmed(pairs, units, cosine)))
+    # what hubs cannot show
+    members = _labelled(near.select("key", "rep").distinct(), labels)
+    mixed = cut(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n"))
+    if not mixed.isEmpty():
+        members = members.join(mixed, "key").join(units, "rep")
+        links = cut(_across(members.select("key", "n", "rep", "component", "unit"), cosine))
+        if not links.isEmpty():
+            stars = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = components(stars.union(links))
+    labels = cut(labels.select(F.col("node").alias("rep"), "component"))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    members = labels.join(cut(sizes), "component").join(heads.select("rep", "copies", "unit"), "rep")
+    counts = _links(members, cosine).groupBy("rep").agg(F.sum("n").alias("links"))
+    named = classes.select("dim", "key_a", "key_b", "copies", "rep").join(labels, "rep", "left").join(counts, "rep", "left").where("copies > 1 OR component IS NOT NULL")
+    out = found.select("vec_id", "valid", "dim", "key_a", "key_b").join(cut(named), ["dim", "key_a", "key_b"], "left")
     linked = F.col("valid") & F.col("vec_id").isNotNull()
     return out.select(
         "vec_id",
-        F.when(linked, F.col("copies") - 1 + F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id"),
+        F.when(linked, F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(linked, F.coalesce("component", "rep", "vec_id")).otherwise(F.col("vec_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.arrow import column, mapped, quoted
 from ledgerloom.checkpoints import cut
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "column", "cut", "free", "fresh", "quoted", "table", "total"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "column", "cut", "free", "fresh", "mapped", "quoted", "table", "total"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,15 +36,6 @@ def free(df: DataFrame, name: str) -> str:
     return name if name.lower() not in {c.lower() for c in df.columns} else fresh(df, name)[0]
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def column(name: str) -> Column:
-    """A column by its exact name, dots and backticks included."""
-    return F.col(quoted(name))
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -9,11 +9,12 @@ shorter item) occurs where the range at its depth is not empty.
 
 Only words of the benchmark's vocabulary can be part of a match, so a shard's
 array holds the suffixes within runs of such words that are at least as long as
-the shortest window; this loses nothing.  Documents stay whole in their task:
-nothing of them is shuffled.  The benchmark goes to the tasks as a broadcast of
-at most ``BLOCK_BYTES`` of text; a larger one is split into blocks of that size.
-The driver and the tasks hold one block at a time: a task reads the next from
-its disk, searches it, and joins what the blocks show in the same text.
+the shortest window; this loses nothing.  Only texts go to the tasks and only
+findings come back; nothing is shuffled.  A benchmark of at most ``BLOCK_BYTES``
+of text goes to the tasks as a broadcast.  A larger one is written to the
+cluster's checkpoint folder in blocks of that size; the driver and the tasks
+hold one at a time, and a task joins what they show in the same text.  Every
+shard has to be searched for every block, so the work grows with their product.
 
 Defined cases: null texts and texts without words have no words and are clean;
 an item without words is ignored; items with equal texts count each; repeated
@@ -25,24 +26,27 @@ hashes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import batched
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerloom.arrow import by_cell
+from ledgerloom.checkpoints import folder
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, free
+from ledgerloom.llm.common import column, free, fresh
 
 WINDOW = 10
 #: Text of the benchmark in one broadcast, at most (one item longer than this stands alone).
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
-#: Shards that are searched for one block before it makes place for the next.
-SHARDS = 4
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -236,45 +240,63 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[lis
     yield ids, texts
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """``docs`` with the columns of ``FOUND`` added, under names that docs does not have (given too).
+def _shared(context: SparkContext, blocks: Iterator[Tests]) -> Callable[[], Iterator[Tests]]:
+    """A function for the tasks that gives the blocks, one at a time."""
+    from pyarrow.fs import FileSystem
 
-    keep: the columns that are wanted besides; texts that are not do not travel back from the tasks.
-    """
-    names = [f.name for f in FOUND]
-    new = [free(docs, n) for n in names]
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(tests(i, t, window)) for i, t in _blocks(benchmark, item_id, item_text)]
-    fields = [f for f in docs.schema if keep is None or f.name in keep]
-    kept = [docs.columns.index(f.name) for f in fields]
-    schema = T.StructType([*fields, *(T.StructField(n, f.dataType) for n, f in zip(new, FOUND, strict=True))])
-    place, size = docs.columns.index(text), SHARD_BYTES
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = textops.buffers(batch.column(place))
-            for runs in batched(textops.slices(offsets, size), SHARDS):
-                words = [_hashes(batch.column(place).slice(i, j - i)) for i, j in runs]
-                got: list[list[Found]] = [[] for _ in runs]
-                for b in shared:
-                    t = b.value
-                    prefilter = np.zeros(1 << 20, bool)
-                    prefilter[(t.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-                    for found, (h, first) in zip(got, words, strict=True):
-                        found.append(_shard(h, first, t, prefilter))
-                    if len(shared) > 1 and getattr(b, "_path", None):  # the next block takes its place in memory
-                        b.__dict__.pop("_value", None)
-                for (i, j), (_, first), found in zip(runs, words, got, strict=True):
-                    part = batch.slice(i, j - i)
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *_joined(first, found)], [*(f.name for f in fields), *new])
-
-    return docs.mapInArrow(task, schema), new
+    first = next(blocks)
+    if (second := next(blocks, None)) is None:
+        whole = context.broadcast(first)
+        return lambda: iter([whole.value])
+    target, names = f"{folder(context)}/benchmark-{uuid.uuid4().hex}", []
+    system, path = FileSystem.from_uri(target)
+    system.create_dir(path, recursive=True)
+    for t in chain([first, second], blocks):
+        names.append(f"{path}/{len(names):06d}")
+        with system.open_output_stream(names[-1]) as out:
+            out.write(pickle.dumps(t))
+        first = second = None
+
+    def read() -> Iterator[Tests]:
+        files, _ = FileSystem.from_uri(target)
+        for name in names:
+            with files.open_input_stream(name) as source:
+                yield pickle.loads(source.read())
+
+    return read
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the columns of ``FOUND`` added, under names that docs does not have (given too)."""
+    new = [free(docs, f.name) for f in FOUND]
+    (key,) = fresh(docs, "found")
+    found = docs.withColumn(key, _found(docs, benchmark, text, item_id, item_text, window))
+    return found.select(*[column(c) for c in docs.columns], *[column(key).getField(f.name).alias(n) for f, n in zip(FOUND, new, strict=True)]), new
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int):  # noqa: ANN202
+    blocks, size = (tests(i, t, window) for i, t in _blocks(benchmark, item_id, item_text)), SHARD_BYTES
+    read = _shared(docs.sparkSession.sparkContext, blocks)
+
+    def work(texts: pa.Array) -> pa.Array:
+        _, offsets = textops.buffers(texts)
+        shards = [_hashes(texts.slice(i, j - i)) for i, j in textops.slices(offsets, size)]
+        got: list[list[Found]] = [[] for _ in shards]
+        for t in read():
+            prefilter = np.zeros(1 << 20, bool)
+            prefilter[(t.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+            for found, (h, first) in zip(got, shards, strict=True):
+                found.append(_shard(h, first, t, prefilter))
+        parts = [pa.StructArray.from_arrays(_joined(first, found), names=[f.name for f in FOUND]) for (_, first), found in zip(shards, got, strict=True)]
+        return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays(_joined(np.zeros(1, np.int64), []), names=[f.name for f in FOUND])
+
+    return by_cell(docs, text, work, FOUND)
 
 
 def _joined(first: np.ndarray, got: list[Found]) -> list[pa.Array]:
     """The findings of all blocks for the same texts: hit words and items are united, the longest match is kept."""
     n = len(first) - 1
-    hits = np.concatenate([[0], np.cumsum(np.logical_or.reduce([g.hit for g in got]))])
+    hits = np.concatenate([[0], np.cumsum(np.logical_or.reduce([g.hit for g in got]))]) if got else np.zeros(1, np.int64)
     n_hit = hits[first[1:]] - hits[first[:-1]]
     items = [sorted(set().union(*(g.items.get(k, ()) for g in got))) if n_hit[k] else [] for k in range(n)]
     best = [max((g.longest[k] for g in got if k in g.longest), default=None) if n_hit[k] else None for k in range(n)]
@@ -290,7 +312,6 @@ def _joined(first: np.ndarray, got: list[Found]) -> list[pa.Array]:
     ]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark."""
-    found, names = matches(docs, benchmark, text, **options)
-    return found.where(~column(names[4])).select(*[column(c) for c in docs.columns])
+    return docs.where(~_found(docs, benchmark, text, item_id, item_text, window).getField("contaminated"))

@@ -27,6 +27,15 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held_out: int,
     return rows.orderBy(order, "doc_id").limit(most).withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int"))
 
 
+def sample_texts(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
+    """(text, label, fold) of each of the sample's ids that docs has, once: of several texts of one id the least.
+
+    The ids, at most ``SAMPLE``, are broadcast; texts are folded before they are shuffled, so an id may have any number of rows.
+    """
+    texts = docs.select(column(id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "fold").agg(F.min("text").alias("text")).select("text", "label", "fold")
+
+
 def is_held_out(id: str, modulus: int, remainder: int):  # noqa: ANN201
     return F.coalesce(F.pmod(F.crc32(column(id).cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 

@@ -1,23 +1,26 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
-A line is boilerplate on a host when it stands on at least ``min_pages`` pages
-of that host and on at least ``min_ratio`` of all its pages.  Boilerplate lines
-go from every page of that host; the others keep their order.
+A line is boilerplate on a host when the pages that hold it, divided by all
+pages of the host, exceed ``max_ratio``, and when it stands on ``min_pages``
+pages at least: on one page alone, the default says, nothing is repeated.
+Boilerplate lines go from every page of that host; the others keep their order.
+A page of boilerplate alone is left with an empty text, or as it is if
+``keep_whole`` says so (where whole copies are dealt with later).
 
 Plan: lines are made distinct within their page, so a plain count is a page
 count; counts are keyed by (host hash, line hash), so map-side sums fold a hot
 line of a hot host before the shuffle.  What survives the ratio is at most
-(lines per page / min_ratio) lines a host.  It goes back to the pages as one
+(lines per page / max_ratio) lines a host.  It goes back to the pages as one
 array a host: by a broadcast when its measured size allows, else by a join
 salted over ``SALTS`` parts, so that a host with a third of all pages is
 spread.  Texts are shuffled only in that last case.
 
 Defined cases: a null text stays null and has no lines; blank lines are never
 counted or dropped; lines are compared without leading and trailing spaces; a
-null host is a host of its own; repeated rows count as pages each; a page all of
-whose lines are boilerplate is left as it is (it is content that was copied,
-not a frame around content); an empty table gives an empty table.  Lines are
-compared by 64-bit hashes within a host, itself a 64-bit hash.
+null host is a host of its own; repeated rows count as pages each; a line at
+just the ratio stays; a page without any line but blank ones stays as it is; an
+empty table gives an empty table.  Lines are compared by 64-bit hashes within a
+host, itself a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import column, cut, fresh
 
-MIN_RATIO = 0.1
-MIN_PAGES = 5
+MAX_RATIO = 0.1
+MIN_PAGES = 2
 #: Up to so many boilerplate lines (12 to 16 bytes each) are broadcast.
 BROADCAST_LINES = 500_000
 SALTS = 32
@@ -42,7 +45,7 @@ def _bare(line: Column) -> Column:
     return F.trim(line)
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", min_ratio: float = MIN_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host_hash, line_hash, n_pages, host_pages) of the lines to drop."""
     hashed = F.xxhash64(column(host)).alias("host_hash")
     hosts = pages.groupBy(hashed).agg(F.count(F.lit(1)).alias("host_pages"))
@@ -59,17 +62,19 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", min_
     return (
         counts.withColumn("salt", F.pmod("line_hash", F.lit(SALTS)).cast("int"))
         .join(salted, ["host_hash", "salt"])
-        .where(F.col("n_pages") >= F.lit(min_ratio) * F.col("host_pages"))
+        .where(F.col("n_pages") > F.lit(max_ratio) * F.col("host_pages"))
         .select("host_hash", "line_hash", "n_pages", "host_pages")
     )
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", min_ratio: float = MIN_RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_boilerplate(
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False, counts: tuple[str, str] | None = None
+) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``; all other columns stay.
 
     counts: names of two added columns, the page's lines that are not blank and those of them dropped.
     """
-    lines = cut(boilerplate(pages, host, text, min_ratio, min_pages).select("host_hash", "line_hash"))
+    lines = cut(boilerplate(pages, host, text, max_ratio, min_pages).select("host_hash", "line_hash"))
     few = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     hosts = lines.groupBy("host_hash").agg(F.collect_list("line_hash").alias("drops"))
     key, drops, hits, gone, salt = fresh(pages, "host", "drops", "hits", "gone", "salt")
@@ -88,7 +93,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(F.filter(_lines(body), lambda x: _bare(x) != "")))
     # hits: the few line hashes of this page that are boilerplate, by a hash lookup and not a scan for each line
     marked = joined.withColumn(hits, F.when(F.col(drops).isNotNull() & body.isNotNull(), F.array_intersect(hashes, F.col(drops))).otherwise(F.array().cast("array<bigint>")))
-    marked = marked.withColumn(gone, F.when(some, (n_dropped < n_lines)).otherwise(False))
+    marked = marked.withColumn(gone, (some & (n_dropped < n_lines)) if keep_whole else some)
     out = [c for c in pages.columns]
     made = marked
     if counts:
@@ -108,7 +113,7 @@ drops AS (
   SELECT l.source, list(l.line) AS drops FROM (
     SELECT source, line, count(*) AS c FROM lines WHERE line <> '' GROUP BY source, line HAVING count(*) >= {MIN_PAGES}
   ) l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  WHERE l.c >= {MIN_RATIO}::DOUBLE * h.n GROUP BY l.source
+  WHERE l.c > {MAX_RATIO}::DOUBLE * h.n GROUP BY l.source
 ),
 marked AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls, coalesce(drops, []) AS drops
@@ -121,12 +126,12 @@ counted AS (
   FROM marked
 ),
 kept AS (
-  SELECT doc_id, n_lines, CASE WHEN hit < n_lines THEN hit ELSE 0 END AS n_dropped,
-    CASE WHEN hit > 0 AND hit < n_lines
+  SELECT doc_id, n_lines, hit AS n_dropped, hit > 0 AND hit = n_lines AS all_dropped,
+    CASE WHEN hit > 0
       THEN array_to_string(list_filter(ls, lambda x: NOT list_contains(drops, trim(x, ' '))), chr(10)) ELSE text END AS text
   FROM counted
 )
-SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped,
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, all_dropped,
   coalesce(length(text), 0)::BIGINT AS kept_chars, md5(text) AS kept_md5
 FROM kept
 """

@@ -5,7 +5,7 @@ bits).  ``BANDS * ROWS`` MinHash samples give ``BANDS`` band keys; two sets of
 similarity 0.8 share none of them with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 The samples are folded into an odd sketch: each flips one bit of ``64 *
 LANES``.  The population count of two sketches' XOR then estimates their
-similarity; pairs estimated far under the threshold (``_far``) are not
+similarity; pairs estimated far under the threshold (``far``) are not
 compared in full.
 
 Linking, without all pairs of a group:
@@ -19,8 +19,17 @@ Linking, without all pairs of a group:
    a near one in another component; their texts then come to the same block,
    where all of them in different components are compared on full sets, and
    only links that join two components leave it.
-So no link between different components is lost, whatever a bucket's size, and
-no more rows are made than there are members of buckets.
+So no link between different components is lost, whatever a bucket's size.
+
+Growth.  Steps 1 and 2 make a row for each member of a bucket.  In step 3 a
+bucket that is left with several components and is larger than ``BLOCK`` gives
+its members once to each of its parts, so n members make n * n / BLOCK rows and
+n * n / 2 comparisons of 64 bytes: that many pairs may be links, and no bound
+on them is known.  A group of copies is one component by then and takes no part.
+
+Hot keys.  Classes and buckets are counted with map-side sums and cut, and rows
+join those tables alone, with nothing else in the stage that needs a key's rows
+together: so Spark can split a key that holds a third of all rows over tasks.
 
 Defined cases: null and empty texts, and texts without words, have no shingles
 and are linked with nothing; a text with fewer words than a shingle is one
@@ -41,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, cut, fresh, total
+from ledgerloom.llm.common import column, cut, fresh, mapped, total
 from ledgerloom.operators.components import components
 
 SHINGLE = 5
@@ -160,7 +169,7 @@ def features(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
                 sketch = np.ascontiguousarray(sketches(samples).T).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *map(pa.array, keys), bands, *map(pa.array, sketch)], [f.name for f in FEATURES])
 
-    return docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text")).mapInArrow(task, FEATURES)
+    return mapped(docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text")), task, FEATURES)
 
 
 def _apart(x: str, y: str) -> Column:
@@ -190,7 +199,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int
                     keep[r] = len(p) > 0 and 100 * both_ >= similarity * (len(p) + len(q) - both_)
                 yield pa.RecordBatch.from_arrays([pa.array(x[i:j][keep]) for x in ids], ["a", "b"])
 
-    return both.mapInArrow(task, "a long, b long")
+    return mapped(both, task, "a long, b long")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,33 +213,33 @@ def _sides(part: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """members (key, rep, n_shingles, ..) dealt into blocks: part of its bucket, and p <= q of the pair of parts.
+    """members (key, size, rep, ..) dealt into blocks: part of its bucket, and p <= q of the pair of parts.
 
-    A part has about BLOCK members and BLOCK * 256 shingles at most; a bucket of k parts is dealt into each pair of them.
+    A part has about BLOCK members and BLOCK * 256 shingles at most (size is in parts); a bucket of k parts is dealt into each pair of them.
     """
-    sized = members.groupBy("key").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / (BLOCK * 256)).alias("size"))
-    dealt = members.join(sized, "key").withColumn("parts", F.ceil("size").cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = members.withColumn("parts", F.ceil("size").cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("size", "parts", "other")
 
 
-def _active(members: DataFrame, limit: int) -> DataFrame:
+def _active(members: DataFrame, limit: int, similarity: int) -> DataFrame:
     """(key, p, q, part, rep, component) of the members with a near one of another component in the block.
 
-    members: key, band, hub, rep, component, n_shingles, bands, s0 ..  Pairs with the hub are known already.
+    members: key, size, hub, rep, component, n_shingles, bands, s0 ..  Pairs with the hub are known already.
     """
 
     def task(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        rep, comp, part, hub = (group.column(c).to_numpy() for c in ("rep", "component", "part", "hub"))
+        rep, comp, part, hub, n = (group.column(c).to_numpy() for c in ("rep", "component", "part", "hub", "n_shingles"))
         sketch = np.stack([group.column(f"s{k}").to_numpy() for k in range(LANES)], axis=1).view(np.uint64)
         bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        band = group.column("band")[0].as_py()
+        band = int(np.argmax(bands[0] == key[0].as_py()))
         left, right = _sides(part, key[1].as_py(), key[2].as_py())
         active = np.zeros(len(rep), bool)
         for i in left:
             near = right[(comp[right] != comp[i]) & (rep[right] != hub[0])]
             if rep[i] == hub[0]:
                 continue
+            near = near[100 * np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i])]
             near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
             if len(near):
                 near = near[np.argmax(bands[near] == bands[i], axis=1) == band]
@@ -276,39 +285,46 @@ def _block_links(active: DataFrame, texts: DataFrame, shingle: int, similarity:
     return rows.groupBy("key", "p", "q").applyInArrow(task, "a long, b long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One text of each of the ids (doc_id): by a broadcast of the ids where their number allows, else by a shuffle."""
-    ids = cut(ids.distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return cut(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+def _texts(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """One text of each of the ids (doc_id), of which there are ``most`` at most: by a broadcast where that allows, else by a shuffle."""
+    ids = F.broadcast(ids) if most <= BROADCAST_IDS else ids
+    return cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document; component_id is the smallest id reachable by links."""
     texts = docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text"))
     found = cut(features(docs, id, text, shingle))
-    limit = far(similarity)
+    limit, sketch = far(similarity), [f"s{k}" for k in range(LANES)]
+    # classes of equal sets, known by their smallest document
     live = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = live.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    sketch = [f"s{k}" for k in range(LANES)]
-    heads = live.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", *sketch).join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    rows = heads.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = cut(rows.join(buckets, "key"))
-    edges = rows.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    head = F.min(F.struct("doc_id", "bands", *sketch)).alias("head")
+    classes = live.groupBy("n_shingles", "set_a", "set_b").agg(head, F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.select("n_shingles", "set_a", "set_b", "copies", "head.*").withColumnRenamed("doc_id", "rep"))
+    heads = classes if classes.groupBy("rep").count().where("count > 1").isEmpty() else classes.dropDuplicates(["rep"])
+    # members of buckets, each with the bucket's smallest
+    rows = heads.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / (BLOCK * 256))
+    buckets = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n"), size.alias("size")).where("n > 1")
+    rows = cut(rows.select("key", "rep").join(cut(buckets), "key"))
+    edges = rows.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).repartition("a").distinct()
     lanes = heads.select("rep", *sketch)
     near = edges.join(lanes.withColumnRenamed("rep", "a").alias("x"), "a").join(lanes.withColumnRenamed("rep", "b").alias("y"), "b").where(_apart("x", "y") <= limit)
     near = cut(near.select("a", "b"))
-    asked = _texts(texts, near.select(F.col("a").alias("doc_id")).union(near.select("b")))
-    labels = components(_confirmed(near, asked, shingle, similarity))
+    asked = _texts(texts, near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), 2 * near.count())
+    labels = components(cut(_confirmed(near, asked, shingle, similarity)))  # cut: so that no task needs two workers at once
     # what hubs cannot show: buckets of three or more that hold several components once the hubs' links are known
     members = _labelled(rows.where("n > 2"), labels)
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    active = cut(_active(members.join(mixed, "key", "left_semi").select("key", "band", "hub", "rep", "component").join(heads, "rep"), limit))
-    links = cut(_block_links(active, _texts(texts, active.select(F.col("rep").alias("doc_id"))), shingle, similarity))
-    labels = _merged(labels, links)
-    members = found.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"], "left")
-    out = _labelled(members, labels).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    mixed = cut(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    if not mixed.isEmpty():
+        members = members.join(mixed, "key", "left_semi").select("key", "hub", "size", "rep", "component")
+        active = cut(_active(members.join(heads.select("rep", "n_shingles", "bands", *sketch), "rep"), limit, similarity))
+        links = _block_links(active, _texts(texts, active.select(F.col("rep").alias("doc_id")).distinct(), active.count()), shingle, similarity)
+        labels = _merged(labels, cut(links))
+    # back to the documents: only classes that are not just one document of its own component have something to say
+    named = _labelled(classes.select("n_shingles", "set_a", "set_b", "copies", "rep"), labels).where("copies > 1 OR component <> rep").select("n_shingles", "set_a", "set_b", "component")
+    out = found.select("doc_id", "n_shingles", "set_a", "set_b").join(cut(named), ["n_shingles", "set_a", "set_b"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -322,5 +338,6 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; of repeated rows with that id all stay."""
     (key,) = fresh(docs, "key")
-    gone = near_duplicates(docs, id, text, shingle, similarity).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, column(id) == F.col(key), "left_anti")
+    gone = cut(near_duplicates(docs, id, text, shingle, similarity).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, column(id) == F.col(key), "left_anti")

@@ -7,12 +7,15 @@ Ridge scores solve the normal equations, which the tasks sum over their rows
 and the driver adds up: one matrix for each fold of a bounded sample of labelled
 rows (``learning.SAMPLE``), whatever the input.  The calibration is fitted on
 scores whose equations leave the fold out.  Statistics are computed once for
-the sample and once for all texts, in one pass without a shuffle.
+the sample and once for all texts, in one pass without a shuffle; only texts go
+to the tasks, and only scores come back.
 
 Defined cases: null and empty texts have zero statistics and get the score of
-those; repeated rows get a row each; without labelled rows of both kinds every
-score is the share of 1 among the labels there are (0.5 without any); an empty
-table gives an empty table.  Labels, lang, source and ids are not statistics.
+those; repeated rows get a row each; a labelled id with several texts teaches
+the least of them; without labelled rows of both kinds every score is the share
+of 1 among the labels there are (0.5 without any); a score equal to the
+threshold counts as good; an empty table gives an empty table.  Labels, lang,
+source and ids are not statistics.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.arrow import by_cell
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, cut, free
-from ledgerloom.llm.learning import FOLDS, Isotonic, labelled_sample
+from ledgerloom.llm.common import cut, free, mapped
+from ledgerloom.llm.learning import FOLDS, Isotonic, labelled_sample, sample_texts
 
 MODULUS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -54,7 +58,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     data, offsets = textops.buffers(texts)
     n = len(offsets) - 1
     at, to = offsets[:-1], offsets[1:]
-    total = lambda mask: np.concatenate([np.zeros(1, np.int64), np.cumsum(mask, dtype=np.int64)])
+    total = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
     share = lambda c: c[to] - c[at]
     tables = {"letter": _LETTER, "capital": _CAPITAL, "digit": _DIGIT, "space": _SPACE, "symbol": _SYMBOL, "mark": _MARK, "stop": _STOP, "lead": _LEAD}
     count = {k: total(t[data]) for k, t in tables.items()}
@@ -148,7 +152,7 @@ def _statistics_of(sample: DataFrame) -> DataFrame:
                 x = statistics(b.column(0).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), *map(pa.array, x.T)], ["label", "fold", *names])
 
-    return sample.mapInArrow(task, ", ".join(["label int", "fold int", *(f"{c} double" for c in names)]))
+    return mapped(sample, task, ", ".join(["label int", "fold int", *(f"{c} double" for c in names)]))
 
 
 def _solve(g: np.ndarray) -> np.ndarray:
@@ -161,8 +165,7 @@ def _solve(g: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """The model learnt from the labels outside the held-out remainder."""
     ids = labelled_sample(labels, label, MODULUS, HELD_OUT)
-    texts = docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text"))
-    rows = cut(_statistics_of(texts.join(F.broadcast(ids), "doc_id").select("text", "label", "fold")))
+    rows = cut(_statistics_of(sample_texts(docs, ids, id, text)))
     names = [f"x{k}" for k in range(N_STATISTICS)]
     stats = rows.agg(*[F.avg(c) for c in names], *[F.stddev_pop(c) for c in names], F.avg("label"), F.min("label"), F.max("label")).first()
     if stats[-1] is None or stats[-1] == stats[-2]:
@@ -184,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     g = np.zeros((FOLDS, size, size))
     # so many partitions at most, so that what comes to the driver is bounded; ordered within, for the same sums again
     dealt = rows.coalesce(PARTS).sortWithinPartitions(*names)
-    for r in sorted(dealt.mapInArrow(products, "fold int, sums binary").collect()):
+    for r in sorted(mapped(dealt, products, "fold int, sums binary").collect()):
         g[r["fold"]] += np.frombuffer(r["sums"]).reshape(size, size)
     folds = np.stack([_solve(g.sum(axis=0) - g[k]) for k in range(FOLDS)])
 
@@ -193,21 +196,17 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             z = waves(np.stack([c.to_numpy() for c in b.columns[2:]], axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(np.einsum("ij,ij->i", z, folds[b.column(1).to_numpy()])), b.column(0)], ["score", "label"])
 
-    got = rows.mapInArrow(outside, "score double, label int").toArrow()
+    got = mapped(rows, outside, "score double, label int").toArrow()
     calibration = Isotonic.fit(got.column("score").to_numpy(), got.column("label").to_numpy())
     return Model(waves, _solve(g.sum(axis=0)), calibration, float(stats[-3]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the quality of each whole text, 0 to 1, under a fresh name where docs has one of that name."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), free(docs, name)
-    place = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, offsets = textops.buffers(b.column(place))
-            for i, j in textops.slices(offsets):
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value(part.column(place)))], [*part.schema.names, name])
+    def work(texts: pa.Array) -> pa.Array:
+        _, offsets = textops.buffers(texts)
+        return pa.array(np.concatenate([np.zeros(0), *(shared.value(texts.slice(i, j - i)) for i, j in textops.slices(offsets))]))
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.withColumn(free(docs, name), by_cell(docs, text, work, T.DoubleType()))

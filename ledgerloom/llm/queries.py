@@ -15,7 +15,8 @@ from ledgerloom.llm.oracles import ORACLES as ORACLES
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=("n_lines", "n_dropped"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+    gone = (F.col("n_dropped") > 0) & (F.col("n_dropped") == F.col("n_lines"))
+    return out.select("doc_id", "n_lines", "n_dropped", gone.alias("all_dropped"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return _judged(scored, toxicity.MODULUS, toxicity.HELD_OUT, toxicity.THRESHOLD)
 
 
@@ -48,12 +49,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), warc.archive_folder(spark))
-    return warc.digests(warc.read(index, data=False))
+    return warc.digests(warc.read(index))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found, _ = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

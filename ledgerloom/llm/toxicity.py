@@ -7,17 +7,21 @@ toxic words stand to a second person; capitals; punctuation; obfuscation
 
 Learning: a bounded sample of labelled rows (``learning.SAMPLE``, never of the
 held-out remainder) finds its texts by a broadcast of its ids.  The tasks count
-in how many of its documents each word stands, by label and fold; of the words
-that stand out at most ``LEXICON`` are kept.  A training document's features
-use the lexicon of the other folds, so the trees learn what a lexicon is worth
-on texts it has not seen.  The calibration is fitted on predictions of trees
-that have not seen the fold either.  Then all texts are scored in one pass
-without a shuffle.
+in how many of its documents each word stands, by label and fold.  A word is
+kept if it stands out: it is ``ODDS`` times as frequent in toxic documents, and
+in ``SUPPORT`` of them or, where that is more, in one of ``SHARE``; so there are
+at most SHARE times as many words as a toxic document of the sample has.  A
+training document's features use the lexicon of the other folds, so the trees
+learn what a lexicon is worth on texts it has not seen.  The calibration is
+fitted on predictions of trees that have not seen the fold either.  Then all
+texts are scored in one pass without a shuffle; only they go to the tasks, and
+only scores come back.
 
 Defined cases: null and empty texts have zero features and get the score of
-those; repeated rows get a row each; without labelled rows of both kinds, the
-score follows the fixed list's density alone; an empty table gives an empty
-table.  Labels, lang, source and ids are not features.
+those; repeated rows get a row each; a labelled id with several texts teaches
+the least of them; without labelled rows of both kinds, the score follows the
+fixed list's density alone; a score equal to the threshold is toxic; an empty
+table gives an empty table.  Labels, lang, source and ids are not features.
 """
 
 from __future__ import annotations
@@ -31,16 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.arrow import by_cell
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, free, fresh
-from ledgerloom.llm.learning import FOLDS, Isotonic, Trees, labelled_sample
+from ledgerloom.llm.common import cut, free, fresh, mapped
+from ledgerloom.llm.learning import FOLDS, Isotonic, Trees, labelled_sample, sample_texts
 
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Bytes of text whose words are looked at together.
 SLICE = 1 << 19
-LEXICON = 20_000
 SUPPORT = 3
+SHARE = 2000
+ODDS = 3
 STEM = 5
 NEAR = 6
 #: Insults of everyday English.
@@ -87,7 +93,7 @@ def read(texts: pa.Array) -> Words:
     data, offsets = textops.buffers(texts)
     low = textops.lowered(data)
     starts, ends, first = textops.words(data, offsets, textops.NOT_SPACE)
-    total = lambda mask: np.concatenate([np.zeros(1, np.int64), np.cumsum(mask, dtype=np.int64)])
+    total = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
     letters, digits, marks, capitals = (total(t[data]) for t in (_LETTER, _DIGIT, _MARK, _CAPITAL))
     bangs, asks = total(data == 33), total(data == 63)
     twice = np.zeros(len(data), bool)
@@ -187,15 +193,15 @@ def _lexicon(sample: DataFrame) -> Lexicon:
                 yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(g[start]), pa.array(np.diff(np.append(start, len(h))))], ["h", "g", "n"])
 
     kinds = range(2 * FOLDS)
-    counts = sample.mapInArrow(task, "h long, g long, n long").groupBy("h").agg(*[F.sum(F.when(F.col("g") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds])
+    counts = mapped(sample, task, "h long, g long, n long").groupBy("h").agg(*[F.sum(F.when(F.col("g") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds])
     toxic, clean = sum(F.col(f"n{k}") for k in range(FOLDS, 2 * FOLDS)), sum(F.col(f"n{k}") for k in range(FOLDS))
     sizes = sample.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()
     docs = np.zeros((2, FOLDS))
     for r in sizes:
         docs[r["label"], r["fold"]] = r["n"]
     share = docs[1].sum() / max(docs[0].sum(), 1)
-    rare = counts.where((toxic >= SUPPORT) & (toxic >= 3 * share * clean))
-    got = rare.orderBy((toxic / (clean + 1)).desc(), "h").limit(LEXICON).toArrow()
+    support = max(SUPPORT, docs[1].sum() / SHARE)
+    got = counts.where((toxic >= support) & (toxic >= ODDS * share * clean)).toArrow()
     h = got.column("h").to_numpy().view(np.uint64)
     n = np.stack([got.column(f"n{k}").to_numpy() for k in kinds]).reshape(2, FOLDS, -1).astype(float)
     order = np.argsort(h)
@@ -225,8 +231,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """The model learnt from the labels outside the held-out remainder."""
     ids = labelled_sample(labels, label, MODULUS, HELD_OUT)
-    texts = docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text"))
-    sample = texts.join(F.broadcast(ids), "doc_id").select("text", "label", "fold")
+    sample = cut(sample_texts(docs, ids, id, text))
     lexicon = _lexicon(sample)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -239,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), *map(pa.array, x.T)], ["label", "fold", *names])
 
     names = [f"x{k}" for k in range(N_FEATURES)]
-    got = sample.mapInArrow(task, ", ".join(["label int", "fold int", *(f"{c} double" for c in names)])).toArrow()
+    got = mapped(sample, task, ", ".join(["label int", "fold int", *(f"{c} double" for c in names)])).toArrow()
     y, fold = (got.column(c).to_numpy().astype(int) for c in ("label", "fold"))
     x = np.stack([got.column(c).to_numpy() for c in names], axis=1) if len(got) else np.zeros((0, N_FEATURES))
     order = np.lexsort((*x.T, y, fold))  # the same model whatever order the rows came in
@@ -254,23 +259,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return Model(lexicon, Trees.fit(x, y), Isotonic.fit(outside, y))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the toxicity of each whole text, 0 to 1, under a fresh name where docs has one of that name.
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the toxicity of each whole text, 0 to 1, under a fresh name where docs has one of that name."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    keep: the columns that are wanted besides; texts that are not do not travel back from the tasks.
-    """
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), free(docs, name)
-    place, fields = docs.columns.index(text), [f for f in docs.schema if keep is None or f.name in keep]
-    kept = [docs.columns.index(f.name) for f in fields]
+    def work(texts: pa.Array) -> pa.Array:
+        _, offsets = textops.buffers(texts)
+        return pa.array(np.concatenate([np.zeros(0), *(shared.value(texts.slice(i, j - i)) for i, j in textops.slices(offsets, SLICE))]))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, offsets = textops.buffers(b.column(place))
-            for i, j in textops.slices(offsets, SLICE):
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(shared.value(part.column(place)))], [*(f.name for f in fields), name])
-
-    return docs.mapInArrow(task, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return docs.withColumn(free(docs, name), by_cell(docs, text, work, T.DoubleType()))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -1,28 +1,42 @@
 """URL filter: rules first, then a character language-model ratio.
 
 Two variable-order Markov models, of accepted and of rejected URLs, give the
-probability of each character after up to ``ORDER`` characters, Witten-Bell
-smoothed down to the uniform one.  A URL's score is the difference of the two
-log-likelihoods over its length; scores at or over a threshold are blocked.
-Both are learnt from the URLs that the rules judge, and from hosts with a word
-of ``REJECTED`` in them, over all rows: their n-grams are counted in the
-partitions, summed by a shuffle.  The threshold is the one with the best
-balanced accuracy, of those that block at most ``MOST_FALSE`` of the accepted
-URLs, on URLs that their model has not seen: each half of the URLs (by a hash)
-is scored by the model of the other half, and the scores are counted in bins.
-
-Models are dense tables over an alphabet of ``len(SYMBOLS) + 3`` symbols, so
-their size is fixed by ORDER, whatever the input; they are broadcast.
+probability of each character after the ``ORDER`` characters before it.  They
+are Witten-Bell smoothed: each order falls back to the next shorter one, down to
+the uniform distribution, and contexts that were never seen are passed over.  A
+URL's score is the difference of the two log-likelihoods over its length;
+scores at or over a threshold are blocked.
+
+What is learnt from.  URLs that a rule allows are accepted; those that a rule
+blocks are rejected, and so are those without a rule whose host holds a word of
+``REJECTED``.  The models never see what the rules look at: the last label of
+the host, labels that rules name, and as many segments of the path as the
+longest rule has are cut off, in learning and in scoring (``bare``).
+
+Plan.  Texts are made distinct, with how often each was accepted and rejected.
+Their (ORDER + 1)-grams are counted in the tasks and summed by a shuffle; their
+number grows with the input.  Grams that share the last ``LOW`` + 1 characters
+before the one to be told come to one task, which takes all longer orders of
+them at once; shorter orders are tables, bounded by the alphabet alone, that the
+driver makes from sums and broadcasts.  Each distinct gram has then one value,
+and texts find theirs by a join.
+
+Calibration.  Each half of the texts (by a hash) is also scored by the models of
+the other half.  The threshold is the one with the best balanced accuracy on
+those scores, of all that block at most ``MOST_FALSE`` of the accepted URLs.
+Where none rejects a larger share of the rejected than of the accepted, the
+models know nothing and block nothing.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no
 rule, and is scored as the text it is (null: empty); repeated rows count each;
-ties at the threshold are blocked; where the rules leave no accepted or no
-rejected URL to learn from, all other URLs are allowed; an empty table gives an
-empty table.
+of two rules of the same length that fit the one that sorts last wins; ties at
+the threshold are blocked; where the rules leave no accepted or no rejected URL to learn from, all other
+URLs are allowed; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textops
-from ledgerloom.llm.common import ascii_lower, column, free, fresh
+from ledgerloom.llm.common import ascii_lower, column, cut, free, fresh, mapped
 
 #: The rules, (verdict, host and path).
 RULES: tuple[tuple[str, str], ...] = (
@@ -41,20 +55,27 @@ RULES: tuple[tuple[str, str], ...] = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Words that mark a host as unwanted, to learn from; they give no verdict by themselves.
+#: Words that mark a host as unwanted, to learn from; they give no verdict by themselves, and none where a rule does.
 REJECTED = ("casino", "poker", "spam", "viagra", "pills", "porn", "xxx", "warez", "jackpot", "betting")
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789-./?=&#_%:"
-ORDER = 3
+#: Characters of context, and those of the contexts that are kept as tables.
+ORDER, LOW = 6, 2
 #: Share of accepted URLs that the threshold may block, at most.
 MOST_FALSE = 0.01
 BINS = 4000
 SPAN = 8.0
+#: Scores of distinct texts that go back to the pages as a broadcast, at most (16 bytes each).
+BROADCAST_SCORES = 500_000
 
+BITS = 6  # of a symbol in a gram; the last character has the lowest
 _SIZE = len(SYMBOLS) + 3  # 0: before the start, 1: the end, 2: any other character
 _CODE = np.full(256, 2, np.int64)
 for _k, _c in enumerate(SYMBOLS):
     _CODE[ord(_c)] = _k + 3
     _CODE[ord(_c.upper())] = _k + 3
+#: Of the counts of a gram: half 0 accepted and rejected, half 1 accepted and rejected.
+_COUNTS = ("a0", "r0", "a1", "r1")
+_VALUES = ("value", "value0", "value1")  # by all, and by the other half for texts of half 0 and 1
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -75,9 +96,21 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def _codes(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The (ORDER + 1)-gram that ends at each character of each URL, its end included, as one number; and the URLs' n + 1 offsets."""
-    raw, offsets = textops.buffers(urls)
+def bare(url: Column, host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
+    """What is left of a URL without what rules look at; all of a text that is no URL."""
+    labels = sorted({x for _, r in rules for x in r.split("/", 1)[0].split(".")[:-1]})
+    deep = max([len(r.split("/", 1)[1].split("/")) for _, r in rules if r.split("/", 1)[1]], default=0)
+    name = F.regexp_replace(host, r"(\.|^)[^.]*$", "")
+    if labels:
+        name = F.regexp_replace(name, r"((\.|^)(" + "|".join(labels) + "))+$", "")
+    tail = F.regexp_replace(path, r"^(/[^/]*){0," + str(deep) + "}", "")
+    more = F.substr(url, F.instr(url, "://") + 3 + F.length(host) + F.length(path))
+    return F.coalesce(F.when(url.contains("://"), F.concat(name, tail, more)).otherwise(url), F.lit(""))
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The (ORDER + 1)-gram that ends at each character of each text, its end included, as one number; and the texts' n + 1 offsets."""
+    raw, offsets = textops.buffers(texts)
     n = np.diff(offsets)
     gap = ORDER + 1  # starts and one end
     at = offsets + gap * np.arange(len(offsets))
@@ -87,112 +120,152 @@ def _codes(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     text[at[1:] - 1] = 1
     gram = np.zeros(len(text), np.int64)
     for k in range(ORDER + 1):
-        gram[ORDER:] = gram[ORDER:] * _SIZE + text[k : len(text) - ORDER + k]
+        gram[ORDER:] = (gram[ORDER:] << BITS) + text[k : len(text) - ORDER + k]
     keep = np.ones(len(text), bool)
     keep[(at[:-1][:, None] + np.arange(ORDER)).reshape(-1)] = False
     return gram[keep], offsets + np.arange(len(offsets))
 
 
-def counts(urls: DataFrame) -> DataFrame:
-    """(half, class, gram, n) over the rows (url, half, class); class: 0 accepted, 1 rejected."""
+def counts(texts: DataFrame) -> DataFrame:
+    """(gram, a0, r0, a1, r1) of all grams of the texts (text, half, accepted, rejected), with zeros for those that are only to be scored."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def made() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["gram", "n"])
-
         for b in batches:
-            gram, at = _codes(b.column(0))
-            group = b.column(1).to_numpy().astype(np.int64) * 2 + b.column(2).to_numpy()
-            held.append(np.repeat(group, np.diff(at)) * _SIZE ** (ORDER + 1) + gram)
-            size += len(gram)
-            if size >= 1 << 22:
-                yield made()
-                held, size = [], 0
-        yield made()
+            gram, at = _grams(b.column(0))
+            half, *n = (b.column(k).to_numpy() for k in (1, 2, 3))
+            unique, inverse = np.unique(gram, return_inverse=True)
+            sums = [np.bincount(inverse, np.repeat(x * (half == h), np.diff(at)), len(unique)).astype(np.int64) for h in (0, 1) for x in n]
+            yield pa.RecordBatch.from_arrays([pa.array(unique), *map(pa.array, sums)], ["gram", *_COUNTS])
+
+    made = mapped(texts.select("text", "half", "accepted", "rejected"), task, "gram long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return made.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def _mixed(n: np.ndarray, by: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Witten-Bell: counts of distinct (context, character) pairs with the number of their context, and the shorter order's probabilities."""
+    size = int(by.max(initial=-1)) + 1
+    total, kinds = np.bincount(by, n, size)[by], np.bincount(by, n > 0, size)[by]
+    return np.where(total > 0, (n + kinds * lower) / np.maximum(total + kinds, 1), lower)
+
+
+def low_orders(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """P(last | the LOW before it) by the number of the (LOW + 1)-gram, from the counts of such grams."""
+    p = np.full(1 << BITS, 1 / (_SIZE - 1))
+    for order in range(LOW + 1):
+        size = 1 << BITS * (order + 1)
+        seen = np.bincount(gram & (size - 1), n, size)
+        p = _mixed(seen, np.arange(size) >> BITS, np.tile(p, size // len(p)))
+    return p
+
+
+def high_orders(gram: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """P(last | the ORDER before it) of each gram; gram has all that share its last LOW + 1 characters of context, each once."""
+    p = low[gram & ((1 << BITS * (LOW + 1)) - 1)]
+    for order in range(LOW + 1, ORDER + 1):
+        key, place = np.unique(gram & ((1 << BITS * (order + 1)) - 1), return_inverse=True)
+        lower = np.zeros(len(key))
+        lower[place] = p  # equal keys have equal shorter ones
+        p = _mixed(np.bincount(place, n, len(key)), np.unique(key >> BITS, return_inverse=True)[1], lower)[place]
+    return p
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Runs of whole groups of the first column, by which the rows are sorted."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        now = [c.to_numpy() for c in b.columns]
+        if not len(now[0]):
+            continue
+        held.append(now)
+        other = np.flatnonzero(now[0] != now[0][-1])
+        if len(other) or now[0][0] != held[0][0][0]:
+            end = int(other[-1]) + 1 if len(other) else 0
+            held[-1] = [c[:end] for c in now]
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = [[c[end:] for c in now]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def values(grams: DataFrame) -> DataFrame:
+    """(gram, value, value0, value1): the log-likelihood difference of each gram's last character."""
+    short = F.col("gram").bitwiseAND(F.lit((1 << BITS * (LOW + 1)) - 1)).alias("gram")
+    got = grams.groupBy(short).agg(*[F.sum(c).alias(c) for c in _COUNTS]).toArrow()
+    place, n = got.column("gram").to_numpy(), {c: got.column(c).to_numpy().astype(float) for c in _COUNTS}
+    # by all, by half 1 (for texts of half 0), by half 0; accepted and rejected
+    sides = [[("a0", "a1"), ("r0", "r1")], [("a1",), ("r1",)], [("a0",), ("r0",)]]
+    low = [[low_orders(place, sum(n[c] for c in side)) for side in pair] for pair in sides]
+    shared = grams.sparkSession.sparkContext.broadcast(low)
 
-    return urls.mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, gram, *c in _runs(batches):
+            mine = dict(zip(_COUNTS, c, strict=True))
+            logs = [[np.log(high_orders(gram, sum(mine[x] for x in side), t)) for side, t in zip(pair, tables, strict=True)] for pair, tables in zip(sides, shared.value, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), *(pa.array(r - a) for a, r in logs)], ["gram", *_VALUES])
+
+    context = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << BITS * (LOW + 1)) - 1)).alias("context")
+    dealt = grams.select(context, "gram", *_COUNTS).repartition("context").sortWithinPartitions("context")
+    return mapped(dealt, task, "gram long, " + ", ".join(f"{v} double" for v in _VALUES))
 
 
-def model(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log P(last symbol | the ORDER before it), for every (ORDER + 1)-gram, Witten-Bell smoothed from order to order."""
-    p = np.full(_SIZE, 1 / (_SIZE - 1))
-    for order in range(ORDER + 1):
-        seen = np.bincount(grams % _SIZE ** (order + 1), n, _SIZE ** (order + 1)).reshape(-1, _SIZE)
-        all_, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-        lower = np.tile(p.reshape(-1, _SIZE), (len(seen) // max(1, p.size // _SIZE), 1))
-        p = np.where(all_ > 0, (seen + kinds * lower) / np.maximum(all_ + kinds, 1), lower)
-    return np.log(p).astype(np.float32).reshape(-1)
+def scores(texts: DataFrame, by_gram: DataFrame) -> DataFrame:
+    """(id, score, score0, score1) of the texts (id, text): means over their characters."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram, at = _grams(b.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), np.diff(at))), pa.array(gram)], ["id", "gram"])
 
-def scores(urls: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """The mean log-likelihood difference of each URL's characters."""
-    gram, at = _codes(urls)
-    sums = np.concatenate([[0.0], np.cumsum(ratio[gram], dtype=np.float64)])
-    return (sums[at[1:]] - sums[at[:-1]]) / np.diff(at)
+    each = mapped(texts.select("id", "text"), task, "id long, gram long")
+    return each.join(by_gram, "gram").groupBy("id").agg(*[F.avg(v).alias(v.replace("value", "score")) for v in _VALUES])
 
 
 def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and url_score, under names that pages does not have (see ``names``)."""
+    """``pages`` with host, path, rule, verdict and url_score, under names that pages does not have (see ``free``).
+
+    Rows are joined with the scores of their texts, so columns that are not wanted should be left out before.
+    """
     names = [free(pages, n) for n in ("host", "path", "rule", "verdict", "url_score")]
-    (key,) = fresh(pages, "text")
+    key, score = fresh(pages, "text", "score")
     text = column(url).cast("string")
     host, path = host_and_path(text)
-    known = pages.withColumn(key, F.coalesce(text, F.lit(""))).withColumn(names[0], host).withColumn(names[1], path)
+    known = pages.withColumn(names[0], host).withColumn(names[1], path)
     rule, verdict = rule_of(F.col(names[0]), F.col(names[1]), rules)
-    known = known.withColumn(names[2], rule).withColumn(names[3], verdict)
+    known = known.withColumn(key, bare(text, F.col(names[0]), F.col(names[1]), rules)).withColumn(names[2], rule).withColumn(names[3], verdict)
     marked = F.lit(False)
     for word in REJECTED:
         marked = marked | F.col(names[0]).contains(word)
-    bad = (F.col(names[3]) == "block") | marked
-    taught = known.where(F.col(names[3]).isNotNull() | marked).select(F.col(key).alias("url"), F.pmod(F.xxhash64(key), F.lit(2)).cast("long").alias("half"), F.when(F.coalesce(bad, F.lit(True)), 1).otherwise(0).cast("long").alias("class"))
-    got = counts(taught).toArrow()
-    gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy().astype(float)
-    group, gram = gram // _SIZE ** (ORDER + 1), gram % _SIZE ** (ORDER + 1)
-    if not all(n[group % 2 == k].sum() for k in (0, 1)):
+    bad = F.when(F.col(names[3]).isNotNull(), F.col(names[3]) == "block").when(marked, F.lit(True))
+    texts = known.select(F.col(key).alias("text"), bad.alias("bad")).groupBy("text").agg(F.count_if(~F.col("bad")).alias("accepted"), F.count_if("bad").alias("rejected"))
+    texts = cut(texts.withColumn("id", F.xxhash64("text")).withColumn("half", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2)).cast("long")))
+    taught = texts.agg(F.sum("accepted"), F.sum("rejected")).first()
+    if not taught[0] or not taught[1]:
         return known.withColumn(names[3], F.coalesce(names[3], F.lit("allow"))).withColumn(names[4], F.lit(0.0)).drop(key)
-    of = lambda k, half: (lambda m: model(gram[m], n[m]))((group % 2 == k) & ((group // 2 == half) | (half < 0)))
-    context = pages.sparkSession.sparkContext
-    halves = context.broadcast([of(1, 1 - h) - of(0, 1 - h) for h in (0, 1)])
-    threshold = _threshold(taught, halves)
-    ratio = context.broadcast(of(1, -1) - of(0, -1))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = None
-        for b in batches:
-            place = b.schema.get_field_index(key) if place is None else place
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(b.column(place), ratio.value))], [*b.schema.names, names[4]])
-
-    scored = known.mapInArrow(score, f"{_ddl(known)}, {names[4]} double")
+    found = cut(scores(texts, cut(values(cut(counts(texts))))))
+    threshold = _threshold(texts, found)
+    scored = found.select(F.col("id").alias(score), F.col("score").alias(names[4]))
+    few = found.limit(BROADCAST_SCORES + 1).count() <= BROADCAST_SCORES
+    out = known.join(F.broadcast(scored) if few else scored, F.xxhash64(key) == F.col(score), "left")
     says = F.when(F.col(names[4]) >= threshold, "block").otherwise("allow")
-    return scored.withColumn(names[3], F.coalesce(names[3], says)).drop(key)
-
+    return out.withColumn(names[3], F.coalesce(names[3], says)).select(*[column(c) for c in pages.columns], *names)
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
 
+def _threshold(texts: DataFrame, found: DataFrame) -> float:
+    """The score with the best balanced accuracy, each text scored by the other half's model; infinite where none helps."""
+    held = F.when(F.col("half") == 0, F.col("score0")).otherwise(F.col("score1"))
+    place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((held + SPAN) / (2 * SPAN) * BINS)))
+    rows = texts.where("accepted + rejected > 0").join(found, "id").groupBy(place.cast("int").alias("bin")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).collect()
+    total = np.zeros((2, BINS + 1))
+    for r in rows:
+        total[:, r["bin"]] += (r["a"], r["r"])
+    return best_threshold(total)
 
-def _threshold(taught: DataFrame, halves) -> float:  # noqa: ANN001
-    """The score with the best balanced accuracy, each URL scored by the other half's model."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BINS), np.int64)
-        for b in batches:
-            half, kind = b.column(1).to_numpy(), b.column(2).to_numpy()
-            for h in (0, 1):
-                mine = half == h
-                x = scores(b.column(0).filter(pa.array(mine)), halves.value[h]) if mine.any() else np.zeros(0)
-                place = np.clip((x + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(np.int64)
-                np.add.at(total, (kind[mine], place), 1)
-        kind, place = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(place), pa.array(total[kind, place])], ["class", "bin", "n"])
-
-    rows = taught.mapInArrow(task, "class long, bin long, n long").groupBy("class", "bin").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((2, BINS + 1))
-    np.add.at(total, (rows.column("class").to_numpy(), rows.column("bin").to_numpy()), rows.column("n").to_numpy())
+def best_threshold(total: np.ndarray) -> float:
+    """The threshold by the numbers of accepted and rejected URLs in each bin."""
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(total, axis=1)], axis=1)[:, : BINS + 1] / np.maximum(total.sum(axis=1, keepdims=True), 1)
-    balanced = np.where(1 - below[0] <= MOST_FALSE, below[0] + 1 - below[1], -1.0)
-    best = np.flatnonzero(balanced >= balanced.max() - 1e-12)
+    gain = np.where(1 - below[0] <= MOST_FALSE, below[0] - below[1], -1.0)
+    if gain.max() <= 1e-12:
+        return math.inf
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return float(best[len(best) // 2] / BINS * 2 * SPAN - SPAN)

@@ -1,25 +1,32 @@
 """WARC archives written and read back as a table of chunks.
 
-Writing: payloads are taken in pieces of ``chunk`` bytes from the Arrow buffer
-they came in, through one compressor, to one archive file for each task; no
-record is put together in memory.  Each record is a gzip member of its own, so
-a reader can start at any.  A record whose payload equals that of a later page
-is a revisit of it and has no payload, but keeps its HTTP header and digest.
+Writing: Spark cuts each payload into rows of ``chunk`` bytes, in their order,
+and knows its digest and length; a task streams the rows through one compressor
+to one archive file, so no record is put together in Python's memory.  Each
+record is a gzip member of its own, so a reader can start at any.  A record
+whose payload equals that of a later page is a revisit of it: it has no payload
+and names the record that it refers to, but keeps its HTTP header and digest.
 
 Files are named with the partition and a random part, and a task hands over an
 index row for each record once its file is closed.  The index is cut by a
 reliable checkpoint, so it names just the files of the attempts that counted;
 files of lost attempts are never read.
 
-Reading: (record, chunk number, bytes, digest) rows.  The SHA-1 of the payload
-is carried from chunk to chunk, so each row has the digest of the payload up to
-and with itself, and the last has that of all; a record never stands in memory
-as a whole, whatever its length.
+Reading: (record identifier, chunk number, bytes, digest) rows.  The SHA-1 of
+the payload is carried from chunk to chunk, so each row has the digest and
+length of the payload up to and with itself, and the last has that of all; a
+record never stands in memory as a whole, whatever its length.  ``digests``
+folds these rows: a record's last chunk, checked against the sum of its chunks,
+and for a revisit those of the record that it refers to.
+
+Identifiers: that of a page's response follows from its page_id, so that others
+can refer to it; any other record's is random.
 
 Defined cases: a null payload is empty; empty payloads are payloads like others;
 of equal payloads the record with the largest page_id is the response (each row
-of it, where rows repeat), a null page_id counts as the smallest; a null url is
-empty; an empty table gives an archive without files.
+of it, where rows repeat: then with one identifier and one payload), a null
+page_id counts as the smallest; where all have a null page_id each is a
+response; a null url is empty; an empty table gives an archive without files.
 """
 
 from __future__ import annotations
@@ -36,8 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.checkpoints import folder
-from ledgerloom.llm import textops
-from ledgerloom.llm.common import column, cut
+from ledgerloom.llm.common import column, cut, mapped
 
 CHUNK = 1 << 20
 LEVEL = 1
@@ -46,7 +52,15 @@ BROADCAST_PAYLOADS = 500_000
 SALTS = 32
 
 INDEX = "file string, start long, length long, page_id long"
-CHUNKS = "page_id long, url string, record_type string, refers_to long, chunk_no long, data binary, bytes_so_far long, digest_so_far string, last boolean, header_digest string, header_bytes long"
+CHUNKS = "record_id string, file string, start long, page_id long, url string, record_type string, refers_to long, refers_to_record string, chunk_no long, data binary, bytes_so_far long, digest_so_far string, last boolean, header_digest string, header_bytes long"
+
+
+_NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pages")
+
+
+def record_id(page: int) -> str:
+    """The identifier of a page's response."""
+    return f"urn:uuid:{uuid.uuid5(_NAMES, str(page))}"
 
 
 def _b32(digest: bytes) -> str:
@@ -54,7 +68,7 @@ def _b32(digest: bytes) -> str:
 
 
 def deduplicated(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to): refers_to names the page with the same payload and the largest id, or is null."""
+    """(page_id, url, payload, digest, refers_to): refers_to names the page with the same payload and the largest id, or is null."""
     body = F.coalesce(column(payload).cast("string"), F.lit(""))
     rows = pages.select(column(id).cast("long").alias("page_id"), F.coalesce(column(url).cast("string"), F.lit("")).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
@@ -68,59 +82,63 @@ def deduplicated(pages: DataFrame, id: str = "page_id", url: str = "url", payloa
     else:
         spread = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"], "left")
-    return rows.select("page_id", "url", "payload", F.when(F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
+    return rows.select("page_id", "url", "payload", "digest", F.when(F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
 
 
 def write(pages: DataFrame, target: str, chunk: int | None = None, **options) -> DataFrame:
     """Writes one record for each page below ``target`` (any URI of pyarrow's file systems) and returns the index of the records."""
-    records, size_ = deduplicated(pages, **options), chunk or CHUNK
+    size_ = chunk or CHUNK
+    size, kept = F.octet_length("payload").cast("long"), F.col("refers_to").isNull()
+    records = deduplicated(pages, **options).withColumn("size", size)
+    last = F.when(kept & (F.col("size") > 0), F.ceil(F.col("size") / size_) - 1).otherwise(0).cast("int")
+    body = F.when(kept, F.substring(F.col("payload").cast("binary"), F.col("k") * size_ + 1, F.lit(size_))).otherwise(F.lit(b""))
+    pieces = records.withColumn("k", F.explode(F.sequence(F.lit(0), last))).select("page_id", "url", "refers_to", "digest", "size", "k", body.alias("data"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         system, path = FileSystem.from_uri(target)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-        out, at, index = None, 0, []
+        out, packer, at, index = None, None, 0, []
         for batch in batches:
             if out is None and batch.num_rows:
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(f"{path}/{name}", compression=None)
-            raw, offsets = textops.buffers(batch.column(2))
-            ids, urls, refs = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            for k, (page, url, ref) in enumerate(zip(ids, urls, refs, strict=True)):
-                payload = memoryview(raw[offsets[k] : offsets[k + 1]])
-                digest = hashlib.sha1(usedforsecurity=False)
-                for p in range(0, len(payload), size_):
-                    digest.update(payload[p : p + size_])
-                size = 0
-                for piece in _record(page, url, ref, payload, _b32(digest.digest()), size_):
-                    out.write(piece)
-                    size += len(piece)
-                index.append((f"{target}/{name}", at, size, page))
-                at += size
+            for page, url, ref, digest, size, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k == 0:
+                    _ended(out, packer)
+                    packer, at = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), out.tell()
+                    index.append((f"{target}/{name}", at, page))
+                    out.write(packer.compress(_head(page, url, ref, _b32(bytes.fromhex(digest)), size)))
+                out.write(packer.compress(data))
+        _ended(out, packer)
+        end = out.tell() if out is not None else 0
         if out is not None:
             out.close()
-        rows = list(zip(*index, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(x, pa.int64()) for x in rows[1:])], ["file", "start", "length", "page_id"])
+        files, starts, ids = zip(*index, strict=True) if index else ([], [], [])
+        sizes = [b - a for a, b in zip(starts, [*starts[1:], end], strict=True)] if index else []
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["file", "start", "length", "page_id"])
 
-    return cut(records.mapInArrow(task, INDEX))
+    return cut(mapped(pieces, task, INDEX))
 
 
-def _record(page: int | None, url: str, ref: int | None, payload: memoryview, digest: str, chunk: int) -> Iterator[bytes]:
-    """The gzip member of one record, piece by piece."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = len(payload) if ref is None else 0
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if ref is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+def _ended(out, packer) -> None:  # noqa: ANN001
+    """Writes the end of the record that is open, if one is."""
+    if packer is not None:
+        out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+
+
+def _head(page: int | None, url: str, ref: int | None, digest: str, size: int) -> bytes:
+    """The headers of a record and of the response in it."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    own = record_id(page) if ref is None and page is not None else f"urn:uuid:{uuid.uuid4()}"
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if ref is None else 'revisit'}", f"WARC-Record-ID: <{own}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     lines += [f"WARC-Target-URI: {' '.join(url.split())}"] if url else []
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page is None else page}"]
     if ref is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {ref}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + body}", "", ""]
-    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    yield packer.compress("\r\n".join(lines).encode() + http)
-    for p in range(0, body, chunk):
-        yield packer.compress(payload[p : p + chunk])
-    yield packer.compress(b"\r\n\r\n") + packer.flush()
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(ref)}>", f"X-Refers-To-Page-ID: {ref}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (size if ref is None else 0)}", "", ""]
+    return "\r\n".join(lines).encode() + http
 
 
 def _inflated(source, start: int, length: int, chunk: int) -> Iterator[bytes]:  # noqa: ANN001
@@ -158,11 +176,12 @@ def _parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes | N
         held = next(pieces) if left else b""
 
 
-def read(index: DataFrame, data: bool = True, chunk: int | None = None) -> DataFrame:
-    """The chunks of the indexed records (``CHUNKS``); without data, only each record's last chunk, and no bytes."""
+def read(index: DataFrame, chunk: int | None = None) -> DataFrame:
+    """The chunks of the indexed records (``CHUNKS``)."""
     names = [x.strip().split()[0] for x in CHUNKS.split(",")]
     size_ = chunk or CHUNK
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    types = [kinds[x.strip().split()[1]] for x in CHUNKS.split(",")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -183,7 +202,8 @@ def read(index: DataFrame, data: bool = True, chunk: int | None = None) -> DataF
                 parts = _parsed(_inflated(source, start, length, size_))
                 fields, _ = next(parts)
                 page, ref = (int(x) if (x := fields.get(k)) else None for k in ("X-Page-ID", "X-Refers-To-Page-ID"))
-                base = (page, fields.get("WARC-Target-URI", ""), fields["WARC-Type"], ref)
+                ids = [x.strip("<>") if (x := fields.get(k)) else None for k in ("WARC-Record-ID", "WARC-Refers-To")]
+                base = (ids[0], file, start, page, fields.get("WARC-Target-URI", ""), fields["WARC-Type"], ref, ids[1])
                 tail = (fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["http-length"]))
                 digest, done, k = hashlib.sha1(usedforsecurity=False), 0, 0
                 piece = next(parts, None)
@@ -192,25 +212,20 @@ def read(index: DataFrame, data: bool = True, chunk: int | None = None) -> DataF
                     digest.update(body)
                     done += len(body)
                     piece = next(parts, None) if piece else None
-                    if data or not piece:
-                        rows.append((*base, k, body if data else None, done, _b32(digest.digest()), not piece, *tail))
-                        held += len(body) if data else 0
+                    rows.append((*base, k, body, done, _b32(digest.digest()), not piece, *tail))
+                    held += len(body) + 300
                     k += 1
-                    if not piece:
-                        break
-                    if held >= 16 * size_:
+                    if held >= 4 * CHUNK:
                         yield made()
                         rows.clear()
                         held = 0
-                if len(rows) >= 4096 or held >= 16 * size_:
-                    yield made()
-                    rows.clear()
-                    held = 0
+                    if not piece:
+                        break
         if source is not None:
             source.close()
         yield made()
 
-    return index.select("file", "start", "length").mapInArrow(task, CHUNKS)
+    return mapped(index.select("file", "start", "length"), task, CHUNKS)
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -219,12 +234,19 @@ def archive_folder(spark: SparkSession) -> str:
 
 
 def digests(chunks: DataFrame) -> DataFrame:
-    """One row for each record, of its full payload; a revisit has them from its header."""
+    """One row for each record, of its full payload as read: the last chunk's, or for a revisit those of the record that it refers to.
+
+    A record whose chunks do not add up to what its last one says, or to what
+    its header says, has null figures.
+    """
+    last = F.max(F.struct("chunk_no", "bytes_so_far", "digest_so_far", "last")).alias("end")
+    base = ["record_id", "file", "start", "page_id", "record_type", "refers_to", "refers_to_record", "header_digest", "header_bytes"]
+    records = chunks.groupBy(*base).agg(last, F.sum(F.octet_length("data")).alias("bytes"), F.count(F.lit(1)).alias("n"))
     response = F.col("record_type") == "response"
-    return chunks.where("last").select(
-        "page_id",
-        F.when(response, F.col("bytes_so_far")).otherwise(F.col("header_bytes")).alias("payload_bytes"),
-        F.when(response, F.col("digest_so_far")).otherwise(F.col("header_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    whole = F.col("end.last") & (F.col("end.chunk_no") == F.col("n") - 1) & (F.col("end.bytes_so_far") == F.col("bytes"))
+    whole = whole & (~response | ((F.col("bytes") == F.col("header_bytes")) & (F.col("end.digest_so_far") == F.col("header_digest"))))
+    records = cut(records.select("record_id", "page_id", "record_type", "refers_to", "refers_to_record", "header_digest", F.when(whole, F.col("bytes")).alias("bytes"), F.when(whole, F.col("end.digest_so_far")).alias("digest")))
+    full = records.where(response).groupBy(F.col("record_id").alias("refers_to_record")).agg(F.max(F.struct("bytes", "digest")).alias("full"))
+    both = records.where(~response).join(cut(full), "refers_to_record", "left")
+    revisits = both.select("page_id", F.col("full.bytes").alias("payload_bytes"), F.when(F.col("full.digest") == F.col("header_digest"), F.col("header_digest")).alias("payload_digest"), "record_type", "refers_to")
+    return records.where(response).select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to").union(revisits)

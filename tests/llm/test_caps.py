@@ -38,7 +38,8 @@ def test_against_brute_force(spark, d):
 
 
 def test_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(caps, "BLOCK", 4)
+    monkeypatch.setattr(caps, "LEAST", 2)
+    monkeypatch.setattr(caps, "MOST", 4)
     test_against_brute_force(spark, 64)
 
 

@@ -34,6 +34,22 @@ def test_fast_and_slow_ids_agree(encoder):
         assert encoder.encode(t or "").tolist() == encoder.slow(t or "").tolist()
 
 
+def test_ids_are_those_of_an_untouched_tokenizer(encoder):
+    """Special tokens that a text spells out included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in [*texts(), "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>", "<|endoftext|", "x" * 3000 + "\ny <|endoftext|>"]:
+        assert encoder.encode(t or "").tolist() == plain.encode(t or "", add_special_tokens=False).ids
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, `start` int, `Sequence_ID` string")
+    rows = packing.pack(df).toPandas()
+    assert list(rows.columns) == packing._NAMES and rows.length.sum() == rows.doc_tokens.iloc[0] == 3
+
+
 def test_parts_of_long_texts(encoder, monkeypatch):
     monkeypatch.setattr(packing, "PART", 50)
     for t in ["one line\nand 's another\n\n two blank\n \nend " * 20, "x" * 400, "a\nb" * 200]:

@@ -1,7 +1,6 @@
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import url_filter as u
@@ -61,20 +60,84 @@ def test_nothing_to_learn_from(spark):
     assert u.judge(df.limit(0)).count() == 0
 
 
-def test_model_is_a_distribution(monkeypatch):
-    monkeypatch.setattr(u, "ORDER", 2)
-    gram, at = u._codes(pa.array(["abab", "abc", ""]))
-    assert at.tolist() == [0, 5, 9, 10]
-    p = np.exp(u.model(gram, np.ones(len(gram)))).reshape(-1, u._SIZE)
-    assert np.allclose(p[:, 1:].sum(axis=1), 1, atol=0.05) and (p > 0).all()
-    a, b = u._CODE[ord("a")], u._CODE[ord("b")]
-    assert p[a * 1 + 0 * u._SIZE, b] > p[a, a]
+def symbols(text):
+    return [0] * u.ORDER + [int(u._CODE[x]) for x in text.encode()] + [1]
+
+
+class Brute:
+    """Witten-Bell over dictionaries."""
+
+    def __init__(self, texts):
+        self.seen = {}
+        for t in texts:
+            s = symbols(t)
+            for k in range(u.ORDER, len(s)):
+                for order in range(u.ORDER + 1):
+                    row = self.seen.setdefault(tuple(s[k - order : k]), {})
+                    row[s[k]] = row.get(s[k], 0) + 1
+
+    def p(self, context, char):
+        lower = self.p(context[1:], char) if context else 1 / (u._SIZE - 1)
+        row = self.seen.get(tuple(context))
+        return (row.get(char, 0) + len(row) * lower) / (sum(row.values()) + len(row)) if row else lower
+
+
+def test_scores_against_brute_force(spark):
+    """Every text's scores, by all and by the other half, are those of dictionaries."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("abcdé-/") for _ in range(rng.randrange(14))), rng.randrange(2), rng.randrange(3), rng.randrange(3)) for _ in range(150)]
+    rows = [(k, *r) for k, r in enumerate(dict((r[0], r) for r in rows).values())]
+    texts = spark.createDataFrame(rows, "id long, text string, half long, accepted long, rejected long").repartition(3)
+    got = {r["id"]: r for r in u.scores(texts, u.values(u.counts(texts))).collect()}
+    assert len(got) == len(rows)
+    halves = lambda place, half: Brute([r[1] for r in rows for _ in range(r[place]) if half is None or r[2] == half])
+    for name, half in (("score", None), ("score0", 1), ("score1", 0)):
+        good, bad = halves(3, half), halves(4, half)
+        for i, t, *_ in rows:
+            s = symbols(t)
+            want = np.mean([np.log(bad.p(s[k - u.ORDER : k], s[k]) / good.p(s[k - u.ORDER : k], s[k])) for k in range(u.ORDER, len(s))])
+            assert np.isclose(got[i][name], want), (name, t)
+
+
+def test_what_rules_look_at_is_cut_off(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(x,) for x in ("http://m.abc.example.net/en/1570?q", "http://example.org/es/1/story", "http://cheap.com", "http://a.org/x/y/z/", "x", None)], "url string")
+    host, path = u.host_and_path(F.col("url"))
+    assert [r[0] for r in df.select(u.bare(F.col("url"), host, path)).collect()] == ["m.abc?q", "/story", "cheap", "a/z/", "x", ""]
+
+
+def test_threshold():
+    total = np.zeros((2, u.BINS + 1))
+    total[0, 100], total[1, 300] = 1000, 50
+    assert -8 + 100 / u.BINS * 16 < u.best_threshold(total) <= -8 + 300 / u.BINS * 16
+    total[1] = total[0]
+    assert u.best_threshold(total) == np.inf  # what cannot tell them apart blocks nothing
+    total[0, 400] = 11  # more than one in a hundred
+    total[1] = 0
+    total[1, 400] = 50
+    assert u.best_threshold(total) == np.inf
+
+
+def test_rules_of_one_length(spark):
+    """Of two rules of one length that fit, the one that sorts last."""
+    rules = (("allow", "org/abc"), ("block", "x.org/a"))
+    df = spark.createDataFrame([(1, "http://x.org/abc"), (2, "http://y.org/abc")], "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in u.judge(df, rules=rules).collect()} == {1: "x.org/a", 2: "org/abc"}
+
+
+def test_an_allowing_rule_wins_over_a_word(spark):
+    rows = [(k, f"http://casino{k}.org/") for k in range(60)] + [(100 + k, f"http://q{k}.com/de/") for k in range(60)] + [(900, "http://casino7.net/")]
+    got = {r["page_id"]: r["verdict"] for r in u.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[5] == "allow" and got[105] == "block"
 
 
 def test_counts_are_whole(spark):
-    df = spark.createDataFrame([("ab", 0, 0), ("ab", 0, 1), ("ab", 1, 0), ("b", 0, 0)], "url string, half long, class long")
+    df = spark.createDataFrame([("ab", 0, 2, 1), ("ac", 1, 1, 0), ("b", 0, 0, 0)], "text string, half long, accepted long, rejected long")
     rows = u.counts(df).collect()
-    assert sum(r["n"] for r in rows) == 3 + 3 + 3 + 2 and len({r["gram"] for r in rows}) == len(rows)
+    assert [sum(r[c] for r in rows) for c in u._COUNTS] == [6, 3, 3, 0] and len({r["gram"] for r in rows}) == len(rows)
 
 
 @pytest.mark.parametrize("long", [100_000])
