@@ -22,9 +22,9 @@ Linking, without all pairs of a group:
 So no link between different components is lost, whatever a bucket's size.
 
 Growth.  Steps 1 and 2 make a row for each member of a bucket.  In step 3 a
-bucket that is left with several components and is larger than ``BLOCK`` gives
-its members once to each of its parts, so n members make n * n / BLOCK rows and
-n * n / 2 comparisons of 64 bytes: that many pairs may be links, and no bound
+bucket that is left with several components gives its members once to each of
+its parts, which have up to ``BLOCK`` members: so n members, if they are many,
+make n * n / BLOCK rows and n * n / 2 comparisons of 64 bytes: that many pairs may be links, and no bound
 on them is known.  A group of copies is one component by then and takes no part.
 
 Hot keys.  Classes and buckets are counted with map-side sums and cut, and rows
@@ -57,7 +57,8 @@ SHINGLE = 5
 SIMILARITY = 80
 BANDS, ROWS = 32, 4
 LANES = 8
-BLOCK = 2048
+#: Members of a part of a bucket, at least and at most.
+LEAST, BLOCK = 256, 2048
 #: Ids of texts to be fetched that go out as a broadcast, at most (8 bytes each).
 BROADCAST_IDS = 500_000
 _CHUNK = 1 << 15
@@ -215,7 +216,7 @@ def _sides(part: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(members: DataFrame) -> DataFrame:
     """members (key, size, rep, ..) dealt into blocks: part of its bucket, and p <= q of the pair of parts.
 
-    A part has about BLOCK members and BLOCK * 256 shingles at most (size is in parts); a bucket of k parts is dealt into each pair of them.
+    A part has 8 * sqrt(n) of n members, from LEAST to BLOCK, and about BLOCK * 256 shingles at most (size is in parts); a bucket of k parts is dealt into each pair of them.
     """
     dealt = members.withColumn("parts", F.ceil("size").cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -304,7 +305,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     heads = classes if classes.groupBy("rep").count().where("count > 1").isEmpty() else classes.dropDuplicates(["rep"])
     # members of buckets, each with the bucket's smallest
     rows = heads.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / (BLOCK * 256))
+    n = F.count(F.lit(1))
+    size = F.greatest(n / F.greatest(F.lit(LEAST), F.least(F.lit(BLOCK), 8 * F.sqrt(n))), F.sum("n_shingles") / (BLOCK * 256))
     buckets = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n"), size.alias("size")).where("n > 1")
     rows = cut(rows.select("key", "rep").join(cut(buckets), "key"))
     edges = rows.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).repartition("a").distinct()
