@@ -69,7 +69,6 @@ def test_against_brute_force(spark, size):
 def test_small_blocks(spark, monkeypatch):
     """Buckets over several blocks give the same."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "LEAST", 2)
     test_against_brute_force(spark, 2)
 
 
