@@ -10,8 +10,8 @@ scores at or over a threshold are blocked.
 What is learnt from.  URLs that a rule allows are accepted; those that a rule
 blocks are rejected, and so are those without a rule whose host holds a word of
 ``REJECTED``.  The models never see what the rules look at: the last label of
-the host, labels that rules name, and as many segments of the path as the
-longest rule has are cut off, in learning and in scoring (``bare``).
+the host, labels that rules name, and as much of the path as the longest rule
+reaches are cut off, in learning and in scoring (``bare``).
 
 Plan.  Texts are made distinct, with how often each was accepted and rejected.
 Their (ORDER + 1)-grams are counted in the tasks and summed by a shuffle; their
@@ -21,8 +21,8 @@ them at once; shorter orders are tables, bounded by the alphabet alone, that the
 driver makes from sums and broadcasts.  Each distinct gram has then one value,
 and texts find theirs by a join.
 
-Calibration.  Each half of the texts (by a hash) is also scored by the models of
-the other half.  The threshold is the one with the best balanced accuracy on
+Calibration.  Each half of the texts (by a hash of their hosts, so that no host
+is in both) is also scored by the models of the other half.  The threshold is the one with the best balanced accuracy on
 those scores, of all that block at most ``MOST_FALSE`` of the accepted URLs.
 Where none rejects a larger share of the rejected than of the accepted, the
 models know nothing and block nothing.
@@ -37,6 +37,7 @@ URLs are allowed; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,16 +97,21 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def bare(url: Column, host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
-    """What is left of a URL without what rules look at; all of a text that is no URL."""
+def bare_host(host: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
+    """A host without its last label and what rules name before that."""
     labels = sorted({x for _, r in rules for x in r.split("/", 1)[0].split(".")[:-1]})
-    deep = max([len(r.split("/", 1)[1].split("/")) for _, r in rules if r.split("/", 1)[1]], default=0)
     name = F.regexp_replace(host, r"(\.|^)[^.]*$", "")
-    if labels:
-        name = F.regexp_replace(name, r"((\.|^)(" + "|".join(labels) + "))+$", "")
-    tail = F.regexp_replace(path, r"^(/[^/]*){0," + str(deep) + "}", "")
+    return F.regexp_replace(name, r"((\.|^)(" + "|".join(map(re.escape, labels)) + "))+$", "") if labels else name
+
+
+def bare(url: Column, host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
+    """What is left of a URL without what rules look at; all of a text that is no URL."""
+    starts = [r.split("/", 1)[1].split("/") for _, r in rules]  # whole segments, and the beginning of one more
+    deep = max([len(x) - 1 for x in starts], default=0)
+    reach = max([len(x[-1]) for x in starts if len(x) - 1 == deep], default=0)
+    tail = F.regexp_replace(path, f"^(/[^/]*){{0,{deep}}}(/[^/]{{0,{reach}}})?", "")
     more = F.substr(url, F.instr(url, "://") + 3 + F.length(host) + F.length(path))
-    return F.coalesce(F.when(url.contains("://"), F.concat(name, tail, more)).otherwise(url), F.lit(""))
+    return F.coalesce(F.when(url.contains("://"), F.concat(bare_host(host, rules), F.lit("/"), tail, more)).otherwise(url), F.lit(""))
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -236,8 +242,9 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...]
     for word in REJECTED:
         marked = marked | F.col(names[0]).contains(word)
     bad = F.when(F.col(names[3]).isNotNull(), F.col(names[3]) == "block").when(marked, F.lit(True))
-    texts = known.select(F.col(key).alias("text"), bad.alias("bad")).groupBy("text").agg(F.count_if(~F.col("bad")).alias("accepted"), F.count_if("bad").alias("rejected"))
-    texts = cut(texts.withColumn("id", F.xxhash64("text")).withColumn("half", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2)).cast("long")))
+    half = F.pmod(F.xxhash64(F.lit(5), bare_host(F.col(names[0]), rules)), F.lit(2)).cast("long").alias("half")
+    texts = known.select(F.col(key).alias("text"), half, bad.alias("bad")).groupBy("text").agg(F.min("half").alias("half"), F.count_if(~F.col("bad")).alias("accepted"), F.count_if("bad").alias("rejected"))
+    texts = cut(texts.withColumn("id", F.xxhash64("text")))
     taught = texts.agg(F.sum("accepted"), F.sum("rejected")).first()
     if not taught[0] or not taught[1]:
         return known.withColumn(names[3], F.coalesce(names[3], F.lit("allow"))).withColumn(names[4], F.lit(0.0)).drop(key)
