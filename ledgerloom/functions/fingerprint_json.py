@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from ledgerloom.arrow import by_cell
 from ledgerloom.functions import rawtx
 from ledgerloom.functions.scalars import RBF_BELOW
 from ledgerloom.functions.scripts import NON_STANDARD, OP_RETURN, PATTERNS, TYPE_NAMES
@@ -69,22 +70,24 @@ def from_hex(spending: str, previous: list[str] | None = None) -> dict:
     return fingerprint(tx, [by_id[i.prev_txid].outputs[i.prev_vout] for i in tx.inputs])
 
 
+FOUND = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("error", T.StringType())])
+
+
 def fingerprints(txs: DataFrame) -> DataFrame:
-    """(hex, fingerprint, error) of a table of raw transactions (hex); what cannot be read has an error and no fingerprint."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, errors = [], []
-            for text in b.column(0).to_pylist():
-                try:
-                    found.append(json.dumps(from_hex(text)))
-                    errors.append(None)
-                except (ValueError, TypeError, AttributeError) as e:
-                    found.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array(errors, pa.string())], ["hex", "fingerprint", "error"])
-
-    return txs.select("hex").mapInArrow(task, "hex string, fingerprint string, error string")
+    """``txs`` with the fingerprint of each raw transaction (hex); what cannot be read has an error and no fingerprint."""
+
+    def work(cells: pa.Array) -> pa.Array:
+        found, errors = [], []
+        for text in cells.to_pylist():
+            try:
+                found.append(json.dumps(from_hex(text)))
+                errors.append(None)
+            except (ValueError, TypeError, AttributeError) as e:
+                found.append(None)
+                errors.append(str(e))
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(errors, pa.string())], names=[f.name for f in FOUND])
+
+    return txs.withColumn("__found", by_cell(txs, "hex", work, FOUND)).select(*txs.columns, "__found.*")
 
 
 def main(args: list[str]) -> int:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
+
+from ledgerloom.arrow import column
 
 _RAISED = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
 
@@ -37,12 +36,19 @@ def amount_label(n: int) -> str:
     return str(n)
 
 
-def labelled(df: DataFrame, amount: str) -> DataFrame:
-    """df with a label of its amounts."""
+#: The largest amount that a column holds.
+MOST = (1 << 63) - 1
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            labels = [None if n is None else amount_label(n) for n in b.column(amount).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string())], [*b.schema.names, "label"])
 
-    return df.mapInArrow(task, T.StructType([*df.schema.fields, T.StructField("label", T.StringType())]))
+def marked() -> list[tuple[int, str]]:
+    """The amounts that have a label of their own, with it."""
+    powers = [b**k for b in (2, 3, 10) for k in range(64)]
+    found = {n for p in powers for n in (p, 2 * p, 5 * p) if n <= MOST}
+    return [(n, label) for n in sorted(found) if (label := amount_label(n)) != str(n) or n < 10]
+
+
+def labelled(df: DataFrame, amount: str) -> DataFrame:
+    """df with a label of its amounts: a join with the few that have one (a broadcast of less than 300 rows)."""
+    table = df.sparkSession.createDataFrame(marked(), "__amount long, __label string")
+    both = df.join(F.broadcast(table), column(amount) == F.col("__amount"), "left")
+    return both.select(*[column(c) for c in df.columns], F.coalesce("__label", column(amount).cast("string")).alias("label"))

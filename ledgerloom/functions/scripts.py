@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.arrow import by_cell
 
 #: The numbers and names of the output types.
 P2PKH, P2SH, P2WPKH, P2WSH, P2TR, OP_RETURN, NON_STANDARD = range(7)
@@ -34,3 +40,16 @@ def is_spendable(type_: Column) -> Column:
 
 def type_name(type_: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in TYPE_NAMES]), type_.cast("int") + 1)
+
+
+def hash160(data: bytes) -> bytes:
+    return hashlib.new("ripemd160", hashlib.sha256(data).digest(), usedforsecurity=False).digest()
+
+
+def spk_hash(df: DataFrame, spk: str = "spk") -> Column:
+    """The 20-byte hash of each script of df, null where there is none; Spark itself has no RIPEMD-160."""
+
+    def work(cells: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else hash160(x) for x in cells.to_pylist()], pa.binary())
+
+    return by_cell(df, spk, work, T.BinaryType())

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.checkpoints import cut
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators.components import components
 
+MAX_ROUNDS = 1000
+
 
 def cluster(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Clusters of the edges (a, b); members (member) without an edge are clusters of their own."""
@@ -22,9 +25,34 @@ def star(clustering: DataFrame) -> DataFrame:
     return clustering.select(F.col("member").alias("a"), F.col("cluster_id").alias("b"))
 
 
+def grown(clustering: DataFrame, edges: DataFrame) -> DataFrame:
+    """The clustering with more edges (a, b); their ends become members, loops too.
+
+    Only the clusters that the edges touch are clustered again, as nodes
+    themselves; the members of others keep their labels without a round.
+    """
+    label = lambda end: clustering.select(F.col("member").alias(end), F.col("cluster_id").alias(f"c{end}"))
+    known = edges.where("a <> b").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    moved = cut(components(known.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))).select(F.col("node").alias("cluster_id"), "component")
+    ends = edges.select(F.col("a").alias("member")).union(edges.select("b")).where("member IS NOT NULL").distinct()
+    new = ends.join(clustering.select("member"), "member", "left_anti").select("member", F.col("member").alias("cluster_id"))
+    return clustering.select("member", "cluster_id").union(new).join(moved, "cluster_id", "left").select("member", F.coalesce("component", "cluster_id").alias("cluster_id"))
+
+
 def join(left: DataFrame, right: DataFrame) -> DataFrame:
     """The finest clustering that both refine."""
-    return cluster(star(left).union(star(right)))
+    return grown(cut(left), cut(star(right)))
+
+
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(member, left_id, right_id) of the members that two clusterings label otherwise, or that only one has; none for equal ones."""
+    both = left.select("member", F.col("cluster_id").alias("left_id")).join(right.select("member", F.col("cluster_id").alias("right_id")), "member", "full")
+    return both.where(~F.col("left_id").eqNullSafe(F.col("right_id")))
+
+
+def equal(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two clusterings are the same partition of the same members: labels are the least members, so they compare."""
+    return differences(left, right).isEmpty()
 
 
 def multi_input_edges(ledger: Ledger, txs: DataFrame | None = None) -> DataFrame:
@@ -51,12 +79,17 @@ def same_script(ledger: Ledger, outs: DataFrame | None = None) -> DataFrame:
     return both if outs is None else both.union(both.select(F.col("cluster_id").alias("member"), "cluster_id")).distinct()
 
 
-def is_unilateral(ledger: Ledger, clustering: DataFrame) -> DataFrame:
-    """Transactions whose resolved spent outputs are of one cluster; none is false, one is true, an unknown one is its own cluster."""
+def is_unilateral(ledger: Ledger, clustering: DataFrame, txs: DataFrame | None = None) -> DataFrame:
+    """Transactions whose resolved spent outputs are of one cluster; none is false, one is true, an unknown one is its own cluster.
+
+    txs (tx_id, distinct): those to be told, or all.
+    """
     spent = ledger.txin.where("prev_out_id IS NOT NULL").select("tx_id", F.col("prev_out_id").alias("member"))
+    asked = ledger.tx.select("tx_id") if txs is None else txs
+    spent = spent if txs is None else spent.join(txs, "tx_id", "left_semi")
     named = spent.join(clustering, "member", "left").withColumn("c", F.coalesce("cluster_id", "member"))
     by = named.groupBy("tx_id").agg((F.min("c") == F.max("c")).alias("flag"))
-    return ledger.tx.select("tx_id").join(by, "tx_id", "left").select(F.col("tx_id").alias("key"), F.coalesce("flag", F.lit(False)).alias("flag"))
+    return asked.join(by, "tx_id", "left").select(F.col("tx_id").alias("key"), F.coalesce("flag", F.lit(False)).alias("flag"))
 
 
 def sizes(clustering: DataFrame) -> DataFrame:
@@ -67,18 +100,18 @@ def unilateral_fixpoint(ledger: Ledger, change: DataFrame, mixes: DataFrame) ->
     """The least clustering that holds the multi-input clusters of transactions that do not mix, and change of every transaction that it makes unilateral.
 
     More merges make more transactions unilateral and those more merges, so the
-    rounds only add edges and end with the first that adds none.
+    rounds only add edges and end with the first that adds none.  A round looks
+    at the transactions that are still open and clusters only what their edges touch.
     """
-    from ledgerloom.checkpoints import cut
-
     plain = ledger.tx.select("tx_id").join(mixes.where("flag").select(F.col("key").alias("tx_id")), "tx_id", "left_anti")
-    base = cut(multi_input_edges(ledger, plain))
-    candidates = change_edges(ledger, change).join(ledger.txout.select(F.col("out_id").alias("a"), "tx_id"), "a")
-    candidates = cut(candidates)
-    now, before = cluster(base), -1
-    while True:
-        alone = is_unilateral(ledger, now).where("flag").select(F.col("key").alias("tx_id"))
-        edges = cut(candidates.join(alone, "tx_id", "left_semi").select("a", "b"))
-        if (n := edges.count()) == before:
+    now = cut(cluster(multi_input_edges(ledger, plain)))
+    left = change_edges(ledger, change).join(ledger.txout.select(F.col("out_id").alias("a"), "tx_id"), "a")
+    left = cut(left.select("tx_id", "a", "b"))
+    for _ in range(MAX_ROUNDS):
+        alone = is_unilateral(ledger, now, left.select("tx_id").distinct()).where("flag").select(F.col("key").alias("tx_id"))
+        alone = cut(alone)
+        if alone.isEmpty():
             return now
-        now, before = cluster(star(now).union(edges)), n
+        now = cut(grown(now, left.join(alone, "tx_id", "left_semi").select("a", "b")))
+        left = cut(left.join(alone, "tx_id", "left_anti"))
+    raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")

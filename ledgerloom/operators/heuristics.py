@@ -6,7 +6,7 @@ transaction's rows unless the result is a list.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +30,14 @@ def is_coinjoin(ledger: Ledger) -> DataFrame:
     return ledger.tx.select("tx_id").join(equal, "tx_id", "left").select(F.col("tx_id").alias("key"), F.coalesce("flag", F.lit(False)).alias("flag"))
 
 
+def coinbase_flags(ledger: Ledger) -> DataFrame:
+    """What may say that a transaction is a coinbase: it has no inputs, its first input is unresolved, or (where the ledger keeps it) is_coinbase."""
+    first = ledger.txin.where("vin = 0").select("tx_id", F.lit(True).alias("has"), "prev_out_id")
+    own = ["is_coinbase"] if "is_coinbase" in ledger.tx.columns else []
+    without, open_ = F.col("has").isNull().alias("without_inputs"), (F.col("has").isNotNull() & F.col("prev_out_id").isNull()).alias("unresolved_first")
+    return ledger.tx.select("tx_id", *own).join(first, "tx_id", "left").select("tx_id", without, open_, *own)
+
+
 def rbf_mask(ledger: Ledger) -> DataFrame:
     """Transactions with an input that signals replacement."""
     any_ = ledger.txin.groupBy("tx_id").agg(F.bool_or(signals_rbf(F.col("sequence"))).alias("flag"))
@@ -187,11 +195,13 @@ def type_sets(ledger: Ledger) -> DataFrame:
     return both.select("tx_id", F.coalesce("output_types", none).alias("output_types"), F.coalesce("input_types", none).alias("input_types"))
 
 
-def fingerprints(ledger: Ledger) -> DataFrame:
+def fingerprints(ledger: Ledger, **own: Callable[[Ledger], DataFrame]) -> DataFrame:
     """The wallet fingerprints that need no script bytes, a column each, and ``vector``: all of them as one list of numbers.
 
     One aggregation of inputs, one of outputs, and the semi-join of reuse.  A
-    transaction with an unresolved input has a null vector.
+    transaction with an unresolved input has a null vector.  own: further
+    fingerprints by name, each a function from the ledger to a mask; they are
+    columns, and stand behind the others in the vector.
     """
     none = F.array().cast("array<int>")
     reuse = address_reuse(ledger).select(F.col("key").alias("tx_id"), F.col("flag").alias("reuse"))
@@ -204,6 +214,9 @@ def fingerprints(ledger: Ledger) -> DataFrame:
     )
     one = lambda *names: F.array(*[F.col(n).cast("int") for n in names])
     vector = F.concat(one("rbf", "anti_fee_snipe", "optin_without_use", "bip68_with_locktime"), "output_types", one("structure", "sorted"), "input_types", one("mixed", "reuse"), "orders")
+    for name, mask in own.items():
+        wide = wide.join(mask(ledger).select(F.col("key").alias("tx_id"), F.col("flag").alias(name)), "tx_id", "left").withColumn(name, _no(name))
+        vector = F.concat(vector, one(name))
     return wide.withColumn("vector", F.when(~F.col("open"), vector)).drop("open")
 
 

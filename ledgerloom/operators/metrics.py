@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.checkpoints import cut
 from ledgerloom.ledger import Ledger
+from ledgerloom.operators.ordinals import RANGE, nearest
 from ledgerloom.simulator.config import WEIGHTS
 
 #: Amounts up to which an output is dust, and the weight units of a transaction without inputs and outputs, and of a witness flag.
@@ -30,15 +32,15 @@ def utxo_sizes(utxos: DataFrame) -> DataFrame:
 def wallet_stats(utxos: DataFrame, wallet: str) -> DataFrame:
     """Dust, number, and nearest-rank percentiles of each wallet's unspent outputs.
 
-    The percentiles are taken from counts by amount, so no wallet's coins come
-    together in one task.
+    The percentiles are taken from counts by amount in two levels, ranges of
+    amounts and then amounts within one, so that neither a wallet's coins nor
+    all its amounts come together in one task.
     """
-    from pyspark.sql import Window
-
-    counts = utxos.groupBy(wallet, "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(wallet).orderBy("value")
-    ranked = counts.withColumn("upto", F.sum("n").over(w))
+    counts = utxos.groupBy(wallet, "value").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(F.col("value") / RANGE))
+    ranges = counts.groupBy(wallet, "range").agg(F.sum("n").alias("m"))
+    before = ranges.withColumn("before", F.sum("m").over(Window.partitionBy(wallet).orderBy("range")) - F.col("m")).drop("m")
     totals = counts.groupBy(wallet).agg(F.sum("n").alias("n_utxos"), F.sum(F.when(F.col("value") <= DUST, F.col("n")).otherwise(0)).alias("n_dust"))
+    ranked = counts.join(before, [wallet, "range"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(wallet, "range").orderBy("value")))
     at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(p) * F.col("n_utxos")), F.lit(1)), F.col("value")))
     return ranked.join(totals, wallet).groupBy(wallet, "n_utxos", "n_dust").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
 
@@ -71,6 +73,13 @@ def average_fee(sized: DataFrame) -> DataFrame:
     return paid.agg(F.coalesce(F.expr("sum(fee) div count(fee)"), F.lit(0).cast("long")).alias("average_fee"))
 
 
+def summary(obligations: DataFrame, handled: DataFrame) -> DataFrame:
+    """How many obligations there are, how many are missed, and their share (0 without any)."""
+    left = missed(obligations, handled).agg(F.coalesce(F.sum("n_missed"), F.lit(0)).cast("long").alias("n_missed"))
+    both = obligations.agg(F.count(F.lit(1)).alias("n_obligations")).withColumn("n_missed", left.scalar())
+    return both.withColumn("share_missed", F.when(F.col("n_obligations") > 0, F.col("n_missed") / F.col("n_obligations")).otherwise(0.0))
+
+
 def missed(obligations: DataFrame, handled: DataFrame) -> DataFrame:
     """Obligations of each payer that are not handled."""
     return obligations.join(handled, "obligation_id", "left_anti").groupBy("payer").agg(F.count(F.lit(1)).alias("n_missed"))
@@ -86,14 +95,39 @@ def order_book(registered: DataFrame, confirmed: DataFrame, spending: DataFrame)
     return registered.join(confirmed.select("out_id"), "out_id", "left_semi").join(spending.select("out_id"), "out_id", "left_anti")
 
 
-def cospend_ranking(book: DataFrame, reference: DataFrame) -> DataFrame:
-    """Coins of the book with their least distance to an amount of the reference set, which is one wallet's distinct amounts.
+def cospend_ranking(book: DataFrame, reference: DataFrame, limit: int | None = None) -> DataFrame:
+    """Coins of the book with their least distance to an amount of the reference set, or the largest number without any.
+
+    With a limit only the first so many by (distance, tx_id, vout), in that
+    order; without one the order is for the reader to make.
+    """
+    known = cut(nearest(book.select("value"), reference.select("value")))
+    far = F.coalesce("distance", F.lit(0x7FFFFFFFFFFFFFFF)).alias("distance")
+    ranked = book.join(known, "value", "left").select("out_id", "tx_id", "vout", far)
+    return ranked if limit is None else ranked.orderBy("distance", "tx_id", "vout").limit(limit)
+
+
+def feerates(sized: DataFrame) -> DataFrame:
+    """``sized`` with the fee for each weight unit; null where the fee is."""
+    return sized.withColumn("feerate", F.col("fee") / F.col("weight"))
+
+
+def conflicts(pending: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Transactions of pending inputs (tx_id, prev_out_id) that spend what a confirmed input spends too, or another pending one."""
+    gone = pending.join(confirmed.select("prev_out_id").distinct(), "prev_out_id", "left_semi").select("tx_id")
+    rivals = pending.where("prev_out_id IS NOT NULL").groupBy("prev_out_id").agg(F.min("tx_id").alias("lo"), F.max("tx_id").alias("hi")).where("lo <> hi").select("prev_out_id")
+    return gone.union(pending.join(rivals, "prev_out_id", "left_semi").select("tx_id")).distinct()
+
+
+def wallet_deltas(ledger: Ledger, wallets: DataFrame) -> DataFrame:
+    """(tx_id, wallet_id, received, spent) of each transaction and wallet that it touches; wallets: out_id, wallet_id.
 
-    The whole order is (distance, tx_id, vout); it is for the reader to sort by it.
+    received: of its outputs to a wallet that spends none of its inputs, as change is no receipt.
     """
-    amounts = reference.agg(F.collect_set("value"))
-    near = F.array_min(F.transform("refs", lambda r: F.abs(F.col("value") - r)))
-    return book.withColumn("refs", amounts.scalar()).select("out_id", "tx_id", "vout", F.coalesce(near, F.lit(0x7FFFFFFFFFFFFFFF)).alias("distance"))
+    outs = ledger.txout.select("tx_id", "out_id", "value").join(wallets, "out_id").groupBy("tx_id", "wallet_id").agg(F.sum("value").alias("got"))
+    ins = ledger.spent.select("tx_id", F.col("prev_out_id").alias("out_id"), F.col("prev_value").alias("value")).join(wallets, "out_id").groupBy("tx_id", "wallet_id").agg(F.sum("value").alias("spent"))
+    both = outs.join(ins, ["tx_id", "wallet_id"], "full")
+    return both.select("tx_id", "wallet_id", F.when(F.col("spent").isNull(), F.col("got")).otherwise(0).cast("long").alias("received"), F.coalesce("spent", F.lit(0)).cast("long").alias("spent"))
 
 
 def wallet_balance(utxos: DataFrame, wallet: str, pending_spends: DataFrame) -> DataFrame:

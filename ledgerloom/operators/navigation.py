@@ -72,3 +72,34 @@ def value_sums(ledger: Ledger) -> DataFrame:
 
 def filtered(items: DataFrame, predicate: Column) -> DataFrame:
     return items.where(predicate)
+
+
+def union(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both bags, one after the other."""
+    return left.unionByName(right)
+
+
+def intersect(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The items of the left bag that the right one has too, with their repeats."""
+    return left.join(right.select(key), key, "left_semi")
+
+
+def subtract(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The items of the left bag that the right one has not, with their repeats."""
+    return left.join(right.select(key), key, "left_anti")
+
+
+def assembled(txs: DataFrame, ledger: Ledger) -> DataFrame:
+    """The whole transactions of a set: all columns of ``tx``, and lists of inputs and outputs in their order.
+
+    Inputs have what they spend beside them, nulls where that is not known.
+    """
+    some = ledger.tx.join(txs.select("tx_id").distinct(), "tx_id", "left_semi")
+    listed = lambda df, at: F.array_sort(F.collect_list(F.struct(at, *[c for c in df.columns if c not in ("tx_id", at)])))
+    ins = ledger.spent.join(some.select("tx_id"), "tx_id", "left_semi")
+    outs = ledger.txout.join(some.select("tx_id"), "tx_id", "left_semi")
+    ins = ins.groupBy("tx_id").agg(listed(ins, "vin").alias("inputs"))
+    outs = outs.groupBy("tx_id").agg(listed(outs, "vout").alias("outputs"))
+    both = some.join(ins, "tx_id", "left").join(outs, "tx_id", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
+    return both.select(*some.columns, empty("inputs"), empty("outputs"))

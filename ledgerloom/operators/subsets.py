@@ -13,13 +13,16 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.arrow import mapped
+from ledgerloom.functions import scalars
 from ledgerloom.ledger import Ledger
 
 DEPTH = 8  # coins of an input subset that is held ambiguous, at most
@@ -289,7 +292,7 @@ def _counted(ledger: Ledger, name: str, count: Callable[[list[int], list[int]],
             n = [_bounded(count, i, o) for i, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["tx_id", name])
 
-    return coins(ledger).mapInArrow(task, f"tx_id long, {name} long")
+    return mapped(coins(ledger), task, f"tx_id long, {name} long")
 
 
 def mapping_counts(ledger: Ledger, derived: bool) -> DataFrame:
@@ -302,5 +305,32 @@ def partition_counts(ledger: Ledger) -> DataFrame:
     return _counted(ledger, "n_partitions", count_partitions)
 
 
-def ambiguous(ledger: Ledger) -> DataFrame:
-    return _counted(ledger, "n_ambiguous", ambiguous_subsets)
+def ambiguous(ledger: Ledger, depth: int = DEPTH) -> DataFrame:
+    """The number of input subsets of at most depth coins that some outputs balance."""
+    return _counted(ledger, "n_ambiguous", lambda i, o: ambiguous_subsets(i, o, depth))
+
+
+#: A metric: the cost of n ambiguous subsets, of a budget.
+Metric = Callable[[Column, Column], Column]
+
+
+def privacy(ledger: Ledger, metrics: tuple[Metric, ...] = (scalars.subset_cost,), budget: float = 1.0, depth: int = DEPTH) -> DataFrame:
+    """(tx_id, cost): what the metrics add up to for each transaction; others than the given one may take their places."""
+    n, most = F.col("n_ambiguous"), F.lit(budget)
+    return ambiguous(ledger, depth).select("tx_id", reduce(Column.__add__, [m(n, most) for m in metrics]).alias("cost"))
+
+
+def mapping_lists(ledger: Ledger, derived: bool) -> DataFrame:
+    """(tx_id, mapping): a row for each mapping, a list of blocks (ins, outs) of the coins' places; null where the count is beyond the bounds."""
+    kind = pa.list_(pa.struct([("ins", pa.list_(pa.int32())), ("outs", pa.list_(pa.int32()))]))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tx, i, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if _bounded(lambda x, y: count_mappings(x, y, derived), i, o) is None:
+                    rows: list = [None]
+                else:
+                    rows = [[{"ins": p, "outs": q} for p, q in m] for m in (mappings if derived else non_derived)(i, o)]
+                yield pa.RecordBatch.from_arrays([pa.array([tx] * len(rows), pa.int64()), pa.array(rows, kind)], ["tx_id", "mapping"])
+
+    return mapped(coins(ledger), task, "tx_id long, mapping array<struct<ins: array<int>, outs: array<int>>>")

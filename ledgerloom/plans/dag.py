@@ -14,6 +14,10 @@ the same twice.  Only that comparison runs jobs in between.
     gated = change.filtered_by(is_unilateral(txs, clusters.expr))
     clusters.unify(multi_input(txs).join(change_clusters(gated)))
     Engine(ledger).eval(clusters.expr)
+
+Growing ledgers.  ``Engine.advance`` evaluates an expression for the
+transactions that came since it was last asked about, and keeps the result as
+one more fact of it; ``value`` is what all its facts add up to.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from ledgerloom.checkpoints import cut
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import clustering, masks, navigation
+from ledgerloom.plans import facts
 
 MAX_ROUNDS = 100
 Make = Callable[..., DataFrame]
@@ -45,6 +50,7 @@ class Node:
     deps: list[Node]
     make: Make  # (ledger, *dependencies' frames)
     target: Node | None = None  # of a placeholder
+    source: bool = False
 
 
 @dataclass
@@ -61,7 +67,10 @@ class Context:
         return kind(self, node)
 
     def source(self, kind: type[Expr], name: str, make: Callable[[Ledger], DataFrame]) -> Expr:
-        return self.register(kind, name, [], make)
+        """A node without dependencies; of its frame's transactions (tx_id) ``Engine.advance`` sees the new ones."""
+        expr = self.register(kind, name, [], make)
+        expr.node.source = True
+        return expr
 
     def all_txs(self) -> TxSet:
         return self.source(TxSet, "all_txs", lambda g: g.tx.select("tx_id"))
@@ -84,10 +93,16 @@ class Context:
 
 @dataclass(frozen=True)
 class Expr:
+    """A node with a kind: the schema of its frames, and how several facts are put together (bags by default).
+
+    A kind of one's own is a subclass.
+    """
+
     context: Context
     node: Node
     SCHEMA = ""
     KEY = ""
+    combine = staticmethod(facts.combine_sets)
 
     def apply(self, kind: type[Expr], name: str, make: Make, *others: Expr) -> Expr:
         """A user's operation on this and other expressions."""
@@ -114,6 +129,19 @@ class _Set(Expr):
         return self.apply(Mask, getattr(heuristic, "__name__", "mask"), lambda g, x: heuristic(g).join(x.select(F.col(key).alias("key")).distinct(), "key", "left_semi"))
 
 
+    def union(self, other: _Set) -> _Set:
+        """Both bags, one after the other."""
+        return self.apply(type(self), "union", lambda g, a, b: navigation.union(a, b), other)
+
+    def intersect(self, other: _Set) -> _Set:
+        key = self.KEY
+        return self.apply(type(self), "intersect", lambda g, a, b: navigation.intersect(a, b, key), other)
+
+    def subtract(self, other: _Set) -> _Set:
+        key = self.KEY
+        return self.apply(type(self), "subtract", lambda g, a, b: navigation.subtract(a, b, key), other)
+
+
 class TxSet(_Set):
     SCHEMA, KEY = "tx_id long", "tx_id"
     _table = staticmethod(lambda g: g.tx)
@@ -142,6 +170,7 @@ class TxOutSet(_Set):
 
 class Mask(Expr):
     SCHEMA = "key long, flag boolean"
+    combine = staticmethod(facts.combine_masks)
 
     def negate(self) -> Mask:
         return self.apply(Mask, "negate", lambda g, m: masks.negate(m))
@@ -165,6 +194,7 @@ class Mask(Expr):
 
 class Clustering(Expr):
     SCHEMA = "member long, cluster_id long"
+    combine = staticmethod(facts.combine_clusterings)
 
     def join(self, other: Clustering) -> Clustering:
         return self.apply(Clustering, "join", lambda g, a, b: clustering.join(a, b), other)
@@ -188,10 +218,74 @@ class Placeholder:
         return self.expr.node.target is not None
 
 
+class NoFacts(LookupError):
+    """Nothing is known of a node yet."""
+
+
 class Engine:
     def __init__(self, ledger: Ledger) -> None:
         self.ledger = ledger
         self.rounds = 0  # of the last evaluation
+        self._facts: dict[int, list[DataFrame]] = {}
+        self._base: dict[int, DataFrame] = {}
+        self._cursors: dict[int, tuple[int, int]] = {}  # of each asked node: the next confirmed id, the last unconfirmed one
+        self._window: tuple[int, int] | None = None  # the cursor that sources begin from, while a fact is made
+
+    # a ledger that grows
+
+    def extend(self, ledger: Ledger) -> None:
+        """The ledger as it is now, with all that it had before; what changes is seen by the next ``advance``."""
+        self.ledger = ledger
+
+    def advance(self, expr: Expr) -> DataFrame | None:
+        """The expression for the transactions that came since its last fact, as a new fact; None where none came.
+
+        Only what sources give is new; what an operation looks up in the ledger
+        (a spent output, say) is found wherever it stands.
+        """
+        dense, loose = self._cursors.get(expr.node.id, (0, 0))
+        ends = self.ledger.tx.agg(F.max(F.when(F.col("tx_id") >= 0, F.col("tx_id"))), F.min(F.when(F.col("tx_id") < 0, F.col("tx_id")))).first()
+        now = (dense if ends[0] is None else max(dense, ends[0] + 1), loose if ends[1] is None else min(loose, ends[1]))
+        if now == (dense, loose):
+            return None
+        self._window = (dense, loose)
+        try:
+            fact = cut(self.eval(expr))
+        finally:
+            self._window = None
+        self._facts.setdefault(expr.node.id, []).append(fact)
+        self._cursors[expr.node.id] = now
+        return fact
+
+    def evaluated_facts(self, expr: Expr) -> list[DataFrame]:
+        """The base of the expression, if one is set, and its facts, oldest first."""
+        base = self._base.get(expr.node.id)
+        return [*([base] if base is not None else []), *self._facts.get(expr.node.id, [])]
+
+    def get(self, expr: Expr) -> DataFrame:
+        """What the facts add up to; raises where there are none."""
+        found = self.evaluated_facts(expr)
+        if not found:
+            raise NoFacts(expr.node.name)
+        return found[0] if len(found) == 1 else expr.node.kind.combine(found)
+
+    def get_or_default(self, expr: Expr) -> DataFrame:
+        """The same, or an empty frame of the expression's kind."""
+        return self.get(expr) if self.evaluated_facts(expr) else self._default(expr.node)
+
+    def value(self, expr: Expr) -> DataFrame:
+        """The facts up to now, those of transactions that came since the last one too."""
+        self.advance(expr)
+        return self.get_or_default(expr)
+
+    def set_base(self, expr: Expr, frame: DataFrame) -> None:
+        """A fact from elsewhere that stands before all others."""
+        self._base[expr.node.id] = frame
+
+    def take_base(self, expr: Expr) -> DataFrame | None:
+        return self._base.pop(expr.node.id, None)
+
+    # evaluation
 
     def eval(self, expr: Expr) -> DataFrame:
         """The expression's frame: a plan, or after a cycle's last round its checkpoint."""
@@ -230,7 +324,11 @@ class Engine:
     def _frame(self, node: Node, frames: dict[int, DataFrame]) -> DataFrame:
         """The node's frame; equal nodes are put together once."""
         if node.id not in frames:
-            frames[node.id] = node.make(self.ledger, *[self._frame(d, frames) for d in node.deps])
+            frame = node.make(self.ledger, *[self._frame(d, frames) for d in node.deps])
+            if self._window and node.source and "tx_id" in frame.columns:
+                dense, loose = self._window
+                frame = frame.where((F.col("tx_id") >= dense) | (F.col("tx_id") < loose))
+            frames[node.id] = frame
         return frames[node.id]
 
     @staticmethod

@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import ids, scalars, scripts
+from ledgerloom.checkpoints import folder
+from ledgerloom.functions import fingerprint_json, ids, labels, scalars, scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
 from ledgerloom.plans import facts
-from ledgerloom.sources import star
+from ledgerloom.sources import star, store
 from ledgerloom.sources.star import LEDGER_SQL, loose_ids
+from ledgerloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Queries over the open transactions see only those from here on, so older outputs are unresolved.
-CUTOFF = 5000
+#: Blocks under the tip from which on a transaction counts as confirmed.
+CONFIRMED = 6
 
-
-_views: dict[tuple[str, str], Ledger] = {}
+_stored: dict[tuple[str, str], str] = {}
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
-    """The ledger view, derived once for a session and kept in memory and on disk, as an ingested ledger would be stored."""
+    """The ledger view, taken in once for a session: stored as tables in the cluster's folder, and read from there by each query."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _views:
-        g = star.ledger(spark, sf_dir)
-        _views[key] = Ledger(g.tx.persist(), g.txin.persist(), g.txout.persist())
-    return _views[key]
+    if key not in _stored:
+        target = f"{folder(spark.sparkContext)}/ledger-{uuid.uuid4().hex}"
+        store.save(star.ledger(spark, sf_dir), target)
+        _stored[key] = target
+    return store.load(spark, _stored[key])
 
 
 def query(sql: str | None = None, plain: bool = False) -> Callable[[Callable[[Ledger], DataFrame]], Callable]:
@@ -118,6 +121,14 @@ def tx_prefix_sums(g: Ledger) -> DataFrame:
     return ordinals.offsets(counts, "tx_id", "n").join(counts, "tx_id")
 
 
+@query(" SELECT DISTINCT prev_out_id AS out_id, prev_tx_id AS tx_id FROM spent")
+def ordinal_owner(g: Ledger) -> DataFrame:
+    """The transactions of spent outputs, found again from the prefix sums alone."""
+    counts = g.txout.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"))
+    spans = ordinals.offsets(counts, "tx_id", "n").join(counts, "tx_id")
+    return ordinals.owners(g.txin.select(F.col("prev_out_id").alias("out_id")).distinct(), "out_id", spans, "tx_id")
+
+
 @query(" SELECT in_id, tx_id, vin, prev_out_id FROM txin")
 def link_prevouts(g: Ledger) -> DataFrame:
     txid = lambda c: F.sha2(F.col(c).cast("string"), 256)  # noqa: E731  any injective naming of transactions
@@ -141,10 +152,9 @@ def txs_of_outputs(g: Ledger) -> DataFrame:
     return navigation.txs_of(g.txout.where(scripts.is_spendable(F.col("output_type"))).select("out_id"), g)
 
 
-@query(f""", late AS (SELECT * FROM spent WHERE tx_id >= {CUTOFF})
- SELECT in_id, CASE WHEN prev_tx_id >= {CUTOFF} THEN prev_out_id END AS prev_out_id, CASE WHEN prev_tx_id >= {CUTOFF} THEN prev_value END AS prev_value FROM late""")
+@query(" SELECT in_id, prev_out_id, prev_value FROM spent")
 def spent_outputs(g: Ledger) -> DataFrame:
-    return g.above(CUTOFF).spent.select("in_id", "prev_out_id", "prev_value")
+    return g.spent.select("in_id", "prev_out_id", "prev_value")
 
 
 @query(" SELECT o.out_id, i.in_id AS spender_in_id, i.tx_id AS spender_tx_id FROM txout o LEFT JOIN txin i ON i.prev_out_id = o.out_id")
@@ -190,10 +200,14 @@ def filter_out_mask(g: Ledger) -> DataFrame:
     return masks.keep(g.txout.select("out_id"), heuristics.uih1(g), "out_id")
 
 
-@query(f", {_RBF} SELECT tx_id FROM tx JOIN rbf ON key = tx_id WHERE NOT (flag AND tx_id >= {CUTOFF})")
+def _of_spenders(g: Ledger, mask: DataFrame) -> DataFrame:
+    """The mask's keys that are transactions with inputs; others have no key."""
+    return mask.join(g.txin.select(F.col("tx_id").alias("key")), "key", "left_semi")
+
+
+@query(f", {_RBF} SELECT tx_id FROM tx LEFT JOIN rbf ON key = tx_id AND tx_id IN (SELECT tx_id FROM txin) WHERE flag IS NOT TRUE")
 def exclude_tx_mask(g: Ledger) -> DataFrame:
-    mask = heuristics.rbf_mask(g).where(F.col("key") >= CUTOFF)  # older transactions have no key: they stay
-    return masks.exclude(g.tx.select("tx_id"), mask, "tx_id")
+    return masks.exclude(g.tx.select("tx_id"), _of_spenders(g, heuristics.rbf_mask(g)), "tx_id")
 
 
 @query(f", {_UIH1} SELECT out_id FROM txout JOIN uih1 ON key = out_id WHERE NOT flag")
@@ -206,22 +220,36 @@ def mask_negate(g: Ledger) -> DataFrame:
     return masks.negate(heuristics.rbf_mask(g))
 
 
-_SLICES = f"l AS (SELECT key, flag AS lf FROM rbf WHERE key >= {CUTOFF}), r AS (SELECT key, flag AS rf FROM coinjoin WHERE key % 3 <> 0)"
-
+_SIDES = "l AS (SELECT key, flag AS lf FROM rbf WHERE key IN (SELECT tx_id FROM txin)), r AS (SELECT key, flag AS rf FROM coinjoin)"
 
-def _slices(g: Ledger) -> tuple[DataFrame, DataFrame]:
-    """Two masks that share some keys."""
-    return heuristics.rbf_mask(g).where(F.col("key") >= CUTOFF), heuristics.is_coinjoin(g).where(F.col("key") % 3 != 0)
 
-
-@query(f", {_RBF}, {_COINJOIN}, {_SLICES} SELECT key, coalesce(lf, false) AND coalesce(rf, false) AS flag FROM l FULL JOIN r USING (key)")
+@query(f", {_RBF}, {_COINJOIN}, {_SIDES} SELECT key, coalesce(lf, false) AND coalesce(rf, false) AS flag FROM l FULL JOIN r USING (key)")
 def mask_and(g: Ledger) -> DataFrame:
-    return masks.both(*_slices(g))
+    return masks.both(_of_spenders(g, heuristics.rbf_mask(g)), heuristics.is_coinjoin(g))
 
 
-@query(f", {_RBF}, {_COINJOIN}, {_SLICES} SELECT key, coalesce(lf, false) OR coalesce(rf, false) AS flag FROM l FULL JOIN r USING (key)")
+@query(f", {_RBF}, {_COINJOIN}, {_SIDES} SELECT key, coalesce(lf, false) OR coalesce(rf, false) AS flag FROM l FULL JOIN r USING (key)")
 def mask_or(g: Ledger) -> DataFrame:
-    return masks.either(*_slices(g))
+    return masks.either(_of_spenders(g, heuristics.rbf_mask(g)), heuristics.is_coinjoin(g))
+
+
+def _timed(g: Ledger) -> DataFrame:
+    return g.tx.where("locktime > 0").select("tx_id")
+
+
+@query(" SELECT tx_id FROM tx UNION ALL SELECT tx_id FROM tx WHERE locktime > 0")
+def set_union(g: Ledger) -> DataFrame:
+    return navigation.union(g.tx.select("tx_id"), _timed(g))
+
+
+@query(" SELECT tx_id FROM txout WHERE tx_id IN (SELECT tx_id FROM tx WHERE locktime > 0)")
+def set_intersect(g: Ledger) -> DataFrame:
+    return navigation.intersect(g.txout.select("tx_id"), _timed(g), "tx_id")
+
+
+@query(" SELECT tx_id FROM txout WHERE tx_id NOT IN (SELECT tx_id FROM tx WHERE locktime > 0)")
+def set_except(g: Ledger) -> DataFrame:
+    return navigation.subtract(g.txout.select("tx_id"), _timed(g), "tx_id")
 
 
 @query(" SELECT out_id FROM txout WHERE output_type NOT IN (5, 6)")
@@ -229,14 +257,20 @@ def spendable_outputs(g: Ledger) -> DataFrame:
     return g.txout.where(scripts.is_spendable(F.col("output_type"))).select("out_id")
 
 
-@query(f""" SELECT t.tx_id, i.tx_id IS NULL AS without_inputs, i.tx_id IS NOT NULL AND coalesce(o.tx_id < {CUTOFF}, true) AS unresolved_first
- FROM tx t LEFT JOIN txin i ON i.tx_id = t.tx_id AND i.vin = 0 LEFT JOIN txout o ON o.out_id = i.prev_out_id WHERE t.tx_id >= {CUTOFF}""")
+@query(""" SELECT t.tx_id, i.tx_id IS NULL AS without_inputs, i.tx_id IS NOT NULL AND i.prev_out_id IS NULL AS unresolved_first
+ FROM tx t LEFT JOIN txin i ON i.tx_id = t.tx_id AND i.vin = 0""")
 def coinbase_flags(g: Ledger) -> DataFrame:
-    late = g.above(CUTOFF)
-    first = late.txin.where("vin = 0").select("tx_id", F.lit(True).alias("has"), "prev_out_id")
-    return late.tx.select("tx_id").join(first, "tx_id", "left").select(
-        "tx_id", F.col("has").isNull().alias("without_inputs"), (F.col("has").isNotNull() & F.col("prev_out_id").isNull()).alias("unresolved_first")
-    )
+    return heuristics.coinbase_flags(g)
+
+
+@query(""" SELECT t.tx_id, t.locktime, coalesce(i.l, '') AS inputs, coalesce(o.l, '') AS outputs FROM tx t
+ LEFT JOIN (SELECT tx_id, string_agg(vin || ':' || prev_out_id || ':' || prev_value || ':' || sequence, ',' ORDER BY vin) AS l FROM spent GROUP BY tx_id) i USING (tx_id)
+ LEFT JOIN (SELECT tx_id, string_agg(vout || ':' || value || ':' || spk, ',' ORDER BY vout) AS l FROM txout GROUP BY tx_id) o USING (tx_id)""")
+def tx_objects(g: Ledger) -> DataFrame:
+    """Whole transactions put together from their rows, written out."""
+    whole = navigation.assembled(g.tx.select("tx_id"), g)
+    shown = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names])), ",").alias(c)
+    return whole.select("tx_id", "locktime", shown("inputs", "vin", "prev_out_id", "prev_value", "sequence"), shown("outputs", "vout", "value", "spk"))
 
 
 # heuristics
@@ -331,9 +365,9 @@ def outputs_bip69(g: Ledger) -> DataFrame:
     return heuristics.outputs_bip69(g)
 
 
-@query(" SELECT value, length(replace(value::VARCHAR, '0', ''))::INTEGER AS weight FROM (SELECT DISTINCT value FROM txout)")
+@query(" SELECT out_id, length(replace(value::VARCHAR, '0', ''))::INTEGER AS weight FROM txout")
 def hamming_weight(g: Ledger) -> DataFrame:
-    return g.txout.select("value").distinct().select("value", scalars.hamming_weight(F.col("value")).alias("weight"))
+    return g.txout.select("out_id", scalars.hamming_weight(F.col("value")).alias("weight"))
 
 
 _SETS = """sets AS (
@@ -375,6 +409,11 @@ def cluster_join(g: Ledger) -> DataFrame:
     return clustering.join(mih_clusters(g), change_clusters(g))
 
 
+@query(f", {_JOINED}, {_closure('SELECT a, b FROM mih', 'less')} SELECT member, s.cluster_id AS left_id, l.cluster_id AS right_id FROM less s FULL JOIN labels l USING (member) WHERE s.cluster_id IS DISTINCT FROM l.cluster_id")
+def cluster_differences(g: Ledger) -> DataFrame:
+    return clustering.differences(mih_clusters(g), cluster_join(g))
+
+
 @query(f", {_JOINED} SELECT cluster_id, count(*) AS size FROM labels GROUP BY cluster_id")
 def cluster_sizes(g: Ledger) -> DataFrame:
     edges = clustering.multi_input_edges(g).union(clustering.change_edges(g, heuristics.naive_change(g)))
@@ -403,15 +442,16 @@ def unilateral_fixpoint(g: Ledger) -> DataFrame:
 # facts: what several evaluations over growing input add up to
 
 
-@query(f", {_RBF}, f AS (SELECT key, flag, 0 AS no FROM rbf WHERE key % 2 = 0 UNION ALL SELECT key, NOT flag, 1 FROM rbf WHERE key % 3 = 0) SELECT key, arg_max(flag, no) AS flag FROM f GROUP BY key")
+@query(f", {_RBF}, f AS (SELECT key, flag, 0 AS no FROM rbf UNION ALL SELECT key, NOT flag, 1 FROM rbf JOIN tx ON tx_id = key WHERE locktime > 0) SELECT key, arg_max(flag, no) AS flag FROM f GROUP BY key")
 def facts_mask(g: Ledger) -> DataFrame:
     mask = heuristics.rbf_mask(g)
-    return facts.combine_masks([mask.where("key % 2 = 0"), masks.negate(mask.where("key % 3 = 0"))])
+    later = masks.negate(mask).join(_timed(g).select(F.col("tx_id").alias("key")), "key", "left_semi")
+    return facts.combine_masks([mask, later])
 
 
-@query(" SELECT tx_id FROM tx WHERE tx_id % 2 = 0 UNION ALL SELECT tx_id FROM tx WHERE tx_id % 3 = 0")
+@query(" SELECT tx_id FROM tx UNION ALL SELECT tx_id FROM tx WHERE locktime > 0")
 def facts_set(g: Ledger) -> DataFrame:
-    return facts.combine_sets([g.tx.where("tx_id % 2 = 0").select("tx_id"), g.tx.where("tx_id % 3 = 0").select("tx_id")])
+    return facts.combine_sets([g.tx.select("tx_id"), _timed(g)])
 
 
 @query(f", {_JOINED} SELECT * FROM labels")
@@ -436,51 +476,121 @@ def tx_fingerprints(g: Ledger) -> DataFrame:
 _TYPE_SQL = "CASE output_type WHEN 0 THEN 'p2pkh' WHEN 1 THEN 'p2sh' WHEN 2 THEN 'p2wpkh' WHEN 3 THEN 'p2wsh' WHEN 4 THEN 'p2tr' WHEN 5 THEN 'op_return' ELSE 'non_standard' END"
 
 
+def _script(spk: str, type_: str):  # noqa: ANN202
+    """A script of the type, in hexadecimal, for the view's script number."""
+    body = F.lpad(F.hex(spk), 40, "0")
+    return F.element_at(F.array(
+        F.concat(F.lit("76a914"), body, F.lit("88ac")), F.concat(F.lit("a914"), body, F.lit("87")), F.concat(F.lit("0014"), body),
+        F.concat(F.lit("0020"), F.lit("00" * 12), body), F.concat(F.lit("5120"), F.lit("00" * 12), body), F.concat(F.lit("6a14"), body), F.concat(F.lit("51"), body),
+    ), F.col(type_) + 1)
+
+
 @query(f" SELECT out_id, output_type::INTEGER AS output_type, {_TYPE_SQL} AS type_name FROM txout")
 def output_types(g: Ledger) -> DataFrame:
     """Scripts made for the view's types and classified again from their bytes."""
-    body = F.lpad(F.hex("spk"), 40, "0")
-    code = F.element_at(F.array(
-        F.concat(F.lit("76a914"), body, F.lit("88ac")), F.concat(F.lit("a914"), body, F.lit("87")), F.concat(F.lit("0014"), body),
-        F.concat(F.lit("0020"), F.lit("00" * 12), body), F.concat(F.lit("5120"), F.lit("00" * 12), body), F.concat(F.lit("6a14"), body), F.concat(F.lit("51"), body),
-    ), F.col("output_type") + 1)
-    typed = g.txout.select("out_id", scripts.output_type(F.unhex(code)).alias("output_type"))
+    typed = g.txout.select("out_id", scripts.output_type(F.unhex(_script("spk", "output_type"))).alias("output_type"))
     return typed.withColumn("type_name", scripts.type_name(F.col("output_type")))
 
 
-@query(f""", {_SUMS} SELECT o.tx_id, '[' || string_agg('"' || {_TYPE_SQL} || '"', ',' ORDER BY vout) || ']' AS types FROM txout o GROUP BY o.tx_id""")
+def _little(n, size: int):  # noqa: ANN001, ANN202
+    """A number as so many bytes in hexadecimal, the lowest first."""
+    code = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.concat(*[F.substring(code, 2 * k + 1, 2) for k in reversed(range(size))])
+
+
+def _raw(g: Ledger) -> DataFrame:
+    """(tx_id, hex): the view's transactions as raw bytes; those without inputs get a null one."""
+    ins = F.concat(F.sha2(F.col("prev_tx_id").cast("string"), 256), _little(F.col("prev_vout"), 4), F.lit("00"), _little(F.col("sequence"), 4))
+    spk = _script("spk", "output_type")
+    outs = F.concat(_little(F.col("value"), 8), _little(F.length(spk) / 2, 1), spk)
+    listed = lambda df, at, code: df.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct(at, code.alias("code")))).alias("l"))
+    body = lambda c: F.concat(_little(F.size(c), 1), F.array_join(F.transform(c, lambda x: x["code"]), ""))
+    both = g.tx.join(listed(g.spent, "vin", ins).withColumnRenamed("l", "i"), "tx_id", "left").join(listed(g.txout, "vout", outs).withColumnRenamed("l", "o"), "tx_id", "left")
+    null = F.lit("01" + "00" * 32 + "ffffffff" + "00" + "ffffffff")
+    return both.select("tx_id", F.concat(F.lit("02000000"), F.coalesce(body("i"), null), F.coalesce(body("o"), F.lit("00")), _little(F.col("locktime"), 4)).alias("hex"))
+
+
+_CODE_SQL = "upper(CASE output_type WHEN 0 THEN '76a914' || b || '88ac' WHEN 1 THEN 'a914' || b || '87' WHEN 2 THEN '0014' || b WHEN 3 THEN '0020' || repeat('00', 12) || b WHEN 4 THEN '5120' || repeat('00', 12) || b WHEN 5 THEN '6a14' || b ELSE '51' || b END)"
+
+
+@query(f""", {_RBF}, coded AS (SELECT *, {_CODE_SQL} AS code FROM (SELECT *, lpad(hex(spk), 40, '0') AS b FROM txout)),
+ pairs AS (SELECT *, lag(value) OVER w < value OR (lag(value) OVER w = value AND lag(code) OVER w <= code) AS ok FROM coded WINDOW w AS (PARTITION BY tx_id ORDER BY vout)),
+ outs_ AS (SELECT tx_id, count(*) AS n, coalesce(bool_and(ok), true) AS ok, string_agg({_TYPE_SQL}, ',' ORDER BY vout) AS types FROM pairs GROUP BY tx_id)
+ SELECT t.tx_id, 2 AS version, rbf.flag AS signals_rbf, t.locktime <> 0 AS anti_fee_snipe, CASE n WHEN 1 THEN 'single' WHEN 2 THEN 'double' ELSE 'multi' END AS output_structure, coalesce(ok, true) AS is_bip69_sorted, coalesce(types, '') AS types
+ FROM tx t JOIN rbf ON key = t.tx_id LEFT JOIN outs_ o ON o.tx_id = t.tx_id""")
 def tx_fingerprint_json(g: Ledger) -> DataFrame:
-    by = g.txout.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct("vout", scripts.type_name(F.col("output_type")).alias("name")))).alias("outs"))
-    return by.select("tx_id", F.to_json(F.transform("outs", lambda o: o["name"])).alias("types"))
+    """Fingerprints of raw transactions, as JSON, read again."""
+    found = fingerprint_json.fingerprints(_raw(g))
+    shape = "version int, signals_rbf boolean, anti_fee_snipe boolean, output_structure string, is_bip69_sorted boolean, outputs array<struct<type: string>>"
+    read = found.select("tx_id", F.from_json("fingerprint", shape).alias("f")).select("tx_id", "f.*")
+    return read.withColumn("types", F.array_join(F.transform("outputs", lambda o: o["type"]), ",")).drop("outputs")
+
+
+@query(""" SELECT t.tx_id, coalesce(bool_or(prev_type <> 4 AND in_id % 2 = 0), false) AS low_r, bool_or(prev_type = 0 AND in_id % 3 = 0) AS uncompressed, bool_or(prev_type = 4 AND in_id % 5 = 0) AS taproot_sighash
+ FROM tx t LEFT JOIN spent USING (tx_id) GROUP BY t.tx_id""")
+def script_fingerprints(g: Ledger) -> DataFrame:
+    """Signatures and keys made for the view's inputs, and what they show told again from their bytes."""
+    named = g.spent.select("in_id", "tx_id", "vin", "prev_out_id", "sequence", "prev_type")
+    rest = F.substring(F.sha2(F.col("in_id").cast("string"), 256), 1, 62)
+    signature = F.when(F.col("in_id") % 2 == 0, F.concat(F.lit("3025022011"), rest, F.lit("02010101"))).otherwise(F.concat(F.lit("302602210091"), rest, F.lit("02010101")))
+    key_spend = F.when(F.col("in_id") % 5 == 0, F.lit("00" * 65)).otherwise(F.lit("00" * 64))
+    key = F.when((F.col("prev_type") == 0) & (F.col("in_id") % 3 == 0), F.concat(F.lit("4104"), F.sha2(F.col("in_id").cast("string"), 512))).otherwise(F.lit(""))
+    ins = named.select("in_id", "tx_id", "vin", "prev_out_id", "sequence", F.unhex(key).alias("script_sig"), F.array(F.unhex(F.when(F.col("prev_type") == 4, key_spend).otherwise(signature))).alias("witness"))
+    outs = g.txout.withColumn("spk", F.unhex(_script("spk", "output_type")))
+    return heuristics.script_fingerprints(Ledger(g.tx, ins, outs))
 
 
 # sub-transactions
 
 
-@query()
+_COINS = """coins_in AS (SELECT tx_id, prev_value AS v, row_number() OVER (PARTITION BY tx_id ORDER BY vin) AS k, count(*) OVER (PARTITION BY tx_id) AS n FROM spent WHERE prev_value IS NOT NULL AND tx_id IN (SELECT tx_id FROM txout)),
+coins_out AS (SELECT tx_id, value AS v, row_number() OVER (PARTITION BY tx_id ORDER BY vout) AS k, count(*) OVER (PARTITION BY tx_id) AS n FROM txout WHERE tx_id IN (SELECT tx_id FROM coins_in)),
+walk_in(tx_id, k, size, mask, total, n) AS (SELECT DISTINCT tx_id, 0::BIGINT, 0, 0::BIGINT, 0::HUGEINT, n FROM coins_in UNION ALL
+  SELECT w.tx_id, w.k + 1, w.size + b, w.mask | (b::BIGINT << w.k), w.total + b * c.v, w.n FROM walk_in w JOIN coins_in c ON c.tx_id = w.tx_id AND c.k = w.k + 1, (VALUES (0), (1)) t(b)),
+subs_in AS (SELECT tx_id, size, mask, total, n FROM walk_in WHERE k = n),
+sums_out(tx_id, k, total, n, taken) AS (SELECT DISTINCT tx_id, 0::BIGINT, 0::HUGEINT, n, false FROM coins_out UNION
+  SELECT w.tx_id, w.k + 1, w.total + b * c.v, w.n, w.taken OR b = 1 FROM sums_out w JOIN coins_out c ON c.tx_id = w.tx_id AND c.k = w.k + 1, (VALUES (0), (1)) t(b)),
+valid AS (SELECT DISTINCT tx_id, total FROM sums_out WHERE k = n AND taken AND total <> 0)"""
+_AMBIGUOUS = f"{_COINS}, ambiguous AS (SELECT s.tx_id, count(v.total) FILTER (size BETWEEN 1 AND 8 AND size < n) AS n_ambiguous FROM subs_in s LEFT JOIN valid v ON v.tx_id = s.tx_id AND v.total = s.total GROUP BY s.tx_id)"
+_PARTITIONS = f"""{_COINS}, blocks AS (SELECT s.tx_id, mask FROM subs_in s JOIN valid v ON v.tx_id = s.tx_id AND v.total = s.total WHERE mask <> 0),
+cut_(tx_id, rest) AS (SELECT DISTINCT tx_id, (1::BIGINT << n) - 1 FROM coins_in UNION ALL SELECT c.tx_id, xor(c.rest, b.mask) FROM cut_ c JOIN blocks b ON b.tx_id = c.tx_id AND c.rest & b.mask = b.mask AND b.mask & (c.rest & -c.rest) <> 0 WHERE c.rest <> 0)"""
+#: Pairs of masks with equal sums, of transactions whose sides balance; a mapping takes them apart pair by pair.
+_PAIRS = f"""{_COINS}, even_ AS (SELECT tx_id FROM (SELECT tx_id, sum(v) AS s FROM coins_in GROUP BY tx_id) JOIN (SELECT tx_id, sum(v) AS s FROM coins_out GROUP BY tx_id) USING (tx_id, s) WHERE s > 0),
+walk_out(tx_id, k, mask, total, n) AS (SELECT DISTINCT tx_id, 0::BIGINT, 0::BIGINT, 0::HUGEINT, n FROM coins_out JOIN even_ USING (tx_id) UNION ALL
+  SELECT w.tx_id, w.k + 1, w.mask | (b::BIGINT << w.k), w.total + b * c.v, w.n FROM walk_out w JOIN coins_out c ON c.tx_id = w.tx_id AND c.k = w.k + 1, (VALUES (0), (1)) t(b)),
+pairs_ AS (SELECT i.tx_id, i.mask AS a, o.mask AS b FROM subs_in i JOIN walk_out o ON o.tx_id = i.tx_id AND o.k = o.n AND o.total = i.total WHERE i.total > 0),
+whole_ AS (SELECT * FROM pairs_ p WHERE NOT EXISTS (SELECT 1 FROM pairs_ q WHERE q.tx_id = p.tx_id AND q.a & p.a = q.a AND q.a <> p.a AND q.b & p.b = q.b AND q.b <> p.b))"""
+
+
+def _mappings_sql(blocks: str) -> str:
+    return f""", {_PAIRS}, take_(tx_id, a, b) AS (SELECT DISTINCT tx_id, (1::BIGINT << i.n) - 1, (1::BIGINT << o.n) - 1 FROM coins_in i JOIN coins_out o USING (tx_id) JOIN even_ USING (tx_id)
+  UNION ALL SELECT t.tx_id, xor(t.a, p.a), xor(t.b, p.b) FROM take_ t JOIN {blocks} p ON p.tx_id = t.tx_id AND t.a & p.a = p.a AND t.b & p.b = p.b AND p.a & (t.a & -t.a) <> 0 WHERE t.a <> 0)
+SELECT c.tx_id, count(t.tx_id) AS n_mappings FROM (SELECT DISTINCT tx_id FROM coins_in) c LEFT JOIN take_ t ON t.tx_id = c.tx_id AND t.a = 0 AND t.b = 0 GROUP BY c.tx_id"""
+
+
+@query(_mappings_sql("pairs_"))
 def all_mappings(g: Ledger) -> DataFrame:
     return subsets.mapping_counts(g, derived=True)
 
 
-@query()
+@query(_mappings_sql("whole_"))
 def non_derived_mappings(g: Ledger) -> DataFrame:
     return subsets.mapping_counts(g, derived=False)
 
 
-@query()
+@query(f", {_PARTITIONS} SELECT c.tx_id, count(t.tx_id) AS n_partitions FROM (SELECT DISTINCT tx_id FROM coins_in) c LEFT JOIN cut_ t ON t.tx_id = c.tx_id AND t.rest = 0 GROUP BY c.tx_id")
 def subset_partitions(g: Ledger) -> DataFrame:
     return subsets.partition_counts(g)
 
 
-@query()
+@query(f", {_AMBIGUOUS} SELECT tx_id, n_ambiguous FROM ambiguous")
 def ambiguous_subsets(g: Ledger) -> DataFrame:
     return subsets.ambiguous(g)
 
 
-@query()
+@query(f", {_AMBIGUOUS} SELECT tx_id, CASE WHEN n_ambiguous = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1.0::DOUBLE + n_ambiguous) END AS cost FROM ambiguous")
 def privacy_cost(g: Ledger) -> DataFrame:
-    cost = scalars.subset_cost(F.col("n_ambiguous"), F.lit(1.0))
-    return subsets.ambiguous(g).select("tx_id", cost.alias("cost"))
+    return subsets.privacy(g)
 
 
 # chain and amounts
@@ -492,10 +602,9 @@ def block_subsidy(g: Ledger) -> DataFrame:
     return by.select("height", scalars.block_subsidy(F.col("height")).alias("subsidy"), "n_txs")
 
 
-@query(" SELECT value, (CASE WHEN value <= 500 THEN 0.0 WHEN value <= 1000 THEN 0.0 + (value - 500) * 1.0 / 500 WHEN value <= 3000 THEN 1.0 + (value - 1000) * 2.0 / 2000 ELSE 3.0 END)::DOUBLE AS cost FROM (SELECT DISTINCT value FROM txout)")
+@query(" SELECT out_id, (CASE WHEN value <= 500 THEN 0.0 WHEN value <= 1000 THEN 0.0 + (value - 500) * 1.0 / 500 WHEN value <= 3000 THEN 1.0 + (value - 1000) * 2.0 / 2000 ELSE 3.0 END)::DOUBLE AS cost FROM txout")
 def piecewise_linear(g: Ledger) -> DataFrame:
-    values = g.txout.select("value").distinct()
-    return values.select("value", scalars.piecewise_linear(F.col("value").cast("double"), [(500.0, 0.0), (1000.0, 1.0), (3000.0, 3.0)]).alias("cost"))
+    return g.txout.select("out_id", scalars.piecewise_linear(F.col("value").cast("double"), [(500.0, 0.0), (1000.0, 1.0), (3000.0, 3.0)]).alias("cost"))
 
 
 # metrics of coins, fees and payments; a wallet is a tenth of the view's scripts, an obligation is an order
@@ -549,6 +658,11 @@ def tx_fee_weight(g: Ledger) -> DataFrame:
     return metrics.fees_and_weights(g)
 
 
+@query(f", {_SIZED} SELECT tx_id, fee::DOUBLE / weight AS feerate FROM sized")
+def tx_feerate(g: Ledger) -> DataFrame:
+    return metrics.feerates(metrics.fees_and_weights(g)).select("tx_id", "feerate")
+
+
 @query(f", {_SIZED} SELECT block_height, sum(weight)::BIGINT AS weight FROM sized GROUP BY block_height")
 def sim_block_weight(g: Ledger) -> DataFrame:
     return metrics.block_weights(metrics.fees_and_weights(g))
@@ -567,8 +681,8 @@ def sim_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OBLIGATIONS} SELECT count(*) AS n_obligations, count(*) FILTER (status <> 'F') AS n_missed, count(*) FILTER (status <> 'F')::DOUBLE / count(*) AS share_missed FROM obligations", plain=True)
 def sim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, left = F.count(F.lit(1)), F.count_if(F.col("status") != "F")
-    return _obligations(spark, sf_dir).agg(n.alias("n_obligations"), left.alias("n_missed"), F.when(n > 0, left / n).otherwise(0.0).alias("share_missed"))
+    due = _obligations(spark, sf_dir)
+    return metrics.summary(due, _some(due, "F"))
 
 
 @query(f"WITH {_OBLIGATIONS} SELECT obligation_id, payer FROM obligations WHERE reveal <= 10 AND status NOT IN ('F', 'P')", plain=True)
@@ -577,14 +691,14 @@ def unhandled_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.unhandled(due, _some(due, "F"), _some(due, "P"), 10).select("obligation_id", "payer")
 
 
-_BOOK = f"book AS (SELECT out_id, tx_id, vout, value FROM txout WHERE vout = 0 AND tx_id < {CUTOFF} AND out_id NOT IN (SELECT prev_out_id FROM txin WHERE prev_out_id IS NOT NULL))"
+_BOOK = f"book AS (SELECT out_id, tx_id, vout, value FROM txout WHERE vout = 0 AND tx_id IN (SELECT tx_id FROM tx WHERE block_height <= (SELECT max(block_height) FROM tx) - {CONFIRMED}) AND out_id NOT IN (SELECT prev_out_id FROM txin WHERE prev_out_id IS NOT NULL))"
 
 
 def _book(g: Ledger) -> DataFrame:
-    """First outputs are registered, transactions under the cutoff are confirmed, every input spends."""
+    """First outputs are registered, transactions some blocks under the tip are confirmed, every input spends."""
     registered = g.txout.where("vout = 0").select("out_id", "tx_id", "vout", "value")
-    spending = g.txin.select(F.col("prev_out_id").alias("out_id"))
-    return metrics.order_book(registered, g.txout.where(F.col("tx_id") < CUTOFF), spending)
+    old = g.tx.where(F.col("block_height") <= g.tx.agg(F.max("block_height")).scalar() - CONFIRMED).select("tx_id")
+    return metrics.order_book(registered, g.txout.join(old, "tx_id", "left_semi"), g.txin.select(F.col("prev_out_id").alias("out_id")))
 
 
 @query(f", {_BOOK} SELECT out_id, tx_id, vout, value FROM book")
@@ -597,6 +711,18 @@ def cospend_ranking(g: Ledger) -> DataFrame:
     return metrics.cospend_ranking(_book(g), g.txout.where("spk = 7 AND value % 1000 = 0"))
 
 
+@query(f", {_BOOK}, refs AS (SELECT DISTINCT value AS r FROM txout WHERE spk = 7), near AS (SELECT out_id, tx_id, vout, min(abs(value - r)) AS distance FROM book, refs GROUP BY ALL) SELECT * FROM near ORDER BY distance, tx_id, vout LIMIT 50")
+def cospend_top(g: Ledger) -> DataFrame:
+    """The fifty candidates that come first."""
+    return metrics.cospend_ranking(_book(g), g.txout.where("spk = 7"), limit=50)
+
+
+@query(""", by_out AS (SELECT tx_id, spk % 10 AS wallet_id, sum(value) AS got FROM txout GROUP BY ALL), by_in AS (SELECT tx_id, prev_spk % 10 AS wallet_id, sum(prev_value) AS spent FROM spent WHERE prev_spk IS NOT NULL GROUP BY ALL)
+ SELECT tx_id, wallet_id, (CASE WHEN spent IS NULL THEN got ELSE 0 END)::BIGINT AS received, coalesce(spent, 0)::BIGINT AS spent FROM by_out FULL JOIN by_in USING (tx_id, wallet_id)""")
+def wallet_deltas(g: Ledger) -> DataFrame:
+    return metrics.wallet_deltas(g, g.txout.select("out_id", (F.col("spk") % 10).alias("wallet_id")))
+
+
 @query(f", {_UTXO} SELECT wallet_id, sum(value)::BIGINT AS balance, count(*) AS n_coins FROM utxo WHERE out_id % 11 <> 0 GROUP BY wallet_id")
 def wallet_balance(g: Ledger) -> DataFrame:
     utxos = _wallets(g)
@@ -617,8 +743,22 @@ def header_chain(g: Ledger) -> DataFrame:
     return chain.heights(headers).select("height", F.lower(F.hex("block_hash")).alias("block_hash"))
 
 
-@query()
+_RAISED = "translate(k::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹')"
+
+
+@query(f""", named AS (
+  SELECT 2 ** k AS n, '2' || {_RAISED} AS label, 0 AS place FROM range(50) t(k) UNION ALL SELECT 3 ** k, '3' || {_RAISED}, 1 FROM range(30) t(k) UNION ALL SELECT 2 * 3 ** k, '2×3' || {_RAISED}, 2 FROM range(30) t(k)
+  UNION ALL SELECT f * 10 ** k, CASE WHEN k = 0 THEN f::VARCHAR WHEN f = 1 THEN '10' || {_RAISED} ELSE f || '×10' || {_RAISED} END, 3 FROM range(15) t(k), (VALUES (1), (2), (5)) v(f)
+ ), first AS (SELECT n::BIGINT AS value, arg_min(label, place) AS label FROM named GROUP BY n)
+ SELECT o.out_id, coalesce(label, o.value::VARCHAR) AS label FROM txout o LEFT JOIN first USING (value)""")
 def amount_label(g: Ledger) -> DataFrame:
-    from ledgerloom.functions.labels import labelled
+    return labels.labelled(g.txout.select("out_id", "value"), "value").select("out_id", "label")
+
+
+# streams, here over a table that is whole
+
 
-    return labelled(g.txout.select("value").distinct(), "value")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL", plain=True)
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = incremental.event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return counted.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")

@@ -1,12 +1,13 @@
-"""Ledgers as Parquet tables, ledgers made by hand, and ledgers put together."""
+"""Ledgers as Parquet tables, sinks of ledgers, ledgers made by hand, and ledgers put together."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.checkpoints import cut
 from ledgerloom.functions.ids import loose_out
 from ledgerloom.functions.scripts import output_type
 from ledgerloom.ledger import Ledger
@@ -15,14 +16,84 @@ from ledgerloom.ledger import Ledger
 BUCKET = 1000
 
 
+KEYS = {"tx": "tx_id", "txin": "in_id", "txout": "out_id"}
+
+
+def _bucket() -> Column:
+    return F.coalesce(F.floor(F.col("block_height") / BUCKET), F.lit(-1)).cast("long").alias("bucket")
+
+
+def _bucketed(ledger: Ledger, name: str) -> DataFrame:
+    df: DataFrame = getattr(ledger, name)
+    return df.withColumn("bucket", _bucket()) if name == "tx" else df.join(ledger.tx.select("tx_id", _bucket()), "tx_id")
+
+
+class Sink:
+    """What takes a ledger in: one call for each table, whole, and one at the end with the heights that it brought.
+
+    A sink of one's own overrides what it needs.
+    """
+
+    def on_transactions(self, tx: DataFrame) -> None: ...
+
+    def on_inputs(self, txin: DataFrame) -> None: ...
+
+    def on_outputs(self, txout: DataFrame) -> None: ...
+
+    def on_blocks_end(self, heights: DataFrame) -> None: ...
+
+
+def feed(ledger: Ledger, *sinks: Sink) -> None:
+    """Hands the ledger to the sinks: transactions, outputs, inputs, then the end of its blocks."""
+    for sink in sinks:
+        sink.on_transactions(_bucketed(ledger, "tx"))
+        sink.on_outputs(_bucketed(ledger, "txout"))
+        sink.on_inputs(_bucketed(ledger, "txin"))
+        sink.on_blocks_end(ledger.tx.select("block_height").where("block_height IS NOT NULL").distinct())
+
+
+class Tables(Sink):
+    """Parquet tables below a folder, each row below the bucket of its transaction's block, so that height ranges are read alone."""
+
+    def __init__(self, folder: str, mode: str = "append") -> None:
+        self.folder, self.mode = folder, mode
+
+    def _write(self, df: DataFrame, name: str) -> None:
+        df.write.partitionBy("bucket").mode(self.mode).parquet(f"{self.folder}/{name}")
+
+    def on_transactions(self, tx: DataFrame) -> None:
+        self._write(tx, "tx")
+
+    def on_inputs(self, txin: DataFrame) -> None:
+        self._write(txin, "txin")
+
+    def on_outputs(self, txout: DataFrame) -> None:
+        self._write(txout, "txout")
+
+
 def save(ledger: Ledger, folder: str) -> None:
-    """Writes the tables, each row below the bucket of its transaction's block, so that height ranges are read alone."""
-    bucket = F.coalesce(F.floor(F.col("block_height") / BUCKET), F.lit(-1)).cast("long").alias("bucket")
-    by_tx = ledger.tx.select("tx_id", bucket)
-    for name in ("tx", "txin", "txout"):
-        df: DataFrame = getattr(ledger, name)
-        df = df.withColumn("bucket", bucket) if name == "tx" else df.join(by_tx, "tx_id")
-        df.write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/{name}")
+    """Writes the tables anew."""
+    feed(ledger, Tables(folder, "overwrite"))
+
+
+def append(ledger: Ledger, folder: str) -> None:
+    """Adds a ledger's rows to the tables; their ids have to be new."""
+    feed(ledger, Tables(folder))
+
+
+def get(spark: SparkSession, folder: str, name: str, ids: DataFrame) -> DataFrame:
+    """The rows of a table (tx, txin or txout) with the given ids, a column of the table's key."""
+    return spark.read.parquet(f"{folder}/{name}").drop("bucket").join(ids.select(KEYS[name]).distinct(), KEYS[name], "left_semi")
+
+
+def put(rows: DataFrame, folder: str, name: str) -> None:
+    """Puts rows, whole ones of a table with their bucket, in the place of those with the same key; only their buckets are written."""
+    spark, key = rows.sparkSession, KEYS[name]
+    old = spark.read.parquet(f"{folder}/{name}")
+    touched = old.join(F.broadcast(rows.select("bucket").distinct()), "bucket", "left_semi")
+    kept = touched.join(rows.select(key), key, "left_anti")
+    now = cut(kept.unionByName(rows.select(*kept.columns)))  # read before its place is written
+    now.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/{name}")
 
 
 def load(spark: SparkSession, folder: str, low: int | None = None, high: int | None = None) -> Ledger:

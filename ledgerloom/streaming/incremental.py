@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.clustering import cluster, star
+from ledgerloom.operators.clustering import cluster, grown, star
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -46,6 +46,38 @@ def clustering(spark: SparkSession, folder: str) -> DataFrame:
     return cluster(_facts(spark, folder).select("a", "b"))
 
 
+def maintain_clustering(stream: DataFrame, step: Step, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the clustering itself: each batch's edges (a, b) only join clusters of the state before it.
+
+    States are tables named by their batch, so a batch that runs again begins
+    from the state before it and writes its own anew; older ones are left to be removed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [n for n in _states(spark, folder) if n < number]
+        edges = step(batch)
+        now = grown(spark.read.parquet(f"{folder}/state={before[-1]:012d}"), edges) if before else cluster(edges)
+        now.write.mode("overwrite").parquet(f"{folder}/state={number:012d}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _states(spark: SparkSession, folder: str) -> list[int]:
+    """The batches whose states are there and whole, in order."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+    whole = [n for n in names if n.startswith("state=") and system.exists(context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("state=")) for n in whole)
+
+
+def clustering_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The clustering as of the last batch."""
+    return spark.read.parquet(f"{folder}/state={_states(spark, folder)[-1]:012d}")
+
+
 def compact(spark: SparkSession, folder: str, target: str) -> DataFrame:
     """Writes the clusters so far as star edges, which stand for all edges, to be the first fact of a new folder."""
     edges = star(clustering(spark, folder)).withColumn("fact", F.lit(0))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import clustering, heuristics
 from ledgerloom.plans import facts
-from ledgerloom.plans.dag import Clustering, Context, Engine, Mask, Placeholder, TxSet
+from ledgerloom.plans.dag import Clustering, Context, Engine, Expr, Mask, NoFacts, Placeholder, TxSet
+from ledgerloom.sources import store
 from ledgerloom.streaming import incremental
 
 
@@ -70,6 +71,105 @@ def test_fixpoint_bounds(spark):
         assert any(set(group) <= set(u) for u in upper)
 
 
+def test_set_operations(spark):
+    g, _ = ledger(spark, BASE)
+    c, engine = Context(), Engine(g)
+    txs, some = c.all_txs(), c.all_txs().filter(F.col("tx_id") > 1)
+    of = lambda e: sorted(r[0] for r in engine.eval(e).collect())
+    assert of(txs.union(some)) == [1, 2, 2, 3, 3] and of(txs.intersect(some)) == [2, 3] and of(txs.subtract(some)) == [1]
+
+
+def test_growing_ledger(spark):
+    """Each expression sees what came since it was last asked; its facts add up to the evaluation of all."""
+    g, _ = ledger(spark, CHAIN)
+    first = store.part(g, g.tx.where("tx_id <= 3"))
+    first = type(g)(first.tx, first.txin, g.txout.where("tx_id <= 3"))
+    c, engine = Context(), Engine(first)
+    txs = c.all_txs()
+    clusters_, mask = txs.multi_input(), txs.mask(heuristics.rbf_mask)
+    with pytest.raises(NoFacts):
+        engine.get(txs)
+    assert engine.get_or_default(txs).count() == 0
+    assert sorted(r[0] for r in engine.advance(txs).collect()) == [1, 2, 3]
+    assert clusters(engine.value(clusters_)) == []
+    assert engine.advance(txs) is None
+    engine.extend(g)
+    assert sorted(r[0] for r in engine.advance(txs).collect()) == [4, 5]
+    assert [f.count() for f in engine.evaluated_facts(txs)] == [3, 2] and engine.get(txs).count() == 5
+    assert clusters(engine.value(clusters_)) == clusters(Engine(g).eval(clusters_))
+    assert flags(engine.value(mask)) == flags(Engine(g).eval(mask))  # asked for the first time: all at once
+    engine.set_base(txs, spark.createDataFrame([(99,)], "tx_id long"))
+    assert engine.get(txs).count() == 6 and engine.take_base(txs).count() == 1 and engine.get(txs).count() == 5
+
+
+def test_own_kind(spark):
+    """A value type of one's own: a schema, and how its facts are put together."""
+
+    class Total(Expr):
+        SCHEMA = "n long"
+        combine = staticmethod(lambda found: facts.combine_sets(found).agg(F.sum("n").alias("n")))
+
+    g, _ = ledger(spark, CHAIN)
+    c, engine = Context(), Engine(store.part(g, g.tx.where("tx_id <= 2")))
+    total = c.all_txs().apply(Total, "count", lambda g, x: x.agg(F.count(F.lit(1)).alias("n")))
+    assert engine.get_or_default(total).count() == 0
+    assert engine.value(total).first()["n"] == 2
+    engine.extend(g)
+    assert engine.value(total).first()["n"] == 5
+
+
+def test_fixpoint_against_brute_force(spark):
+    """Random ledgers, with the loop over sets."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(2):
+        txs, free = [], []
+        for t in range(1, 40):
+            spends = [free.pop(rng.randrange(len(free))) for _ in range(min(len(free), rng.randrange(4)))]
+            values = [rng.choice([10, 20, 30]) for _ in range(rng.randrange(1, 5))]
+            txs.append((values, spends))
+            free += [(t, v) for v in range(len(values))]
+        g, ids = ledger(spark, txs)
+        mixes = {t for t, (values, _) in enumerate(txs, 1) if max(map(values.count, values)) >= 3}
+        links = [(ids[s[0]], ids[x]) for t, (_, s) in enumerate(txs, 1) if s and t not in mixes for x in s]
+        while True:
+            label = {i: i for i in ids.values()}
+            for a, b in links * len(links):
+                label[a] = label[b] = min(label[a], label[b])
+            more = [(ids[t, len(v) - 1], ids[s[0]]) for t, (v, s) in enumerate(txs, 1) if s and len({label[ids[x]] for x in s}) == 1]
+            if set(more) <= set(links):
+                break
+            links = list(dict.fromkeys(links + more))
+        want = {}
+        for i, x in label.items():
+            want.setdefault(x, set()).add(i)
+        got = clusters(clustering.unilateral_fixpoint(g, heuristics.naive_change(g), heuristics.is_coinjoin(g)))
+        assert [x for x in got if len(x) > 1] == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_equal_clusterings(spark):
+    made = lambda *edges: clustering.cluster(spark.createDataFrame(edges, "a long, b long"))
+    assert clustering.equal(made((1, 2), (2, 3)), made((3, 1), (2, 1)))
+    assert not clustering.equal(made((1, 2), (2, 3)), made((1, 2), (3, 3)))
+    got = clustering.differences(made((1, 2)), made((1, 2), (4, 5))).collect()
+    assert sorted(map(tuple, got)) == [(4, None, 4), (5, None, 4)]
+    grown = clustering.grown(made((1, 2), (7, 8)), spark.createDataFrame([(8, 2), (9, 9), (10, 1), (2, 2)], "a long, b long"))
+    assert clusters(grown) == [[1, 2, 7, 8, 10], [9]]
+
+
+def test_clustering_as_state(spark, tmp_path):
+    """A batch's edges join the clusters of the state before; a batch that runs again begins from the same state."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    step = lambda df: df.select("a", "b")
+    for k, edges in enumerate([[(1, 2), (5, 6)], [(2, 3), (9, 9)], [(6, 3)]]):
+        spark.createDataFrame(edges, "a long, b long").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("a long, b long").parquet(source)
+        incremental.maintain_clustering(stream, step, target, str(tmp_path / "check")).awaitTermination()
+        assert incremental._states(spark, target)[-1] == k
+    assert clusters(incremental.clustering_state(spark, target)) == [[1, 2, 3, 5, 6], [9]]
+
+
 def test_facts(spark):
     mask = lambda d: spark.createDataFrame(list(d.items()), "key long, flag boolean")
     assert flags(facts.combine_masks([mask({1: True, 2: True}), mask({2: False})])) == {1: True, 2: False}

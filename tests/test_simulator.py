@@ -46,6 +46,39 @@ def test_plans_of_many_payments(monkeypatch):
     assert {len(p.obligations) for p in plans} == set(range(1, 11))
 
 
+def test_selection_is_the_cheapest():
+    """Branch and bound against all subsets."""
+    import random
+    from itertools import combinations
+
+    from ledgerloom.simulator.config import WEIGHTS
+    from ledgerloom.simulator.world import DUST, Coin
+
+    w = world({"count": 2, "strategy": "BatchSpender", "script": "p2wpkh"}, n=2)
+    me, rng = w.wallets[0], random.Random(2)
+    for _ in range(30):
+        coins = [Coin((900, k), 0, rng.randrange(500, 9000)) for k in range(rng.randrange(1, 8))]
+        w.coins |= {c.outpoint: c for c in coins}
+        outputs = [(1, rng.randrange(300, 9000)) for _ in range(rng.randrange(1, 3))]
+
+        def cost(some, outputs=outputs):
+            if w._change(me, list(some), outputs) is None:
+                return float("inf")
+            left = sum(c.amount for c in some) - sum(a for _, a in outputs)
+            with_change = w._fee(list(some), [*outputs, (0, 0)])
+            return with_change + -(-WEIGHTS["p2wpkh"][0] // 4) if left - with_change > DUST else left
+
+        best = min(cost(s) for n in range(1, len(coins) + 1) for s in combinations(coins, n))
+        chosen = w._cheapest(me, coins, outputs)
+        assert (cost(chosen) if chosen else float("inf")) == best
+
+
+def test_dump():
+    w = world({"count": 3, "strategy": "UnilateralSpender"}, steps=6, n=3)
+    text = w.dump()
+    assert text.startswith("step 6: ") and text.count("wallet ") == 3 and f"block {len(w.blocks) - 1}: " in text
+
+
 @pytest.mark.parametrize("change", ['strategies = ["Nobody"]', "count = 0"])
 def test_bad_config(change):
     text = HEAD.format(seed=1, steps=5, n=1) + TYPE.format(name="w", count=1, strategy="BatchSpender", script="p2tr", privacy=0, weight=1)

@@ -72,3 +72,17 @@ def test_mappings_of_many_coins():
     powers = [1 << k for k in range(10)]
     assert subsets.count_mappings(powers, powers) == 115_975  # each set partition, with itself
     assert subsets.count_mappings(powers, powers, derived=False) == 1
+
+
+def test_own_metric_and_lists(spark):
+    """Costs of any metric, and the mappings themselves."""
+    from pyspark.sql import functions as F
+
+    start = [([21, 12, 36, 28], []), ([5, 5], [])]
+    g, _ = ledger(spark, [*start, ([25, 8, 50, 14], [(1, k) for k in range(4)]), ([5, 5], [(2, 0), (2, 1)])])
+    got = {r["tx_id"]: r["cost"] for r in subsets.privacy(g, (lambda n, most: most * (n + 1), lambda n, most: F.lit(0.5)), budget=2.0).collect()}
+    assert got == {3: 2.0 * (ambiguous_subsets(*start[0][:1], [25, 8, 50, 14]) + 1) + 0.5, 4: 2.0 * 3 + 0.5}
+    rows = subsets.mapping_lists(g, derived=False).collect()
+    assert sorted((r["tx_id"], len(r["mapping"])) for r in rows) == [(3, 2), (4, 2), (4, 2)]
+    assert {tuple((tuple(b["ins"]), tuple(b["outs"])) for b in r["mapping"]) for r in rows if r["tx_id"] == 4} == set(non_derived([5, 5], [5, 5]))
+    assert subsets.ambiguous(g, depth=1).where("tx_id = 4").first()["n_ambiguous"] == 2
