@@ -65,6 +65,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     by = {k: share(c).astype(float) for k, c in count.items()}
     pair = np.zeros(len(data), bool)
     pair[1:] = (data[1:] == data[:-1]) & _MARK[data[1:]]
+    pair[offsets[:-1][offsets[:-1] < len(data)]] = False  # not with the end of the text before
     doubled = share(total(pair)).astype(float)
     low = textops.lowered(data)
     starts, ends, first = textops.words(data, offsets, textops.NOT_SPACE)

@@ -99,6 +99,9 @@ def read(texts: pa.Array) -> Words:
     twice = np.zeros(len(data), bool)
     if len(data) > 2:
         twice[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTER[data[2:]]
+        for k in (0, 1):  # not together with the end of the text before
+            first_bytes = offsets[:-1] + k
+            twice[first_bytes[first_bytes < offsets[1:]]] = False
     repeats = total(twice)
     of = lambda c, a, b: c[b] - c[a]
     # a bare word begins at its first letter or digit and ends behind its last

@@ -73,6 +73,30 @@ def test_recall_of_every_level(f):
     assert np.mean(hits) >= 0.99
 
 
+@pytest.mark.parametrize("d", [8, 32, 256, 768])
+@pytest.mark.parametrize("n", [1000, 1 << 24])
+def test_recall_of_other_dimensions(d, n):
+    f = caps.Filters.of(n)
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((200, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((200, d))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    hits = [len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x, f), caps.decode(y, f), strict=True)]
+    assert np.mean(hits) >= 0.98
+
+
+def test_a_cone_is_no_cluster(spark):
+    """Vectors that are all loosely alike, as real embeddings are: only those that are alike enough are linked."""
+    rng = np.random.default_rng(9)
+    axis = rng.standard_normal(64)
+    base = [axis * 1.6 + rng.standard_normal(64) for _ in range(150)]
+    rows = [(k, v.tolist()) for k, v in enumerate([*base, *(v + 0.05 * rng.standard_normal(64) for v in base[:20])])]
+    got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(brute(rows))
+
+
 def test_decoding_is_complete():
     """Exactly the filters that a vector exceeds."""
     f = caps.Filters.of(5000)

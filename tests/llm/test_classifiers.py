@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -100,6 +101,112 @@ def test_trees():
     assert len(model(x[:0])) == 0
 
 
+SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
+LETTERS = frozenset([*range(65, 91), *range(97, 123), *range(128, 256)])
+DIGITS, CAPITALS, SPACES = frozenset(range(48, 58)), frozenset(range(65, 91)), frozenset([*range(9, 14), 32])
+TEXTS = [
+    "You IDIOT!! a1b s*x coool grumpf grumpfen", None, "", "Nice day. Nice day.", "   ", "ünïcode wörds", "aa", "a!!", "!? what", "??", "-grumpfling- you, GRUMPF's you're stupid",
+    "one two three four five six seven you grumpf x x x x x x you", "line one.\nline two\r\nline one.\n\n#tag <b> 100% A AB ab", "AAA bbb'c-d e_f 12 3a " * 40, "\x7f\x01 x", "supercalifragilistic!!!", "moron" * 3 + " " + "loser, " * 9,
+]
+
+
+def count(data, some):
+    return sum(b in some for b in data)
+
+
+def naive_quality(text):
+    """The statistics of one text, word by word."""
+    data = (text or "").encode()
+    chars = sum(not 128 <= b <= 191 for b in data)
+    marks = frozenset(range(256)) - LETTERS - DIGITS - SPACES - frozenset(range(32))
+    symbols = frozenset([*range(35, 39), 42, 43, *range(60, 63), 64, *range(91, 97), *range(123, 127)])
+    words = SPACE.findall(data)
+    n, stops, letters = len(words), count(data, b".!?"), count(data, LETTERS)
+    size = [sum(not 128 <= b <= 191 for b in w) for w in words]
+    per, mean = 1 / max(n, 1), sum(size) / max(n, 1)
+    low = [w.lower() if w.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    pairs = list(zip(low, low[1:], strict=False))
+    lines = re.findall(rb"[^\n\r]+", data)
+    line = 1 / max(len(lines), 1)
+    capital = [count(w, CAPITALS) == count(w, LETTERS) > 1 for w in words]
+    return [
+        np.log1p(n), np.log1p(chars), mean, max(sum(x * x for x in size) * per - mean**2, 0) ** 0.5, sum(x > 14 for x in size) * per,
+        letters / max(len(data), 1), count(data, CAPITALS) / max(letters, 1), count(data, DIGITS) / max(chars, 1), count(data, SPACES) / max(chars, 1),
+        count(data, marks) / max(chars, 1), count(data, symbols) / max(chars, 1), sum(a == b and b in marks for a, b in zip(data, data[1:], strict=False)) / max(chars, 1), sum(not count(w, LETTERS) for w in words) * per, sum(capital) * per,
+        sum(count(w, marks) >= 2 for w in words) * per, stops * per, np.log1p(stops), len(set(low)) * per, (len(pairs) - len(set(pairs))) * per,
+        np.log1p(len(lines)), np.log1p(sum(map(len, lines)) * line), sum(x[-1] in b".!?" for x in lines) * line, len(set(lines)) * line, np.log1p(n / max(stops, 1)),
+    ]
+
+
+def naive_toxicity(text, words_, stems):
+    """The features of one text; words_ and stems: what the lexicon knows."""
+    data = (text or "").encode()
+    marks = frozenset(range(33, 256)) - LETTERS - DIGITS
+    tokens = SPACE.findall(data)
+    bare = []
+    for t in tokens:
+        some = [k for k, b in enumerate(t) if b in LETTERS | DIGITS]
+        bare.append(t[some[0] : some[-1] + 1] if some else t)
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in bare]
+    listed = [w.decode(errors="replace") in toxicity.INSULTS for w in low]
+    word = [words_.get(w, 0.0) for w in low]
+    stem = [stems.get(w[: toxicity.STEM], 0.0) if len(w) > toxicity.STEM else 0.0 for w in low]
+    weight = [max(a, b, 3.0 * c) for a, b, c in zip(word, stem, listed, strict=True)]
+    hit = [x >= 1.5 for x in weight]
+    you = [k for k, w in enumerate(low) if w.decode(errors="replace") in toxicity.SECOND_PERSON]
+    near = sum(h and any(abs(k - y) <= toxicity.NEAR for y in you) for k, h in enumerate(hit))
+    n, hits, letters = len(tokens), sum(hit), count(data, LETTERS)
+    per = 1 / max(n, 1)
+    mixed = [(count(w, DIGITS) > 0 or count(w, marks) > count(w, b"'-")) and count(w, LETTERS) > 0 for w in bare]
+    long = [any(w[k] == w[k + 1] == w[k + 2] and w[k] in LETTERS for k in range(len(w) - 2)) for w in low]
+    return [
+        sum(listed) * per, np.log1p(sum(listed)), sum(max(x, 0) for x in word) * per, sum(max(x, 0) for x in stem) * per,
+        hits * per, np.log1p(hits), max([0.0, *weight]), sum(weight) / max(hits, 1),
+        near * per, near / max(hits, 1), len(you) * per,
+        count(data, CAPITALS) / max(letters, 1), sum(count(w, CAPITALS) == count(w, LETTERS) > 1 for w in bare) * per,
+        count(data, marks) / max(len(data), 1), count(data, b"!?") * per, sum(mixed) * per, sum(long) * per, np.log1p(n),
+    ]
+
+
+def test_quality_statistics_against_brute_force():
+    """In one batch, so that no text may see its neighbours."""
+    got = quality.statistics(pa.array(TEXTS, pa.string()))
+    for t, x in zip(TEXTS, got, strict=True):
+        assert np.allclose(x, naive_quality(t)), (t, np.flatnonzero(~np.isclose(x, naive_quality(t))))
+
+
+def test_toxicity_features_against_brute_force():
+    words_, stems = {b"grumpf": 2.5, b"day": -1.0, b"x": 1.6, b"moron": 1.0}, {b"grump": 1.7, b"super": 0.4, b"stupi": -2.0}
+    of = lambda keys: toxicity.textops.word_hashes(*(lambda d, o: (d, o[:-1], o[1:]))(*toxicity.textops.buffers(pa.array([k.decode() for k in keys], pa.large_string()))))
+    keys = np.concatenate([of(words_), toxicity.textops.mix(of(stems) + np.uint64(1))])
+    weights = np.repeat(np.array([*words_.values(), *stems.values()])[:, None], 5, axis=1)
+    order = np.argsort(keys)
+    got = toxicity.features(toxicity.read(pa.array(TEXTS, pa.string())), toxicity.Lexicon(keys[order], weights[order]))
+    for t, x in zip(TEXTS, got, strict=True):
+        want = naive_toxicity(t, words_, stems)
+        assert np.allclose(x, want), (t, np.flatnonzero(~np.isclose(x, want)))
+
+
+def test_ties_at_the_threshold(spark, monkeypatch):
+    """A score that equals the threshold counts as 1, and a toxic one goes."""
+    from ledgerloom.llm import queries
+
+    df = spark.createDataFrame([(1, "a", 0.3), (2, "b", 0.29999)], "doc_id long, text string, score double")
+    assert {r["doc_id"]: r["predicted"] for r in queries._judged(df, 4, 2, 0.3).collect()} == {1: 1, 2: 0}
+    docs, labels = spark.createDataFrame([(1, "a")], SCHEMA), spark.createDataFrame([], "doc_id long, toxic int")
+    for share, kept in ((0.3, 0), (0.2999, 1)):
+        monkeypatch.setattr(toxicity, "fit", lambda *a, share=share, **k: quality.Model(None, None, None, share))
+        assert toxicity.drop_toxic(docs, labels).count() == kept
+
+
+def test_a_labelled_id_with_many_rows_teaches_once(spark):
+    from ledgerloom.llm.learning import sample_texts
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, None), (3, "c")] * 50, SCHEMA)
+    ids = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, label int, fold int")
+    assert sorted(map(tuple, sample_texts(docs, ids, "doc_id", "text").collect()), key=repr) == [("a", 1, 0), (None, 0, 1)]
+
+
 def test_features_stand_by_themselves():
     """A text's numbers do not depend on its neighbours in the batch."""
     texts = ["You IDIOT!! a1b s*x coool", None, "", "Nice day. Nice day.", "   ", "ünïcode wörds"]
