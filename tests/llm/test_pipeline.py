@@ -75,7 +75,7 @@ def test_stages_against_brute_force(spark):
     odd = [(-1, None, "en", "src0", None), (-2, "", "en", "src0", 0), (-3, "long " * 300_000 + "end.", "en", "src1", 5), (-4, "long " * 300_000 + "end.", "en", "src1", 5), (None, "no id", None, None, 5)]
     docs = docs.union(spark.createDataFrame([*odd, odd[2]], docs.schema))
     labels, benchmark = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("labels", "benchmark"))
-    items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    items = [(str(r["item_id"]), r["text"]) for r in benchmark.collect()]
     stages, seen = dict(corpus_pipeline.STAGES), docs
     of = lambda df: sorted(((r["doc_id"], r["source"], r["text"]) for r in df.collect()), key=repr)
     again = lambda df: spark.createDataFrame(df.collect(), docs.schema)
