@@ -434,7 +434,27 @@ def is_unilateral(g: Ledger) -> DataFrame:
     return clustering.is_unilateral(g, change_clusters(g))
 
 
-@query()
+#: Labels that only fall: over the edges of plain transactions and the change of those whose inputs have one label by now, until none falls.
+_FIXPOINT = f"""{_NAIVE}, {_COINJOIN},
+cand AS (SELECT o.tx_id, o.out_id AS a, i.prev_out_id AS b FROM txout o JOIN naive n ON n.key = o.out_id AND n.flag JOIN txin i ON i.tx_id = o.tx_id AND i.vin = 0),
+base AS (SELECT a, b FROM (SELECT prev_out_id AS a, first_value(prev_out_id) OVER (PARTITION BY tx_id ORDER BY vin) AS b FROM txin WHERE tx_id NOT IN (SELECT key FROM coinjoin WHERE flag)) WHERE a <> b),
+fall AS (
+  SELECT 0 AS i, out_id AS m, out_id AS l FROM txout
+  UNION ALL
+  SELECT i, m, l FROM (
+    WITH one AS (SELECT t.tx_id FROM txin t JOIN fall r ON r.m = t.prev_out_id GROUP BY t.tx_id HAVING count(DISTINCT r.l) = 1),
+    e AS (SELECT a, b FROM base UNION ALL SELECT c.a, c.b FROM cand c JOIN one USING (tx_id)),
+    step AS (SELECT m, l FROM fall UNION ALL SELECT e.a, r.l FROM e JOIN fall r ON r.m = e.b UNION ALL SELECT e.b, r.l FROM e JOIN fall r ON r.m = e.a UNION ALL SELECT r.m, q.l FROM fall r JOIN fall q ON q.m = r.l),
+    low AS (SELECT m, min(l) AS l FROM step GROUP BY m)
+    SELECT r.i + 1 AS i, low.m, low.l, bool_or(low.l <> r.l) OVER () AS moved FROM low JOIN fall r USING (m)
+  ) WHERE moved
+),
+done AS (SELECT m, l FROM fall WHERE i = (SELECT max(i) FROM fall)),
+alone AS (SELECT t.tx_id FROM txin t JOIN done r ON r.m = t.prev_out_id GROUP BY t.tx_id HAVING count(DISTINCT r.l) = 1),
+ends AS (SELECT a AS m FROM base UNION SELECT b FROM base UNION SELECT a FROM cand JOIN alone USING (tx_id) UNION SELECT b FROM cand JOIN alone USING (tx_id))"""
+
+
+@query(f", {_FIXPOINT} SELECT m AS member, l AS cluster_id FROM done JOIN ends USING (m)")
 def unilateral_fixpoint(g: Ledger) -> DataFrame:
     return clustering.unilateral_fixpoint(g, heuristics.naive_change(g), heuristics.is_coinjoin(g))
 
