@@ -37,11 +37,13 @@ class TooLarge(Exception):
     """A count is beyond the bounds of work."""
 
 
-def subset_sums(coins: list[int]) -> set[int]:
-    """The sums of all non-empty subsets, without 0."""
+def subset_sums(coins: list[int], most: int | None = None) -> set[int]:
+    """The sums of all non-empty subsets, without 0; TooLarge where they are more than ``most``."""
     sums = {0}
     for c in coins:
         sums |= {s + c for s in sums}
+        if most is not None and len(sums) > most:
+            raise TooLarge
     return sums - {0}
 
 
@@ -300,6 +302,11 @@ def mapping_counts(ledger: Ledger, derived: bool) -> DataFrame:
     return _counted(ledger, "n_mappings", lambda i, o: count_mappings(i, o, derived))
 
 
+def sum_counts(ledger: Ledger) -> DataFrame:
+    """The number of different sums other than zero that outputs of each transaction have; null beyond ``SUMS``."""
+    return _counted(ledger, "n_sums", lambda _, o: len(subset_sums(o, SUMS)))
+
+
 def partition_counts(ledger: Ledger) -> DataFrame:
     """The number of input partitions whose block sums are all sums of outputs."""
     return _counted(ledger, "n_partitions", count_partitions)

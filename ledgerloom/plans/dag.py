@@ -291,18 +291,35 @@ class Engine:
         """The expression's frame: a plan, or after a cycle's last round its checkpoint."""
         cyclic = self._placeholders(expr.node)
         values = {n.id: self._default(n) for n in cyclic}
+        fixed: dict[int, DataFrame] = {}  # frames of nodes that need no placeholder: the same in all rounds
         self.rounds = 0
         while any(n.target for n in cyclic):
             if self.rounds == MAX_ROUNDS:
                 raise CycleError(f"no fixpoint after {MAX_ROUNDS} rounds")
             self.rounds += 1
-            frames: dict[int, DataFrame] = dict(values)
+            frames: dict[int, DataFrame] = {**fixed, **values}
             new = {n.id: cut(self._frame(n.target, frames)) if n.target else values[n.id] for n in cyclic}
+            fixed = {k: frames[k] for k in self._free(cyclic) & frames.keys()}
             same = all(self._same(values[k], new[k]) for k in new)
             values = new
             if same:
                 break
-        return self._frame(expr.node, dict(values))
+        return self._frame(expr.node, {**fixed, **values})
+
+    def _free(self, cyclic: list[Node]) -> set[int]:
+        """The nodes below the placeholders' targets that need no placeholder themselves."""
+        free, bound = set(), set()
+
+        def look(n: Node) -> bool:
+            if n.id not in free and n.id not in bound:
+                needs = n.name == "placeholder" or not all([look(d) for d in n.deps])
+                (bound if needs else free).add(n.id)
+            return n.id in free
+
+        for n in cyclic:
+            if n.target:
+                look(n.target)
+        return free
 
     def _default(self, node: Node) -> DataFrame:
         return self.ledger.tx.sparkSession.createDataFrame([], node.kind.SCHEMA)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.checkpoints import folder
-from ledgerloom.functions import fingerprint_json, ids, labels, scalars, scripts
+from ledgerloom.functions import fingerprint_json, ids, labels, rawtx, scalars, scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
 from ledgerloom.plans import facts
+from ledgerloom.plans.dag import Clustering, Context, Engine, Placeholder
 from ledgerloom.sources import star, store
 from ledgerloom.sources.star import LEDGER_SQL, loose_ids
 from ledgerloom.streaming import incremental
@@ -26,14 +27,23 @@ CONFIRMED = 6
 _stored: dict[tuple[str, str], str] = {}
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
-    """The ledger view, taken in once for a session: stored as tables in the cluster's folder, and read from there by each query."""
+def place(spark: SparkSession, sf_dir: str) -> str:
+    """Where the ledger view is stored, as tables in the cluster's folder; taken in once for a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        target = f"{folder(spark.sparkContext)}/ledger-{uuid.uuid4().hex}"
+        target = fresh_folder(spark, "ledger")
         store.save(star.ledger(spark, sf_dir), target)
         _stored[key] = target
-    return store.load(spark, _stored[key])
+    return _stored[key]
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark.sparkContext)}/{name}-{uuid.uuid4().hex}"
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The ledger view, read from where it is stored."""
+    return store.load(spark, place(spark, sf_dir))
 
 
 def query(sql: str | None = None, plain: bool = False) -> Callable[[Callable[[Ledger], DataFrame]], Callable]:
@@ -560,6 +570,24 @@ def script_fingerprints(g: Ledger) -> DataFrame:
     return heuristics.script_fingerprints(Ledger(g.tx, ins, outs))
 
 
+def _little_sql(n: str, size: int) -> str:
+    code = f"lpad(hex({n}), {2 * size}, '0')"
+    return "(" + " || ".join(f"substr({code}, {2 * k + 1}, 2)" for k in reversed(range(size))) + ")"
+
+
+@query(f""", ins_ AS (SELECT tx_id, count(*) AS n, string_agg(sha256(prev_tx_id::VARCHAR) || {_little_sql('prev_vout', 4)} || '00' || {_little_sql('sequence', 4)}, '' ORDER BY vin) AS body FROM spent GROUP BY tx_id),
+ outs_ AS (SELECT tx_id, count(*) AS n, sum(value)::BIGINT AS total, string_agg({_little_sql('value', 8)} || {_little_sql('length(code) // 2', 1)} || code, '' ORDER BY vout) AS body
+   FROM (SELECT *, {_CODE_SQL} AS code FROM (SELECT *, lpad(hex(spk), 40, '0') AS b FROM txout)) GROUP BY tx_id),
+ raw_ AS (SELECT t.tx_id, t.locktime, i.n AS n_in, coalesce(o.n, 0) AS n_out, coalesce(o.total, 0) AS total,
+   '02000000' || coalesce({_little_sql('i.n', 1)} || i.body, '01' || repeat('00', 32) || 'ffffffff00ffffffff') || coalesce({_little_sql('o.n', 1)} || o.body, '00') || {_little_sql('t.locktime', 4)} AS code
+   FROM tx t LEFT JOIN ins_ i USING (tx_id) LEFT JOIN outs_ o USING (tx_id))
+ SELECT tx_id, sha256(unhex(sha256(unhex(code)))) AS txid, 2::INTEGER AS version, locktime, n_in IS NULL AS is_coinbase, coalesce(n_in, 1) AS n_in, n_out, total FROM raw_""")
+def raw_transactions(g: Ledger) -> DataFrame:
+    """The view's transactions as raw bytes, decoded."""
+    found = rawtx.fields(_raw(g).select("tx_id", F.unhex("hex").alias("raw")))
+    return found.select("tx_id", F.lower(F.hex("txid")).alias("txid"), "version", "locktime", "is_coinbase", "n_in", "n_out", "total")
+
+
 # sub-transactions
 
 
@@ -588,6 +616,11 @@ def _mappings_sql(blocks: str) -> str:
 SELECT c.tx_id, count(t.tx_id) AS n_mappings FROM (SELECT DISTINCT tx_id FROM coins_in) c LEFT JOIN take_ t ON t.tx_id = c.tx_id AND t.a = 0 AND t.b = 0 GROUP BY c.tx_id"""
 
 
+@query(f", {_COINS} SELECT c.tx_id, count(v.total) AS n_sums FROM (SELECT DISTINCT tx_id FROM coins_in) c LEFT JOIN valid v ON v.tx_id = c.tx_id GROUP BY c.tx_id")
+def subset_sums(g: Ledger) -> DataFrame:
+    return subsets.sum_counts(g)
+
+
 @query(_mappings_sql("pairs_"))
 def all_mappings(g: Ledger) -> DataFrame:
     return subsets.mapping_counts(g, derived=True)
@@ -782,3 +815,132 @@ def amount_label(g: Ledger) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = incremental.event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return counted.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+_CLOSED = "start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events)"
+
+
+@query(f"SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE {_CLOSED}", plain=True)
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of a stream of events that the watermark has closed."""
+    source, target = f"{sf_dir}/events.parque[t]", fresh_folder(spark, "windows")  # as a pattern, the table may be a file or a folder
+    counted = incremental.event_counts(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source))
+    incremental.appended(counted, f"{target}/table", f"{target}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{target}/table").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+def _tx_stream(spark: SparkSession, g: Ledger, target: str) -> DataFrame:
+    """The ledger's transactions as files that come in two batches."""
+    g.tx.repartitionByRange(4, "tx_id").write.parquet(f"{target}/tx")
+    return spark.readStream.schema(g.tx.schema).option("maxFilesPerTrigger", 2).parquet(f"{target}/tx")
+
+
+@query(f"WITH RECURSIVE {LEDGER_SQL}, {_RBF} SELECT key, flag FROM rbf", plain=True)
+def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, target = place(spark, sf_dir), fresh_folder(spark, "mask")
+
+    def step(batch: DataFrame) -> DataFrame:
+        g = store.load(batch.sparkSession, at)
+        return heuristics.rbf_mask(Ledger(batch, g.txin, g.txout))
+
+    incremental.maintain(_tx_stream(spark, ledger(spark, sf_dir), target), step, f"{target}/facts", f"{target}/checkpoint").awaitTermination()
+    return incremental.mask(spark, f"{target}/facts")
+
+
+@query(f"WITH RECURSIVE {LEDGER_SQL}, {_MIH}, {_closure('SELECT a, b FROM mih')} SELECT * FROM labels", plain=True)
+def stream_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, target = place(spark, sf_dir), fresh_folder(spark, "clusters")
+
+    def step(batch: DataFrame) -> DataFrame:
+        return clustering.multi_input_edges(store.load(batch.sparkSession, at), batch.select("tx_id"))
+
+    incremental.maintain_clustering(_tx_stream(spark, ledger(spark, sf_dir), target), step, f"{target}/states", f"{target}/checkpoint").awaitTermination()
+    return incremental.clustering_state(spark, f"{target}/states")
+
+
+@query(" SELECT in_id, prev_out_id FROM txin")
+def late_parents(g: Ledger) -> DataFrame:
+    """Blocks with odd heights come first; inputs wait for outputs that come with the others."""
+    txid = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    odd = g.tx.select("tx_id", (F.col("block_height") % 2 == 1).alias("odd"))
+    outs = g.txout.select("tx_id", txid("tx_id").alias("txid"), "vout", "out_id").join(odd, "tx_id")
+    ins = g.spent.select("in_id", "tx_id", txid("prev_tx_id").alias("prev_txid"), "prev_vout").join(odd, "tx_id").drop("tx_id")
+    linked, left = incremental.relink(ins.where("odd"), outs.where("odd"))
+    later, _ = incremental.relink(left.unionByName(ins.where("NOT odd")), outs)
+    return linked.unionByName(later).select("in_id", "prev_out_id")
+
+
+# expressions, and ledgers that grow
+
+
+@query(f""", {_RBF}, {_NAIVE}, flags AS (SELECT o.tx_id, locktime > 0 AS late, n.flag AS change, r.flag AS rbf FROM txout o JOIN tx t USING (tx_id) JOIN naive n ON n.key = o.out_id JOIN rbf r ON r.key = o.tx_id)
+ SELECT tx_id FROM flags WHERE late AND change AND NOT rbf UNION ALL SELECT tx_id FROM flags WHERE NOT change AND NOT rbf""")
+def dag_sets(g: Ledger) -> DataFrame:
+    txs = Context().all_txs()
+    rbf = txs.mask(heuristics.rbf_mask).on_outputs()
+    change = txs.outputs().mask(heuristics.naive_change) & ~rbf
+    late = txs.filter(F.col("locktime") > 0).outputs().filter_with_mask(change)
+    return Engine(g).eval(late.union(txs.outputs().exclude(change | rbf)).txs())
+
+
+@query(f", {_FIXPOINT} SELECT m AS member, l AS cluster_id FROM done JOIN ends USING (m)")
+def dag_fixpoint(g: Ledger) -> DataFrame:
+    """The least fixpoint of a cyclic expression: change counts where the clusters make its transaction unilateral."""
+    context = Context()
+    txs, clusters = context.all_txs(), Placeholder(context, Clustering)
+    change = txs.outputs().mask(heuristics.naive_change) & txs.unilateral(clusters.expr).on_outputs()
+    clusters.unify(txs.exclude(txs.mask(heuristics.is_coinjoin)).multi_input().join(change.change_clusters()))
+    return Engine(g).eval(clusters.expr)
+
+
+def _halves(g: Ledger) -> tuple[Ledger, Ledger]:
+    """The ledger up to its middle transaction, and what comes then."""
+    middle = g.tx.agg(F.floor(F.max("tx_id") / 2)).first()[0]
+    return tuple(Ledger(*(df.where((F.col("tx_id") <= middle) == early) for df in (g.tx, g.txin, g.txout))) for early in (True, False))
+
+
+@query(f", {_RBF} SELECT key, flag FROM rbf")
+def growing_mask(g: Ledger) -> DataFrame:
+    txs, engine = Context().all_txs(), Engine(_halves(g)[0])
+    mask = txs.mask(heuristics.rbf_mask)
+    engine.advance(mask)
+    engine.extend(g)
+    return engine.value(mask)
+
+
+@query(f", {_MIH}, {_closure('SELECT a, b FROM mih')} SELECT * FROM labels")
+def growing_clusters(g: Ledger) -> DataFrame:
+    txs, engine = Context().all_txs(), Engine(_halves(g)[0])
+    clusters = txs.multi_input()
+    engine.advance(clusters)
+    engine.extend(g)
+    return engine.value(clusters)
+
+
+@query(" SELECT out_id, tx_id, vout, value + (vout = 0)::INTEGER AS value FROM txout WHERE out_id IN (SELECT prev_out_id FROM txin)")
+def stored_parts(g: Ledger) -> DataFrame:
+    """A ledger stored in two parts, its first outputs put anew, and rows of it by their ids."""
+    spark = g.tx.sparkSession
+    target = fresh_folder(spark, "parts")
+    first, second = _halves(g)
+    store.save(first, target)
+    store.append(second, target)
+    store.put(spark.read.parquet(f"{target}/txout").where("vout = 0").withColumn("value", F.col("value") + 1), target, "txout")
+    return store.get(spark, target, "txout", g.txin.select(F.col("prev_out_id").alias("out_id"))).select("out_id", "tx_id", "vout", "value")
+
+
+class _Totals(store.Sink):
+    """A sink that keeps no rows: what the outputs of each thousand blocks are worth."""
+
+    def on_outputs(self, txout: DataFrame) -> None:
+        self.sums = txout.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_outs"), F.sum("value").alias("total"))
+
+    def on_blocks_end(self, heights: DataFrame) -> None:
+        self.blocks = heights.groupBy(F.floor(F.col("block_height") / store.BUCKET).alias("bucket")).agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
+@query(f""" SELECT block_height // {store.BUCKET} AS bucket, count(DISTINCT block_height) AS n_blocks, count(out_id) AS n_outs, sum(value)::BIGINT AS total FROM tx LEFT JOIN txout USING (tx_id) GROUP BY ALL""")
+def sink_totals(g: Ledger) -> DataFrame:
+    sink = _Totals()
+    store.feed(g, sink)
+    return sink.blocks.join(sink.sums, "bucket")

@@ -96,3 +96,8 @@ def event_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hours"
     """Events by type and window of event time, with a watermark; for event streams beside the ledger."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def appended(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows that a stream has finished as a Parquet table; ends when all that is there now is read."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

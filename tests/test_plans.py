@@ -61,6 +61,17 @@ def test_cycle(spark):
     assert got == clusters(clustering.unilateral_fixpoint(g, heuristics.naive_change(g), none))
 
 
+def test_cycle_makes_fixed_nodes_once(spark):
+    g, _ = ledger(spark, CHAIN)
+    c, calls = Context(), []
+    fixed = c.all_txs().apply(TxSet, "counted", lambda g, x: calls.append(1) or x)
+    p = Placeholder(c, Clustering)
+    p.unify(fixed.multi_input().join(p.expr))
+    engine = Engine(g)
+    assert clusters(engine.eval(p.expr)) == clusters(engine.eval(fixed.multi_input()))
+    assert len(calls) == 2  # once in each evaluation
+
+
 def test_fixpoint_bounds(spark):
     g, _ = ledger(spark, [*CHAIN, ([10, 10, 10], [(5, 0), (5, 1)])])
     change, mixes = heuristics.naive_change(g), heuristics.is_coinjoin(g)

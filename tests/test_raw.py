@@ -45,6 +45,15 @@ def test_parse_round_trip():
         rawtx.parse_tx(plain[:-1])
 
 
+def test_fields(spark):
+    """Decoded beside other columns; what is no transaction has nulls."""
+    raw = raw_tx([(bytes([7]) * 32, 1, b"", 7)], [(50, P2PKH), (8, P2TR)], locktime=9)
+    df = spark.createDataFrame([(1, raw), (2, raw[:-1]), (3, None)], "`a.fields` long, raw binary")
+    a, b, c = (r.asDict() for r in rawtx.fields(df).orderBy("`a.fields`").collect())
+    assert bytes(a["txid"]) == rawtx.sha256d(raw) and [a[k] for k in ("version", "locktime", "is_coinbase", "n_in", "n_out", "total")] == [2, 9, False, 1, 2, 58]
+    assert all(b[k] is None and c[k] is None for k in ("txid", "version", "total")) and b["a.fields"] == 2
+
+
 def test_signatures():
     low, high = der(b"\x11" * 32), der(b"\x00" + b"\x91" * 32)
     assert rawtx.der_r(low) == b"\x11" * 32 and rawtx.der_r(high) == b"\x91" * 32

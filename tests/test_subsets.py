@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from ledgers import ledger
 
 from ledgerloom.operators import subsets
@@ -86,3 +87,9 @@ def test_own_metric_and_lists(spark):
     assert sorted((r["tx_id"], len(r["mapping"])) for r in rows) == [(3, 2), (4, 2), (4, 2)]
     assert {tuple((tuple(b["ins"]), tuple(b["outs"])) for b in r["mapping"]) for r in rows if r["tx_id"] == 4} == set(non_derived([5, 5], [5, 5]))
     assert subsets.ambiguous(g, depth=1).where("tx_id = 4").first()["n_ambiguous"] == 2
+
+
+def test_sums_are_bounded():
+    assert subset_sums([1, 2, 4], 8) == set(range(1, 8))
+    with pytest.raises(subsets.TooLarge):
+        subset_sums([1, 2, 4, 8], 8)
