@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import column
+from ledgerloom.llm.common import column, cut
 
 #: Labelled rows that a classifier is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -19,12 +19,21 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held_out: int,
     """(doc_id, label, fold) of at most ``most`` documents; none with crc32(id) mod modulus = held_out.
 
     A document labelled more than once counts as 1 if half its labels are; null ids and labels teach nothing.
+
+    Where there are many labels, an estimate of the number of their ids gives a
+    bound that about twice as many hashes as asked stay under; so neither all
+    labels are shuffled nor does the one task that orders them get more than
+    those.  Should fewer be left than asked, all are ordered.
     """
     rows = labels.select(column(id).cast("long").alias("doc_id"), column(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     rows = rows.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != held_out)
-    rows = rows.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     order = F.xxhash64("doc_id")
-    return rows.orderBy(order, "doc_id").limit(most).withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int"))
+    voted = lambda df: df.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    found, ids = voted(rows), rows.agg(F.approx_count_distinct("doc_id")).first()[0]
+    if ids > 2 * most:
+        under = cut(voted(rows.where(order < F.lit((2 * most << 64) // ids - (1 << 63)))))
+        found = under if under.count() >= most else found
+    return found.orderBy(order, "doc_id").limit(most).withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int"))
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:

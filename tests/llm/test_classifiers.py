@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality, toxicity
 from ledgerloom.llm.learning import Isotonic, Trees, is_held_out, labelled_sample
@@ -84,6 +85,18 @@ def test_sample(spark):
     assert all(f == held(i, 4, 2) for i, f in flags.items())
 
 
+@pytest.mark.parametrize("estimate", [None, 10**9])
+def test_sample_is_that_of_the_smallest_hashes(spark, monkeypatch, estimate):
+    """With many labels, and where the estimate of their number is far off."""
+    labels = spark.createDataFrame([(i % 3000, i % 2) for i in range(4000)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    ids = labels.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").collect()
+    want = [r["doc_id"] for r in ids if not held(r["doc_id"], 4, 2)][:60]
+    if estimate:
+        monkeypatch.setattr(F, "approx_count_distinct", lambda c: F.lit(estimate))
+    got = labelled_sample(labels, "toxic", 4, 2, most=60).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+
+
 def test_isotonic():
     f = Isotonic.fit(np.array([1.0, 2, 3, 4, 5, 5]), np.array([0, 1, 0, 1, 1, 1]))
     assert f.y.tolist() == sorted(f.y.tolist()) and f.y[0] == 0 and f.y[-1] == 1
