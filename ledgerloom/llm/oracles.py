@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import license_scan, line_dedup
+from ledgerloom.llm import license_scan, line_dedup, sharding
 from ledgerloom.llm.common import LOWER, UPPER
 
 _NEAR = """
@@ -66,4 +66,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": WARC,
     "op8_decontaminate": DECONTAMINATE,
     "op10_license_scan": license_scan.oracle(),
+    "op12_sharding": sharding.ORACLE_SQL,
 }
