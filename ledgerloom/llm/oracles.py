@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import license_scan, line_dedup, sharding
+from ledgerloom.llm import divergence, lexical, license_scan, line_dedup, sharding
 from ledgerloom.llm.common import LOWER, UPPER
 
 _NEAR = """
@@ -66,5 +66,7 @@ ORACLES: dict[str, str] = {
     "op7_warc": WARC,
     "op8_decontaminate": DECONTAMINATE,
     "op10_license_scan": license_scan.oracle(),
+    "op11_divergence": divergence.ORACLE_SQL,
     "op12_sharding": sharding.ORACLE_SQL,
+    "op13_lexical_search": lexical.oracle(UPPER, LOWER),
 }

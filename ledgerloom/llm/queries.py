@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import caps, decontaminate, license_scan, line_dedup, minhash, packing, quality, sharding, toxicity, url_filter, warc
+from ledgerloom.llm import caps, decontaminate, divergence, lexical, license_scan, line_dedup, minhash, packing, quality, sharding, toxicity, url_filter, warc
 from ledgerloom.llm.common import table
 from ledgerloom.llm.learning import is_held_out
 from ledgerloom.llm.oracles import ORACLES as ORACLES
@@ -67,12 +67,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "license_digest", "license_id", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", sharding.size(text).alias("size"), sharding.crc32(text).alias("text_crc32"))
     return sharding.interleave(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash": op2_minhash,
@@ -84,5 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
+    "op11_divergence": op11_divergence,
     "op12_sharding": op12_sharding,
+    "op13_lexical_search": op13_lexical_search,
 }
