@@ -169,7 +169,7 @@ class Audit:
         rows = rows.withColumn("p", probability("n", "whole", "terms")).select("*", other.alias("other")).select("lang", *meets, part.alias("part"), "source", "block", "term", "p")
         keys = ["lang", "lo", "hi", "part"]
         dealt = heads.unionByName(rows).repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("term"))
-        sums = mapped(dealt, _sums, SUMS).groupBy("lang", "a", "b").agg(F.sum("met").alias("met"), F.sum("total").alias("total"))
+        sums = mapped(dealt, _sums(CELLS), SUMS).groupBy("lang", "a", "b").agg(F.sum("met").alias("met"), F.sum("total").alias("total"))
         both = sums.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "met", "total").union(sums.select("lang", "b", "a", "met", "total"))
         zeros = groups.select("lang", "source", "zero", "terms")
         both = both.join(zeros, ["lang", "source"]).join(zeros.select("lang", F.col("source").alias("item"), F.col("zero").alias("other")), ["lang", "item"])
@@ -181,8 +181,8 @@ class Audit:
 class _Sums:
     """Sums of two blocks of sources over one part of the terms, whose rows come in the order of the terms."""
 
-    def __init__(self, key: tuple) -> None:
-        self.key = key
+    def __init__(self, key: tuple, cells: int) -> None:
+        self.key, self.cells = key, cells
         self.names: list[tuple[str, bool]] = []  # source, whether it is of the second block
         self.zero: list[int] = []
         self.at: dict[str, int] = {}
@@ -202,7 +202,7 @@ class _Sums:
         alone = self.key[1] == self.key[2]
         self.a, self.b = (np.arange(len(second)),) * 2 if alone else (np.flatnonzero(~second), np.flatnonzero(second))
         self.base = np.array(self.zero, np.int64)
-        self.table = np.tile(self.base, (max(1, CELLS // max(1, len(self.a) * len(self.b))), 1))
+        self.table = np.tile(self.base, (max(1, self.cells // max(1, len(self.a) * len(self.b))), 1))
         self.total = np.zeros((len(self.a), len(self.b)), np.int64)
 
     def add(self, source: str, term: str, p: int) -> None:
@@ -235,20 +235,23 @@ class _Sums:
         return pa.RecordBatch.from_arrays(columns, ["lang", "a", "b", "met", "total"])
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now: _Sums | None = None
-    for batch in batches:
-        for lang, lo, hi, part, source, block, term, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now is None or now.key != (lang, lo, hi, part):
-                if now is not None:
-                    yield now.result()
-                now = _Sums((lang, lo, hi, part))
-            if term is None:
-                now.head(source, block, p)
-            else:
-                now.add(source, term, p)
-    if now is not None:
-        yield now.result()
+def _sums(cells: int):  # noqa: ANN202
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Sums | None = None
+        for batch in batches:
+            for lang, lo, hi, part, source, block, term, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or now.key != (lang, lo, hi, part):
+                    if now is not None:
+                        yield now.result()
+                    now = _Sums((lang, lo, hi, part), cells)
+                if term is None:
+                    now.head(source, block, p)
+                else:
+                    now.add(source, term, p)
+        if now is not None:
+            yield now.result()
+
+    return task
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:

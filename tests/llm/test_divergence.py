@@ -1,0 +1,122 @@
+"""The source audit against sums over all terms."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import divergence
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain(rows, min_docs=10, top=10):
+    docs = [(terms(t), lang or "", source or "") for t, lang, source in rows]
+    df, counts, whole = Counter(), defaultdict(Counter), Counter()
+    for found, lang, source in docs:
+        counts[lang, source] += Counter(found)
+        whole.update((lang, t) for t in found)
+        df.update((lang, t) for t in set(found))
+    out = []
+    share = lambda c, n, v: 1 + 10**9 * (c + 2) // (n + 2 * v)
+    apart = lambda p, q: (p - q) ** 2 // (p + q)
+    ranked = lambda found: sorted(((-v, i.encode(), i) for i, v in found.items()))
+    for lang in {g[0] for g in counts}:
+        kept = sorted(t for (x, t), n in df.items() if x == lang and n >= min_docs)
+        v, total = len(kept), sum(whole[lang, t] for t in kept)
+        groups = {s: c for (x, s), c in counts.items() if x == lang}
+        sizes = {s: sum(c[t] for t in kept) for s, c in groups.items()}
+        p = {s: {t: share(c[t], sizes[s], v) for t in kept} for s, c in groups.items()}
+        q = {t: share(whole[lang, t], total, v) for t in kept}
+        for s in groups:
+            pairs = {o: sum(apart(p[s][t], p[o][t]) for t in kept) for o in groups if o != s}
+            alone = {t: apart(p[s][t], q[t]) for t in kept if groups[s][t] and p[s][t] > q[t]}
+            out += [(lang, s, "pair", i, -x, r) for r, (x, _, i) in enumerate(ranked(pairs), 1)]
+            out += [(lang, s, "term", i, -x, r) for r, (x, _, i) in enumerate(ranked(alone)[:top], 1)]
+    return sorted(out)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "text string, lang string, source string")
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.select("lang", "source", "part", "item", "value", "rank").collect())
+
+
+def corpus(seed, n, sources, most=80):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        source = int(sources * rng.random() ** 2)
+        lean = lambda: int(most * rng.random() ** (1 + source % 4))  # noqa: E731, B023
+        out.append((" ".join("abcdefghij"[k % 10] + "xyzäж"[k // 10 % 5] * (1 + k // 50) for k in (lean() for _ in range(rng.randrange(30)))), rng.choice(["en", "de"]), f"s{source}"))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [None, 3])
+def test_as_plain(spark, monkeypatch, blocks):
+    if blocks:  # many blocks of sources, and few terms in a task's table
+        monkeypatch.setattr(divergence, "BLOCK", blocks)
+        monkeypatch.setattr(divergence, "CELLS", 40)
+        monkeypatch.setattr(divergence, "PARTS", 3)
+    rows = corpus(3, 600, 13)
+    got = found(divergence.audit(frame(spark, rows).repartition(3), top=4))
+    assert got == plain(rows, top=4)
+
+
+def test_ties_are_ranked_by_bytes_and_all_opened(spark):
+    rows = [("same é z ab other", "x", "a")] * 12 + [("filler filler", "x", "b")] * 15 + [("q", "x", "b")]
+    got = found(divergence.audit(frame(spark, rows), top=3))
+    assert got == plain(rows, top=3)
+    assert [r[3] for r in got if r[1:3] == ("a", "term")] == ["ab", "other", "same"]
+
+
+def test_nulls_groups_without_terms_and_languages_without_any(spark):
+    rows = [("word " * 3 + "Word", "en", None)] * 11 + [(None, "en", "empty")] + [("12 34 --", None, "digits"), ("rare", None, None), ("", "", "third"), ("alone", "xx", "only")]
+    got = found(divergence.audit(frame(spark, rows)))
+    assert got == plain(rows)
+    assert [r for r in got if r[0] == "" and r[1] == "digits"] == [("", "digits", "pair", "", 0, 1), ("", "digits", "pair", "third", 0, 2)]
+    assert not [r for r in got if r[0] == "xx"]
+
+
+def test_long_text_hot_source_and_repeats(spark):
+    rows = [("alpha beta " * 100_000, "en", "hot")] + [("alpha gamma", "en", "hot")] * 300 + [("beta delta gamma", "en", f"s{k % 20}") for k in range(200)]
+    assert found(divergence.audit(frame(spark, rows))) == plain(rows)
+
+
+def test_empty_table_and_other_columns(spark):
+    assert found(divergence.audit(frame(spark, []))) == []
+    rows = [("a b", "en", f"s{k % 3}") for k in range(40)]
+    df = frame(spark, rows).withColumn("term", F.lit("t")).withColumn("N", F.lit(1)).withColumnRenamed("text", "my.text")
+    assert found(divergence.audit(df, text="my.text")) == plain(rows)
+
+
+def test_counts_beyond_64_bits(spark):
+    n = 10**12
+    row = spark.createDataFrame([(n, 3 * n, 7)], "n long, whole long, terms long").select(divergence.probability("n", "whole", "terms")).first()
+    assert row[0] == 1 + 10**9 * (n + 2) // (3 * n + 14)
+
+
+def test_buckets_below_the_best_stay_closed(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(" ".join([f"top{'abc'[k % 3]}"] * 40 + ["w" + "abcdefghij"[rng.randrange(10)] * rng.randrange(1, 20) for _ in range(30)]), "en", f"s{k % 3}") for k in range(90)]
+    audit = divergence.Audit(frame(spark, rows))
+    opened = []
+    original = divergence.Audit._opened
+
+    def counted(self, buckets):
+        out = original(self, buckets)
+        opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(divergence.Audit, "_opened", counted)
+    got = [(r["lang"], r["source"], "term", r["item"], r["value"], r["rank"]) for r in audit.terms(2).collect()]
+    assert sorted(got) == [r for r in plain(rows, top=2) if r[2] == "term"]
+    assert sum(opened) < audit.postings.count() / 3
