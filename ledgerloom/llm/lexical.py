@@ -2,28 +2,28 @@
 
 ``build`` makes an index of a table's documents.  A block is a range of the
 table: documents that stand one after the other in an input partition, at most
-``DOCS`` of them or about ``ENTRIES`` terms.  Its forward part holds each
-document's terms and how often they occur; its maxima hold, for each of its
-terms, the largest weight-free score that any of its documents gives it, and the
-number of documents that hold it.
+``DOCS`` of them or about ``ENTRIES`` terms.  It holds its terms, for each the
+number of its documents with the term and the largest weight-free score that any
+of them gives it (its maximum), and its forward part, each document's terms and
+how often they occur.
 
 ``search`` ranks all documents for each item.  A block's bound for an item is
 the sum of the item's term weights times the block's maxima, so no document of
 the block scores more.  The ``SEEDS`` blocks with the highest bounds are scored
-first; the k-th best score found is the item's threshold.  Then every block
-whose bound is not below the threshold goes, the highest bounds first, to tasks
-that raise the threshold as they score and pass over the blocks that drop below
-it.  A block at just the threshold is scored, since equal scores are ranked by
-id; so the result is that of scoring everything.
-
-Plan: texts are read once and nothing of them is shuffled; only forward blocks
-that are scored are, and only where Spark does not broadcast the list of them.
-A task holds one batch of blocks and k results an item.  Items are taken in
-chunks of at most ``CHUNK`` terms and ``ITEMS`` items (one longer item stands
-alone): a chunk's terms are the only thing that is broadcast, and its
-thresholds and document frequencies the only thing that comes to the driver.
-Each chunk reads the maxima anew.  Sums are exact: they stay below 2 ** 53, or
-are made of 64-bit integers.
+first; the k-th best score found is the item's threshold.  Then a task goes
+through its blocks, of each batch the highest bounds first, and scores for each
+block the items whose threshold is not above the block's bound, raising the
+thresholds as it goes.  A block at just the threshold is scored, since equal
+scores are ranked by id; so the result is that of scoring everything.
+
+Plan: texts are read twice, for the totals and for the blocks, and neither they
+nor blocks are ever shuffled; only each task's best are.  A task holds one batch
+of blocks and k results an item.  Items are taken in chunks of at most ``CHUNK``
+terms and ``ITEMS`` items (one longer item stands alone): a chunk's terms are the
+only thing that is broadcast, and its document frequencies, its thresholds and
+the numbers of its ``ITEMS * SEEDS`` first blocks the only things that come to
+the driver.  Each chunk reads the index anew, the forward parts only twice.
+Sums are exact: they stay below 2 ** 53, or are made of 64-bit integers.
 
 Defined cases: null texts and texts without terms are in no block and never
 found; a null id counts as the largest one and is returned as null; repeated
@@ -43,7 +43,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,8 +66,8 @@ FLAT, LONG, WEIGHT, SCALE, NEAR, FAR = 10, 90, 1000, 1_000_000_000, 1000, 8
 TERM = ~textops.class_table((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _NO_ID = np.iinfo(np.int64).max
 
-FORWARD = "block long, ids binary, lengths binary, starts binary, terms binary, counts binary, n_docs long, n_terms long"
-MAXIMA = "block long, terms binary, parts binary, docs binary"
+_INDEX = "block long, terms binary, docs binary, parts binary, ids binary, lengths binary, starts binary, places binary, counts binary"
+_FORWARD = ("ids", "lengths", "starts", "places", "counts")
 
 
 def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -82,34 +82,52 @@ def _terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield i, j, np.diff(first), owner, found[term], counts
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forward blocks of (id, text) rows; texts without terms are left out."""
-    number = TaskContext.get().partitionId() << 40
-    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # id, length, terms, counts
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with a term, and their terms."""
+    docs = terms = 0
+    for batch in batches:
+        data, offsets = textops.buffers(batch.column(0))
+        for i, j in textops.slices(offsets):
+            *_, first = textops.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], TERM)
+            docs, terms = docs + int(np.count_nonzero(np.diff(first))), terms + int(first[-1])
+    yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([terms])], ["n", "whole"])
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
 
-    def block() -> pa.RecordBatch:
-        nonlocal number
+def _blocks(n: int, whole: int, most_docs: int, most_entries: int):  # noqa: ANN202
+    """Blocks of (id, text) rows; texts without terms are left out."""
+
+    def block(number: int, held: list[tuple]) -> pa.RecordBatch:
         ids, lengths, terms, counts = zip(*held, strict=True)
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-        row = (np.array(ids, np.int64), np.array(lengths, np.int64), starts, np.concatenate(terms), np.concatenate(counts).astype(np.int32))
-        cells = [pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in row), pa.array([len(ids)]), pa.array([int(sum(lengths))])]
-        number += 1
-        held.clear()
-        return pa.RecordBatch.from_arrays(cells, [x.split()[0] for x in FORWARD.split(", ")])
-
-    entries = 0
-    for batch in batches:
-        ids = batch.column(0).cast(pa.int64()).fill_null(int(_NO_ID)).to_numpy(zero_copy_only=False)
-        for i, j, lengths, owner, terms, counts in _terms(batch.column(1)):
-            at = np.searchsorted(owner, np.arange(j - i + 1))
-            for k in np.flatnonzero(lengths):
-                held.append((int(ids[i + k]), int(lengths[k]), terms[at[k] : at[k + 1]], counts[at[k] : at[k + 1]]))
-                entries += at[k + 1] - at[k]
-                if len(held) == DOCS or entries >= ENTRIES:
-                    yield block()
-                    entries = 0
-    if held:
-        yield block()
+        lengths, sizes, counts = np.array(lengths, np.int64), [len(t) for t in terms], np.concatenate(counts)
+        found, places, docs = np.unique(np.concatenate(terms), return_inverse=True, return_counts=True)
+        best = np.zeros(len(found), np.int32)
+        np.maximum.at(best, places, _parts(counts, np.repeat(lengths, sizes), n, whole).astype(np.int32))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        cells = [found, _least(docs), best, np.array(ids, np.int64), lengths, starts, _least(places), _least(counts)]
+        return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], [x.split()[0] for x in _INDEX.split(", ")])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, entries = TaskContext.get().partitionId() << 40, 0
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # id, length, terms, counts
+        for batch in batches:
+            ids = batch.column(0).cast(pa.int64()).fill_null(int(_NO_ID)).to_numpy(zero_copy_only=False)
+            for i, j, lengths, owner, terms, counts in _terms(batch.column(1)):
+                at = np.searchsorted(owner, np.arange(j - i + 1))
+                for k in np.flatnonzero(lengths):
+                    held.append((int(ids[i + k]), int(lengths[k]), terms[at[k] : at[k + 1]], counts[at[k] : at[k + 1]]))
+                    entries += at[k + 1] - at[k]
+                    if len(held) == most_docs or entries >= most_entries:
+                        yield block(number, held)
+                        held, number, entries = [], number + 1, 0
+        if held:
+            yield block(number, held)
+
+    return task
 
 
 def _parts(counts: np.ndarray, lengths: np.ndarray, n: int, whole: int) -> np.ndarray:
@@ -124,31 +142,19 @@ def _numbers(cell: pa.Scalar, kind: type) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), kind)
 
 
-def _maxima(n: int, whole: int):  # noqa: ANN202
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block, lengths, starts, terms, counts = (batch.column(c)[k] for c in range(5))
-                lengths, starts = _numbers(lengths, np.int64), _numbers(starts, np.int64)
-                parts = _parts(_numbers(counts, np.int32), np.repeat(lengths, np.diff(starts)), n, whole)
-                found, code, docs = np.unique(_numbers(terms, np.uint64), return_inverse=True, return_counts=True)
-                best = np.zeros(len(found), np.int32)
-                np.maximum.at(best, code, parts.astype(np.int32))
-                cells = [pa.array([block.as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in (found, best, docs.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(cells, ["block", "terms", "parts", "docs"])
-
-    return task
+def _narrow(cell: pa.Scalar, n: int) -> np.ndarray:
+    """n whole numbers as ``_least`` wrote them."""
+    return np.frombuffer(cell.as_buffer(), f"u{cell.as_buffer().size // max(1, n)}") if n else np.zeros(0, np.int64)
 
 
 @dataclass
 class Index:
-    """An index below a folder, and its documents with a term and their terms."""
+    """An index below a folder: its blocks, the documents with a term and their terms."""
 
     folder: str
     n: int
     whole: int
-    forward: DataFrame
-    maxima: DataFrame
+    blocks: DataFrame
 
 
 def index_folder(spark: SparkSession) -> str:
@@ -158,18 +164,18 @@ def index_folder(spark: SparkSession) -> str:
 def build(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> Index:
     """The index of docs, written below ``path``.  id: a whole number."""
     spark = docs.sparkSession
-    mapped(docs.select(column(id).cast("long").alias("id"), column(text).alias("text")), _blocks, FORWARD).write.parquet(f"{path}/forward")
-    forward = spark.read.parquet(f"{path}/forward")
-    n, whole = (int(x or 0) for x in forward.agg(F.sum("n_docs"), F.sum("n_terms")).first())
+    texts = docs.select(column(id).cast("long").alias("id"), column(text).alias("text"))
+    totals = mapped(texts.select("text"), _totals, "n long, whole long").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole")).fillna(0)
+    n, whole = totals.first()
     spark.createDataFrame([(n, whole)], "n long, whole long").write.parquet(f"{path}/totals")
-    mapped(forward.select("block", "lengths", "starts", "terms", "counts"), _maxima(n, whole), MAXIMA).write.parquet(f"{path}/maxima")
-    return Index(path, n, whole, forward, spark.read.parquet(f"{path}/maxima"))
+    mapped(texts, _blocks(n, whole, DOCS, ENTRIES), _INDEX).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     """An index that was built before."""
     n, whole = spark.read.parquet(f"{path}/totals").first()
-    return Index(path, n, whole, spark.read.parquet(f"{path}/forward"), spark.read.parquet(f"{path}/maxima"))
+    return Index(path, n, whole, spark.read.schema(_INDEX).parquet(f"{path}/blocks"))
 
 
 @dataclass
@@ -237,33 +243,31 @@ def _chunks(items: DataFrame, id: str, text: str) -> Iterator[Chunk]:
 
 def _weigh(index: Index, chunk: Chunk) -> None:
     """Gives the chunk's terms their weights, by the documents that hold them."""
-    known = index.maxima.sparkSession.sparkContext.broadcast(chunk)
+    known = index.blocks.sparkSession.sparkContext.broadcast(chunk)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = known.value
         docs = np.zeros(len(held.vocabulary), np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                some, at = held.places(_numbers(batch.column(0)[k], np.uint64))
-                docs[at] += _numbers(batch.column(1)[k], np.int32)[some]
+                terms = _numbers(batch.column(0)[k], np.uint64)
+                some, at = held.places(terms)
+                docs[at] += _narrow(batch.column(1)[k], len(terms))[some]
         met = np.flatnonzero(docs)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(docs[met])], ["term", "docs"])
 
     docs = np.zeros(len(chunk.vocabulary), np.int64)
-    for r in mapped(index.maxima.select("terms", "docs"), task, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
+    for r in mapped(index.blocks.select("terms", "docs"), task, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
         docs[r["term"]] = r["docs"]
     known.destroy()
     weights = [math.floor(WEIGHT * math.log((2 * index.n + 2) / (2 * int(d) + 1))) for d in docs]
     chunk.weight = np.array(weights, np.int64)[chunk.term]
 
 
-def _bounded(index: Index, chunk: Broadcast, seeds: int | None) -> DataFrame:
-    """(block, items, bound): the items that a block has to be scored for, and its highest bound for one of them.
+def _seeds(index: Index, chunk: Broadcast, seeds: int) -> DataFrame:
+    """(item, block, bound) of the blocks with the highest bounds."""
 
-    seeds: only the blocks that are among the so many best of a task for an item, as (item, block, bound).
-    """
-
-    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Chunk = chunk.value
         blocks, bounds = np.zeros((0, len(held.names)), np.int64), np.zeros((0, len(held.names)), np.int64)
         for batch in batches:
@@ -275,26 +279,12 @@ def _bounded(index: Index, chunk: Broadcast, seeds: int | None) -> DataFrame:
         some = np.nonzero(bounds)
         yield pa.RecordBatch.from_arrays([pa.array(some[1]), pa.array(blocks[some]), pa.array(bounds[some])], ["item", "block", "bound"])
 
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Chunk = chunk.value
-        for batch in batches:
-            rows: list[tuple[int, bytes, int]] = []
-            for k in range(batch.num_rows):
-                bounds = held.bounds(_numbers(batch.column(1)[k], np.uint64), _numbers(batch.column(2)[k], np.int32))
-                some = np.flatnonzero(bounds >= held.least)
-                if len(some):
-                    rows.append((batch.column(0)[k].as_py(), some.astype(np.int32).tobytes(), int(bounds[some].max())))
-            blocks, items, most = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(items, pa.binary()), pa.array(most, pa.int64())], ["block", "items", "bound"])
-
-    maxima = index.maxima.select("block", "terms", "parts")
-    if seeds is None:
-        return mapped(maxima, all_of, "block long, items binary, bound long")
-    return mapped(maxima, seeded, "item long, block long, bound long")
+    found = mapped(index.blocks.select("block", "terms", "parts"), task, "item long, block long, bound long")
+    return _first(found, "item", [F.desc("bound"), F.asc("block")], seeds)
 
 
-def _scored(index: Index, wanted: DataFrame, chunk: Broadcast, top: int) -> DataFrame:
-    """(item, score, id): the best of each task, over the wanted (block, items, bound), the highest bounds first."""
+def _scored(index: Index, blocks: DataFrame, chunk: Broadcast, top: int, scored: Accumulator | None) -> DataFrame:
+    """(item, score, id): the best of each task over some blocks, of each batch the highest bounds first."""
     n, whole = index.n, index.whole
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,29 +294,34 @@ def _scored(index: Index, wanted: DataFrame, chunk: Broadcast, top: int) -> Data
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         least, kind = held.least.copy(), held.exact
         for batch in batches:
-            for k in range(batch.num_rows):
-                items, bound, ids, lengths, starts, terms, counts = (batch.column(c)[k] for c in range(7))
-                items = _numbers(items, np.int32)
-                items = items[least[items] <= bound.as_py()]
+            bounds = [held.bounds(_numbers(batch.column(0)[k], np.uint64), _numbers(batch.column(1)[k], np.int32)) for k in range(batch.num_rows)]
+            for k in sorted(range(len(bounds)), key=lambda k: -bounds[k].max(initial=0)):
+                items = np.flatnonzero(bounds[k] >= least)
                 if not len(items):
                     continue
-                ids, lengths, starts = (_numbers(x, np.int64) for x in (ids, lengths, starts))
-                known, at = held.places(_numbers(terms, np.uint64))
-                owner = np.searchsorted(starts, known, "right") - 1
-                met, place = np.unique(at, return_inverse=True)
-                docs = np.zeros((len(ids), len(met)), kind)
-                docs[owner, place] = _parts(_numbers(counts, np.int32)[known], lengths[owner], n, whole)
+                if scored is not None:
+                    scored.add(len(items))
+                terms = _numbers(batch.column(0)[k], np.uint64)
+                ids, lengths, starts = (_numbers(batch.column(c)[k], np.int64) for c in (2, 3, 4))
+                places, counts = (_narrow(batch.column(c)[k], int(starts[-1])) for c in (5, 6))
+                known, at = held.places(terms)  # which of the block's terms are asked for
+                column_of = np.full(len(terms), -1)
+                column_of[known] = np.arange(len(known))
+                entry = np.flatnonzero(column_of[places] >= 0)
+                owner = np.searchsorted(starts, entry, "right") - 1
+                docs = np.zeros((len(ids), len(known)), kind)
+                docs[owner, column_of[places[entry]]] = _parts(counts[entry], lengths[owner], n, whole)
                 at_met = np.full(len(held.vocabulary), -1)
-                at_met[met] = np.arange(len(met))
+                at_met[at] = np.arange(len(known))
                 entries = order[np.concatenate([np.arange(begins[i], begins[i + 1]) for i in items])]
                 mine = np.repeat(np.arange(len(items)), begins[items + 1] - begins[items])
                 rows = at_met[held.term[entries]]
-                weights = np.zeros((len(met), len(items)), kind)
+                weights = np.zeros((len(known), len(items)), kind)
                 weights[rows[rows >= 0], mine[rows >= 0]] = held.weight[entries[rows >= 0]]
                 scores = (docs @ weights).astype(np.int64)
-                for i in np.flatnonzero(scores.max(0, initial=0) >= np.maximum(least[items], 1)):
+                for i in np.flatnonzero(scores.max(0, initial=0) >= least[items]):
                     item = int(items[i])
-                    some = np.flatnonzero(scores[:, i] >= max(least[item], 1))
+                    some = np.flatnonzero(scores[:, i] >= least[item])
                     old = best.get(item, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
                     values, names = np.concatenate([old[0], scores[some, i]]), np.concatenate([old[1], ids[some]])
                     first = np.lexsort((names, -values))[:top]
@@ -336,57 +331,45 @@ def _scored(index: Index, wanted: DataFrame, chunk: Broadcast, top: int) -> Data
         for item, (values, names) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), item)), pa.array(values), pa.array(names)], ["item", "score", "id"])
 
-    rows = index.forward.select("block", "ids", "lengths", "starts", "terms", "counts").join(wanted, "block")
-    rows = rows.sortWithinPartitions(F.desc("bound")).select("items", "bound", "ids", "lengths", "starts", "terms", "counts")
-    return mapped(rows, task, "item long, score long, id long")
+    return _first(mapped(blocks.select("terms", "parts", *_FORWARD), task, "item long, score long, id long"), "item", [F.desc("score"), F.asc("id")], top)
 
 
 def _first(df: DataFrame, by: str, order: list[Column], top: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= top)
 
 
-def search(index: Index, items: DataFrame, id: str = "item_id", text: str = "text", top: int = TOP) -> DataFrame:
-    """(item, rank, doc, score): the ``top`` documents of each item with a score above 0; equal scores by ascending id."""
+def search(index: Index, items: DataFrame, id: str = "item_id", text: str = "text", top: int = TOP, scored: Accumulator | None = None) -> DataFrame:
+    """(item, rank, doc, score): the ``top`` documents of each item with a score above 0; equal scores by ascending id.
+
+    scored: is told how often a block was scored for an item.
+    """
     spark = items.sparkSession
     kind = items.select(column(id)).schema[0].dataType
     out = spark.createDataFrame([], T.StructType([T.StructField("item", kind)])).select("item", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("score"))
     for chunk in _chunks(items, id, text):
-        out = out.unionByName(_search(index, chunk, kind, top))
+        out = out.unionByName(_search(index, chunk, kind, top, scored))
     return out
 
 
-def _search(index: Index, chunk: Chunk, kind: T.DataType, top: int) -> DataFrame:
-    spark = index.forward.sparkSession
-    best_first = [F.desc("score"), F.asc("id")]
+def _search(index: Index, chunk: Chunk, kind: T.DataType, top: int, scored: Accumulator | None) -> DataFrame:
+    spark = index.blocks.sparkSession
     _weigh(index, chunk)
     chunk.least = np.ones(len(chunk.names), np.int64)
     shared = spark.sparkContext.broadcast(chunk)
-    seeds = _first(_bounded(index, shared, SEEDS), "item", [F.desc("bound"), F.asc("block")], SEEDS)
-    encoded = _packed(seeds.groupBy("block").agg(F.collect_list("item").alias("items"), F.max("bound").alias("bound")))
-    scored = _first(_scored(index, encoded, shared, top), "item", best_first, top)
-    for r in scored.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == top).collect():
+    first = [r["block"] for r in _seeds(index, shared, SEEDS).select("block").distinct().collect()]
+    best = _scored(index, index.blocks.where(F.col("block").isin(first)), shared, top, scored)
+    for r in best.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == top).collect():
         chunk.least[r["item"]] = r["least"]
     raised = spark.sparkContext.broadcast(chunk)
     names = spark.createDataFrame(list(enumerate(chunk.names)), T.StructType([T.StructField("item", T.LongType()), T.StructField("name", kind)]))
-    found = _first(_scored(index, _bounded(index, raised, None), raised, top), "item", best_first, top)
     doc = F.when(F.col("id") != F.lit(int(_NO_ID)), F.col("id")).alias("doc")
-    done = cut(found.join(names, "item").select(F.col("name").alias("item"), F.col("rank").cast("int").alias("rank"), doc, "score"))
+    found = _scored(index, index.blocks, raised, top, scored).join(names, "item")
+    done = cut(found.select(F.col("name").alias("item"), F.col("rank").cast("int").alias("rank"), doc, "score"))
     shared.destroy()
     raised.destroy()
     return done
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """Lists of items as bytes."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [np.array(x, np.int32).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["block", "items", "bound"])
-
-    return mapped(rows.select("block", "items", "bound"), task, "block long, items binary, bound long")
-
-
 def ranked(docs: DataFrame, items: DataFrame, id: str = "doc_id", item: str = "item_id", text: str = "text", top: int = TOP) -> DataFrame:
     """(item, rank, doc, score) by an index that is made for this search and taken away."""
     spark = docs.sparkSession
