@@ -118,13 +118,15 @@ class Audit:
     def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> None:
         named = [F.coalesce(column(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
         rows = docs.select(*named, column(text).alias("text"))
-        counted = cut(mapped(rows, _count, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-        kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+        counted = mapped(rows, _count, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs")).where(F.col("lang_docs") >= min_docs)
+        # both sides have the same columns, so they come from one shuffle of the counts
+        joined = counted.join(kept, ["lang", "term"]).where(F.col("docs") > 0)
         #: (lang, source, term, n, lang_n)
-        self.postings = cut(counted.drop("docs").join(kept, ["lang", "term"]))
+        self.postings = cut(joined.select("lang", "source", "term", "n", "lang_n"))
         groups = docs.select(*named).distinct()
         held = self.postings.groupBy("lang", "source").agg(F.sum("n").alias("whole"))
-        langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_whole"))
+        langs = self.postings.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n")).groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_whole"))
         groups = groups.join(held, ["lang", "source"], "left").join(langs, "lang", "left")
         #: (lang, source, whole, terms, lang_whole): occurrences of kept terms, and how many there are
         self.groups = cut(groups.fillna(0))
@@ -183,55 +185,58 @@ class _Sums:
 
     def __init__(self, key: tuple, cells: int) -> None:
         self.key, self.cells = key, cells
-        self.names: list[tuple[str, bool]] = []  # source, whether it is of the second block
+        self.names: list[str] = []
+        self.second: list[bool] = []
         self.zero: list[int] = []
-        self.at: dict[str, int] = {}
         self.ready = False
-        self.met = 0
+        self.met, self.row = 0, -1
         self.last: str | None = None
-        self.row = -1
 
-    def head(self, source: str, block: int, p: int) -> None:
-        self.at[source] = len(self.names)
-        self.names.append((source, block != self.key[1]))
-        self.zero.append(p)
+    def heads(self, sources: list[str], blocks: list[int], zeros: list[int]) -> None:
+        """The sources, and what each gives a term that it does not hold."""
+        self.names += sources
+        self.second += [b != self.key[1] for b in blocks]
+        self.zero += zeros
 
     def _begin(self) -> None:
         self.ready = True
-        second = np.array([s for _, s in self.names], bool)
+        self.at = {name: k for k, name in enumerate(self.names)}
+        second = np.array(self.second, bool)
         alone = self.key[1] == self.key[2]
         self.a, self.b = (np.arange(len(second)),) * 2 if alone else (np.flatnonzero(~second), np.flatnonzero(second))
-        self.base = np.array(self.zero, np.int64)
-        self.table = np.tile(self.base, (max(1, self.cells // max(1, len(self.a) * len(self.b))), 1))
+        self.table = np.tile(np.array(self.zero, np.int64), (max(1, self.cells // max(1, len(self.a) * len(self.b))), 1))
         self.total = np.zeros((len(self.a), len(self.b)), np.int64)
 
-    def add(self, source: str, term: str, p: int) -> None:
+    def add(self, sources: pa.Array, terms: pa.Array, p: np.ndarray) -> None:
         if not self.ready:
             self._begin()
-        if term != self.last:
-            self.last, self.met, self.row = term, self.met + 1, self.row + 1
-            if self.row == len(self.table):
-                self._flush()
-                self.row = 0
-        self.table[self.row, self.at[source]] = p
-
-    def _flush(self) -> None:
-        p, q = self.table[: self.row, self.a, None], self.table[: self.row, None, self.b]
+        sources, terms = sources.dictionary_encode(), terms.dictionary_encode()
+        at = np.array([self.at[x] for x in sources.dictionary.to_pylist()], np.int64)[sources.indices.to_numpy()]
+        code = terms.indices.to_numpy()
+        new = np.concatenate([[terms[0].as_py() != self.last], code[1:] != code[:-1]])
+        self.last, self.met = terms[-1].as_py(), self.met + int(new.sum())
+        row, i = self.row + np.cumsum(new), 0
+        while i < len(row):
+            j = int(np.searchsorted(row, len(self.table)))
+            self.table[row[i:j], at[i:j]] = p[i:j]
+            if j < len(row):
+                self._flush(len(self.table))
+                row -= len(self.table)
+            i = j
+        self.row = int(row[-1])
+
+    def _flush(self, n: int) -> None:
+        p, q = self.table[:n, self.a, None], self.table[:n, None, self.b]
         self.total += ((p - q) ** 2 // (p + q)).sum(0)
-        self.table[: self.row] = self.base
+        self.table[:n] = self.zero
 
     def result(self) -> pa.RecordBatch:
         if not self.ready:
             self._begin()
-        self.row += 1
-        if self.row:
-            self._flush()
+        self._flush(self.row + 1)
         x, y = np.triu_indices(len(self.a), 1) if self.key[1] == self.key[2] else (g.ravel() for g in np.indices(self.total.shape))
-        name = [n for n, _ in self.names]
-        columns = [
-            pa.array([self.key[0]] * len(x), pa.string()), pa.array([name[k] for k in self.a[x]], pa.string()), pa.array([name[k] for k in self.b[y]], pa.string()),
-            pa.array(np.full(len(x), self.met)), pa.array(self.total[x, y]),
-        ]
+        names = pa.array(self.names, pa.string())
+        columns = [pa.array([self.key[0]] * len(x), pa.string()), names.take(pa.array(self.a[x])), names.take(pa.array(self.b[y])), pa.array(np.full(len(x), self.met)), pa.array(self.total[x, y])]
         return pa.RecordBatch.from_arrays(columns, ["lang", "a", "b", "met", "total"])
 
 
@@ -239,15 +244,22 @@ def _sums(cells: int):  # noqa: ANN202
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Sums | None = None
         for batch in batches:
-            for lang, lo, hi, part, source, block, term, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is None or now.key != (lang, lo, hi, part):
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(0).dictionary_encode().indices.to_numpy(), *(batch.column(k).to_numpy() for k in (1, 2, 3))]
+            begins = np.concatenate([[0], 1 + np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], 0)), [batch.num_rows]])
+            for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                key = tuple(batch.column(k)[i].as_py() for k in range(4))
+                if now is None or now.key != key:
                     if now is not None:
                         yield now.result()
-                    now = _Sums((lang, lo, hi, part), cells)
-                if term is None:
-                    now.head(source, block, p)
-                else:
-                    now.add(source, term, p)
+                    now = _Sums(key, cells)
+                run = batch.slice(i, j - i)
+                first = run.column(6).null_count
+                if first:
+                    now.heads(*(run.column(k)[:first].to_pylist() for k in (4, 5, 7)))
+                if first < j - i:
+                    now.add(run.column(4)[first:], run.column(6)[first:], run.column(7)[first:].to_numpy())
         if now is not None:
             yield now.result()
 
