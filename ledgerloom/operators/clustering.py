@@ -25,18 +25,34 @@ def star(clustering: DataFrame) -> DataFrame:
     return clustering.select(F.col("member").alias("a"), F.col("cluster_id").alias("b"))
 
 
+def _merged(clustering: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of more edges (a, b): the clusters that they touch with the one that each goes to, and their ends that are new."""
+    label = lambda end: clustering.select(F.col("member").alias(end), F.col("cluster_id").alias(f"c{end}"))
+    known = edges.where("a <> b").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    moved = cut(components(known.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))).select(F.col("node").alias("cluster_id"), "component")
+    ends = edges.select(F.col("a").alias("member")).union(edges.select("b")).where("member IS NOT NULL").distinct()
+    return moved, ends.join(clustering.select("member"), "member", "left_anti").select("member", F.col("member").alias("cluster_id"))
+
+
+def _relabelled(clustering: DataFrame, moved: DataFrame, how: str) -> DataFrame:
+    return clustering.join(moved, "cluster_id", how).select("member", F.coalesce("component", "cluster_id").alias("cluster_id"))
+
+
 def grown(clustering: DataFrame, edges: DataFrame) -> DataFrame:
     """The clustering with more edges (a, b); their ends become members, loops too.
 
     Only the clusters that the edges touch are clustered again, as nodes
     themselves; the members of others keep their labels without a round.
     """
-    label = lambda end: clustering.select(F.col("member").alias(end), F.col("cluster_id").alias(f"c{end}"))
-    known = edges.where("a <> b").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    moved = cut(components(known.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))).select(F.col("node").alias("cluster_id"), "component")
-    ends = edges.select(F.col("a").alias("member")).union(edges.select("b")).where("member IS NOT NULL").distinct()
-    new = ends.join(clustering.select("member"), "member", "left_anti").select("member", F.col("member").alias("cluster_id"))
-    return clustering.select("member", "cluster_id").union(new).join(moved, "cluster_id", "left").select("member", F.coalesce("component", "cluster_id").alias("cluster_id"))
+    moved, new = _merged(clustering, edges)
+    return _relabelled(clustering.select("member", "cluster_id").union(new), moved, "left")
+
+
+def changes(clustering: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``grown`` that the clustering does not have: members with a smaller label than before, and new ones."""
+    moved, new = _merged(clustering, edges)
+    fallen = _relabelled(clustering.select("member", "cluster_id"), moved.where("component <> cluster_id"), "inner")
+    return fallen.union(_relabelled(new, moved, "left"))
 
 
 def join(left: DataFrame, right: DataFrame) -> DataFrame:

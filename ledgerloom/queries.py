@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
-from ledgerloom.checkpoints import folder
+from ledgerloom.checkpoints import cut, folder, removed
 from ledgerloom.functions import fingerprint_json, ids, labels, rawtx, scalars, scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
@@ -16,7 +17,7 @@ from ledgerloom.plans import facts
 from ledgerloom.plans.dag import Clustering, Context, Engine, Placeholder
 from ledgerloom.sources import star, store
 from ledgerloom.sources.star import LEDGER_SQL, loose_ids
-from ledgerloom.streaming import incremental
+from ledgerloom.streaming import incremental, keyed, linking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -826,7 +827,7 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = f"{sf_dir}/events.parque[t]", fresh_folder(spark, "windows")  # as a pattern, the table may be a file or a folder
     counted = incremental.event_counts(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source))
     incremental.appended(counted, f"{target}/table", f"{target}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{target}/table").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    return _kept(spark.read.parquet(f"{target}/table").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"), target)
 
 
 def _tx_stream(spark: SparkSession, g: Ledger, target: str) -> DataFrame:
@@ -844,7 +845,7 @@ def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
         return heuristics.rbf_mask(Ledger(batch, g.txin, g.txout))
 
     incremental.maintain(_tx_stream(spark, ledger(spark, sf_dir), target), step, f"{target}/facts", f"{target}/checkpoint").awaitTermination()
-    return incremental.mask(spark, f"{target}/facts")
+    return _kept(incremental.mask(spark, f"{target}/facts"), target)
 
 
 @query(f"WITH RECURSIVE {LEDGER_SQL}, {_MIH}, {_closure('SELECT a, b FROM mih')} SELECT * FROM labels", plain=True)
@@ -855,7 +856,85 @@ def stream_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         return clustering.multi_input_edges(store.load(batch.sparkSession, at), batch.select("tx_id"))
 
     incremental.maintain_clustering(_tx_stream(spark, ledger(spark, sf_dir), target), step, f"{target}/states", f"{target}/checkpoint").awaitTermination()
-    return incremental.clustering_state(spark, f"{target}/states")
+    return _kept(incremental.clustering_state(spark, f"{target}/states"), target)
+
+
+def _in_batches(df: DataFrame, source: str, run: Callable[[], StreamingQuery]) -> None:
+    """Adds the rows of each number of the column ``batch`` to the source, one after the other, and runs the stream on each from where it was."""
+    for k in [r[0] for r in df.select("batch").distinct().orderBy("batch").collect()]:
+        df.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(source)
+        run().awaitTermination()
+
+
+#: Seconds between blocks.
+_PACE = 600
+
+
+@query(f"""WITH RECURSIVE {LEDGER_SQL}, {_RBF}, {_COINJOIN}, times AS (SELECT tx_id, count(*) AS n_in, bool_or(sequence < 2147483648) AS relative FROM txin GROUP BY tx_id),
+ sums AS (SELECT tx_id, count(*) AS n_out, sum(value)::BIGINT AS total FROM txout GROUP BY tx_id)
+ SELECT o_orderkey AS key, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, coalesce(total, 0) AS total, r.flag AS rbf, c.flag AS coinjoin,
+   coalesce(relative, false) AND locktime > 0 AND o_orderstatus <> 'P' AS bip68_with_locktime, o_orderstatus <> 'P' AS complete, o_orderstatus = 'P' AS expired
+ FROM orders JOIN tx ON tx.tx_id = o_orderkey JOIN rbf r ON r.key = o_orderkey JOIN coinjoin c ON c.key = o_orderkey LEFT JOIN times t ON t.tx_id = o_orderkey LEFT JOIN sums s ON s.tx_id = o_orderkey
+ WHERE o_orderstatus <> 'P' OR n_out > 0 OR n_in > 0""", plain=True)
+def stream_tx_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as keyed state: blocks come in three parts, outputs of odd blocks a part later, rows of open orders never."""
+    g, target = ledger(spark, sf_dir), fresh_folder(spark, "facts")
+    top = g.tx.agg(F.max("block_height")).first()[0] or 0
+    third = top // 3 + 1
+    open_ = loose_ids(spark, sf_dir).where("tx_id < 0").select((-F.col("tx_id") - 1).alias("tx_id"), F.lit(True).alias("open"))
+    parts = keyed.parts(g, F.timestamp_seconds((F.col("block_height") + 1) * _PACE)).join(open_, "tx_id", "left").where((F.col("kind") != keyed.ROW) | F.col("open").isNull()).drop("open")
+    height = F.unix_seconds("at") / _PACE - 1
+    parts = parts.withColumn("batch", F.floor(height / third) + ((F.col("kind") == keyed.OUT) & (height % 2 == 1)).cast("int"))
+    end = spark.range(1).select(F.lit(None).cast("long").alias("tx_id"), F.timestamp_seconds(F.lit(10 * (top + 10) * _PACE)).alias("at"), F.lit(keyed.TICK).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("amount", "n_in", "n_out", "locktime")], F.lit(3).alias("batch"))
+
+    def run() -> StreamingQuery:
+        told = keyed.facts(spark.readStream.schema(keyed.PART).parquet(f"{target}/parts"), 3_600_000, f"{(third + 1) * _PACE} seconds")
+        return keyed.maintain(told, f"{target}/facts", f"{target}/checkpoint")
+
+    _in_batches(parts.unionByName(end), f"{target}/parts", run)
+    return _kept(keyed.latest(spark, f"{target}/facts"), target)
+
+
+def _kept(df: DataFrame, target: str) -> DataFrame:
+    """df, written once more, without the folder that a stream has worked in."""
+    out = cut(df)
+    removed(df.sparkSession, target)
+    return out
+
+
+#: Blocks by which odd ones are known early, and how long inputs and outputs wait for each other.
+_EARLY, _LATE, _KEEP = 5, 2, 60
+
+
+@query(f""" SELECT in_id, CASE WHEN 2 * p.block_height < top OR came - seen BETWEEN -{_KEEP} AND {_LATE} THEN prev_out_id END AS out_id
+ FROM (SELECT s.*, t.block_height - {_EARLY} * (t.block_height % 2) AS seen, t.block_height AS height FROM spent s JOIN tx t USING (tx_id)) s
+ JOIN (SELECT *, block_height - {_EARLY} * (block_height % 2) AS came FROM tx) p ON p.tx_id = s.prev_tx_id, (SELECT max(block_height) AS top FROM tx)
+ WHERE 2 * height >= top""")
+def stream_late_parents(g: Ledger) -> DataFrame:
+    """The later half of the blocks as a stream, in which odd ones come early, so that inputs wait for outputs; some in vain."""
+    spark = g.tx.sparkSession
+    target = fresh_folder(spark, "links")
+    top = g.tx.agg(F.max("block_height")).first()[0] or 0
+    seen = F.timestamp_seconds((F.col("block_height") - _EARLY * (F.col("block_height") % 2)) * _PACE).alias("seen")
+    tx = g.tx.select("tx_id", "block_height", seen)
+    txid = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    outs = g.txout.select("tx_id", txid("tx_id").alias("txid"), F.col("vout").cast("long").alias("vout"), "out_id").join(tx, "tx_id")
+    stored, outs = outs.where(2 * F.col("block_height") < top), outs.where(2 * F.col("block_height") >= top).select("txid", "vout", "out_id", "seen")
+    ins = g.spent.join(tx, "tx_id").where(2 * F.col("block_height") >= top).select("in_id", txid("prev_tx_id").alias("prev_txid"), F.col("prev_vout").cast("long").alias("prev_vout"), "seen")
+    stored.select("txid", "vout", "out_id").write.parquet(f"{target}/stored")
+    part = F.floor(4 * (F.unix_seconds("seen") / _PACE + _EARLY - top / 2) / (top / 2 + _EARLY + 1)).cast("int").alias("batch")
+    far = F.timestamp_seconds(F.lit(10 * (top + _KEEP + 10) * _PACE))
+    for name, df, kind in (("ins", ins, linking.INPUT), ("outs", outs, linking.OUTPUT)):
+        none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in kind.split(", ")[:3]]
+        df.select("*", part).unionByName(spark.range(1).select(*none, far.alias("seen"), F.lit(4).alias("batch"))).write.partitionBy("batch").parquet(f"{target}/all_{name}")
+    read = lambda name, kind: spark.readStream.schema(kind).parquet(f"{target}/{name}")
+    wait = lambda blocks: f"{blocks * _PACE} seconds"
+    for k in range(5):
+        for name in ("ins", "outs"):
+            spark.read.parquet(f"{target}/all_{name}").where(F.col("batch") == k).drop("batch").write.mode("append").parquet(f"{target}/{name}")
+        linked = linking.link(read("ins", linking.INPUT), read("outs", linking.OUTPUT), wait(_KEEP), wait(_LATE), stored=spark.read.parquet(f"{target}/stored"))
+        linking.maintain(linked, f"{target}/links", f"{target}/checkpoint").awaitTermination()
+    return _kept(spark.read.parquet(f"{target}/links").where("in_id IS NOT NULL"), target)
 
 
 @query(" SELECT in_id, prev_out_id FROM txin")
@@ -926,7 +1005,7 @@ def stored_parts(g: Ledger) -> DataFrame:
     store.save(first, target)
     store.append(second, target)
     store.put(spark.read.parquet(f"{target}/txout").where("vout = 0").withColumn("value", F.col("value") + 1), target, "txout")
-    return store.get(spark, target, "txout", g.txin.select(F.col("prev_out_id").alias("out_id"))).select("out_id", "tx_id", "vout", "value")
+    return _kept(store.get(spark, target, "txout", g.txin.select(F.col("prev_out_id").alias("out_id"))).select("out_id", "tx_id", "vout", "value"), target)
 
 
 class _Totals(store.Sink):

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.clustering import cluster, grown, star
+from ledgerloom.checkpoints import removed
+from ledgerloom.operators.clustering import changes, cluster, grown, star
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -46,36 +47,63 @@ def clustering(spark: SparkSession, folder: str) -> DataFrame:
     return cluster(_facts(spark, folder).select("a", "b"))
 
 
-def maintain_clustering(stream: DataFrame, step: Step, folder: str, checkpoint: str) -> StreamingQuery:
+#: Batches after which the whole clustering is written anew.
+WHOLE_EVERY = 16
+
+
+def maintain_clustering(stream: DataFrame, step: Step, folder: str, checkpoint: str, whole_every: int = WHOLE_EVERY) -> StreamingQuery:
     """Keeps the clustering itself: each batch's edges (a, b) only join clusters of the state before it.
 
-    States are tables named by their batch, so a batch that runs again begins
-    from the state before it and writes its own anew; older ones are left to be removed.
+    A batch writes the labels that it changes, as a table named by its number;
+    every ``whole_every`` batches it is the whole clustering, which stands for all before it.  A
+    batch that runs again begins from the tables before it and writes its own
+    anew.  Tables that a whole one stands for are left to ``forget``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = [n for n in _states(spark, folder) if n < number]
-        edges = step(batch)
-        now = grown(spark.read.parquet(f"{folder}/state={before[-1]:012d}"), edges) if before else cluster(edges)
-        now.write.mode("overwrite").parquet(f"{folder}/state={number:012d}")
+        spark, edges = batch.sparkSession, step(batch)
+        before = _state(spark, folder, number)
+        whole = before is None or number % whole_every == 0
+        now = cluster(edges) if before is None else grown(before, edges) if whole else changes(before, edges)
+        now.write.mode("overwrite").parquet(f"{folder}/{'whole' if whole else 'state'}={number:012d}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _states(spark: SparkSession, folder: str) -> list[int]:
-    """The batches whose states are there and whole, in order."""
+def _states(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(batch, name) of the tables that are there and whole, in order."""
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(folder)
     system = place.getFileSystem(context._jsc.hadoopConfiguration())
     names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
-    whole = [n for n in names if n.startswith("state=") and system.exists(context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    return sorted(int(n.removeprefix("state=")) for n in whole)
+    done = [n for n in names if n.partition("=")[0] in ("state", "whole") and system.exists(context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted((int(n.partition("=")[2]), n) for n in done)
+
+
+def _state(spark: SparkSession, folder: str, end: int | None = None) -> DataFrame | None:
+    """The clustering as of the batches before ``end``, or of all: of a member's labels the least, since they only fall."""
+    names = [n for number, n in _states(spark, folder) if end is None or number < end]
+    if not names:
+        return None
+    last = max((k for k, n in enumerate(names) if n.startswith("whole")), default=0)
+    rows = spark.read.parquet(*[f"{folder}/{n}" for n in names[last:]])
+    return rows.groupBy("member").agg(F.min("cluster_id").alias("cluster_id")) if len(names) > last + 1 else rows.select("member", "cluster_id")
 
 
 def clustering_state(spark: SparkSession, folder: str) -> DataFrame:
     """The clustering as of the last batch."""
-    return spark.read.parquet(f"{folder}/state={_states(spark, folder)[-1]:012d}")
+    out = _state(spark, folder)
+    if out is None:
+        raise FileNotFoundError(f"no batch was written to {folder}")
+    return out
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Takes away the tables that a later whole one stands for; no reader of an older state may be under way."""
+    names = [n for _, n in _states(spark, folder)]
+    last = max((k for k, n in enumerate(names) if n.startswith("whole")), default=0)
+    for name in names[:last]:
+        removed(spark, f"{folder}/{name}")
 
 
 def compact(spark: SparkSession, folder: str, target: str) -> DataFrame:

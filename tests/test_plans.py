@@ -177,10 +177,31 @@ def test_clustering_as_state(spark, tmp_path):
         spark.createDataFrame(edges, "a long, b long").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("a long, b long").parquet(source)
         incremental.maintain_clustering(stream, step, target, str(tmp_path / "check")).awaitTermination()
-        assert incremental._states(spark, target)[-1] == k
+        assert incremental._states(spark, target)[-1][0] == k
     assert clusters(incremental.clustering_state(spark, target)) == [[1, 2, 3, 5, 6], [9]]
 
 
+def test_state_writes_changed_labels_only(spark, tmp_path):
+    source, target = tmp_path / "edges", str(tmp_path / "states")
+    source.mkdir()
+    schema = "a long, b long"
+    batches = [[(10, 11), (20, 21), (30, 31)], [(31, 32)], [(11, 20)], [(5, 5)], [(32, 21)], [(40, 41)]]
+    wrote = []
+    for k, rows in enumerate(batches):  # each a restart
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        incremental.maintain_clustering(stream, lambda batch: batch, target, str(tmp_path / "check"), whole_every=5).awaitTermination()
+        number, name = incremental._states(spark, target)[-1]
+        assert number == k
+        wrote.append((name.partition("=")[0], sorted(tuple(r) for r in spark.read.parquet(f"{target}/{name}").select("member", "cluster_id").collect())))
+    assert wrote[1:4] == [("state", [(32, 30)]), ("state", [(20, 10), (21, 10)]), ("state", [(5, 5)])]
+    assert [kind for kind, _ in wrote] == ["whole", "state", "state", "state", "state", "whole"]
+    want = [[5], [10, 11, 20, 21, 30, 31, 32], [40, 41]]
+    assert clusters(incremental.clustering_state(spark, target)) == want
+    incremental.forget(spark, target)
+    assert [n for _, n in incremental._states(spark, target)] == ["whole=000000000005"] and clusters(incremental.clustering_state(spark, target)) == want
+
+
 def test_facts(spark):
     mask = lambda d: spark.createDataFrame(list(d.items()), "key long, flag boolean")
     assert flags(facts.combine_masks([mask({1: True, 2: True}), mask({2: False})])) == {1: True, 2: False}
