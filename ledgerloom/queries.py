@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ledgerloom.checkpoints import cut, folder, removed
-from ledgerloom.functions import fingerprint_json, ids, labels, rawtx, scalars, scripts
+from ledgerloom.functions import encode, fingerprint_json, ids, labels, rawtx, scalars, scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
 from ledgerloom.plans import facts
 from ledgerloom.plans.dag import Clustering, Context, Engine, Placeholder
-from ledgerloom.sources import star, store
+from ledgerloom.sources import blockindex, blocks, leveldb, star, store
 from ledgerloom.sources.star import LEDGER_SQL, loose_ids
 from ledgerloom.streaming import incremental, keyed, linking
 
@@ -523,22 +523,16 @@ def output_types(g: Ledger) -> DataFrame:
     return typed.withColumn("type_name", scripts.type_name(F.col("output_type")))
 
 
-def _little(n, size: int):  # noqa: ANN001, ANN202
-    """A number as so many bytes in hexadecimal, the lowest first."""
-    code = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
-    return F.concat(*[F.substring(code, 2 * k + 1, 2) for k in reversed(range(size))])
-
-
 def _raw(g: Ledger) -> DataFrame:
     """(tx_id, hex): the view's transactions as raw bytes; those without inputs get a null one."""
-    ins = F.concat(F.sha2(F.col("prev_tx_id").cast("string"), 256), _little(F.col("prev_vout"), 4), F.lit("00"), _little(F.col("sequence"), 4))
+    ins = F.concat(F.sha2(F.col("prev_tx_id").cast("string"), 256), encode.little(F.col("prev_vout"), 4), F.lit("00"), encode.little(F.col("sequence"), 4))
     spk = _script("spk", "output_type")
-    outs = F.concat(_little(F.col("value"), 8), _little(F.length(spk) / 2, 1), spk)
+    outs = F.concat(encode.little(F.col("value"), 8), encode.little(F.length(spk) / 2, 1), spk)
     listed = lambda df, at, code: df.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct(at, code.alias("code")))).alias("l"))
-    body = lambda c: F.concat(_little(F.size(c), 1), F.array_join(F.transform(c, lambda x: x["code"]), ""))
+    body = lambda c: F.concat(encode.little(F.size(c), 1), F.array_join(F.transform(c, lambda x: x["code"]), ""))
     both = g.tx.join(listed(g.spent, "vin", ins).withColumnRenamed("l", "i"), "tx_id", "left").join(listed(g.txout, "vout", outs).withColumnRenamed("l", "o"), "tx_id", "left")
     null = F.lit("01" + "00" * 32 + "ffffffff" + "00" + "ffffffff")
-    return both.select("tx_id", F.concat(F.lit("02000000"), F.coalesce(body("i"), null), F.coalesce(body("o"), F.lit("00")), _little(F.col("locktime"), 4)).alias("hex"))
+    return both.select("tx_id", F.concat(F.lit("02000000"), F.coalesce(body("i"), null), F.coalesce(body("o"), F.lit("00")), encode.little(F.col("locktime"), 4)).alias("hex"))
 
 
 _CODE_SQL = "upper(CASE output_type WHEN 0 THEN '76a914' || b || '88ac' WHEN 1 THEN 'a914' || b || '87' WHEN 2 THEN '0014' || b WHEN 3 THEN '0020' || repeat('00', 12) || b WHEN 4 THEN '5120' || repeat('00', 12) || b WHEN 5 THEN '6a14' || b ELSE '51' || b END)"
@@ -589,6 +583,111 @@ def raw_transactions(g: Ledger) -> DataFrame:
     return found.select("tx_id", F.lower(F.hex("txid")).alias("txid"), "version", "locktime", "is_coinbase", "n_in", "n_out", "total")
 
 
+# block files: the view written as a node writes it, and read back
+
+#: Blocks of a file are so many bytes, to have several files; the mask of the files and that of the index.
+_FILE, _MASK, _INDEX_MASK = 1 << 18, bytes([9, 8, 7, 6, 5, 4, 3, 2]), bytes([5, 1, 4])
+_TIP = 9
+
+
+def _generations(g: Ledger) -> Ledger:
+    """The view with scripts, in which inputs of odd blocks spend outputs of even ones and all others what is not part of it: two generations."""
+    odd = g.tx.select("tx_id", (F.col("block_height") % 2 == 1).alias("odd"))
+    made = g.txout.join(odd.where("NOT odd").select("tx_id"), "tx_id", "left_semi").select(F.col("out_id").alias("prev_out_id"), F.lit(True).alias("made"))
+    ins = g.txin.join(odd, "tx_id").join(made, "prev_out_id", "left").withColumn("prev_out_id", F.when(F.col("odd") & F.col("made"), F.col("prev_out_id"))).drop("odd", "made")
+    return Ledger(g.tx, ins, g.txout.withColumn("spk", F.unhex(_script("spk", "output_type"))))
+
+
+def _block_folder(g: Ledger, target: str) -> DataFrame:
+    found = cut(encode.blocks(encode.transactions(_generations(g))))
+    blocks.write(found, target, _MASK, size=_FILE, parts=4)
+    return found
+
+
+def _index(spark: SparkSession, source: str, target: str) -> blockindex.Index:
+    """The index of a folder of block files, written as a store."""
+    blocks.register(spark)
+    read = spark.read.format("blockfiles").load(source)
+    names = cut(blocks.linked_headers(read))
+    placed = chain.heights(names.select("block_hash", "prev_hash")).join(names, ["block_hash", "prev_hash"]).select("file_no", "offset", "height")
+    counts = blocks.parsed(read).groupBy("block_hash").agg(F.count(F.lit(1)).alias("n_tx"))
+    rows = read.select("file_no", "offset", F.octet_length("block").cast("long").alias("size"), F.substring("block", 1, 80).alias("header")).join(placed, ["file_no", "offset"])
+    leveldb.write(blockindex.records(rows.withColumn("block_hash", encode.sha256d(F.col("header"))).join(counts, "block_hash"), _INDEX_MASK), target)
+    return blockindex.Index.open(spark, target)
+
+
+_BLOCK_VIEW = """gen AS (SELECT i.tx_id, i.vin, i.in_id, i.sequence, CASE WHEN t.block_height % 2 = 1 AND p.block_height % 2 = 0 THEN i.prev_tx_id END AS parent, i.prev_value FROM spent i JOIN tx t USING (tx_id) LEFT JOIN tx p ON p.tx_id = i.prev_tx_id),
+ placed AS (SELECT tx_id, locktime, dense_rank() OVER (ORDER BY block_height) - 1 AS height, row_number() OVER (ORDER BY block_height, tx_id) - 1 AS new_id FROM tx)"""
+
+
+def _per_tx(g: Ledger) -> DataFrame:
+    """What a query shows of a ledger that was read from block files."""
+    ins = g.spent.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n_in"), F.count("prev_tx_id").alias("n_linked"), F.coalesce(F.sum("prev_value"), F.lit(0)).alias("sum_in"), F.max("prev_tx_id").alias("last_parent"))
+    outs = g.txout.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n_out"), F.sum("value").alias("sum_out"), F.sum(F.col("output_type") * (F.col("vout") + 1)).alias("types"))
+    return g.tx.select("tx_id", F.col("block_height").alias("height"), "locktime").join(ins, "tx_id", "left").join(outs, "tx_id", "left").fillna(0, ["n_out", "sum_out", "types"])
+
+
+def _per_tx_sql(depth: int | None) -> str:
+    """low: the first height and transaction that are read."""
+    low = "0" if depth is None else f"(SELECT max(height) - {depth} FROM placed)"
+    return f""", {_BLOCK_VIEW}, low AS (SELECT min(new_id) AS first FROM placed WHERE height >= {low}),
+ ins_ AS (SELECT g.tx_id, count(*) AS n_in, count(q.new_id) AS n_linked, sum(CASE WHEN q.new_id IS NOT NULL THEN prev_value END) AS sum_in, max(q.new_id) AS last_parent
+   FROM gen g LEFT JOIN placed q ON q.tx_id = g.parent AND q.new_id >= (SELECT first FROM low) GROUP BY g.tx_id),
+ outs_ AS (SELECT tx_id, count(*) AS n_out, sum(value) AS sum_out, sum(output_type * (vout + 1)) AS types FROM txout GROUP BY tx_id)
+ SELECT new_id - first AS tx_id, height, locktime, coalesce(n_in, 1) AS n_in, coalesce(n_linked, 0) AS n_linked, coalesce(sum_in, 0)::BIGINT AS sum_in, last_parent - first AS last_parent,
+   coalesce(n_out, 0) AS n_out, coalesce(sum_out, 0)::BIGINT AS sum_out, coalesce(types, 0)::BIGINT AS types
+ FROM placed LEFT JOIN ins_ USING (tx_id) LEFT JOIN outs_ USING (tx_id), low WHERE new_id >= first"""
+
+
+@query(_per_tx_sql(None))
+def block_files(g: Ledger) -> DataFrame:
+    """The view written as masked block files by four tasks, and read back: blocks, transactions, scripts, links."""
+    spark, target = g.tx.sparkSession, fresh_folder(g.tx.sparkSession, "blocks")
+    _block_folder(g, target)
+    return _kept(_per_tx(blocks.read(spark, target)), target)
+
+
+@query(_per_tx_sql(_TIP))
+def block_files_tip(g: Ledger) -> DataFrame:
+    """The last ten blocks, found by the block index and read one by one; what they spend of older ones is unresolved."""
+    spark, target = g.tx.sparkSession, fresh_folder(g.tx.sparkSession, "tip")
+    _block_folder(g, f"{target}/blk")
+    tip = blocks.read(spark, f"{target}/blk", _TIP, _index(spark, f"{target}/blk", f"{target}/index"))
+    return _kept(_per_tx(tip), target)
+
+
+@query(f""", {_BLOCK_VIEW} SELECT height, count(*) AS n_tx, nullif(height - 1, -1) AS parent, true AS found FROM placed GROUP BY height""")
+def block_index(g: Ledger) -> DataFrame:
+    """The records of the block index, each with its parent's height looked up among the others, and its file's summary."""
+    spark, target = g.tx.sparkSession, fresh_folder(g.tx.sparkSession, "index")
+    _block_folder(g, f"{target}/blk")
+    index = _index(spark, f"{target}/blk", f"{target}/index")
+    rows, files = index.blocks, index.files()
+    spans = spark.createDataFrame([(n, f.height_first, f.height_last) for n, f in files.items()], "file_no long, low long, high long")
+    parents = rows.select(F.col("block_hash").alias("prev_hash"), F.col("height").alias("parent"))
+    best = index.best()
+    known = best is not None and index.block(best[0]).height == best[1] and index.last_file() == max(files)
+    out = rows.join(parents, "prev_hash", "left").join(F.broadcast(spans), "file_no")
+    found = F.col("height").between(F.col("low"), F.col("high")) & (F.coalesce(F.col("parent") + 1, F.lit(0)) == F.col("height")) & F.lit(known)
+    return _kept(out.select("height", "n_tx", "parent", found.alias("found")), target)
+
+
+@query(f", {_BLOCK_VIEW} SELECT height, (height >= (SELECT max(height) // 2 FROM placed))::INTEGER AS batch, count(*) AS n_tx, 1 AS n_read FROM placed GROUP BY height")
+def stream_block_files(g: Ledger) -> DataFrame:
+    """Block files as a stream: each block is read once, in the run after it was added."""
+    spark, target = g.tx.sparkSession, fresh_folder(g.tx.sparkSession, "stream")
+    found = cut(encode.blocks(encode.transactions(_generations(g))))
+    middle = found.agg(F.floor(F.max("height") / 2)).first()[0] or 0
+    for late in (False, True):
+        blocks.write(found.where((F.col("height") >= middle) == late), f"{target}/blk", _MASK, size=_FILE, parts=3)
+        stream = spark.readStream.format("blockfiles").load(f"{target}/blk")
+        step = lambda batch, late=late: blocks.parsed(batch).groupBy("block_hash").agg(F.count(F.lit(1)).alias("n_tx")).withColumn("batch", F.lit(int(late)))
+        incremental.maintain(stream, step, f"{target}/facts", f"{target}/checkpoint").awaitTermination()
+    heights = found.select("height", encode.sha256d(F.col("header")).alias("block_hash"))
+    counted = incremental.bag(spark, f"{target}/facts").groupBy("block_hash").agg(F.max("batch").alias("batch"), F.max("n_tx").alias("n_tx"), F.count(F.lit(1)).cast("int").alias("n_read"))
+    return _kept(counted.join(heights, "block_hash").drop("block_hash"), target)
+
+
 # sub-transactions
 
 
