@@ -1,49 +1,28 @@
-"""Sub-transactions: ways to split a transaction into parts whose inputs and outputs balance.
-
-``partitions``, ``mappings`` and ``non_derived`` list them; the tables of counts
-take any number of inputs and outputs, and count by sums and by memory of the
-coins that are left, without listing.  The search stays exponential in the
-worst case, so it is bounded by its work (``SUMS``, ``STEPS``) and not by the
-number of coins: a transaction has a null result only where that bound, or a
-long integer, does not hold its count.
-Transactions are rows of an Arrow-batched function, one independent of another.
+"""Sub-transactions of one transaction as lists: partitions, mappings, and a table function that gives them.
+
+``balances`` counts and lists them by joins over a whole ledger.  Here one
+transaction's coins are searched through by themselves, for the few of interest.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from collections import defaultdict
+from collections.abc import Iterator
 from itertools import combinations, permutations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.arrow import mapped
-from ledgerloom.functions import scalars
-from ledgerloom.ledger import Ledger
-
-DEPTH = 8  # coins of an input subset that is held ambiguous, at most
-SUMS = 1 << 21  # sums held at once
-STEPS = 1 << 24  # blocks looked at for one transaction
-LOOKUPS = 1 << 30  # sums of one half looked up in the other
 Partition = tuple[tuple[int, ...], ...]
 Mapping = tuple[tuple[tuple[int, ...], tuple[int, ...]], ...]
 
 
-class TooLarge(Exception):
-    """A count is beyond the bounds of work."""
-
-
-def subset_sums(coins: list[int], most: int | None = None) -> set[int]:
-    """The sums of all non-empty subsets, without 0; TooLarge where they are more than ``most``."""
+def subset_sums(coins: list[int]) -> set[int]:
+    """The sums of all non-empty subsets, without 0."""
     sums = {0}
     for c in coins:
         sums |= {s + c for s in sums}
-        if most is not None and len(sums) > most:
-            raise TooLarge
     return sums - {0}
 
 
@@ -112,232 +91,40 @@ def non_derived(ins: list[int], outs: list[int]) -> list[Mapping]:
     return [m for m in mappings(ins, outs) if not any(splittable(ins, outs, b) for b in m)]
 
 
-def _half(coins: list[int]) -> np.ndarray:
-    """The distinct sums of all subsets, in order."""
-    sums = np.zeros(1, np.int64)
-    for c in coins:
-        sums = np.unique(np.concatenate([sums, sums + c]))
-        if len(sums) > SUMS:
-            raise TooLarge
-    return sums
+#: A block of a mapping: the mapping it is of (its blocks in order, as text), the places of its coins, and their amount.
+BLOCK = T.StructType([T.StructField("tx_id", T.LongType()), T.StructField("mapping", T.StringType()), T.StructField("ins", T.StringType()), T.StructField("outs", T.StringType()), T.StructField("amount", T.LongType())])
 
 
-def sums_among(wanted: Iterable[int], coins: list[int]) -> set[int]:
-    """Those of the wanted sums that some non-empty subset of the coins has, without 0."""
-    wanted = set(wanted) - {0}
-    most, sums = max(wanted, default=0), {0}
-    for c in coins:
-        sums |= {s + c for s in sums if s + c <= most}
-        if len(sums) > SUMS // 4:
-            break
-    else:
-        return wanted & sums
-    # in two halves, sums of one looked up in the other
-    coins = sorted(c for c in coins if c <= most)
-    if sum(coins) + most >= 1 << 62:
-        raise TooLarge
-    few, many = sorted((_half(coins[: len(coins) // 2]), _half(coins[len(coins) // 2 :])), key=len)
-    left = np.array(sorted(wanted), np.int64)
-    found: set[int] = set()
-    if len(few) * min(len(left), len(many)) > LOOKUPS:
-        raise TooLarge
-    for x in few:
-        if len(left) <= len(many):
-            there = many[np.minimum(np.searchsorted(many, left - x), len(many) - 1)] == left - x
-        else:
-            there = np.zeros(len(left), bool)
-            place = np.minimum(np.searchsorted(left, many + x), len(left) - 1)
-            there[place[left[place] == many + x]] = True
-        if there.any():
-            found.update(left[there].tolist())
-            left = left[~there]
-            if not len(left):
-                break
-    return found
-
-
-def _mask_sums(coins: list[int]) -> list[int]:
-    """The sum of each subset, by its mask."""
-    if 1 << len(coins) > SUMS:
-        raise TooLarge
-    sums = [0]
-    for c in coins:
-        sums += [s + c for s in sums]
-    return sums
-
-
-def count_partitions(ins: list[int], outs: list[int]) -> int:
-    """The number of partitions of ins into blocks whose sums are all sums of outs."""
-    sums = _mask_sums(ins)
-    valid = sums_among(sums, outs)
-    by_least: dict[int, list[int]] = defaultdict(list)
-    for block, s in enumerate(sums):
-        if s in valid:
-            by_least[block & -block].append(block)
-    ways, steps = {0: 1}, 0
-
-    def count(left: int) -> int:
-        nonlocal steps
-        if left not in ways:
-            blocks = by_least[left & -left]
-            steps += len(blocks)
-            if steps > STEPS:
-                raise TooLarge
-            ways[left] = sum(count(left ^ b) for b in blocks if not b & ~left)
-        return ways[left]
-
-    return count(len(sums) - 1)
-
-
-def count_mappings(ins: list[int], outs: list[int], derived: bool = True) -> int:
-    """The number of mappings, only of those no block of which splits further unless derived.
-
-    A mapping is a partition of all coins into blocks of inputs and outputs of
-    equal sums, so totals are equal; and the last block is whatever is left.
+class MappingBlocks:
+    """A table function over coins (tx_id, side, place, v), PARTITION BY tx_id: side 0 spends, side 1 is made.
+
+    It holds the coins of one transaction, and gives the blocks of each of its mappings.
     """
-    if sum(ins) != sum(outs) or not sum(ins):
-        return 0
-    few, many = sorted((ins, outs), key=len)  # both sides have the same part in a mapping
-    if len(few) == 1:
-        return 1
-    sums = _mask_sums(few)
-    all_few, all_many = len(sums) - 1, (1 << len(many)) - 1
-    others: dict[int, list[int]] = defaultdict(list)  # masks of many by sum, for the sums of proper parts of few
-    if all_many >= STEPS or sum(many) >= 1 << 62:
-        raise TooLarge
-    values = np.zeros(1, np.int64)
-    for c in many:
-        values = np.concatenate([values, values + c])
-    places = np.flatnonzero(np.isin(values, np.array(sorted(set(sums[1:-1]) - {0}), np.int64)))
-    for place, s in zip(places.tolist(), values[places].tolist(), strict=True):
-        others[s].append(place)
-    steps = 0
-
-    def step(n: int) -> None:
-        nonlocal steps
-        steps += n
-        if steps > STEPS:
-            raise TooLarge
-
-    def splits(a: int, b: int) -> bool:
-        part = (a - 1) & a
-        while part:
-            blocks = others.get(sums[part], ())
-            step(1 + len(blocks))
-            if any(not o & ~b and o != b for o in blocks):
-                return True
-            part = (part - 1) & a
-        return False
-
-    whole: dict[tuple[int, int], bool] = {}
-    ways: dict[tuple[int, int], int] = {}
-
-    def kept(a: int, b: int) -> bool:
-        if derived:
-            return True
-        if (a, b) not in whole:
-            whole[a, b] = not splits(a, b)
-        return whole[a, b]
-
-    def count(a: int, b: int) -> int:
-        if (a, b) not in ways:
-            least = a & -a
-            rest, n = a ^ least, int(sums[a] > 0 and kept(a, b))
-            part = (rest - 1) & rest if rest else None
-            while part is not None:
-                block = part | least
-                blocks = others.get(sums[block], ())
-                step(1 + len(blocks))
-                for o in blocks:
-                    if not o & ~b and o != b and kept(block, o):
-                        n += count(a ^ block, b ^ o)
-                part = (part - 1) & rest if part else None
-            ways[a, b] = n
-        return ways[a, b]
-
-    return count(all_few, all_many)
-
-
-def ambiguous_subsets(ins: list[int], outs: list[int], depth: int = DEPTH) -> int:
-    """Input subsets of at most depth coins, all of them excepted, whose sum is that of some output subset."""
-    layers: list[Counter[int]] = [Counter({0: 1}), *(Counter() for _ in range(min(depth, len(ins) - 1)))]  # by the number of coins
-    for c in ins:
-        for k in range(len(layers) - 1, 0, -1):
-            for s, n in layers[k - 1].items():
-                layers[k][s + c] += n
-        if sum(map(len, layers)) > SUMS:
-            raise TooLarge
-    sums: Counter[int] = Counter()
-    for layer in layers[1:]:
-        sums.update(layer)
-    return sum(sums[s] for s in sums_among(sums, outs))
-
-
-def coins(ledger: Ledger) -> DataFrame:
-    """(tx_id, ins, outs): the amounts of each transaction with inputs, in order."""
-    ins = ledger.spent.where("prev_value IS NOT NULL").groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct("vin", "prev_value"))).alias("i"))
-    outs = ledger.txout.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct("vout", "value"))).alias("o"))
-    return ins.join(outs, "tx_id").select("tx_id", F.transform("i", lambda x: x["prev_value"]).alias("ins"), F.transform("o", lambda x: x["value"]).alias("outs"))
-
-
-def _bounded(count: Callable[[list[int], list[int]], int], ins: list[int], outs: list[int]) -> int | None:
-    try:
-        n = count(ins, outs)
-    except TooLarge:
-        return None
-    return n if n < 1 << 63 else None
-
-
-def _counted(ledger: Ledger, name: str, count: Callable[[list[int], list[int]], int]) -> DataFrame:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [_bounded(count, i, o) for i, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["tx_id", name])
-
-    return mapped(coins(ledger), task, f"tx_id long, {name} long")
-
-
-def mapping_counts(ledger: Ledger, derived: bool) -> DataFrame:
-    """The number of mappings of each transaction, those with splittable blocks too if derived."""
-    return _counted(ledger, "n_mappings", lambda i, o: count_mappings(i, o, derived))
-
-
-def sum_counts(ledger: Ledger) -> DataFrame:
-    """The number of different sums other than zero that outputs of each transaction have; null beyond ``SUMS``."""
-    return _counted(ledger, "n_sums", lambda _, o: len(subset_sums(o, SUMS)))
-
-
-def partition_counts(ledger: Ledger) -> DataFrame:
-    """The number of input partitions whose block sums are all sums of outputs."""
-    return _counted(ledger, "n_partitions", count_partitions)
-
-
-def ambiguous(ledger: Ledger, depth: int = DEPTH) -> DataFrame:
-    """The number of input subsets of at most depth coins that some outputs balance."""
-    return _counted(ledger, "n_ambiguous", lambda i, o: ambiguous_subsets(i, o, depth))
-
-
-#: A metric: the cost of n ambiguous subsets, of a budget.
-Metric = Callable[[Column, Column], Column]
-
-
-def privacy(ledger: Ledger, metrics: tuple[Metric, ...] = (scalars.subset_cost,), budget: float = 1.0, depth: int = DEPTH) -> DataFrame:
-    """(tx_id, cost): what the metrics add up to for each transaction; others than the given one may take their places."""
-    n, most = F.col("n_ambiguous"), F.lit(budget)
-    return ambiguous(ledger, depth).select("tx_id", reduce(Column.__add__, [m(n, most) for m in metrics]).alias("cost"))
+
+    def __init__(self) -> None:
+        self.tx_id: int | None = None
+        self.sides: tuple[list, list] = ([], [])
+
+    def eval(self, row) -> None:  # noqa: ANN001
+        self.tx_id = row["tx_id"]
+        self.sides[row["side"]].append((row["place"], row["v"]))
+
+    def terminate(self) -> Iterator[tuple]:
+        ins, outs = (sorted(side) for side in self.sides)
+        name = lambda side, block: ",".join(str(side[i][0]) for i in block)
+        for mapping in mappings([v for _, v in ins], [v for _, v in outs]):
+            blocks = [(name(ins, a), name(outs, b), sum(ins[i][1] for i in a)) for a, b in mapping]
+            text = "".join(f"({a}>{b})" for a, b, _ in blocks)
+            for a, b, amount in blocks:
+                yield self.tx_id, text, a, b, amount
 
 
-def mapping_lists(ledger: Ledger, derived: bool) -> DataFrame:
-    """(tx_id, mapping): a row for each mapping, a list of blocks (ins, outs) of the coins' places; null where the count is beyond the bounds."""
-    kind = pa.list_(pa.struct([("ins", pa.list_(pa.int32())), ("outs", pa.list_(pa.int32()))]))
+def register(spark: SparkSession) -> None:
+    """Makes ``mapping_blocks`` known to SQL."""
+    spark.udtf.register("mapping_blocks", F.udtf(MappingBlocks, returnType=BLOCK))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for tx, i, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if _bounded(lambda x, y: count_mappings(x, y, derived), i, o) is None:
-                    rows: list = [None]
-                else:
-                    rows = [[{"ins": p, "outs": q} for p, q in m] for m in (mappings if derived else non_derived)(i, o)]
-                yield pa.RecordBatch.from_arrays([pa.array([tx] * len(rows), pa.int64()), pa.array(rows, kind)], ["tx_id", "mapping"])
 
-    return mapped(coins(ledger), task, "tx_id long, mapping array<struct<ins: array<int>, outs: array<int>>>")
+def mapping_blocks(coins: DataFrame) -> DataFrame:
+    """The blocks of all mappings of coins (tx_id, side, place, v); ``SELECT .. FROM mapping_blocks(TABLE(..) PARTITION BY tx_id)`` in SQL."""
+    rows = coins.select("tx_id", "side", "place", "v")
+    return F.udtf(MappingBlocks, returnType=BLOCK)(rows.asTable().partitionBy("tx_id"))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ledgerloom.checkpoints import cut, folder, removed
 from ledgerloom.functions import encode, fingerprint_json, ids, labels, rawtx, scalars, scripts
 from ledgerloom.ledger import Ledger
-from ledgerloom.operators import chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
+from ledgerloom.operators import balances, chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
 from ledgerloom.plans import facts
 from ledgerloom.plans.dag import Clustering, Context, Engine, Placeholder
 from ledgerloom.sources import blockindex, blocks, leveldb, star, store
@@ -718,32 +718,55 @@ SELECT c.tx_id, count(t.tx_id) AS n_mappings FROM (SELECT DISTINCT tx_id FROM co
 
 @query(f", {_COINS} SELECT c.tx_id, count(v.total) AS n_sums FROM (SELECT DISTINCT tx_id FROM coins_in) c LEFT JOIN valid v ON v.tx_id = c.tx_id GROUP BY c.tx_id")
 def subset_sums(g: Ledger) -> DataFrame:
-    return subsets.sum_counts(g)
+    return balances.sum_counts(g)
 
 
 @query(_mappings_sql("pairs_"))
 def all_mappings(g: Ledger) -> DataFrame:
-    return subsets.mapping_counts(g, derived=True)
+    return balances.mapping_counts(g, derived=True)
 
 
 @query(_mappings_sql("whole_"))
 def non_derived_mappings(g: Ledger) -> DataFrame:
-    return subsets.mapping_counts(g, derived=False)
+    return balances.mapping_counts(g, derived=False)
 
 
 @query(f", {_PARTITIONS} SELECT c.tx_id, count(t.tx_id) AS n_partitions FROM (SELECT DISTINCT tx_id FROM coins_in) c LEFT JOIN cut_ t ON t.tx_id = c.tx_id AND t.rest = 0 GROUP BY c.tx_id")
 def subset_partitions(g: Ledger) -> DataFrame:
-    return subsets.partition_counts(g)
+    return balances.partition_counts(g)
 
 
 @query(f", {_AMBIGUOUS} SELECT tx_id, n_ambiguous FROM ambiguous")
 def ambiguous_subsets(g: Ledger) -> DataFrame:
-    return subsets.ambiguous(g)
+    return balances.ambiguous(g)
 
 
 @query(f", {_AMBIGUOUS} SELECT tx_id, CASE WHEN n_ambiguous = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1.0::DOUBLE + n_ambiguous) END AS cost FROM ambiguous")
 def privacy_cost(g: Ledger) -> DataFrame:
-    return subsets.privacy(g)
+    return balances.privacy(g)
+
+
+_NAMED = "list_transform(list_filter(range(62), lambda k: (({m} >> k) & 1) = 1), lambda k: k::INTEGER)"
+#: Mappings as lists of blocks, each with the places of its inputs and outputs.
+_LISTS = f"""{_PAIRS}, listed_(tx_id, a, b, l) AS (SELECT DISTINCT tx_id, (1::BIGINT << i.n) - 1, (1::BIGINT << o.n) - 1, '' FROM coins_in i JOIN coins_out o USING (tx_id) JOIN even_ USING (tx_id)
+  UNION ALL SELECT t.tx_id, xor(t.a, p.a), xor(t.b, p.b), t.l || '(' || array_to_string({_NAMED.format(m='p.a')}, ',') || '>' || array_to_string({_NAMED.format(m='p.b')}, ',') || ')'
+  FROM listed_ t JOIN pairs_ p ON p.tx_id = t.tx_id AND t.a & p.a = p.a AND t.b & p.b = p.b AND p.a & (t.a & -t.a) <> 0 WHERE t.a <> 0)"""
+
+
+@query(f", {_LISTS} SELECT tx_id, l AS mapping FROM listed_ WHERE a = 0 AND b = 0")
+def mapping_rows(g: Ledger) -> DataFrame:
+    """All mappings, a row each."""
+    listed = balances.mapping_lists(g, derived=True).select("tx_id", "mapping")
+    return listed.select("tx_id", F.array_join(F.transform("mapping", lambda x: F.concat(F.lit("("), F.array_join(x["ins"], ","), F.lit(">"), F.array_join(x["outs"], ","), F.lit(")"))), "").alias("mapping"))
+
+
+@query(f""", {_LISTS}, whole_l AS (SELECT tx_id, l, unnest(regexp_extract_all(l, '[^()]+')) AS block FROM listed_ WHERE a = 0 AND b = 0),
+ parts_ AS (SELECT tx_id, l, split_part(block, '>', 1) AS ins, split_part(block, '>', 2) AS outs FROM whole_l)
+ SELECT p.tx_id, l AS mapping, ins, outs, (SELECT sum(v)::BIGINT FROM coins_in c WHERE c.tx_id = p.tx_id AND list_contains(string_split(p.ins, ','), (c.k - 1)::VARCHAR)) AS amount FROM parts_ p""")
+def mapping_blocks(g: Ledger) -> DataFrame:
+    """The blocks of all mappings, by a table function that takes the coins of one transaction after the other."""
+    ins, outs = balances.coins(g)
+    return subsets.mapping_blocks(ins.select("tx_id", F.lit(0).alias("side"), "place", "v").union(outs.select("tx_id", F.lit(1), "place", "v")))
 
 
 # chain and amounts

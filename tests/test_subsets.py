@@ -1,10 +1,13 @@
+"""Sub-transactions: lists by search, counts and lists by joins, each against the other."""
+
 import random
+from itertools import combinations
 
-import pytest
 from ledgers import ledger
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import subsets
-from ledgerloom.operators.subsets import ambiguous_subsets, mappings, non_derived, partitions, subset_sums
+from ledgerloom.operators import balances, subsets
+from ledgerloom.operators.subsets import mappings, non_derived, partitions, subset_sums
 
 
 def test_partitions():
@@ -27,69 +30,110 @@ def test_mappings_balance():
         assert all(sum(ins[i] for i in a) == sum(outs[i] for i in b) for a, b in m)
 
 
-def test_ambiguous():
-    assert ambiguous_subsets([1000], [900]) == 0
-    assert ambiguous_subsets([500, 300], [500]) == 1
-    assert ambiguous_subsets([500, 300], [500, 300]) == 2
-    assert ambiguous_subsets([500], [500]) == 0
+def ambiguous_subsets(ins, outs, depth=balances.DEPTH):
+    valid = subset_sums(outs)
+    return sum(sum(c) in valid for n in range(1, min(depth, len(ins) - 1) + 1) for c in combinations(ins, n))
+
+
+def spending(spark, pairs):
+    """A ledger with a transaction for each (ins, outs), and the number of each."""
+    txs = [([*ins], []) for ins, _ in pairs]
+    for k, (ins, outs) in enumerate(pairs, 1):
+        txs.append(([*outs], [(k, v) for v in range(len(ins))]))
+    return ledger(spark, txs)[0], {len(pairs) + k: pair for k, pair in enumerate(pairs, 1)}
+
+
+def counts(df):
+    return {r[0]: r[1] for r in df.collect()}
 
 
 def test_zero_sums_are_no_blocks():
     assert subset_sums([0, 0]) == set()
 
 
-def test_counts_are_those_of_the_lists():
+def test_joins_as_the_lists(spark):
     rng = random.Random(5)
-    for _ in range(300):
+    pairs = []
+    for k in range(80):
         ins, outs = ([rng.choice([0, 1, 2, 3, 5, 7]) for _ in range(rng.randint(1, 4))] for _ in range(2))
-        (outs if sum(ins) > sum(outs) else ins).append(abs(sum(ins) - sum(outs)))
-        assert subsets.count_mappings(ins, outs) == len(mappings(ins, outs))
-        assert subsets.count_mappings(ins, outs, derived=False) == len(non_derived(ins, outs))
-        assert subsets.count_partitions(ins, outs) == sum(1 for _ in partitions(ins, subset_sums(outs)))
-
-
-def test_sums_in_halves(monkeypatch):
-    rng = random.Random(6)
-    coins = [rng.randint(1, 3000) for _ in range(10)]
-    wanted = {*rng.sample(range(20_000), 500), sum(coins), *(sum(rng.sample(coins, 4)) for _ in range(20))}
-    monkeypatch.setattr(subsets, "SUMS", 100)
-    assert subsets.sums_among(wanted, coins) == wanted & subset_sums(coins)
+        if k % 4:
+            (outs if sum(ins) > sum(outs) else ins).append(abs(sum(ins) - sum(outs)))
+        pairs.append((ins, outs))
+    g, txs = spending(spark, pairs)
+    assert counts(balances.mapping_counts(g, derived=True)) == {k: len(mappings(*p)) for k, p in txs.items()}
+    assert counts(balances.mapping_counts(g, derived=False)) == {k: len(non_derived(*p)) for k, p in txs.items()}
+    assert counts(balances.partition_counts(g)) == {k: sum(1 for _ in partitions(i, subset_sums(o))) for k, (i, o) in txs.items()}
+    assert counts(balances.sum_counts(g)) == {k: len(subset_sums(o)) for k, (_, o) in txs.items()}
+    for depth in (1, 2, 8):
+        assert counts(balances.ambiguous(g, depth)) == {k: ambiguous_subsets(i, o, depth) for k, (i, o) in txs.items()}
+    for derived, plain in ((True, mappings), (False, non_derived)):
+        got = {}
+        for r in balances.mapping_lists(g, derived).collect():
+            got.setdefault(r["tx_id"], []).append(tuple((tuple(b["ins"]), tuple(b["outs"])) for b in r["mapping"]))
+        assert {k: sorted(v) for k, v in got.items()} == {k: m for k, p in txs.items() if (m := plain(*p))}
 
 
 def test_many_coins(spark):
-    """Ten inputs with depth 8, and seventeen, forty and two hundred outputs, of powers of two so that the counts are known."""
+    """Powers of two, whose counts are known, beside many equal amounts and forty outputs."""
     powers = [1 << k for k in range(10)]
-    start = [([*powers], []), ([3, 4], []), ([3 << 38, 5 << 38], []), ([7], [])]
-    spends = [[(1, k) for k in range(10)], [(2, 0), (2, 1)], [(3, 0), (3, 1)], [(4, 0)]]
-    outs = [[*powers, *(1 << k for k in range(20, 27))], [1] * 17, [1 << k for k in range(40)], [9] * 200]
-    g, _ = ledger(spark, [*start, *zip(outs, spends, strict=True)])
-    counts = lambda df: [r[1] for r in sorted(df.collect())]
-    assert counts(subsets.ambiguous(g)) == [2**10 - 1 - 10 - 1, 2, 1, 0]
-    assert counts(subsets.partition_counts(g)) == [115_975, 2, 0, 0]
-    assert counts(subsets.mapping_counts(g, derived=True)) == counts(subsets.mapping_counts(g, derived=False)) == [0] * 4
-
-
-def test_mappings_of_many_coins():
-    powers = [1 << k for k in range(10)]
-    assert subsets.count_mappings(powers, powers) == 115_975  # each set partition, with itself
-    assert subsets.count_mappings(powers, powers, derived=False) == 1
-
-
-def test_own_metric_and_lists(spark):
-    """Costs of any metric, and the mappings themselves."""
-    from pyspark.sql import functions as F
-
-    start = [([21, 12, 36, 28], []), ([5, 5], [])]
-    g, _ = ledger(spark, [*start, ([25, 8, 50, 14], [(1, k) for k in range(4)]), ([5, 5], [(2, 0), (2, 1)])])
-    got = {r["tx_id"]: r["cost"] for r in subsets.privacy(g, (lambda n, most: most * (n + 1), lambda n, most: F.lit(0.5)), budget=2.0).collect()}
-    assert got == {3: 2.0 * (ambiguous_subsets(*start[0][:1], [25, 8, 50, 14]) + 1) + 0.5, 4: 2.0 * 3 + 0.5}
-    rows = subsets.mapping_lists(g, derived=False).collect()
-    assert sorted((r["tx_id"], len(r["mapping"])) for r in rows) == [(3, 2), (4, 2), (4, 2)]
-    assert {tuple((tuple(b["ins"]), tuple(b["outs"])) for b in r["mapping"]) for r in rows if r["tx_id"] == 4} == set(non_derived([5, 5], [5, 5]))
-    assert subsets.ambiguous(g, depth=1).where("tx_id = 4").first()["n_ambiguous"] == 2
-
-
-def test_sums_are_bounded():
-    assert subset_sums([1, 2, 4], 8) == set(range(1, 8))
-    with pytest.raises(subsets.TooLarge):
-        subset_sums([1, 2, 4, 8], 8)
+    pairs = [(powers, [*powers, *(1 << k for k in range(20, 27))]), ([3, 4], [1] * 17), ([3 << 22, 5 << 22], [1 << k for k in range(25)]), ([7], [9] * 200), (powers, powers), ([2] * 70, [1])]
+    g, txs = spending(spark, pairs)
+    of = lambda df: [n for _, n in sorted(counts(df).items())]
+    few = sum(1 for n in range(1, 9) for _ in combinations(range(10), n))
+    assert of(balances.ambiguous(g)) == [few, 2, 2, 0, few, 0]
+    assert of(balances.sum_counts(g))[3:] == [200, 2**10 - 1, 1]
+    assert of(balances.partition_counts(g)) == [115_975, 2, 1, 0, 115_975, None]  # each set partition; seventy coins are beyond a mask
+    assert of(balances.mapping_counts(g, derived=True)) == [0, 0, 0, None, 115_975, None]
+    assert of(balances.mapping_counts(g, derived=False)) == [0, 0, 0, None, 1, None]
+
+
+def test_one_transaction_is_dealt_over_tasks(spark):
+    """Twenty-four coins: the rows of either half lie in many partitions."""
+    rng = random.Random(2)
+    ins = [rng.randrange(1, 10**6) for _ in range(12)]
+    outs = [rng.randrange(1, 10**6) for _ in range(11)]
+    outs.append(max(1, sum(ins) - sum(outs)))
+    g, _ = spending(spark, [(ins, outs)])
+    a, b = balances._masks(balances.coins(g)[0])
+    c, d = balances._masks(balances.coins(g)[1])
+    assert a.count() == b.count() == c.count() == d.count() == 64
+    pairs = balances._balanced((a, b), (c, d))
+    found = {(r["a_mask"] + r["b_mask"], r["c_mask"] + r["d_mask"]) for r in pairs.collect()}
+    sums = {}
+    for m in range(1, 1 << 12):
+        sums.setdefault(sum(ins[k] for k in range(12) if m >> k & 1), []).append(m)
+    want = {(a, m) for m in range(1, 1 << 12) for a in sums.get(sum(outs[k] for k in range(12) if m >> k & 1), ())}
+    assert found == want
+    left = balances._salted(balances._named(a, "a"), balances._named(c, "c"), ["tx_id"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = left.withColumn("apart", F.expr("a_total - c_total")).repartition("tx_id", "apart")
+        assert dealt.count() == 4096 and dealt.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_own_metric(spark):
+    g, txs = spending(spark, [([21, 12, 36, 28], [25, 8, 50, 14]), ([5, 5], [5, 5])])
+    got = counts(balances.privacy(g, (lambda n, most: most * (n + 1), lambda n, most: F.lit(0.5)), budget=2.0))
+    assert got == {k: 2.0 * (ambiguous_subsets(*p) + 1) + 0.5 for k, p in txs.items()}
+
+
+def test_table_function(spark):
+    """In SQL with a partitioned table, and in a lateral join's place by DataFrames."""
+    g, txs = spending(spark, [([21, 12, 36, 28], [25, 8, 31, 19, 14]), ([5, 5], [5, 5]), ([4], [3])])
+    ins, outs = balances.coins(g)
+    coins = ins.select("tx_id", F.lit(0).alias("side"), "place", "v").union(outs.select("tx_id", F.lit(1), "place", "v"))
+    coins.createOrReplaceTempView("some_coins")
+    subsets.register(spark)
+    rows = spark.sql("SELECT * FROM mapping_blocks(TABLE(some_coins) PARTITION BY tx_id)").collect()
+    assert sorted(rows) == sorted(subsets.mapping_blocks(coins).collect())
+    want = {(k, "".join(f"({','.join(map(str, a))}>{','.join(map(str, b))})" for a, b in m)) for k, p in txs.items() for m in mappings(*p)}
+    assert {(r["tx_id"], r["mapping"]) for r in rows} == want
+    assert all(r["amount"] == sum(txs[r["tx_id"]][0][int(i)] for i in r["ins"].split(",")) for r in rows)
+
+
+def test_empty(spark):
+    g, _ = ledger(spark, [([5], [])])
+    for df in (balances.sum_counts(g), balances.ambiguous(g), balances.partition_counts(g), balances.mapping_counts(g, True), balances.mapping_lists(g, False)):
+        assert df.collect() == []
