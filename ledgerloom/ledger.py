@@ -36,6 +36,14 @@ class Ledger:
         )
         return self.txin.join(prev, "prev_out_id", "left")
 
+    def near(self, txs: DataFrame) -> Ledger:
+        """The ledger of some transactions (tx_id), with the outputs that they spend besides their own."""
+        ids = txs.select("tx_id").distinct()
+        ins = self.txin.join(ids, "tx_id", "left_semi")
+        spent = ins.where("prev_out_id IS NOT NULL").select(F.col("prev_out_id").alias("out_id")).distinct()
+        outs = self.txout.join(ids, "tx_id", "left_semi").unionByName(self.txout.join(spent, "out_id", "left_semi").join(ids, "tx_id", "left_anti").select(*self.txout.columns))
+        return Ledger(self.tx.join(ids, "tx_id", "left_semi"), ins, outs)
+
     def above(self, tx_id: int) -> Ledger:
         """The ledger of the transactions from tx_id on: outputs of older ones are unknown, so inputs that spend them are unresolved."""
         outs = self.txout.where(F.col("tx_id") >= tx_id)

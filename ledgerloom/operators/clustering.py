@@ -12,9 +12,9 @@ from ledgerloom.operators.components import components
 MAX_ROUNDS = 1000
 
 
-def cluster(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """Clusters of the edges (a, b); members (member) without an edge are clusters of their own."""
-    out = components(edges).select(F.col("node").alias("member"), F.col("component").alias("cluster_id"))
+def cluster(edges: DataFrame, members: DataFrame | None = None, few: int | None = None) -> DataFrame:
+    """Clusters of the edges (a, b); members (member) without an edge are clusters of their own; few as in ``components``."""
+    out = components(edges, few).select(F.col("node").alias("member"), F.col("component").alias("cluster_id"))
     loops = edges.where("a = b").select(F.col("a").alias("member"))
     alone = (loops if members is None else members.select("member").union(loops)).distinct()
     return out.union(alone.join(out, "member", "left_anti").select("member", F.col("member").alias("cluster_id")))

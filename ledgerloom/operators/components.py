@@ -94,14 +94,16 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int | None = None) -> DataFrame:
     """(node, component) of every node on an edge (a, b); component is the least node.
 
+    few: edges that one task may end, in the place of ``FEW``; 0 leaves all to the rounds.
     Loops and edges with a null end are left out; repeated edges count once; no edges give an empty table.
     """
     now = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b")
     now = cut(_contracted(now))
-    if now.limit(FEW + 1).count() <= FEW:
+    few = FEW if few is None else few
+    if now.limit(few + 1).count() <= few:
         now = cut(_contracted(now.coalesce(1)))
     else:
         for _ in range(MAX_ROUNDS):

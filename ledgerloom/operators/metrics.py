@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.checkpoints import cut
+from ledgerloom.functions.scripts import is_spendable
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators.ordinals import RANGE, nearest
 from ledgerloom.simulator.config import WEIGHTS
@@ -138,3 +141,16 @@ def wallet_balance(utxos: DataFrame, wallet: str, pending_spends: DataFrame) ->
 def double_spends(ledger: Ledger) -> DataFrame:
     """Outputs that more than one input spends; none in a valid ledger."""
     return ledger.txin.where("prev_out_id IS NOT NULL").groupBy("prev_out_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def violations(ledger: Ledger) -> DataFrame:
+    """(rule, n_violations) of a ledger's rules.
+
+    No output is spent twice, none by a transaction before its own, none that
+    is unspendable; and no transaction whose inputs are all known makes more than it spends.
+    """
+    later = ledger.spent.where("prev_tx_id >= 0 AND tx_id >= 0 AND prev_tx_id > tx_id")
+    sums = ledger.spent.groupBy("tx_id").agg(F.sum("prev_value").alias("spent"), F.count_if(F.col("prev_value").isNull()).alias("unknown")).where("unknown = 0")
+    more = ledger.txout.groupBy("tx_id").agg(F.sum("value").alias("made")).join(sums, "tx_id").where("made > spent")
+    rules = {"double_spend": double_spends(ledger), "spends_later": later, "unspendable": ledger.spent.where(~is_spendable(F.col("prev_type"))), "creates_value": more}
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n_violations")) for rule, df in rules.items()])

@@ -123,10 +123,19 @@ class _Set(Expr):
     def exclude(self, mask: Mask) -> _Set:
         return self.apply(type(self), "exclude", lambda g, x, m: masks.exclude(x, m, self.KEY), mask)
 
-    def mask(self, heuristic: Callable[[Ledger], DataFrame]) -> Mask:
-        """The heuristic's mask for the items of this set."""
+    def mask(self, heuristic: Callable[[Ledger], DataFrame], whole: bool | None = None) -> Mask:
+        """The heuristic's mask for the items of this set.
+
+        Of transactions it is given those of the set alone, with what they spend, so that new ones cost
+        no more than they are; one that looks at others needs the ``whole`` ledger.  Of outputs it always gets that.
+        """
         key = self.KEY
-        return self.apply(Mask, getattr(heuristic, "__name__", "mask"), lambda g, x: heuristic(g).join(x.select(F.col(key).alias("key")).distinct(), "key", "left_semi"))
+
+        def make(g: Ledger, x: DataFrame) -> DataFrame:
+            some = g if whole or (whole is None and key != "tx_id") else g.near(x)
+            return heuristic(some).join(x.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+
+        return self.apply(Mask, getattr(heuristic, "__name__", "mask"), make)
 
 
     def union(self, other: _Set) -> _Set:

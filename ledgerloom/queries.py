@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ledgerloom.functions import encode, fingerprint_json, ids, labels, rawtx, s
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import balances, chain, clustering, heuristics, masks, metrics, navigation, ordinals, subsets
 from ledgerloom.plans import facts
-from ledgerloom.plans.dag import Clustering, Context, Engine, Placeholder
+from ledgerloom.plans.dag import Clustering, Context, Engine, Expr, Placeholder, TxSet
 from ledgerloom.sources import blockindex, blocks, leveldb, star, store
 from ledgerloom.sources.star import LEDGER_SQL, loose_ids
 from ledgerloom.streaming import incremental, keyed, linking
@@ -438,6 +439,21 @@ def cc_min_label(g: Ledger) -> DataFrame:
     return clustering.cluster(edges)
 
 
+@query(""", both_ AS (SELECT tx_id AS a, prev_tx_id AS b FROM spent UNION SELECT prev_tx_id, tx_id FROM spent),
+ fall AS (
+  SELECT 0 AS i, a AS m, a AS l FROM (SELECT DISTINCT a FROM both_)
+  UNION ALL
+  SELECT i, m, l FROM (
+    WITH step AS (SELECT m, l FROM fall UNION ALL SELECT e.a, r.l FROM both_ e JOIN fall r ON r.m = e.b UNION ALL SELECT r.m, q.l FROM fall r JOIN fall q ON q.m = r.l),
+    low AS (SELECT m, min(l) AS l FROM step GROUP BY m)
+    SELECT r.i + 1 AS i, low.m, low.l, bool_or(low.l <> r.l) OVER () AS moved FROM low JOIN fall r USING (m)
+  ) WHERE moved
+ ) SELECT m AS member, l AS cluster_id FROM fall WHERE i = (SELECT max(i) FROM fall)""")
+def cc_spend_graph(g: Ledger) -> DataFrame:
+    """Components of the whole spend graph, by rounds of stars alone, as for edges that no task could hold."""
+    return clustering.cluster(g.spent.select(F.col("tx_id").alias("a"), F.col("prev_tx_id").alias("b")), few=0)
+
+
 @query(f""", {_NAIVE}, {_CHANGE}, {_closure('SELECT a, b FROM change')},
  named AS (SELECT i.tx_id, coalesce(cluster_id, prev_out_id) AS c FROM txin i LEFT JOIN labels ON member = prev_out_id)
  SELECT t.tx_id AS key, coalesce(count(DISTINCT c) = 1, false) AS flag FROM tx t LEFT JOIN named USING (tx_id) GROUP BY t.tx_id""")
@@ -919,6 +935,79 @@ def header_chain(g: Ledger) -> DataFrame:
     return chain.heights(headers).select("height", F.lower(F.hex("block_hash")).alias("block_hash"))
 
 
+@query(" SELECT block_height AS height, sha256(block_height::VARCHAR) AS block_hash FROM (SELECT DISTINCT block_height FROM tx)")
+def header_chain_joined(g: Ledger) -> DataFrame:
+    """The same by joins that double the reach of each header's pointer, as for headers that no task could hold."""
+    name = lambda c: F.unhex(F.sha2(c.cast("string"), 256))
+    heights = g.tx.select("block_height").distinct()
+    headers = heights.select(name(F.col("block_height")).alias("block_hash"), name(F.col("block_height") - 1).alias("prev_hash"))
+    return chain.heights(headers, local=0).select("height", F.lower(F.hex("block_hash")).alias("block_hash"))
+
+
+@query(""" SELECT 'double_spend' AS rule, (SELECT count(*) FROM (SELECT prev_out_id FROM txin GROUP BY prev_out_id HAVING count(*) > 1)) AS n_violations
+ UNION ALL SELECT 'spends_later', count(*) FROM spent WHERE prev_tx_id > tx_id UNION ALL SELECT 'unspendable', count(*) FROM spent WHERE prev_type IN (5, 6)
+ UNION ALL SELECT 'creates_value', count(*) FROM (SELECT s.tx_id FROM (SELECT tx_id, sum(prev_value) AS i FROM spent GROUP BY tx_id) s JOIN (SELECT tx_id, sum(value) AS o FROM txout GROUP BY tx_id) USING (tx_id) WHERE o > i)""")
+def invariants(g: Ledger) -> DataFrame:
+    """How many outputs or transactions break each rule of a ledger; the view's transactions make value."""
+    return metrics.violations(g)
+
+
+@query(""" SELECT DISTINCT tx_id FROM (
+  SELECT p.tx_id FROM txin p JOIN tx t USING (tx_id) WHERE t.locktime > 0 AND p.prev_out_id IN (SELECT prev_out_id FROM txin JOIN tx USING (tx_id) WHERE locktime = 0)
+  UNION ALL SELECT a.tx_id + 1000000000 FROM txin a JOIN tx t USING (tx_id) WHERE t.locktime = 0
+  UNION ALL SELECT tx_id + d FROM txin JOIN tx USING (tx_id), (VALUES (0), (2000000000)) v(d) WHERE locktime > 0 AND vin = 1)""")
+def tx_conflicts(g: Ledger) -> DataFrame:
+    """Pending are the transactions with a locktime, a copy of each without one (what it spends is spent by a confirmed one), and rivals for second inputs."""
+    timed = g.tx.select("tx_id", (F.col("locktime") > 0).alias("timed"))
+    ins = g.txin.select("tx_id", "vin", "prev_out_id").join(timed, "tx_id")
+    confirmed = ins.where("NOT timed").select("tx_id", "prev_out_id")
+    pending = ins.where("timed").select("tx_id", "prev_out_id")
+    copies = confirmed.select((F.col("tx_id") + 1_000_000_000).alias("tx_id"), "prev_out_id")
+    rivals = ins.where("timed AND vin = 1").select((F.col("tx_id") + 2_000_000_000).alias("tx_id"), "prev_out_id")
+    return metrics.conflicts(pending.union(copies).union(rivals), confirmed)
+
+
+@query(f" SELECT CASE WHEN o_orderstatus = 'P' THEN -(tx_id + 1) ELSE tx_id END AS tx_id, o_orderstatus <> 'P' AS confirmed, count(out_id) AS n_out, coalesce(sum(value), 0)::BIGINT AS total FROM orders JOIN tx ON tx_id = o_orderkey LEFT JOIN txout USING (tx_id) GROUP BY ALL".replace(" SELECT", f"WITH RECURSIVE {LEDGER_SQL} SELECT", 1), plain=True)
+def stores_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders as a loose ledger beside the confirmed ones, read through both; ids tell them apart."""
+    g = ledger(spark, sf_dir)
+    open_ = loose_ids(spark, sf_dir).where("tx_id < 0").select((-F.col("tx_id") - 1).alias("tx_id"))
+    dense, late = store.part(g, g.tx.join(open_, "tx_id", "left_anti")), store.part(g, g.tx.join(open_, "tx_id", "left_semi"))
+    key = F.col("tx_id") + 1
+    outs = late.txout.withColumn("out_id", ids.loose_out(key, F.col("vout"))).withColumn("tx_id", -key)
+    ins = late.txin.withColumn("in_id", ids.loose_out(key, F.col("vin"))).withColumn("tx_id", -key)
+    both = store.together(dense, Ledger(late.tx.withColumn("tx_id", -key).withColumn("block_height", F.lit(None).cast("long")), ins, outs))
+    sums = both.txout.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n_out"), F.sum("value").alias("total"))
+    return both.tx.join(sums, "tx_id", "left").select("tx_id", F.col("block_height").isNotNull().alias("confirmed"), F.coalesce("n_out", F.lit(0)).alias("n_out"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+@query(" SELECT out_id, 40 AS n_digits, min(out_id) OVER (PARTITION BY spk, output_type) AS first_use FROM txout")
+def script_hashes(g: Ledger) -> DataFrame:
+    """The first output with each script, found by the hashes of the scripts' bytes."""
+    named = g.txout.withColumn("spk", F.unhex(_script("spk", "output_type"))).select("out_id", "spk")
+    hashed = cut(named.select("out_id", F.hex(scripts.spk_hash(named)).alias("hash")))
+    first = hashed.groupBy("hash").agg(F.min("out_id").alias("first_use"))
+    return hashed.join(first, "hash").select("out_id", F.length("hash").alias("n_digits"), "first_use")
+
+
+@query(f""", {_RBF}, {_COINJOIN}, own AS (SELECT t.tx_id, count(out_id) >= 4 AS wide, coalesce(sum(value), 0) % 1000 = 0 AS round_total FROM tx t LEFT JOIN txout o USING (tx_id) GROUP BY t.tx_id)
+ SELECT o.tx_id, wide::INTEGER AS wide, round_total::INTEGER AS round_total FROM own o JOIN rbf r ON r.key = o.tx_id JOIN coinjoin c ON c.key = o.tx_id WHERE r.flag AND NOT c.flag""")
+def own_operations(g: Ledger) -> DataFrame:
+    """A source, a value type, an operation and fingerprints of one's own, and a mask that depends on one expression twice."""
+
+    class Marks(Expr):
+        SCHEMA = "tx_id long, wide int, round_total int"
+
+    wide = lambda g: g.txout.groupBy("tx_id").agg((F.count(F.lit(1)) >= 4).alias("flag")).join(g.tx.select("tx_id"), "tx_id", "right").select(F.col("tx_id").alias("key"), F.coalesce("flag", F.lit(False)).alias("flag"))
+    total = lambda g: g.txout.groupBy("tx_id").agg((F.sum("value") % 1000 == 0).alias("flag")).join(g.tx.select("tx_id"), "tx_id", "right").select(F.col("tx_id").alias("key"), F.coalesce("flag", F.lit(True)).alias("flag"))
+    c = Context()
+    txs = c.source(TxSet, "confirmed", lambda g: g.tx.where("block_height IS NOT NULL").select("tx_id"))
+    mask = txs.mask(heuristics.rbf_mask)
+    plain = txs.filter_with_mask(mask & mask).exclude(txs.mask(heuristics.is_coinjoin))
+    marks = plain.apply(Marks, "marks", lambda g, x: heuristics.fingerprints(g.near(x), wide=wide, round_total=total).join(x, "tx_id", "left_semi").select("tx_id", F.col("wide").cast("int").alias("wide"), F.col("round_total").cast("int").alias("round_total")))
+    return Engine(g).eval(marks)
+
+
 _RAISED = "translate(k::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹')"
 
 
@@ -952,6 +1041,52 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark.read.parquet(f"{target}/table").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"), target)
 
 
+def _in_batches(df: DataFrame, source: str, run: Callable[[], StreamingQuery]) -> None:
+    """Adds the rows of each number of the column ``batch`` to the source, one after the other, and runs the stream on each from where it was."""
+    for k in [r[0] for r in df.select("batch").distinct().orderBy("batch").collect()]:
+        df.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(source)
+        run().awaitTermination()
+
+
+def _by_events(spark: SparkSession, sf_dir: str, target: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Runs a stream over the events, which come in four parts in the order of time but for an hour, with a restart before each."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    parts = events.withColumn("batch", F.floor(4 * (at - F.lit(low) + F.pmod(F.xxhash64("event_id"), F.lit(3600))) / F.lit((high or 0) - (low or 0) + 3600)).cast("int"))
+    _in_batches(parts, f"{target}/events", lambda: run(spark.readStream.schema(events.schema).parquet(f"{target}/events")))
+
+
+_TEXT = "strftime({0}, '%Y-%m-%d %H:%M:%S.%g') AS {0}"
+_SESSIONS = """marked AS (SELECT user_id, ts, event_id, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INTEGER AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM marked),
+ sessions_ AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n, max(event_id) AS last_event FROM numbered GROUP BY user_id, k)"""
+
+
+def _text(c: str):  # noqa: ANN202
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS").alias(c)
+
+
+@query(f"""WITH {_SESSIONS} SELECT user_id, {_TEXT.format('start')}, {_TEXT.format('finish')}, n, last_event FROM sessions_
+ WHERE finish <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events)""", plain=True)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that the watermark has closed, of a stream of four batches."""
+    target = fresh_folder(spark, "sessions")
+    _by_events(spark, sf_dir, target, lambda events: incremental.appended(incremental.sessions(events), f"{target}/table", f"{target}/checkpoint"))
+    return _kept(spark.read.parquet(f"{target}/table").select("user_id", _text("start"), _text("finish"), "n", "last_event"), target)
+
+
+@query("""WITH h AS (SELECT unnest([0, 1, 2]) AS back), w AS (SELECT date_trunc('hour', ts) - back * INTERVAL 1 HOUR AS start, event_type, value FROM events, h)
+ SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, count(*) FILTER (value > 10) AS n_large FROM w GROUP BY ALL""", plain=True)
+def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows in update mode: a batch tells the windows that it changes, and of each what was told last counts."""
+    target = fresh_folder(spark, "sliding")
+    keep = lambda events: incremental.maintain(incremental.sliding_counts(events), lambda batch: batch, f"{target}/facts", f"{target}/checkpoint", "update")
+    _by_events(spark, sf_dir, target, keep)
+    last = incremental.latest_windows(spark, f"{target}/facts", "start", "event_type")
+    return _kept(last.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "n_large"), target)
+
+
 def _tx_stream(spark: SparkSession, g: Ledger, target: str) -> DataFrame:
     """The ledger's transactions as files that come in two batches."""
     g.tx.repartitionByRange(4, "tx_id").write.parquet(f"{target}/tx")
@@ -981,13 +1116,6 @@ def stream_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(incremental.clustering_state(spark, f"{target}/states"), target)
 
 
-def _in_batches(df: DataFrame, source: str, run: Callable[[], StreamingQuery]) -> None:
-    """Adds the rows of each number of the column ``batch`` to the source, one after the other, and runs the stream on each from where it was."""
-    for k in [r[0] for r in df.select("batch").distinct().orderBy("batch").collect()]:
-        df.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(source)
-        run().awaitTermination()
-
-
 #: Seconds between blocks.
 _PACE = 600
 
@@ -1126,10 +1254,26 @@ def stored_parts(g: Ledger) -> DataFrame:
     first, second = _halves(g)
     store.save(first, target)
     store.append(second, target)
-    store.put(spark.read.parquet(f"{target}/txout").where("vout = 0").withColumn("value", F.col("value") + 1), target, "txout")
+    store.put(store.table(spark, target, "txout").rows().where("vout = 0").withColumn("value", F.col("value") + 1), target, "txout")
     return _kept(store.get(spark, target, "txout", g.txin.select(F.col("prev_out_id").alias("out_id"))).select("out_id", "tx_id", "vout", "value"), target)
 
 
+@query(""" SELECT v.version, count(*) AS n_outs, sum(value + CASE WHEN v.version >= 2 AND vout = 0 THEN 1 ELSE 0 END)::BIGINT AS total, max(tx_id) AS last_tx
+ FROM txout, (VALUES (0), (1), (2), (3)) v(version) WHERE v.version > 0 OR tx_id <= (SELECT floor(max(tx_id) / 2) FROM tx) GROUP BY v.version""")
+def stored_versions(g: Ledger) -> DataFrame:
+    """What readers of each version see: a first half, the whole, outputs put anew, and the same rows put together."""
+    spark = g.tx.sparkSession
+    target = fresh_folder(spark, "versions")
+    first, second = _halves(g)
+    store.save(first, target)
+    outs = store.table(spark, target, "txout")
+    store.append(second, target)
+    store.put(outs.rows().where("vout = 0").withColumn("value", F.col("value") + 1), target, "txout")
+    outs.compact(0)
+    seen = [outs.rows(k).agg(F.lit(k).alias("version"), F.count(F.lit(1)).alias("n_outs"), F.sum("value").alias("total"), F.max("tx_id").alias("last_tx")) for k in outs.numbers()]
+    return _kept(reduce(DataFrame.unionByName, seen), target)
+
+
 class _Totals(store.Sink):
     """A sink that keeps no rows: what the outputs of each thousand blocks are worth."""
 

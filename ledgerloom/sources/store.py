@@ -1,4 +1,4 @@
-"""Ledgers as Parquet tables, sinks of ledgers, ledgers made by hand, and ledgers put together."""
+"""Ledgers as tables in versions, sinks of ledgers, ledgers made by hand, and ledgers put together."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.checkpoints import cut
 from ledgerloom.functions.ids import loose_out
 from ledgerloom.functions.scripts import output_type
 from ledgerloom.ledger import Ledger
+from ledgerloom.sources.versions import Versioned
 
 #: Blocks whose rows share a folder.
 BUCKET = 1000
@@ -53,13 +53,14 @@ def feed(ledger: Ledger, *sinks: Sink) -> None:
 
 
 class Tables(Sink):
-    """Parquet tables below a folder, each row below the bucket of its transaction's block, so that height ranges are read alone."""
+    """Tables in versions below a folder, each row in the part of its transaction's block, so that height ranges are read alone."""
 
-    def __init__(self, folder: str, mode: str = "append") -> None:
-        self.folder, self.mode = folder, mode
+    def __init__(self, folder: str, overwrite: bool = False) -> None:
+        self.folder, self.overwrite = folder, overwrite
 
     def _write(self, df: DataFrame, name: str) -> None:
-        df.write.partitionBy("bucket").mode(self.mode).parquet(f"{self.folder}/{name}")
+        at = table(df.sparkSession, self.folder, name)
+        at.overwrite(df) if self.overwrite else at.append(df)
 
     def on_transactions(self, tx: DataFrame) -> None:
         self._write(tx, "tx")
@@ -71,9 +72,14 @@ class Tables(Sink):
         self._write(txout, "txout")
 
 
+def table(spark: SparkSession, folder: str, name: str) -> Versioned:
+    """A stored table (tx, txin or txout) with its versions."""
+    return Versioned(spark, f"{folder}/{name}", "bucket")
+
+
 def save(ledger: Ledger, folder: str) -> None:
     """Writes the tables anew."""
-    feed(ledger, Tables(folder, "overwrite"))
+    feed(ledger, Tables(folder, overwrite=True))
 
 
 def append(ledger: Ledger, folder: str) -> None:
@@ -83,30 +89,21 @@ def append(ledger: Ledger, folder: str) -> None:
 
 def get(spark: SparkSession, folder: str, name: str, ids: DataFrame) -> DataFrame:
     """The rows of a table (tx, txin or txout) with the given ids, a column of the table's key."""
-    return spark.read.parquet(f"{folder}/{name}").drop("bucket").join(ids.select(KEYS[name]).distinct(), KEYS[name], "left_semi")
+    return table(spark, folder, name).rows().drop("bucket").join(ids.select(KEYS[name]).distinct(), KEYS[name], "left_semi")
 
 
 def put(rows: DataFrame, folder: str, name: str) -> None:
-    """Puts rows, whole ones of a table with their bucket, in the place of those with the same key; only their buckets are written."""
-    spark, key = rows.sparkSession, KEYS[name]
-    old = spark.read.parquet(f"{folder}/{name}")
-    touched = old.join(F.broadcast(rows.select("bucket").distinct()), "bucket", "left_semi")
-    kept = touched.join(rows.select(key), key, "left_anti")
-    now = cut(kept.unionByName(rows.select(*kept.columns)))  # read before its place is written
-    now.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/{name}")
+    """Puts rows, whole ones of a table with their bucket, in the place of those with the same key; only their buckets are written.
+
+    Who reads meanwhile reads the version before.
+    """
+    table(rows.sparkSession, folder, name).put(rows, KEYS[name])
 
 
 def load(spark: SparkSession, folder: str, low: int | None = None, high: int | None = None) -> Ledger:
     """The saved ledger, or its blocks from low to high; inputs that spend what lies outside are unresolved."""
-    tables = {}
-    for name in ("tx", "txin", "txout"):
-        df = spark.read.parquet(f"{folder}/{name}")
-        if low is not None:
-            df = df.where(F.col("bucket") >= low // BUCKET)
-        if high is not None:
-            df = df.where(F.col("bucket") <= high // BUCKET)
-        tables[name] = df.drop("bucket")
-    whole = Ledger(**tables)
+    first, last = None if low is None else low // BUCKET, None if high is None else high // BUCKET
+    whole = Ledger(**{name: table(spark, folder, name).rows(None, first, last).drop("bucket") for name in ("tx", "txin", "txout")})
     if low is None and high is None:
         return whole
     inside = F.lit(True)

@@ -19,13 +19,13 @@ from ledgerloom.operators.clustering import changes, cluster, grown, star
 Step = Callable[[DataFrame], DataFrame]
 
 
-def maintain(stream: DataFrame, step: Step, folder: str, checkpoint: str) -> StreamingQuery:
-    """Runs ``step`` on what is new and keeps its facts below ``folder``; ends when all that is there now is read."""
+def maintain(stream: DataFrame, step: Step, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Runs ``step`` on what is new (in update mode: on what has changed) and keeps its facts below ``folder``; ends when all that is there now is read."""
 
     def write(batch: DataFrame, number: int) -> None:
         step(batch).withColumn("fact", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/fact={number:012d}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,6 +126,27 @@ def event_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hours"
     return timed.groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def sliding_counts(events: DataFrame, width: str = "3 hours", every: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Events by type and overlapping windows of event time, with the sum of their values."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    by = timed.groupBy(F.window("ts", width, every), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 10).alias("n_large"))
+    return by.select(F.col("window.start").alias("start"), "event_type", "n", "n_large")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """(user_id, start, finish, n, last_event) of each user's sessions: events that follow each other by less than the gap; sessions that an event joins are merged."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    by = timed.groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
+    return by.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("finish"), "n", "last_event")
+
+
+def latest_windows(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """What the batches of a stream in update mode have told last of each window."""
+    rows = _facts(spark, folder)
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "fact")]), "fact").alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
+
+
 def appended(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Writes the rows that a stream has finished as a Parquet table; ends when all that is there now is read."""
     return stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -113,6 +113,26 @@ def test_growing_ledger(spark):
     assert engine.get(txs).count() == 6 and engine.take_base(txs).count() == 1 and engine.get(txs).count() == 5
 
 
+def test_a_mask_looks_at_new_transactions_alone(spark):
+    g, _ = ledger(spark, CHAIN)
+    seen = []
+
+    def own(some):
+        seen.append((sorted(r[0] for r in some.tx.select("tx_id").collect()), some.txin.count(), some.spent.where("prev_value IS NULL AND prev_out_id IS NOT NULL").count()))
+        return heuristics.uih2(some)
+
+    for whole in (None, True):
+        seen.clear()
+        engine, txs = Engine(store.part(g, g.tx.where("tx_id <= 2"))), Context().all_txs()
+        mask = txs.mask(own, whole=whole)
+        engine.advance(mask)
+        engine.extend(g)
+        engine.advance(mask)
+        assert flags(engine.value(mask)) == flags(heuristics.uih2(g))
+        ids = sorted(r[0] for r in g.tx.select("tx_id").collect())
+        assert [s[0] for s in seen][:2] == [[1, 2], ids if whole else [k for k in ids if k > 2]] and all(s[2] == 0 for s in seen)
+
+
 def test_own_kind(spark):
     """A value type of one's own: a schema, and how its facts are put together."""
 
