@@ -7,11 +7,12 @@ the uniform distribution, and contexts that were never seen are passed over.  A
 URL's score is the difference of the two log-likelihoods over its length;
 scores at or over a threshold are blocked.
 
-What is learnt from.  URLs that a rule allows are accepted; those that a rule
-blocks are rejected, and so are those without a rule whose host holds a word of
-``REJECTED``.  The models never see what the rules look at: the last label of
+What is learnt from.  URLs that a rule allows are accepted; those whose host
+holds a word of ``REJECTED`` and that no rule allows are rejected.  The models never see what the rules look at: the last label of
 the host, labels that rules name, and as much of the path as the longest rule
-reaches are cut off, in learning and in scoring (``bare``).
+reaches are cut off, in learning and in scoring (``bare``).  What is left of a
+URL that a rule blocks is therefore like any other, and teaches nothing; it is learnt
+from only where no words are given.
 
 Plan.  Texts are made distinct, with how often each was accepted and rejected.
 Their (ORDER + 1)-grams are counted in the tasks and summed by a shuffle; their
@@ -22,10 +23,13 @@ driver makes from sums and broadcasts.  Each distinct gram has then one value,
 and texts find theirs by a join.
 
 Calibration.  Each half of the texts (by a hash of their hosts, so that no host
-is in both) is also scored by the models of the other half.  The threshold is the one with the best balanced accuracy on
-those scores, of all that block at most ``MOST_FALSE`` of the accepted URLs.
-Where none rejects a larger share of the rejected than of the accepted, the
-models know nothing and block nothing.
+is in both) is also scored by the models of the other half.  The threshold is
+made for the URLs that neither a rule nor a word judges, of which no model has
+learnt anything: of all that block at most ``MOST_FALSE`` of those, the one with
+the best balanced accuracy against rejected URLs, as the models score them that
+never saw their hosts.  (Without such URLs the accepted ones take their place, scored in
+the same way.)  Where none rejects a larger share of the rejected than of the
+others, the models know nothing and block nothing.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no
 rule, and is scored as the text it is (null: empty); repeated rows count each;
@@ -61,7 +65,7 @@ REJECTED = ("casino", "poker", "spam", "viagra", "pills", "porn", "xxx", "warez"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789-./?=&#_%:"
 #: Characters of context, and those of the contexts that are kept as tables.
 ORDER, LOW = 6, 2
-#: Share of accepted URLs that the threshold may block, at most.
+#: Share of the URLs that neither a rule nor a word judges that the threshold may block, at most.
 MOST_FALSE = 0.01
 BINS = 4000
 SPAN = 8.0
@@ -226,7 +230,20 @@ def scores(texts: DataFrame, by_gram: DataFrame) -> DataFrame:
     return each.join(by_gram, "gram").groupBy("id").agg(*[F.avg(v).alias(v.replace("value", "score")) for v in _VALUES])
 
 
-def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+def taught(known: DataFrame, text: str, host: str, verdict: str, rules: tuple[tuple[str, str], ...] = RULES, words: tuple[str, ...] = REJECTED) -> DataFrame:
+    """(id, text, half, accepted, rejected, open) of the distinct texts of URLs: how often each teaches either model, and how often none; halves share no host."""
+    marked = F.lit(False)
+    for word in words:
+        marked = marked | F.col(host).contains(word)
+    bad = F.when(F.col(verdict) == "allow", F.lit(False)).when(marked if words else F.col(verdict) == "block", F.lit(True))
+    half = F.pmod(F.xxhash64(F.lit(5), bare_host(F.col(host), rules)), F.lit(2)).cast("long").alias("half")
+    open_ = (F.col(verdict).isNull() & ~marked).alias("open")
+    texts = known.select(F.col(text).alias("text"), half, bad.alias("bad"), open_).groupBy("text")
+    texts = texts.agg(F.min("half").alias("half"), F.count_if(~F.col("bad")).alias("accepted"), F.count_if("bad").alias("rejected"), F.count_if("open").alias("open"))
+    return texts.withColumn("id", F.xxhash64("text"))
+
+
+def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, words: tuple[str, ...] = REJECTED) -> DataFrame:
     """``pages`` with host, path, rule, verdict and url_score, under names that pages does not have (see ``free``).
 
     Rows are joined with the scores of their texts, so columns that are not wanted should be left out before.
@@ -238,15 +255,9 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...]
     known = pages.withColumn(names[0], host).withColumn(names[1], path)
     rule, verdict = rule_of(F.col(names[0]), F.col(names[1]), rules)
     known = known.withColumn(key, bare(text, F.col(names[0]), F.col(names[1]), rules)).withColumn(names[2], rule).withColumn(names[3], verdict)
-    marked = F.lit(False)
-    for word in REJECTED:
-        marked = marked | F.col(names[0]).contains(word)
-    bad = F.when(F.col(names[3]).isNotNull(), F.col(names[3]) == "block").when(marked, F.lit(True))
-    half = F.pmod(F.xxhash64(F.lit(5), bare_host(F.col(names[0]), rules)), F.lit(2)).cast("long").alias("half")
-    texts = known.select(F.col(key).alias("text"), half, bad.alias("bad")).groupBy("text").agg(F.min("half").alias("half"), F.count_if(~F.col("bad")).alias("accepted"), F.count_if("bad").alias("rejected"))
-    texts = cut(texts.withColumn("id", F.xxhash64("text")))
-    taught = texts.agg(F.sum("accepted"), F.sum("rejected")).first()
-    if not taught[0] or not taught[1]:
+    texts = cut(taught(known, key, names[0], names[3], rules, words))
+    sums = texts.agg(F.sum("accepted"), F.sum("rejected")).first()
+    if not sums[0] or not sums[1]:
         return known.withColumn(names[3], F.coalesce(names[3], F.lit("allow"))).withColumn(names[4], F.lit(0.0)).drop(key)
     found = cut(scores(texts, cut(values(cut(counts(texts))))))
     threshold = _threshold(texts, found)
@@ -258,18 +269,19 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...]
 
 
 def _threshold(texts: DataFrame, found: DataFrame) -> float:
-    """The score with the best balanced accuracy, each text scored by the other half's model; infinite where none helps."""
-    held = F.when(F.col("half") == 0, F.col("score0")).otherwise(F.col("score1"))
-    place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((held + SPAN) / (2 * SPAN) * BINS)))
-    rows = texts.where("accepted + rejected > 0").join(found, "id").groupBy(place.cast("int").alias("bin")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).collect()
-    total = np.zeros((2, BINS + 1))
+    """The score with the best balanced accuracy: rejected texts by the other half's model, against those that no model has learnt from; infinite where none helps."""
+    place = lambda c: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((c + SPAN) / (2 * SPAN) * BINS))).cast("int")
+    held = place(F.when(F.col("half") == 0, F.col("score0")).otherwise(F.col("score1")))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), at.alias("bin"), F.col(n).alias("n")) for k, (at, n) in enumerate(((place(F.col("score")), "open"), (held, "rejected"), (held, "accepted")))])
+    rows = texts.join(found, "id").select(F.explode(sides).alias("x")).select("x.*").where("n > 0").groupBy("side", "bin").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros((3, BINS + 1))
     for r in rows:
-        total[:, r["bin"]] += (r["a"], r["r"])
-    return best_threshold(total)
+        total[r["side"], r["bin"]] += r["n"]
+    return best_threshold(total[:2] if total[0].any() else total[[2, 1]])
 
 
 def best_threshold(total: np.ndarray) -> float:
-    """The threshold by the numbers of accepted and rejected URLs in each bin."""
+    """The threshold by the numbers in each bin of URLs that it should spare, and of rejected ones."""
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(total, axis=1)], axis=1)[:, : BINS + 1] / np.maximum(total.sum(axis=1, keepdims=True), 1)
     gain = np.where(1 - below[0] <= MOST_FALSE, below[0] - below[1], -1.0)
     if gain.max() <= 1e-12:

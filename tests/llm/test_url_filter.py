@@ -144,3 +144,27 @@ def test_counts_are_whole(spark):
 def test_long_url(spark, long):
     df = table(spark).select("page_id", "url").union(spark.createDataFrame([(999, "http://x.net/" + "a" * long)], "page_id long, url string"))
     assert u.judge(df).where("page_id = 999").first()["verdict"] in ("allow", "block")
+
+
+def test_models_that_never_saw_a_host_block_it(spark):
+    """Hosts with a listed word are blocked by models of other hosts' URLs, and few of the accepted are."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    host, path = u.host_and_path(F.col("url"))
+    known = pages.withColumn("host", host).withColumn("path", path)
+    rule, verdict = u.rule_of(F.col("host"), F.col("path"))
+    known = known.withColumn("text", u.bare(F.col("url"), F.col("host"), F.col("path"))).withColumn("rule_says", verdict)
+    texts = u.taught(known, "text", "host", "rule_says").cache()
+    found = u.scores(texts, u.values(u.counts(texts))).cache()
+    threshold = u._threshold(texts, found)
+    held = F.when(F.col("half") == 0, F.col("score0")).otherwise(F.col("score1")) >= threshold
+    n, hit, open_, false = texts.join(found, "id").agg(F.sum("rejected"), F.sum(F.when(held, F.col("rejected"))), F.sum("open"), F.sum(F.when(F.col("score") >= threshold, F.col("open")))).first()
+    assert hit >= 0.9 * n and false <= u.MOST_FALSE * open_
+    judged = u.judge(pages).where("rule IS NULL")
+    listed = F.col("host").rlike("|".join(u.REJECTED))
+    of = lambda where: judged.where(where).agg(F.count(F.lit(1)), F.count_if(F.col("verdict") == "block")).first()
+    n, blocked = of(listed)
+    assert n == 49 and blocked >= 0.9 * n
+    n, blocked = of(~listed)
+    assert blocked <= u.MOST_FALSE * n
