@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.arrow import mapped
 from ledgerloom.functions import rawtx
 from ledgerloom.functions.scalars import relative_locktime, signals_rbf
 from ledgerloom.functions.scripts import is_spendable
@@ -238,7 +239,7 @@ def script_fingerprints(ledger: Ledger) -> DataFrame:
                 found[2].append(None if spk is None else rawtx.taproot_sighash(i, spk))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.bool_()) for x in found)], ["tx_id", *SCRIPT_FINGERPRINTS])
 
-    seen = ledger.spent.select(*columns).mapInArrow(task, "tx_id long, " + ", ".join(f"{n} boolean" for n in SCRIPT_FINGERPRINTS))
+    seen = mapped(ledger.spent.select(*columns), task, "tx_id long, " + ", ".join(f"{n} boolean" for n in SCRIPT_FINGERPRINTS))
     known = lambda c: F.when(F.count_if(F.col(c).isNull()) == 0, F.bool_or(c))
     by = seen.groupBy("tx_id").agg(*[known(n).alias(n) for n in SCRIPT_FINGERPRINTS])
     return ledger.tx.select("tx_id").join(by, "tx_id", "left").fillna(False, ["low_r"])

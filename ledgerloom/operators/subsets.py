@@ -45,7 +45,9 @@ def partitions(coins: list[int], valid: set[int]) -> Iterator[Partition]:
 
 
 def mappings(ins: list[int], outs: list[int]) -> list[Mapping]:
-    """All pairings of an input partition with an output partition, block by block of equal sums."""
+    """All pairings of an input partition with an output partition, block by block of equal sums; none where totals differ."""
+    if sum(ins) != sum(outs):
+        return []
     valid = subset_sums(ins) & subset_sums(outs)
     by_sums: dict[tuple[int, ...], list[Partition]] = defaultdict(list)
     for p in partitions(outs, valid):
