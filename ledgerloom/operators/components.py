@@ -1,17 +1,16 @@
-"""Connected components of an edge list, by alternating large and small stars.
-
-In a large-star step a node links its larger neighbours to the least node of
-its neighbourhood; in a small-star step it links its smaller neighbours and
-itself to the least of them.  Both keep the components; in turn, they end in
-one star around the least node of each, after a number of rounds that grows
-with the logarithm of the longest path.  Neighbourhoods are folded by ``min``
-and joined back, never gathered into a list; the joins are salted, since one
-node may lie on a third of all edges.  Before each round a task replaces the
+"""Connected components of an edge list, by rounds that contract the graph.
+
+In a round each node goes to the one of its neighbours and itself that comes
+first in an order drawn anew for the round, and edges are kept between the nodes that
+are left, at most three quarters of them on average.  So all rounds together move a few times the
+first one's edges, and their number grows with the logarithm of the nodes.  The first in a neighbourhood is
+folded by ``min_by`` and joined back, never gathered into a list, and nothing else in
+the stage of a join needs a node's rows together, so Spark's adaptive execution can split a node
+on a third of all edges over tasks.  Before each round a task replaces the
 edges that it holds by a spanning star of each of their components, which ends
-small inputs at once and thins out large ones.  Rounds are cut by reliable
-checkpoints; only a flag comes to the driver.  What is left of a small input
-after the first thinning, ``FEW`` edges at most, is ended in one such step of
-one task.
+small inputs at once and thins out large ones.  What each round did is stored as a table, and
+at the end nodes follow the rounds to the one that they became.  Only a count comes to the driver.  What is left
+of ``FEW`` edges at most is ended in one such step of one task.
 """
 
 from __future__ import annotations
@@ -20,14 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.arrow import mapped
-from ledgerloom.checkpoints import cut
+from ledgerloom.checkpoints import removed, stored
 
-MAX_ROUNDS = 60
-SALTS = 16
+MAX_ROUNDS = 200
 #: Edges that a task holds at once.
 CHUNK = 1 << 19
 #: Edges that are ended in one step of one task, at most.
@@ -71,27 +69,26 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return mapped(edges, task, "a long, b long")
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether each node has one edge to a smaller one at most, and none to a node that has such an edge itself."""
-    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
-    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
-    return nodes.where("up > 1 OR (up = 1 AND root = 1)").isEmpty()
+def _order(c: str, number: int) -> Column:
+    return F.xxhash64(F.lit(number), c)
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (a, b) with m, the least node of a's neighbourhood."""
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"]).drop("salt")
+def _firsts(edges: DataFrame, number: int) -> DataFrame:
+    """(node, to) of every node: the first, in the round's order, of its neighbours and itself."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg(F.min_by("b", _order("b", number)).alias("m"))
+    return first.select(F.col("a").alias("node"), F.when(_order("m", number) < _order("a", number), F.col("m")).otherwise(F.col("a")).alias("to"))
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-    large = _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    # every edge now goes from a larger a to a smaller b
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = _with_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return small.where("a <> b").distinct()
+def _moved(edges: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The edges between the nodes that theirs went to."""
+    for end in ("a", "b"):
+        edges = edges.join(firsts.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("to", end)
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _is_few(edges: DataFrame, few: int) -> bool:
+    return edges.limit(few + 1).count() <= few
 
 
 def components(edges: DataFrame, few: int | None = None) -> DataFrame:
@@ -100,16 +97,27 @@ def components(edges: DataFrame, few: int | None = None) -> DataFrame:
     few: edges that one task may end, in the place of ``FEW``; 0 leaves all to the rounds.
     Loops and edges with a null end are left out; repeated edges count once; no edges give an empty table.
     """
+    spark, few = edges.sparkSession, FEW if few is None else few
     now = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b")
-    now = cut(_contracted(now))
-    few = FEW if few is None else few
-    if now.limit(few + 1).count() <= few:
-        now = cut(_contracted(now.coalesce(1)))
-    else:
-        for _ in range(MAX_ROUNDS):
-            if _are_stars(now):
-                break
-            now = cut(_contracted(_stars(now)))
-        else:
+    now, at = stored(_contracted(now))
+    rounds: list[tuple[DataFrame, str]] = []
+    while not _is_few(now, few):
+        if len(rounds) == MAX_ROUNDS:
             raise RuntimeError(f"not done after {MAX_ROUNDS} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        rounds.append(stored(_firsts(now, len(rounds))))
+        last, before = at, now
+        now, at = stored(_contracted(_moved(before, rounds[-1][0])))
+        removed(spark, last)
+    ended, end = stored(_contracted(now.coalesce(1)))
+    removed(spark, at)
+    found = ended.select(F.col("a").alias("node"), F.col("b").alias("component")).union(ended.select("b", "b").distinct())
+    if not rounds:
+        return found
+    for firsts, _ in reversed(rounds):
+        found = firsts.join(found.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    found, at = stored(found)
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    out, _ = stored(found.join(least, "component").select("node", F.col("least").alias("component")))
+    for path in (at, end, *(p for _, p in rounds)):
+        removed(spark, path)
+    return out

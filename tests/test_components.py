@@ -70,3 +70,28 @@ def test_labels():
     got = least_labels(a, b, 500)
     for g in brute(zip(a.tolist(), b.tolist(), strict=True)):
         assert {int(got[k]) for k in g} == {g[0]}
+
+
+def test_rounds_move_few_rows(spark):
+    """All rounds together shuffle a few times the first one's rows, and a star's centre is not spread over many."""
+    rng = random.Random(5)
+    names = rng.sample(range(100_000), 6000)
+    edges = [(names[k], names[k + 1]) for k in range(3999)] + [(names[0], k) for k in names[4000:]]
+    context = spark.sparkContext
+
+    def written():
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    small = {name: spark.conf.get(name) for name in large}
+    try:
+        for name, value in large.items():
+            spark.conf.set(name, value)
+        before = written()
+        found = components.components(made(spark, edges).repartition(8), few=0).collect()
+        assert (written() - before) / len(edges) < 40
+    finally:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+    assert {r["node"] for r in found} == set(names) and {r["component"] for r in found} == {min(names)}
