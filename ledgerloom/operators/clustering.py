@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.checkpoints import cut
+from ledgerloom.checkpoints import cut, removed, stored
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators.components import components
 
@@ -14,8 +14,12 @@ MAX_ROUNDS = 1000
 
 def cluster(edges: DataFrame, members: DataFrame | None = None, few: int | None = None) -> DataFrame:
     """Clusters of the edges (a, b); members (member) without an edge are clusters of their own; few as in ``components``."""
+    edges, at = stored(edges.select("a", "b"))
     out = components(edges, few).select(F.col("node").alias("member"), F.col("component").alias("cluster_id"))
     loops = edges.where("a = b").select(F.col("a").alias("member"))
+    if members is None and not loops.limit(1).count():
+        removed(edges.sparkSession, at)
+        return out
     alone = (loops if members is None else members.select("member").union(loops)).distinct()
     return out.union(alone.join(out, "member", "left_anti").select("member", F.col("member").alias("cluster_id")))
 
@@ -29,7 +33,7 @@ def _merged(clustering: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     """Of more edges (a, b): the clusters that they touch with the one that each goes to, and their ends that are new."""
     label = lambda end: clustering.select(F.col("member").alias(end), F.col("cluster_id").alias(f"c{end}"))
     known = edges.where("a <> b").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    moved = cut(components(known.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))).select(F.col("node").alias("cluster_id"), "component")
+    moved = components(known.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("cluster_id"), "component")
     ends = edges.select(F.col("a").alias("member")).union(edges.select("b")).where("member IS NOT NULL").distinct()
     return moved, ends.join(clustering.select("member"), "member", "left_anti").select("member", F.col("member").alias("cluster_id"))
 
@@ -57,7 +61,7 @@ def changes(clustering: DataFrame, edges: DataFrame) -> DataFrame:
 
 def join(left: DataFrame, right: DataFrame) -> DataFrame:
     """The finest clustering that both refine."""
-    return grown(cut(left), cut(star(right)))
+    return grown(stored(left)[0], stored(star(right))[0])
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:

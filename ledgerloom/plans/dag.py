@@ -29,7 +29,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.checkpoints import cut
+from ledgerloom.checkpoints import cut, removed, stored
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import clustering, masks, navigation
 from ledgerloom.plans import facts
@@ -51,6 +51,7 @@ class Node:
     make: Make  # (ledger, *dependencies' frames)
     target: Node | None = None  # of a placeholder
     source: bool = False
+    edges: Make | None = None  # of a clustering: the edges that it is the closure of, from the same
 
 
 @dataclass
@@ -108,6 +109,12 @@ class Expr:
         """A user's operation on this and other expressions."""
         return self.context.register(kind, name, [self, *others], make)
 
+    def _closure(self, name: str, edges: Make) -> Clustering:
+        """The clustering of edges that are made of this one."""
+        expr = self.apply(Clustering, name, lambda g, x: clustering.cluster(edges(g, x)))
+        expr.node.edges = edges
+        return expr
+
 
 class _Set(Expr):
     def filter(self, predicate: Callable[[Ledger], DataFrame] | Column) -> _Set:
@@ -159,7 +166,7 @@ class TxSet(_Set):
         return self.apply(TxOutSet, "outputs", lambda g, x: navigation.outputs_of(x, g).select("out_id"))
 
     def multi_input(self) -> Clustering:
-        return self.apply(Clustering, "multi_input", lambda g, x: clustering.cluster(clustering.multi_input_edges(g, x)))
+        return self._closure("multi_input", lambda g, x: clustering.multi_input_edges(g, x))
 
     def unilateral(self, clusters: Clustering) -> Mask:
         key = F.col("tx_id").alias("key")
@@ -198,7 +205,7 @@ class Mask(Expr):
 
     def change_clusters(self) -> Clustering:
         """Change outputs with what their transaction's first input spends."""
-        return self.apply(Clustering, "change_clusters", lambda g, m: clustering.cluster(clustering.change_edges(g, m)))
+        return self._closure("change_clusters", lambda g, m: clustering.change_edges(g, m))
 
 
 class Clustering(Expr):
@@ -206,6 +213,10 @@ class Clustering(Expr):
     combine = staticmethod(facts.combine_clusterings)
 
     def join(self, other: Clustering) -> Clustering:
+        """The finest clustering that both refine; one that is of edges is not clustered by itself before."""
+        if edges := other.node.edges:
+            known = [Expr(self.context, d) for d in other.node.deps]
+            return self.apply(Clustering, "join", lambda g, a, *x: clustering.grown(stored(a)[0], stored(edges(g, *x))[0]), *known)
         return self.apply(Clustering, "join", lambda g, a, b: clustering.join(a, b), other)
 
 
@@ -300,21 +311,43 @@ class Engine:
         """The expression's frame: a plan, or after a cycle's last round its checkpoint."""
         cyclic = self._placeholders(expr.node)
         values = {n.id: self._default(n) for n in cyclic}
+        free = self._free(cyclic)
         fixed: dict[int, DataFrame] = {}  # frames of nodes that need no placeholder: the same in all rounds
+        for node in self._borders(cyclic, free):
+            fixed[node.id] = stored(self._frame(node, fixed))[0] if node.deps else self._frame(node, fixed)
+        prints = {k: self._print(v) for k, v in values.items()}
+        paths: list[str] = []  # of the last round's values
         self.rounds = 0
         while any(n.target for n in cyclic):
             if self.rounds == MAX_ROUNDS:
                 raise CycleError(f"no fixpoint after {MAX_ROUNDS} rounds")
             self.rounds += 1
             frames: dict[int, DataFrame] = {**fixed, **values}
-            new = {n.id: cut(self._frame(n.target, frames)) if n.target else values[n.id] for n in cyclic}
-            fixed = {k: frames[k] for k in self._free(cyclic) & frames.keys()}
-            same = all(self._same(values[k], new[k]) for k in new)
-            values = new
-            if same:
+            new = {n.id: stored(self._frame(n.target, frames)) for n in cyclic if n.target}
+            values |= {k: frame for k, (frame, _) in new.items()}
+            for path in paths:
+                removed(self.ledger.tx.sparkSession, path)
+            paths = [path for _, path in new.values()]
+            before, prints = prints, {k: self._print(v) for k, v in values.items()}
+            if before == prints:
                 break
         return self._frame(expr.node, {**fixed, **values})
 
+    @staticmethod
+    def _borders(cyclic: list[Node], free: set[int]) -> list[Node]:
+        """The free nodes that others look at directly, which each round reads again."""
+        seen, found, todo = set(), {}, [n.target for n in cyclic if n.target]
+        while todo:
+            n = todo.pop()
+            if n.id in seen:
+                continue
+            seen.add(n.id)
+            if n.id in free:
+                found[n.id] = n
+            else:
+                todo += n.deps
+        return [found[k] for k in sorted(found)]
+
     def _free(self, cyclic: list[Node]) -> set[int]:
         """The nodes below the placeholders' targets that need no placeholder themselves."""
         free, bound = set(), set()
@@ -358,7 +391,6 @@ class Engine:
         return frames[node.id]
 
     @staticmethod
-    def _same(a: DataFrame, b: DataFrame) -> bool:
-        """Whether two frames hold the same rows, by number and sum of hashes."""
-        of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
-        return of(a) == of(b)
+    def _print(df: DataFrame) -> tuple:
+        """A frame's number of rows and sum of their hashes, by which frames of the same rows are known."""
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())

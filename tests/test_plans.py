@@ -260,3 +260,17 @@ def test_stream_masks_and_links(spark, tmp_path):
 def test_event_windows(spark):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "a")], "ts string, event_type string")
     assert sorted(r["n"] for r in incremental.event_counts(rows).collect()) == [1, 2]
+
+
+def test_round_clusters_once(spark, monkeypatch):
+    """A join with a clustering of edges takes the edges, and what needs no placeholder is made before the rounds."""
+    g, _ = ledger(spark, CHAIN)
+    calls, made = [], clustering.components
+    monkeypatch.setattr(clustering, "components", lambda *x: calls.append(1) or made(*x))
+    txs, p = (c := Context()).all_txs(), Placeholder(c, Clustering)
+    change = txs.outputs().mask(heuristics.naive_change) & txs.unilateral(p.expr).on_outputs()
+    p.unify(txs.multi_input().join(change.change_clusters()))
+    engine = Engine(g)
+    got = clusters(engine.eval(p.expr))
+    assert len(calls) == 1 + engine.rounds
+    assert got == clusters(clustering.unilateral_fixpoint(g, heuristics.naive_change(g), spark.createDataFrame([], "key long, flag boolean")))
