@@ -103,3 +103,11 @@ def test_as_the_heuristics(spark, run):
         assert {k: r[name] for k, r in got.items()} == {r["key"]: r["flag"] for r in mask.collect()}
     assert {k: r["bip68_with_locktime"] for k, r in got.items()} == {r["tx_id"]: r["bip68_with_locktime"] for r in heuristics.locktime_flags(g).collect()}
     assert all(r["complete"] for r in got.values())
+
+
+def test_state_is_asked_once_for_a_run(spark, run, tmp_path):
+    """Transactions of one run share a state: a batch of many looks up and writes few keys."""
+    told = [b for b in run([out(t, 1, 5) for t in range(keyed.RUN)], [row(t, 1, 0, 2) for t in range(keyed.RUN)], [out(t, 1, 5) for t in range(keyed.RUN)]) if b]
+    assert [len(b) for b in told] == [keyed.RUN] * 3 and all(r["complete"] and not r["coinjoin"] for r in told[2].values())
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "checkpoint"))
+    assert state.where("value IS NOT NULL").count() == 1
