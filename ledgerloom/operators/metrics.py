@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.checkpoints import cut
+from ledgerloom.checkpoints import cut, stored
 from ledgerloom.functions.scripts import is_spendable
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators.ordinals import RANGE, nearest
@@ -15,6 +15,8 @@ from ledgerloom.simulator.config import WEIGHTS
 
 #: Amounts up to which an output is dust, and the weight units of a transaction without inputs and outputs, and of a witness flag.
 DUST, BASE_WEIGHT, WITNESS_WEIGHT = 546, 40, 2
+#: Amounts whose distances are broadcast, at most (16 bytes each); more are joined by a shuffle.
+FEW_AMOUNTS = 1 << 20
 
 
 def utxo_set(ledger: Ledger) -> DataFrame:
@@ -94,8 +96,9 @@ def unhandled(obligations: DataFrame, handled: DataFrame, pending: DataFrame, no
 
 
 def order_book(registered: DataFrame, confirmed: DataFrame, spending: DataFrame) -> DataFrame:
-    """Registered coins that are confirmed and not being spent (out_id)."""
-    return registered.join(confirmed.select("out_id"), "out_id", "left_semi").join(spending.select("out_id"), "out_id", "left_anti")
+    """Registered coins that are confirmed and not being spent (out_id); confirmed: outputs (out_id), or transactions (tx_id) where it has no such column."""
+    key = "out_id" if "out_id" in confirmed.columns else "tx_id"
+    return registered.join(confirmed.select(key), key, "left_semi").join(spending.select("out_id"), "out_id", "left_anti")
 
 
 def cospend_ranking(book: DataFrame, reference: DataFrame, limit: int | None = None) -> DataFrame:
@@ -104,9 +107,11 @@ def cospend_ranking(book: DataFrame, reference: DataFrame, limit: int | None = N
     With a limit only the first so many by (distance, tx_id, vout), in that
     order; without one the order is for the reader to make.
     """
+    book, _ = stored(book.select("out_id", "tx_id", "vout", "value"))  # read twice, and its joins made once
     known = cut(nearest(book.select("value"), reference.select("value")))
+    few = known.limit(FEW_AMOUNTS + 1).count() <= FEW_AMOUNTS
     far = F.coalesce("distance", F.lit(0x7FFFFFFFFFFFFFFF)).alias("distance")
-    ranked = book.join(known, "value", "left").select("out_id", "tx_id", "vout", far)
+    ranked = book.join(F.broadcast(known) if few else known, "value", "left").select("out_id", "tx_id", "vout", far)
     return ranked if limit is None else ranked.orderBy("distance", "tx_id", "vout").limit(limit)
 
 
