@@ -1,5 +1,7 @@
 """What a query moves and holds as its tables grow, told from its plan or from what its steps are given."""
 
+from ledgerloom import queries
+from ledgerloom.functions import scripts
 from ledgerloom.operators import metrics
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +26,18 @@ def test_ranking_reads_its_book_once_and_shuffles_it_no_more(spark):
     ranked = lambda: metrics.cospend_ranking(metrics.order_book(outs, confirmed, spending), outs.where("out_id = 1"))
     assert "SortMergeJoin" not in shuffled(spark, ranked)
     assert sorted((r["out_id"], r["distance"]) for r in ranked().collect()) == [(0, 400), (2, 300)]
+
+
+def test_each_script_is_hashed_once(spark, monkeypatch):
+    given, real = [], scripts.spk_hash
+
+    def seen(df, spk="spk"):
+        given.append(df.count())
+        return real(df, spk)
+
+    monkeypatch.setattr(scripts, "spk_hash", seen)
+    outs = queries.ledger(spark, SF).txout
+    found = queries.QUERIES["script_hashes"](spark, SF)
+    assert given == [outs.select("spk", "output_type").distinct().count()] and given[0] < outs.count()
+    monkeypatch.setattr(queries, "_FEW_SCRIPTS", 1)
+    assert sorted(queries.QUERIES["script_hashes"](spark, SF).collect()) == sorted(found.collect())
