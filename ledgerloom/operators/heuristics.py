@@ -17,7 +17,7 @@ from ledgerloom.functions import rawtx
 from ledgerloom.functions.scalars import relative_locktime, signals_rbf
 from ledgerloom.functions.scripts import is_spendable
 from ledgerloom.ledger import Ledger
-from ledgerloom.operators.navigation import spending, value_sums
+from ledgerloom.operators.navigation import value_sums
 
 #: Equal outputs that make a mix, and the amount that round fees are whole multiples of.
 EQUAL_OUTPUTS = 3
@@ -97,10 +97,12 @@ def naive_change(ledger: Ledger) -> DataFrame:
 
 def locktime_change(ledger: Ledger) -> DataFrame:
     """Outputs that are spendable and spent, where both transactions have a locktime."""
-    times = ledger.tx.select("tx_id", "locktime")
-    outs = spending(ledger).join(times, "tx_id").join(times.select(F.col("tx_id").alias("spender_tx_id"), F.col("locktime").alias("later")), "spender_tx_id", "left")
-    flag = is_spendable(F.col("output_type")) & (F.col("locktime") > 0) & F.coalesce(F.col("later") > 0, F.lit(False))
-    return outs.select(F.col("out_id").alias("key"), flag.alias("flag"))
+    times = ledger.tx.select("tx_id", F.coalesce(F.col("locktime") > 0, F.lit(False)).alias("timed"))
+    ends = ledger.txin.where("prev_out_id IS NOT NULL").select(F.col("prev_out_id").alias("out_id"), "in_id", "tx_id").join(times, "tx_id", "left")
+    # of several inputs the last one counts; by two numbers, which are hashed where a row of two would be sorted
+    late = ends.groupBy("out_id").agg(F.max("in_id").alias("last"), F.max(F.when(F.col("timed"), F.col("in_id"))).alias("late")).where("last = late")
+    outs = ledger.txout.select("out_id", "tx_id", is_spendable(F.col("output_type")).alias("spendable")).join(times, "tx_id").select("out_id", (F.col("spendable") & F.col("timed")).alias("may"))
+    return outs.join(late.select("out_id", F.lit(True).alias("hit")), "out_id", "left").select(F.col("out_id").alias("key"), (F.col("may") & F.coalesce("hit", F.lit(False))).alias("flag"))
 
 
 def script_match_change(ledger: Ledger) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from ledgerloom import queries
 from ledgerloom.functions import scripts
-from ledgerloom.operators import metrics
+from ledgerloom.ledger import Ledger
+from ledgerloom.operators import heuristics, metrics
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,17 @@ def test_each_script_is_hashed_once(spark, monkeypatch):
     assert given == [outs.select("spk", "output_type").distinct().count()] and given[0] < outs.count()
     monkeypatch.setattr(queries, "_FEW_SCRIPTS", 1)
     assert sorted(queries.QUERIES["script_hashes"](spark, SF).collect()) == sorted(found.collect())
+
+
+def test_locktime_change_sorts_no_aggregate(spark):
+    g = queries.ledger(spark, SF)
+    assert "SortAggregate" not in shuffled(spark, lambda: heuristics.locktime_change(g))
+
+
+def test_locktime_change_of_outputs_spent_twice(spark):
+    """The last input counts, of transactions that are not there too."""
+    tx = spark.createDataFrame([(1, 5), (2, 7), (3, 0)], "tx_id long, locktime long")
+    ins = spark.createDataFrame([(0, 2, 0), (1, 3, 0), (2, 3, 1), (3, 2, 1), (4, 2, 2), (5, 9, 2), (6, 2, 4)], "in_id long, tx_id long, prev_out_id long")
+    outs = spark.createDataFrame([(0, 1, 0), (1, 1, 2), (2, 1, 4), (3, 1, 0), (4, 1, 5), (5, 8, 0)], "out_id long, tx_id long, output_type int")
+    got = {r["key"]: r["flag"] for r in heuristics.locktime_change(Ledger(tx, ins, outs)).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: False, 4: False}
