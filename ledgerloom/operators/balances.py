@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.checkpoints import cut
+from ledgerloom.checkpoints import cut, stored
 from ledgerloom.functions import scalars
 from ledgerloom.ledger import Ledger
 
@@ -42,11 +42,18 @@ LOW_BITS = 10
 WAYS = "decimal(38,0)"
 
 
-def coins(ledger: Ledger) -> tuple[DataFrame, DataFrame]:
-    """(tx_id, k, v, n, place) of the inputs that are resolved and of the outputs, of transactions that have both; k from 0."""
+def coins(ledger: Ledger, even: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(tx_id, k, v, n, place) of the inputs that are resolved and of the outputs, of transactions that have both; k from 0.
+
+    even: of those alone whose sides add up to the same, as no others have mappings.
+    """
     ins = ledger.spent.where("prev_value IS NOT NULL").select("tx_id", F.col("vin").alias("place"), F.col("prev_value").alias("v"))
     outs = ledger.txout.select("tx_id", F.col("vout").alias("place"), F.col("value").alias("v"))
-    ids = cut(ins.select("tx_id").distinct().join(outs.select("tx_id").distinct(), "tx_id"))
+    if even:
+        ins, _ = stored(ins)
+        ids = cut(_even(ins, outs))
+    else:
+        ids = cut(ins.select("tx_id").distinct().join(outs.select("tx_id").distinct(), "tx_id"))
 
     def numbered(side: DataFrame) -> DataFrame:
         own = Window.partitionBy("tx_id")
@@ -56,6 +63,12 @@ def coins(ledger: Ledger) -> tuple[DataFrame, DataFrame]:
     return numbered(ins), numbered(outs)
 
 
+def _even(ins: DataFrame, outs: DataFrame) -> DataFrame:
+    """(tx_id) of the transactions whose inputs and outputs add up to the same, more than nothing."""
+    whole = lambda side: side.groupBy("tx_id").agg(F.sum("v").alias("s"))
+    return whole(ins).where("s > 0").join(whole(outs), ["tx_id", "s"]).select("tx_id")
+
+
 def _ids(side: DataFrame) -> DataFrame:
     return side.select("tx_id", "n").distinct()
 
@@ -176,8 +189,7 @@ def _ways(now: DataFrame, blocks: DataFrame, sides: list[str], name: str) -> Dat
 
 def _pairs(ins: DataFrame, outs: DataFrame, derived: bool) -> DataFrame:
     """(tx_id, low, a, b): masks of inputs and outputs of equal sums, of transactions whose sides are equal; unless derived, those that hold no other one."""
-    whole = lambda side: side.groupBy("tx_id").agg(F.sum("v").alias("s"))
-    even = cut(whole(ins).where("s > 0").join(whole(outs), ["tx_id", "s"]).select("tx_id"))
+    even = cut(_even(ins, outs))
     some = lambda side: side.join(even, "tx_id", "left_semi")
     found = _balanced(_masks(some(ins)), _masks(some(outs)))
     pairs = cut(found.select("tx_id", F.expr("a_mask + b_mask").alias("a"), F.expr("c_mask + d_mask").alias("b")).withColumn("low", F.expr("a & -a")))

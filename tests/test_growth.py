@@ -1,9 +1,11 @@
 """What a query moves and holds as its tables grow, told from its plan or from what its steps are given."""
 
+from pyspark.sql import functions as F
+
 from ledgerloom import queries
 from ledgerloom.functions import scripts
 from ledgerloom.ledger import Ledger
-from ledgerloom.operators import heuristics, metrics
+from ledgerloom.operators import heuristics, metrics, subsets
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +58,15 @@ def test_locktime_change_of_outputs_spent_twice(spark):
     outs = spark.createDataFrame([(0, 1, 0), (1, 1, 2), (2, 1, 4), (3, 1, 0), (4, 1, 5), (5, 8, 0)], "out_id long, tx_id long, output_type int")
     got = {r["key"]: r["flag"] for r in heuristics.locktime_change(Ledger(tx, ins, outs)).collect()}
     assert got == {0: False, 1: True, 2: False, 3: False, 4: False}
+
+
+def uneven(spark, coins):
+    """How many of the transactions of coins (tx_id, side, v) have sides of different totals."""
+    return coins.groupBy("tx_id").agg(F.sum(F.when(F.col("side") == 0, F.col("v")).otherwise(-F.col("v"))).alias("d")).where("d <> 0").count()
+
+
+def test_mapping_blocks_searches_balanced_transactions_alone(spark, monkeypatch):
+    given, real = [], subsets.mapping_blocks
+    monkeypatch.setattr(subsets, "mapping_blocks", lambda coins: (given.append(coins), real(coins))[1])
+    assert queries.QUERIES["mapping_blocks"](spark, SF).count() > 0
+    assert given[0].count() > 0 and uneven(spark, given[0]) == 0
