@@ -215,7 +215,7 @@ def mapping_counts(ledger: Ledger, derived: bool) -> DataFrame:
 
 def mapping_lists(ledger: Ledger, derived: bool) -> DataFrame:
     """(tx_id, mapping): a row for each mapping, its blocks (ins, outs, amount) as places of the coins, in the order of their first inputs."""
-    ins, outs = coins(ledger)
+    ins, outs = coins(ledger, even=True)
     pairs = _pairs(ins, outs, derived)
     full = lambda side, r: _ids(side).select("tx_id", F.expr("shiftleft(1L, n) - 1").alias(r))
     now = cut(full(ins, "ra").join(full(outs, "rb"), "tx_id").join(pairs.select("tx_id").distinct(), "tx_id", "left_semi").withColumn("blocks", F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom import queries
 from ledgerloom.functions import scripts
 from ledgerloom.ledger import Ledger
-from ledgerloom.operators import heuristics, metrics, subsets
+from ledgerloom.operators import balances, heuristics, metrics, subsets
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,10 @@ def test_mapping_blocks_searches_balanced_transactions_alone(spark, monkeypatch)
     monkeypatch.setattr(subsets, "mapping_blocks", lambda coins: (given.append(coins), real(coins))[1])
     assert queries.QUERIES["mapping_blocks"](spark, SF).count() > 0
     assert given[0].count() > 0 and uneven(spark, given[0]) == 0
+
+
+def test_mapping_rows_number_coins_of_balanced_transactions_alone(spark, monkeypatch):
+    given, real = [], balances._pairs
+    monkeypatch.setattr(balances, "_pairs", lambda ins, outs, derived: (given.append(ins.select("tx_id", F.lit(0).alias("side"), "v").union(outs.select("tx_id", F.lit(1), "v"))), real(ins, outs, derived))[1])
+    assert queries.QUERIES["mapping_rows"](spark, SF).count() > 0
+    assert given[0].count() > 0 and uneven(spark, given[0]) == 0
