@@ -6,6 +6,7 @@ from ledgerloom import queries
 from ledgerloom.functions import scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import balances, heuristics, metrics, subsets
+from ledgerloom.sources import blocks
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +78,21 @@ def test_mapping_rows_number_coins_of_balanced_transactions_alone(spark, monkeyp
     monkeypatch.setattr(balances, "_pairs", lambda ins, outs, derived: (given.append(ins.select("tx_id", F.lit(0).alias("side"), "v").union(outs.select("tx_id", F.lit(1), "v"))), real(ins, outs, derived))[1])
     assert queries.QUERIES["mapping_rows"](spark, SF).count() > 0
     assert given[0].count() > 0 and uneven(spark, given[0]) == 0
+
+
+def test_small_block_files_share_a_task(spark, tmp_path):
+    rows = spark.range(30).select(F.col("id").alias("height"), F.expr("cast(repeat(char(65 + id), 100) as binary)").alias("block"))
+    blocks.write(rows, str(tmp_path), size=300, parts=3)
+    assert len(list(tmp_path.glob("blk*.dat"))) >= 15
+    read = spark.read.format("blockfiles").load(str(tmp_path))
+    assert read.rdd.getNumPartitions() == 1
+    assert sorted(bytes(r["block"]) for r in read.collect()) == sorted(bytes(r["block"]) for r in rows.collect())
+
+
+def test_numbers_of_transactions_behind_headers(spark):
+    head = bytes(range(80))
+    sizes = {b"\x01": 1, b"\xfc": 252, b"\xfd\x34\x12": 0x1234, b"\xfe\x78\x56\x34\x12": 0x12345678, b"\xff" + (5 << 32).to_bytes(8, "little"): 5 << 32}
+    some = spark.createDataFrame([(k, 8, head + code + b"\x07" * 20) for k, code in enumerate(sizes)], "file_no int, offset long, block binary")
+    got = blocks.summaries(some).orderBy("file_no").collect()
+    assert [r["n_tx"] for r in got] == list(sizes.values())
+    assert all(bytes(r["header"]) == head and r["size"] == 100 + len(code) for r, code in zip(got, sizes, strict=True))
