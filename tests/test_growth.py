@@ -96,3 +96,11 @@ def test_numbers_of_transactions_behind_headers(spark):
     got = blocks.summaries(some).orderBy("file_no").collect()
     assert [r["n_tx"] for r in got] == list(sizes.values())
     assert all(bytes(r["header"]) == head and r["size"] == 100 + len(code) for r, code in zip(got, sizes, strict=True))
+
+
+def test_index_is_made_without_parsing_blocks(spark, tmp_path, monkeypatch):
+    g = queries.ledger(spark, SF)
+    queries._block_folder(g, f"{tmp_path}/blk")
+    monkeypatch.setattr(blocks, "parsed", None)
+    index = queries._index(spark, f"{tmp_path}/blk", f"{tmp_path}/index")
+    assert index.blocks.agg(F.sum("n_tx")).first()[0] == g.tx.count()
