@@ -37,6 +37,8 @@ DEPTH = 8  # coins of an input subset that is held ambiguous, at most
 #: Coins that a mask holds.
 MOST = 62
 SALTS = 4
+#: Coins of a side whose subsets are gone through in a row, at most: 256 sums.
+SMALL = 8
 #: Bits of a mask that a task counts through by itself.
 LOW_BITS = 10
 WAYS = "decimal(38,0)"
@@ -163,8 +165,49 @@ def ambiguous(ledger: Ledger, depth: int = DEPTH) -> DataFrame:
 
 
 def partition_counts(ledger: Ledger) -> DataFrame:
-    """(tx_id, n_partitions): the input partitions whose block sums are all sums of outputs."""
-    ins, outs = coins(ledger)
+    """(tx_id, n_partitions): the input partitions whose block sums are all sums of outputs.
+
+    A transaction whose sides have ``SMALL`` coins at most is counted through in its row, where all its coins are; others by joins.
+    """
+    both, _ = stored(_gathered(ledger))
+    small = both.where(_is_small()).select("tx_id", _counted_in_row().alias("n_partitions"))
+    large = both.where(~_is_small())
+    if large.isEmpty():
+        return small
+    one = lambda c: cut(large.select("tx_id", F.posexplode(c).alias("k", "v"), F.size(c).alias("n")))
+    return small.unionByName(_partitions_joined(one("i"), one("o")))
+
+
+def _gathered(ledger: Ledger) -> DataFrame:
+    """(tx_id, i, o): the amounts of a transaction's inputs that are resolved and of its outputs, in the order of ``coins``, of transactions that have both."""
+
+    def listed(side: DataFrame, place: str, v: str, name: str) -> DataFrame:
+        pairs = F.sort_array(F.collect_list(F.struct((F.col(v) == 0).alias("zero"), F.col(place).alias("place"), F.col(v).cast("long").alias("v"))))
+        return side.groupBy("tx_id").agg(pairs.getField("v").alias(name))
+
+    ins = ledger.spent.where("prev_value IS NOT NULL").select("tx_id", "vin", "prev_value")
+    return listed(ins, "vin", "prev_value", "i").join(listed(ledger.txout.select("tx_id", "vout", "value"), "vout", "value", "o"), "tx_id")
+
+
+def _is_small() -> Column:
+    return (F.size("i") <= SMALL) & (F.size("o") <= SMALL)
+
+
+def _counted_in_row() -> Column:
+    """The partitions of a row's inputs (i) into blocks whose sums are sums of its outputs (o).
+
+    Sums stand at the places of their masks.  The ways to take a mask apart are made from the smallest mask on:
+    those of each block in it that holds its first coin, by the ways of what it leaves.
+    """
+    sums = lambda c: f"aggregate({c}, array(0L), (s, v) -> concat(s, transform(s, x -> x + v)))"
+    full = "cast(shiftleft(1, size(i)) - 1 as int)"
+    blocks = f"transform(array({sums('i')}), a -> transform(array({sums('o')}), b -> filter(sequence(1, {full}), m -> a[m] <> 0 AND array_contains(b, a[m])))[0])[0]"
+    ways = "aggregate(filter(blocks, x -> x & m = x AND x & (m & -m) <> 0), 0L, (n, x) -> n + w[m - x])"
+    return F.expr(f"transform(array({blocks}), blocks -> element_at(aggregate(sequence(1, {full}), array(1L), (w, m) -> concat(w, array({ways}))), -1))[0]")
+
+
+def _partitions_joined(ins: DataFrame, outs: DataFrame) -> DataFrame:
+    """The same by joins, of coins (tx_id, k, v, n)."""
     found = _balanced(_masks(ins), tuple(x.select("tx_id", "total") for x in _sums(outs)))
     blocks = cut(found.select("tx_id", F.expr("a_mask + b_mask").alias("a")).distinct().withColumn("low", F.expr("a & -a")))
     now = _ids(ins).where(F.col("n") <= MOST).select("tx_id", F.expr("shiftleft(1L, n) - 1").alias("ra"), F.lit(1).cast(WAYS).alias("ways"))

@@ -1,5 +1,7 @@
 """What a query moves and holds as its tables grow, told from its plan or from what its steps are given."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerloom import queries
@@ -7,6 +9,7 @@ from ledgerloom.functions import scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import balances, heuristics, metrics, subsets
 from ledgerloom.sources import blocks
+from test_subsets import spending
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +107,18 @@ def test_index_is_made_without_parsing_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(blocks, "parsed", None)
     index = queries._index(spark, f"{tmp_path}/blk", f"{tmp_path}/index")
     assert index.blocks.agg(F.sum("n_tx")).first()[0] == g.tx.count()
+
+
+def test_small_transactions_are_counted_in_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(balances, "_partitions_joined", None)  # nothing is left for joins
+    g, txs = spending(spark, [([1, 3, 18], [3, 4, 19]), ([0, 5, 5], [5, 5, 0]), ([0, 0], [0]), ([2] * 8, [2] * 8), ([7], [3])])
+    want = {k: sum(1 for _ in subsets.partitions(i, subsets.subset_sums(o))) for k, (i, o) in txs.items()}
+    assert {r[0]: r[1] for r in balances.partition_counts(g).collect()} == want
+
+
+def test_partitions_in_rows_as_by_joins(spark, monkeypatch):
+    rng = random.Random(7)
+    g, _ = spending(spark, [tuple([rng.choice([0, 1, 2, 3, 5, 7]) for _ in range(rng.randint(1, 6))] for _ in range(2)) for _ in range(40)])
+    in_rows = sorted(balances.partition_counts(g).collect())
+    monkeypatch.setattr(balances, "SMALL", 2)
+    assert sorted(balances.partition_counts(g).collect()) == in_rows
