@@ -29,3 +29,14 @@ def test_numbers_over_many_ranges(spark):
     for r in got:
         assert r["vin"] == seen.get(r["tx_id"], 0)
         seen[r["tx_id"]] = r["vin"] + 1
+
+
+def test_tied_lines_are_numbered_as_they_stand(spark, tmp_path, monkeypatch):
+    """Lines of one number and price, which the order of the SQL leaves open, keep the order of the file, in whatever order tasks get them."""
+    lines = [(i % 50, 1, 2000 - i, 1, 1.0, 5.0) for i in range(2000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "1") for k in range(50)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    real = star._numbered
+    monkeypatch.setattr(star, "_numbered", lambda rows, *rest: real(rows.repartition(7), *rest))
+    outs = star.ledger(spark, str(tmp_path)).txout.orderBy("out_id").collect()
+    assert [r["spk"] for r in outs] == [2000 - i for k in range(50) for i in range(k, 2000, 50)]
