@@ -37,6 +37,6 @@ def test_tied_lines_are_numbered_as_they_stand(spark, tmp_path, monkeypatch):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k, "1") for k in range(50)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     real = star._numbered
-    monkeypatch.setattr(star, "_numbered", lambda rows, *rest: real(rows.repartition(7), *rest))
+    monkeypatch.setattr(star, "_numbered", lambda rows, *rest: real(rows.repartition(7).localCheckpoint(), *rest))
     outs = star.ledger(spark, str(tmp_path)).txout.orderBy("out_id").collect()
     assert [r["spk"] for r in outs] == [2000 - i for k in range(50) for i in range(k, 2000, 50)]
