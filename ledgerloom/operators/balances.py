@@ -39,6 +39,8 @@ MOST = 62
 SALTS = 4
 #: Coins of a side whose subsets are gone through in a row, at most: 256 sums.
 SMALL = 8
+#: Coins of a side whose different sums are made in a row, at most (65,536 sums), and inputs whose subsets are gone through there (4,096).
+SUMMED, TAKEN = 16, 12
 #: Bits of a mask that a task counts through by itself.
 LOW_BITS = 10
 WAYS = "decimal(38,0)"
@@ -140,13 +142,41 @@ def _balanced(ins: tuple[DataFrame, DataFrame], outs: tuple[DataFrame, DataFrame
 
 
 def sum_counts(ledger: Ledger) -> DataFrame:
-    """(tx_id, n_sums): the number of different sums other than zero that outputs of each transaction have."""
-    _, outs = coins(ledger)
+    """(tx_id, n_sums): the number of different sums other than zero that outputs of each transaction have.
+
+    Of transactions with ``SUMMED`` outputs at most they are made in a row, where all its coins are; of others by joins.
+    """
+    both, _ = stored(_amounts(ledger))
+    is_small = F.size("o") <= SUMMED
+    small = both.where(is_small).select("tx_id", F.size(F.expr(_sums_in_row("o"))).cast("long").alias("n_sums"))
+    large = both.where(~is_small)
+    return small if large.isEmpty() else small.unionByName(_sums_joined(_coins_of(large, "o")))
+
+
+def _sums_joined(outs: DataFrame) -> DataFrame:
+    """The same by joins, of coins (tx_id, k, v, n)."""
     first, second = _sums(outs)
     both = _salted(first.select("tx_id", "total"), second.select("tx_id", F.col("total").alias("more")), ["tx_id"]).select("tx_id", F.expr("total + more").alias("total"))
     return _told(outs, both.where("total <> 0").distinct().groupBy("tx_id").agg(F.count(F.lit(1)).alias("n_sums")), "n_sums")
 
 
+def _amounts(ledger: Ledger) -> DataFrame:
+    """(tx_id, i, o): the amounts of a transaction's inputs that are resolved and of its outputs, in any order, of transactions that have both."""
+    listed = lambda side, v, name: side.groupBy("tx_id").agg(F.collect_list(F.col(v).cast("long")).alias(name))
+    ins = ledger.spent.where("prev_value IS NOT NULL").select("tx_id", "prev_value")
+    return listed(ins, "prev_value", "i").join(listed(ledger.txout.select("tx_id", "value"), "value", "o"), "tx_id")
+
+
+def _coins_of(both: DataFrame, side: str) -> DataFrame:
+    """(tx_id, k, v, n) of one side of rows of ``_amounts``."""
+    return cut(both.select("tx_id", F.posexplode(side).alias("k", "v"), F.size(side).alias("n")))
+
+
+def _sums_in_row(side: str) -> str:
+    """The different sums other than zero of a row's coins."""
+    return f"filter(aggregate({side}, array(0L), (s, v) -> array_distinct(concat(s, transform(s, x -> x + v)))), x -> x <> 0)"
+
+
 def _told(side: DataFrame, counts: DataFrame, name: str, masks: bool = False) -> DataFrame:
     """A count for each transaction: 0 where there is none, null beyond the bounds."""
     n = F.expr(f"try_cast(coalesce({name}, 0) as bigint)")

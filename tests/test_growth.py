@@ -122,3 +122,13 @@ def test_partitions_in_rows_as_by_joins(spark, monkeypatch):
     in_rows = sorted(balances.partition_counts(g).collect())
     monkeypatch.setattr(balances, "SMALL", 2)
     assert sorted(balances.partition_counts(g).collect()) == in_rows
+
+
+def test_sums_are_made_in_rows(spark, monkeypatch):
+    g, txs = spending(spark, [([1, 3, 18], [3, 4, 19]), ([0, 5, 5], [5, 5, 0]), ([0, 0], [0]), ([2] * 8, [2] * 16), ([7], [1, 2, 4, 8, 16]), ([5], [1 << 40] * 3)])
+    want = {k: len(subsets.subset_sums(o)) for k, (_, o) in txs.items()}
+    with monkeypatch.context() as m:
+        m.setattr(balances, "_sums", None)  # nothing is left for joins
+        assert {r[0]: r[1] for r in balances.sum_counts(g).collect()} == want
+    monkeypatch.setattr(balances, "SUMMED", 2)
+    assert {r[0]: r[1] for r in balances.sum_counts(g).collect()} == want
