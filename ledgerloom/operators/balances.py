@@ -185,8 +185,32 @@ def _told(side: DataFrame, counts: DataFrame, name: str, masks: bool = False) ->
 
 
 def ambiguous(ledger: Ledger, depth: int = DEPTH) -> DataFrame:
-    """(tx_id, n_ambiguous): the input subsets of at most depth coins, all of them excepted, that some outputs balance."""
-    ins, outs = coins(ledger)
+    """(tx_id, n_ambiguous): the input subsets of at most depth coins, all of them excepted, that some outputs balance.
+
+    Those of transactions with ``TAKEN`` inputs and ``SUMMED`` outputs at most are gone through in a row; of others by joins.
+    """
+    both, _ = stored(_amounts(ledger))
+    is_small = (F.size("i") <= TAKEN) & (F.size("o") <= SUMMED)
+    small = both.where(is_small).select("tx_id", _ambiguous_in_row(depth).alias("n_ambiguous"))
+    large = both.where(~is_small)
+    return small if large.isEmpty() else small.unionByName(_ambiguous_joined(_coins_of(large, "i"), _coins_of(large, "o"), depth))
+
+
+def _ambiguous_in_row(depth: int) -> Column:
+    """The ambiguous subsets of a row's inputs (i) by its outputs (o): sums of inputs stand at the places of their masks, and only those that outputs have are looked for."""
+    size = "cast(bit_count(m) as int)"
+    subset = f"{size} BETWEEN 1 AND {depth} AND {size} < size(i) AND array_contains(e.met, t)"
+    met = f"transform(array({_masked_sums('i')}), s -> named_struct('sums', s, 'met', array_intersect(s, {_sums_in_row('o')})))"
+    return F.expr(f"transform({met}, e -> size(filter(e.sums, (t, m) -> {subset})))[0]").cast("long")
+
+
+def _masked_sums(side: str) -> str:
+    """The sums of all subsets of a row's coins, at the places of their masks."""
+    return f"aggregate({side}, array(0L), (s, v) -> concat(s, transform(s, x -> x + v)))"
+
+
+def _ambiguous_joined(ins: DataFrame, outs: DataFrame, depth: int) -> DataFrame:
+    """The same by joins, of coins (tx_id, k, v, n)."""
     found = _balanced(_sums(ins, depth), tuple(x.select("tx_id", "total") for x in _sums(outs)))
     found = found.select("tx_id", "a_total", "a_size", "a_ways", "b_total", "b_size", "b_ways").distinct().join(_ids(ins), "tx_id")
     size = F.col("a_size") + F.col("b_size")
@@ -229,9 +253,8 @@ def _counted_in_row() -> Column:
     Sums stand at the places of their masks.  The ways to take a mask apart are made from the smallest mask on:
     those of each block in it that holds its first coin, by the ways of what it leaves.
     """
-    sums = lambda c: f"aggregate({c}, array(0L), (s, v) -> concat(s, transform(s, x -> x + v)))"
     full = "cast(shiftleft(1, size(i)) - 1 as int)"
-    blocks = f"transform(array({sums('i')}), a -> transform(array({sums('o')}), b -> filter(sequence(1, {full}), m -> a[m] <> 0 AND array_contains(b, a[m])))[0])[0]"
+    blocks = f"transform(array({_masked_sums('i')}), a -> transform(array({_masked_sums('o')}), b -> filter(sequence(1, {full}), m -> a[m] <> 0 AND array_contains(b, a[m])))[0])[0]"
     ways = "aggregate(filter(blocks, x -> x & m = x AND x & (m & -m) <> 0), 0L, (n, x) -> n + w[m - x])"
     return F.expr(f"transform(array({blocks}), blocks -> element_at(aggregate(sequence(1, {full}), array(1L), (w, m) -> concat(w, array({ways}))), -1))[0]")
 

@@ -9,7 +9,7 @@ from ledgerloom.functions import scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import balances, heuristics, metrics, subsets
 from ledgerloom.sources import blocks
-from test_subsets import spending
+from test_subsets import ambiguous_subsets, spending
 
 SF = "/root/testdata/sf0.001"
 
@@ -132,3 +132,18 @@ def test_sums_are_made_in_rows(spark, monkeypatch):
         assert {r[0]: r[1] for r in balances.sum_counts(g).collect()} == want
     monkeypatch.setattr(balances, "SUMMED", 2)
     assert {r[0]: r[1] for r in balances.sum_counts(g).collect()} == want
+
+
+def test_ambiguous_subsets_are_counted_in_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    some = [([2] * 12, [2] * 16), ([0, 5, 5], [5, 5, 0]), ([7], [7]), ([1, 1], [0])]
+    some += [tuple([rng.choice([0, 1, 2, 3, 5, 7]) for _ in range(rng.randint(1, 6))] for _ in range(2)) for _ in range(30)]
+    g, txs = spending(spark, some)
+    for depth in (1, 8):
+        want = {k: ambiguous_subsets(i, o, depth) for k, (i, o) in txs.items()}
+        with monkeypatch.context() as m:
+            m.setattr(balances, "_sums", None)  # nothing is left for joins
+            assert {r[0]: r[1] for r in balances.ambiguous(g, depth).collect()} == want
+        with monkeypatch.context() as m:
+            m.setattr(balances, "TAKEN", 3)
+            assert {r[0]: r[1] for r in balances.ambiguous(g, depth).collect()} == want
