@@ -147,3 +147,10 @@ def test_ambiguous_subsets_are_counted_in_rows(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(balances, "TAKEN", 3)
             assert {r[0]: r[1] for r in balances.ambiguous(g, depth).collect()} == want
+
+
+def test_privacy_of_small_transactions_needs_no_joins_of_sums(spark, monkeypatch):
+    monkeypatch.setattr(balances, "_balanced", None)
+    g, txs = spending(spark, [([1, 3, 18], [3, 4, 19]), ([2] * 8, [2] * 8), ([7], [3])])
+    want = {k: 1 / (1 + ambiguous_subsets(i, o)) for k, (i, o) in txs.items()}
+    assert {r[0]: r[1] for r in balances.privacy(g).collect()} == want
