@@ -1,11 +1,13 @@
 """What a query moves and holds as its tables grow, told from its plan or from what its steps are given."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from ledgerloom import queries
-from ledgerloom.functions import scripts
+from ledgerloom.checkpoints import folder
+from ledgerloom.functions import encode, scripts
 from ledgerloom.ledger import Ledger
 from ledgerloom.operators import balances, heuristics, metrics, subsets
 from ledgerloom.sources import blocks
@@ -154,3 +156,13 @@ def test_privacy_of_small_transactions_needs_no_joins_of_sums(spark, monkeypatch
     g, txs = spending(spark, [([1, 3, 18], [3, 4, 19]), ([2] * 8, [2] * 8), ([7], [3])])
     want = {k: 1 / (1 + ambiguous_subsets(i, o)) for k, (i, o) in txs.items()}
     assert {r[0]: r[1] for r in balances.privacy(g).collect()} == want
+
+
+def test_blocks_are_made_without_checkpoints_of_rows(spark):
+    """Steps are kept as tables, and only the transactions' and the blocks' are left."""
+    place = Path(folder(spark.sparkContext).removeprefix("file:"))
+    g = queries._generations(queries.ledger(spark, SF))
+    rows, tables = set(place.glob("rdd-*")), set(place.glob("stored-*"))
+    made = encode.blocks(encode.transactions(g))
+    assert made.agg(F.sum("n_tx")).first()[0] == g.tx.count()
+    assert set(place.glob("rdd-*")) <= rows and len(set(place.glob("stored-*")) - tables) == 1
