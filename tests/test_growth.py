@@ -166,3 +166,15 @@ def test_blocks_are_made_without_checkpoints_of_rows(spark):
     made = encode.blocks(encode.transactions(g))
     assert made.agg(F.sum("n_tx")).first()[0] == g.tx.count()
     assert set(place.glob("rdd-*")) <= rows and len(set(place.glob("stored-*")) - tables) == 1
+
+
+def test_stored_parents_are_looked_up_without_a_shuffle_of_them(spark, monkeypatch):
+    given, real = [], queries.linking.link
+
+    def seen(inputs, outputs, *rest, stored):
+        given.append((stored.schema["txid"].dataType.typeName(), "Exchange hashpartitioning" in plan(stored.groupBy("txid", "vout").count())))
+        return real(inputs, outputs, *rest, stored=stored)
+
+    monkeypatch.setattr(queries.linking, "link", seen)
+    assert queries.QUERIES["stream_late_parents"](spark, SF).count() > 0
+    assert given == [("binary", False)] * 5
